@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 #: A rank file larger than this isn't broadcast.
 MAX_RANK_FILE = 64 << 20
 #: Pre-tokens up to this many characters are remembered; so many of them twice (a newer and an older half) at most.
-CACHED_CHARS, CACHED = 48, 1 << 19
+CACHED_CHARS, CACHED = 48, 1 << 18
 #: Texts longer than this are split with an iterator.
 LONG_TEXT = 1 << 21
 
@@ -168,15 +168,11 @@ class Remembered(dict):
         return packed
 
 
-class Codec:
+class Encoder:
     def __init__(self, data: bytes, pattern: str):
-        ranks = load_ranks(data)
-        self.remembered, self.pattern = Remembered(ranks), regex.compile(pattern)
-        self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
-        for token, rank in ranks.items():
-            self.bytes_of[rank] = token
+        self.remembered, self.pattern = Remembered(load_ranks(data)), regex.compile(pattern)
 
-    def encode(self, text: str | None) -> bytes:
+    def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
         packed_of = self.remembered.__getitem__
@@ -187,20 +183,27 @@ class Codec:
             parts.append(b"".join(map(packed_of, some)))
         return b"".join(parts)
 
-    def decode(self, packed: bytes | None) -> bytes:
+
+class Decoder:
+    def __init__(self, data: bytes):
+        ranks = load_ranks(data)
+        self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
+        for token, rank in ranks.items():
+            self.bytes_of[rank] = token
+
+    def __call__(self, packed: bytes | None) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(packed or b"", "<u4").tolist()))
 
 
-_codecs: dict[tuple[bytes, str], Codec] = {}
+#: One encoder or decoder for each Python worker, kept between tasks (Spark runs the two in workers of their own).
+_kept: dict[tuple, Encoder | Decoder] = {}
 
 
-def _codec(ranks: Broadcast, pattern: str) -> Codec:
-    """One codec for each Python worker, kept between tasks."""
-    key = (ranks.value, pattern)
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(ranks.value, pattern)
-    return _codecs[key]
+def _once(kind: type, *args):
+    key = (kind, *args)
+    if key not in _kept:
+        _kept[key] = kind(*args)
+    return _kept[key]
 
 
 def broadcast_ranks(spark: SparkSession, path: str) -> Broadcast:
@@ -216,21 +219,21 @@ def encode(df: DataFrame, ranks: Broadcast, pattern: str, text_col: str = "text"
 
     @F.arrow_udf("binary")
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = _codec(ranks, pattern)
+        encoder = _once(Encoder, ranks.value, pattern)
         for texts in batches:
-            yield pa.array([codec.encode(t.as_py()) for t in texts], pa.binary())
+            yield pa.array([encoder(t.as_py()) for t in texts], pa.binary())
 
     return df.withColumn(out_col, encoded(F.col(text_col)))
 
 
-def decode(df: DataFrame, ranks: Broadcast, pattern: str, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
+def decode(df: DataFrame, ranks: Broadcast, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
     """Adds ``out_col``: the bytes that packed ids stand for (null ids: no bytes)."""
 
     @F.arrow_udf("binary")
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = _codec(ranks, pattern)
+        decoder = _once(Decoder, ranks.value)
         for packed in batches:
-            yield pa.array([codec.decode(p.as_py()) for p in packed], pa.binary())
+            yield pa.array([decoder(p.as_py()) for p in packed], pa.binary())
 
     return df.withColumn(out_col, decoded(F.col(ids_col)))
 
@@ -239,7 +242,7 @@ def bpe_digests(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     """Encodes, decodes and digests every text (the contract of ``op1``)."""
     ranks = broadcast_ranks(documents.sparkSession, path)
     out = encode(documents.select("doc_id", "text"), ranks, pattern)
-    out = decode(out.drop("text"), ranks, pattern)
+    out = decode(out.drop("text"), ranks)
     return out.select(
         "doc_id",
         (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
