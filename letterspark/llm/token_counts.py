@@ -31,7 +31,7 @@ from letterspark.llm.common import chunks
 #: A model file larger than this isn't broadcast.
 MAX_MODEL_FILE = 64 << 20
 #: Counts of pre-tokens remembered, twice so many at most; only of pre-tokens up to so many characters.
-CACHED, CACHED_CHARS = 1 << 19, 64
+CACHED, CACHED_CHARS = 1 << 18, 64
 #: Characters that are split at a time.
 CHUNK = 1 << 21
 MARK = "▁"
