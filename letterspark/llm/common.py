@@ -30,7 +30,7 @@ def publish(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -42,14 +42,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 def row_key(id_col: str, text_col: str) -> list[Column]:
     """Null-safe join key of a document row; rows equal in both columns share it."""
-    return [
-        F.coalesce(F.col(id_col), F.lit(0)).alias("_k0"),
-        F.col(id_col).isNull().alias("_k1"),
-        F.xxhash64(F.col(text_col)).alias("_k2"),
-    ]
+    return [F.coalesce(F.col(id_col), F.lit(0)).cast("long").alias("_k0"), F.xxhash64(F.col(id_col).isNull(), F.col(text_col)).alias("_k1")]
 
 
-KEY = ["_k0", "_k1", "_k2"]
+KEY = ["_k0", "_k1"]
 
 
 def chunks(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:

@@ -9,6 +9,7 @@ from letterspark.llm.bpe import bpe_digests
 from letterspark.llm.common import table
 from letterspark.llm.decontaminate import decontamination
 from letterspark.llm.simhash import simhash_classes
+from letterspark.llm.suffix_dedup import suffix_digests
 from letterspark.llm.token_counts import token_counts
 
 
@@ -20,6 +21,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_digests(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_classes(table(spark, sf_dir, "documents"))
 
@@ -28,6 +33,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op7_token_counts, op9_simhash, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op7_token_counts, op8_suffix_dedup, op9_simhash, op10_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {}
