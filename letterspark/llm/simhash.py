@@ -170,7 +170,7 @@ def near_duplicate_classes(documents: DataFrame, id_col: str = "doc_id", text_co
     groups = publish(prints.groupBy("fp").agg(F.min(id_col).alias("least_id")))
     found = connected_components(fingerprint_links(groups.select("fp")))
     linked = groups.join(found, groups.fp == found.node).select("fp", "least_id", "component")
-    least = linked.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    least = publish(linked.groupBy("component").agg(F.min("least_id").alias("component_id")))
     linked = linked.join(least, "component").select("fp", "component_id")
     classes = publish(groups.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id")))
     return prints.join(classes, "fp")

@@ -348,7 +348,7 @@ def find_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     """``(_k0, _k1, text, spans)`` of the documents with repeated strings; spans are byte ranges, possibly overlapping."""
     docs = documents.select(*row_key(id_col, text_col), F.col(text_col).alias("text")).where("octet_length(text) >= %d" % LENGTH)
     found = publish(docs.mapInArrow(_anchor_rows, _ANCHORS))
-    repeated = found.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    repeated = publish(found.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"))
     packs = found.join(repeated, "h").groupBy(*KEY).agg(F.collect_set(F.struct("h", "pack")).alias("packs"))
     candidates = publish(docs.join(packs, KEY))
 
@@ -363,13 +363,13 @@ def find_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     )
     contexts = contexts.withColumn("ctx", F.unhex(F.md5(F.concat(F.encode(F.concat_ws(",", "h", "s0"), "UTF-8"), "bytes"))))
     distinct = publish(contexts.groupBy("ctx").agg(F.count("*").alias("n"), *(F.any_value(c).alias(c) for c in ("h", "s0", "bytes"))))
-    several = distinct.groupBy("h").agg(F.count("*").alias("m"))
+    several = publish(distinct.groupBy("h").agg(F.count("*").alias("m")))
     dealt = distinct.join(several, "h").withColumns(
         {"whole": F.col("m") <= part, "grp": F.xxhash64("h", F.when(F.col("m") <= part, 0).otherwise(F.pmod(F.xxhash64("ctx"), F.ceil(F.col("m") / part)))) }
     )
     dealt = dealt.select("grp", "ctx", "s0", "bytes", "n", "whole", "h")
     verdicts = publish(dealt.repartition("grp").sortWithinPartitions("grp", "ctx").mapInArrow(_search, _FOUND))
-    twice = verdicts.where("wh is not null").groupBy("h", "wh").agg(F.sum("weight").alias("w")).where("w > 1").select("h", "wh")
+    twice = publish(verdicts.where("wh is not null").groupBy("h", "wh").agg(F.sum("weight").alias("w")).where("w > 1").select("h", "wh"))
     late = verdicts.where("wh is not null and ctx is not null").join(twice, ["h", "wh"]).select("ctx", "lo", "hi")
     ranges = verdicts.where("wh is null").select("ctx", "lo", "hi").unionByName(late)
     ranges = publish(ranges.groupBy("ctx").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")))
