@@ -19,7 +19,8 @@ def _cut(df: DataFrame) -> DataFrame:
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Links every node's neighbours (large: those above it; else those below it and itself) to the least of its neighbours and itself."""
     sides = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-    least = sides.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    # a checkpoint, so that both sides of the join are plain shuffles and a hub's partition can be split
+    least = _cut(sides.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
     joined = sides.join(least, "a")
     if large:
         out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
