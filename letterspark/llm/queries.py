@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from letterspark.llm import chat_format
 from letterspark.llm.bpe import bpe_digests
 from letterspark.llm.common import table
 from letterspark.llm.decontaminate import decontamination
@@ -25,6 +26,10 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.chat_digests(table(spark, sf_dir, "conversations"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_predictions(table(spark, sf_dir, "documents"))
 
@@ -58,6 +63,7 @@ QUERIES = {
     for f in (
         op1_byte_bpe,
         op2_html_text,
+        op3_chat_format,
         op4_language_id,
         op5_embedding_dedup,
         op6_toxicity,
@@ -70,10 +76,11 @@ QUERIES = {
 
 #: DuckDB SQL with the same rows.
 ORACLE_SQL: dict[str, str] = {
+    "op3_chat_format": chat_format.SQL,
     "op5_embedding_dedup": """
 with recursive v as (select vec_id, label, embedding::double[] as e from embeddings),
 ok as (select * from v where vec_id is not null and label is not null and len(e) > 0
-  and len(list_filter(e, x -> x is null or not isfinite(x))) = 0 and len(list_filter(e, x -> x <> 0)) > 0),
+  and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
 pairs as (select a.vec_id as a, b.vec_id as b from ok a join ok b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
   where list_cosine_similarity(a.e, b.e) >= 0.93),
 reach as (select vec_id, vec_id as other from ok union select r.vec_id, p.b from reach r join pairs p on p.a = r.other),
