@@ -376,7 +376,7 @@ def find_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     places = contexts.select(*KEY, "first", "ctx").join(ranges, "ctx")
     places = places.select(*KEY, F.expr("transform(ranges, r -> struct(first + r.lo as a, first + r.hi + %d as b))" % LENGTH).alias("spans"))
-    spans = places.groupBy(*KEY).agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
+    spans = places.groupBy(*KEY).agg(F.flatten(F.collect_list("spans")).alias("spans"))
     return candidates.select(*KEY, "text").join(publish(spans), KEY)
 
 
