@@ -5,6 +5,631 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from letterspark.functions import text as T
+from letterspark.operators import evaluate as L
+from letterspark.operators import headers as E
+from letterspark.operators import lexicon as P
+from letterspark.operators import scoring as K
+from letterspark.operators import splits as C
+from letterspark.operators import staging as B
+from letterspark.operators import threads as J
+from letterspark.plans.fixtures import view, with_views
+from letterspark.streaming import jobs as M
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+Frames = Callable[[str], DataFrame]
+
+
+def query(sql: str | None = None):
+    """Registers a function of ``frames`` (name of a table or view to DataFrame), with its SQL."""
+
+    def add(f: Callable[[Frames], DataFrame]):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(lambda name: view(spark, sf_dir, name) if name.startswith("fx_") else spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+        QUERIES[f.__name__] = run
+        if sql:
+            ORACLE_SQL[f.__name__] = with_views(sql)
+        return f
+
+    return add
+
+
+col = F.col
+FP = r"nullif(regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g'), '')"
+
+
+def _order():
+    """Rows with full headers first, then by source and id."""
+    return [~col("has_full_headers"), col("source"), col("doc_id")]
+
+
+RANKED = f"ranked as (select *, row_number() over (partition by fp order by has_full_headers desc, source, doc_id) as rn from (select *, sha256({FP}) as fp from fx_docs) where fp is not null)"
+POS = "(('0x' || substr(sha256('1|' || {}::varchar), 1, 15))::bigint / 1152921504606846976.0)"
+MOD100 = "list_reduce(list_prepend(0, list_transform(string_split(sha256({}::varchar), ''), lambda d: ('0x' || d)::int)), lambda acc, d: (acc * 16 + d) % {})"
+# ---------------------------------------------------------------- staging
+
+
+@query(f"select doc_id, sha256({FP}) as fp, substr(sha256(doc_id::varchar), 1, 16) as row_id from fx_docs")
+def b1_b2_fingerprint(t):
+    return t("fx_docs").select("doc_id", B.fingerprint(col("text")).alias("fp"), B.row_id(col("doc_id")).alias("row_id"))
+
+
+@query(f"select source, count(*) as n_rows, count(*) filter (where {FP} is null) as n_dropped from fx_docs group by source")
+def b3_unreadable(t):
+    return B.unreadable_counts(t("fx_docs"))
+
+
+@query(f"with {RANKED} select doc_id, source, category, fp from ranked where rn = 1")
+def b4_deduplicate(t):
+    return B.deduplicate(t("fx_docs"), _order()).select("doc_id", "source", "category", "fp")
+
+
+@query(f"with {RANKED} select r.source as removed_source, k.source as kept_source, count(*) as n from ranked r join ranked k on r.fp = k.fp and k.rn = 1 where r.rn > 1 group by all")
+def b5_removed_pairs(t):
+    return B.removed_pairs(t("fx_docs"), _order())
+
+
+@query(f"with {RANKED} select categories, count(*) as n_groups from (select fp, string_agg(distinct category, '/' order by category) as categories from ranked group by fp having count(distinct category) > 1) group by 1")
+def b6_category_conflicts(t):
+    return B.category_conflicts(t("fx_docs"))
+
+
+@query("select doc_id, category in ('phishing', 'fraud') as is_attack from fx_docs")
+def b7_attack_flag(t):
+    return B.with_attack_flag(t("fx_docs")).select("doc_id", "is_attack")
+
+
+@query("select l_orderkey, count(*) as n from lineitem group by 1 having count(*) > 1")
+def b8_repeated_keys(t):
+    return B.repeated_keys(t("lineitem"), "l_orderkey")
+
+
+@query("select case when grouping(source) = 1 then 'all' else source end as source, case when grouping(category) = 1 then 'all' else category end as category, count(*) as n from fx_docs group by cube (source, category)")
+def b9_crosstab(t):
+    return B.crosstab(t("fx_docs"), "source", "category")
+
+
+@query("""with e as (select *, date_trunc('hour', ts) as second, case when user_id % 5 <> 0 then user_id end as sender from events)
+select event_id from (select *, row_number() over (partition by second, sender, event_type order by event_id) as rn from e where second is not null and sender is not null and event_type is not null) where rn = 1
+union all select event_id from e where second is null or sender is null or event_type is null""")
+def b10_message_copies(t):
+    e = t("events").select("event_id", "event_type", F.date_trunc("hour", "ts").alias("second"), F.when(col("user_id") % 5 != 0, col("user_id")).alias("sender"))
+    return B.drop_message_copies(e, ["second", "sender", "event_type"], [col("event_id")]).select("event_id")
+
+
+# ---------------------------------------------------------------- splits
+SUBJECT = r"trim(regexp_replace(regexp_extract(raw_headers, '(?i)(?:^|\n)Subject:([^\n]*(?:\n[ \t][^\n]*)*)', 1), '[ \t\r\n]+', ' ', 'g'))"
+TKEY = rf"regexp_replace(regexp_replace(lower({SUBJECT}), '^(?:[ ]*(?:re|fw|fwd|aw|wg|sv|vs)(?:\[[0-9]+\])?[ ]*:)+', ''), '[^\p{{L}}\p{{N}}]+', '', 'g')"
+GROUPS = f"grouped as (select id, source as stratum, case when {TKEY} <> '' then 't:' || {TKEY} else 'r:' || id::varchar end as grp from fx_headers)"
+BROKEN = """sized as (select *, count(*) over (partition by stratum, grp) as g, count(*) over (partition by stratum) as s from grouped),
+broken as (select id, stratum, case when g > greatest(s * 0.02, 25.0) then 'r:' || id::varchar else grp end as grp from sized)"""
+SPLIT = f"""sizes as (select stratum, grp, count(*) as n, {POS.format("grp")} as pos from broken group by stratum, grp),
+done as (select *, coalesce(sum(n) over (partition by stratum order by pos, grp rows between unbounded preceding and 1 preceding), 0) as done, sum(n) over (partition by stratum) as total from sizes),
+split as (select stratum, grp, case when 10 * (2 * done + n) < 14 * total then 'train' when 10 * (2 * done + n) < 17 * total then 'validation' else 'test' end as split from done)"""
+
+
+def _grouped(t):
+    h = t("fx_headers")
+    return h.select("id", col("source").alias("stratum"), C.group_key(C.subject_of(col("raw_headers")), col("id")).alias("grp"))
+
+
+def _split(t):
+    return C.assign_splits(C.break_up_groups(_grouped(t), "stratum", "grp", "id"), "stratum", "grp")
+
+
+@query(f"with {GROUPS} select id, {SUBJECT} as subject, grp from fx_headers join grouped using (id)")
+def c1_c3_group_keys(t):
+    h = t("fx_headers").withColumn("subject", C.subject_of(col("raw_headers")))
+    return h.select("id", "subject", C.group_key(col("subject"), col("id")).alias("grp"))
+
+
+@query(f"with {GROUPS}, {BROKEN} select id, grp from broken")
+def c4_break_up_groups(t):
+    return C.break_up_groups(_grouped(t), "stratum", "grp", "id").select("id", "grp")
+
+
+@query(f"select doc_id, {POS.format('doc_id')} as position from documents")
+def c5_position(t):
+    return t("documents").select("doc_id", C.position(col("doc_id")).alias("position"))
+
+
+@query(f"with {GROUPS}, {BROKEN}, {SPLIT} select id, split from broken join split using (stratum, grp)")
+def c6_assign_splits(t):
+    return _split(t).select("id", "split")
+
+
+@query(f"with {GROUPS}, {BROKEN}, {SPLIT} select grp, count(distinct split) as n from broken join split using (stratum, grp) group by 1 having count(distinct split) > 1")
+def c7_straddling_groups(t):
+    return C.straddling_groups(_split(t), "grp")
+
+
+@query(f"with {GROUPS}, {BROKEN}, {SPLIT} select stratum, split, count(*) as n, round(count(*) / sum(count(*)) over (partition by stratum), 4) as share from broken join split using (stratum, grp) group by stratum, split")
+def c8_split_report(t):
+    return C.split_report(_split(t), "stratum")
+
+
+QUOTA = "quota as (select * from (values ('en', 40), ('de', 10), ('fr', 1000000)) as q(lang, n))"
+
+
+def _quota(t):
+    return t("documents").sparkSession.createDataFrame([("en", 40), ("de", 10), ("fr", 1000000)], "lang string, n long")
+
+
+@query(f"with {QUOTA}, r as (select doc_id, lang, row_number() over (partition by lang order by {POS.format('doc_id')}, doc_id) as rn from documents) select doc_id, lang from r join quota using (lang) where rn <= n")
+def c9_stratified_draw(t):
+    return C.draw(t("documents").select("doc_id", "lang"), ["lang"], _quota(t), "doc_id").select("doc_id", "lang")
+
+
+@query(f"with {QUOTA}, h as (select lang, count(*) as c from documents group by 1) select lang, n, coalesce(c, 0) as eligible, greatest(0, n - coalesce(c, 0)) as short from quota left join h using (lang)")
+def c9_shortages(t):
+    return C.shortages(t("documents"), ["lang"], _quota(t))
+
+
+@query("select doc_id, source from (select doc_id, source, row_number() over (partition by source order by sha256('1|' || doc_id::varchar)) as rn from documents) where rn <= 7")
+def c10_capped_draw(t):
+    return C.capped_draw(t("documents").select("doc_id", "source"), "source", 7, "doc_id")
+
+
+@query("select source, n as size, least(n, 60, greatest(5, round_even(500 * n / sum(n) over (), 0)))::bigint as quota from (select source, count(*) as n from documents group by 1)")
+def c11_proportional_quota(t):
+    return C.proportional_quota(t("documents"), "source", 500, 5, 60)
+
+
+@query(f"select doc_id, 'b' || lpad((r // 50 + 1)::varchar, 4, '0') as batch, r % 50 + 1 as local_id from (select doc_id, row_number() over (order by {POS.format('doc_id')}, doc_id) - 1 as r from documents)")
+def c12_batches(t):
+    return C.assign_batches(t("documents").select("doc_id"), "doc_id", 50)
+
+
+@query(f"select doc_id, {MOD100.format('doc_id', 100)} as bucket from documents")
+def c13_modulo_bucket(t):
+    return t("documents").select("doc_id", C.modulo_bucket(col("doc_id")).alias("bucket"))
+
+
+@query("select doc_id, (['wire', 'gift', 'bank'])[" + MOD100.format("('plan|' || doc_id::varchar)", 3) + " + 1] as choice from documents")
+def c14_pick(t):
+    return t("documents").select("doc_id", C.pick("plan", col("doc_id"), ["wire", "gift", "bank"]).alias("choice"))
+
+
+@query("select doc_id from documents order by sha256('1|' || doc_id::varchar) limit 100")
+def c15_seeded_limit(t):
+    return C.seeded_limit(t("documents").select("doc_id"), "doc_id", 100)
+
+
+# ---------------------------------------------------------------- text
+MAIL = """mail as (select doc_id, source, concat(substr(text, 1, 400), case doc_id % 4 when 0 then ' see https://pay.example.com/a?b=1, or mail bob.smith@acme.co.uk now' when 1 then chr(13) || chr(10) || 'On Monday Bob wrote:' || chr(10) || '> old line' when 2 then chr(10) || 'file invoice_7.pdf at shop.example.org' else '' end) as text from documents)"""
+
+
+def _mail(t):
+    tail = F.when(col("doc_id") % 4 == 0, " see https://pay.example.com/a?b=1, or mail bob.smith@acme.co.uk now").when(col("doc_id") % 4 == 1, "\r\nOn Monday Bob wrote:\n> old line")
+    tail = tail.when(col("doc_id") % 4 == 2, "\nfile invoice_7.pdf at shop.example.org").otherwise("")
+    return t("documents").select("doc_id", "source", F.concat(F.substring("text", 1, 400), tail).alias("text"))
+
+
+NL = r"regexp_replace(text, '\r\n?', chr(10), 'g')"
+
+
+@query(f"select doc_id, substr({NL}, 1, 1000) as text, length({NL}) > 1000 as truncated from documents")
+def d1_newlines_and_cap(t):
+    text, more = T.capped(col("text"), 1000)
+    return t("documents").select("doc_id", text.alias("text"), more.alias("truncated"))
+
+
+@query(r"select page_id, regexp_matches(html, '(?i)<(?:html|body|div|p|br|table|span|a|font|td|tr)(?:[ \t\n/][^>]*)?>') as is_html from pages")
+def d2_looks_like_html(t):
+    return t("pages").select("page_id", T.looks_like_html(col("html")).alias("is_html"))
+
+
+def _html_sql() -> str:
+    s = r"regexp_replace(html, '(?is)<!--.*?-->', '', 'g')"
+    for tag in ("script", "style", "head", "noscript", "title", "blockquote"):
+        s = rf"regexp_replace({s}, '(?is)<{tag}(?:[ \t\n][^>]*)?>.*?</{tag}>', '', 'g')"
+    s = rf"""regexp_replace({s}, '(?is)<a[ \t\n][^>]*?href="([^"]{{0,500}})"[^>]*>(.*?)</a>', '\2 [\1]', 'g')"""
+    s = rf"regexp_replace({s}, '(?i)<(?:/?(?:p|div|tr|table|h[1-6]|li|ul|ol|article|nav|footer)|br)(?:[ \t\n/][^>]*)?>', chr(10), 'g')"
+    s = rf"regexp_replace({s}, '<[^>]*>', '', 'g')"
+    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+        s = f"replace({s}, '{name}', '{char}')"
+    return rf"select page_id, trim(regexp_replace({s}, '[ \t]*\n[ \t\n]*', chr(10), 'g')) as text from pages"
+
+
+@query(_html_sql())
+def d3_html_to_text(t):
+    return t("pages").select("page_id", T.html_to_text(col("html")).alias("text"))
+
+
+@query(r"select doc_id, trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g')) as text, len(list_filter(regexp_split_to_array(text, '[ \t\r\n]+'), lambda w: w <> '')) as n_words from documents")
+def d7_d18_squeeze(t):
+    return t("documents").select("doc_id", T.squeeze(col("text")).alias("text"), T.word_count(col("text")).alias("n_words"))
+
+
+def _redact_sql() -> str:
+    s, counts = "text", []
+    for pattern, name in ((T.URL, "URL"), (T.EMAIL, "EMAIL"), (T.FILE, "FILE"), (T.DOMAIN, "DOMAIN")):
+        counts.append(f"len(regexp_extract_all({s}, '{pattern}')) as n_{name.lower()}")
+        s = f"regexp_replace({s}, '{pattern}', '[{name}]', 'g')"
+    return f"with {MAIL} select doc_id, {s} as text, {', '.join(counts)} from mail"
+
+
+@query(_redact_sql())
+def d9_redact(t):
+    return _mail(t).select("doc_id", T.redact(col("text")).alias("text"), *(v.alias(k) for k, v in T.redaction_counts(col("text")).items()))
+
+
+@query(rf"with {MAIL} select source, count(*) as n, count(*) filter (where regexp_matches(text, '(?i)(?:https?://|www\.)[^ \t\r\n]+|href=')) as links, round(avg(length(text)), 4) as mean_chars from mail group by source")
+def d11_d13_link_summary(t):
+    return _mail(t).groupBy("source").agg(F.count("*").alias("n"), F.count_if(T.has_link(col("text"))).alias("links"), F.round(F.avg(F.length("text")), 4).alias("mean_chars"))
+
+
+@query(r"select doc_id, translate(case when length(text) > 2000 then regexp_replace(substr(text, 1, 2000), ' [^ ]*$', '') else text end, '<>', '()') as text from documents")
+def d16_model_text(t):
+    return t("documents").select("doc_id", T.model_text(col("text")).alias("text"))
+
+
+@query(rf"with {MAIL} select doc_id, translate(regexp_replace(text, '[\x00-\x1F\x7F]', ' ', 'g'), '<>', '()') as text from mail")
+def d19_display_safe(t):
+    return _mail(t).select("doc_id", T.display_safe(col("text")).alias("text"))
+
+
+# ---------------------------------------------------------------- headers
+UNFOLD = r"regexp_replace(raw_headers, '\n[ \t]+', ' ', 'g')"
+
+
+def _field_sql(name: str) -> str:
+    return rf"nullif(trim(regexp_extract({UNFOLD}, '(?i)(?:^|\n){name}:([^\n]*)', 1)), '')"
+
+
+NAMES = ["From", "Reply-To", "To", "Subject", "Date", "Authentication-Results"]
+
+
+@query(
+    "select source, header, share from (select source, "
+    + ", ".join(f"round(avg(regexp_matches(raw_headers, '(?i)(?:^|\\n){n}:')::int), 6) as \"{n}\"" for n in NAMES)
+    + " from fx_headers group by source) unpivot (share for header in ("
+    + ", ".join(f'"{n}"' for n in NAMES)
+    + "))"
+)
+def e2_header_coverage(t):
+    return E.coverage(t("fx_headers"), NAMES)
+
+
+def _addr_sql(name: str) -> str:
+    return rf"lower(trim(regexp_extract({_field_sql(name)}, '<([^<>]*)>[^<>]*$', 1)))"
+
+
+@query(f"select id, nullif({_addr_sql('From')}, '') as from_addr, {_field_sql('Subject')} as subject, {_field_sql('To')} as to_value, nullif(split_part({_addr_sql('From')}, '@', 2), '') in ('gmail.com', 'protonmail.com', 'yahoo.com', 'outlook.com', 'hotmail.com') as freemail from fx_headers")
+def e3_e4_e9_fields(t):
+    a = E.address(E.field(col("raw_headers"), "From"))
+    return t("fx_headers").select("id", a.alias("from_addr"), E.field(col("raw_headers"), "Subject").alias("subject"), E.field(col("raw_headers"), "To").alias("to_value"), E.domain(a).isin(*E.FREE_MAIL).alias("freemail"))
+
+
+@query(f"select distinct d, translate(replace(replace(lower(d), 'rn', 'm'), 'vv', 'w'), '01345$', 'oleass') as skeleton from (select split_part({_addr_sql('From')}, '@', 2) as d from fx_headers)")
+def e10_skeleton(t):
+    d = E.domain(E.address(E.field(col("raw_headers"), "From")))
+    return t("fx_headers").select(d.alias("d")).distinct().select("d", E.skeleton(col("d")).alias("skeleton"))
+
+
+VERDICTS = r"""lines as (select id, unnest(list_zip(range(0, 10), regexp_extract_all(raw_headers, '(?:^|\n)Authentication-Results:[ ]*([^\n]*)', 1))) as l from fx_headers),
+known as (select id, l[1] as pos, trim(split_part(l[2], ';', 1)) as server, unnest(['spf', 'dkim', 'dmarc']) as method, l[2] as line from lines where l[2] is not null),
+verd as (select id, pos, server, method, regexp_extract(line, method || '=([A-Za-z]+)', 1) as raw,
+  lower(split_part(regexp_extract(line, method || '=[A-Za-z]+ (?:smtp\.mailfrom|header\.d|header\.from)=([^ ;]+)', 1), '@', -1)) as domain from known where contains(line, method || '=')),
+verdict as (select id, pos, server, method, case when raw = 'hardfail' then 'fail' when raw = 'bestguesspass' then 'pass' when raw in ('pass', 'fail', 'softfail', 'neutral', 'none', 'temperror', 'permerror') then raw else 'other' end as result, domain from verd)"""
+TRUSTED = """foreign_ as (select id, min(pos) as stop from verdict where not ends_with(server, 'acme.co.uk') group by id),
+kept as (select v.*, row_number() over (partition by v.id, method order by pos, result <> 'pass', domain) as rn from verdict v left join foreign_ f on v.id = f.id where stop is null or pos < stop)"""
+
+
+@query(f"with {VERDICTS} select id, pos, server, method, result, domain from verdict")
+def e12_verdicts(t):
+    return E.verdicts(t("fx_headers"))
+
+
+@query(f"with {VERDICTS}, {TRUSTED} select id, method, result, domain from kept where rn = 1")
+def e13_trusted_verdicts(t):
+    return E.trusted(E.verdicts(t("fx_headers")), "acme.co.uk")
+
+
+@query(f"""with {VERDICTS}, {TRUSTED}, wide as (select id, max(result) filter (where method = 'spf') as spf, max(result) filter (where method = 'dkim') as dkim, max(result) filter (where method = 'dmarc') as dmarc,
+  max(domain) filter (where method = 'spf' and result = 'pass') as ds, max(domain) filter (where method = 'dkim' and result = 'pass') as dk, max(domain) filter (where method = 'dmarc' and result = 'pass') as dm from kept where rn = 1 group by id)
+select id, spf, dkim, dmarc, coalesce(dm, dk, ds) as authenticated_domain from wide""")
+def e14_authentication(t):
+    return E.authenticated(E.trusted(E.verdicts(t("fx_headers")), "acme.co.uk"))
+
+
+@query(r"select id, '203.' || split_part(regexp_extract(raw_headers, 'host \(203\.([0-9.]+)\)', 1), '.', 1) || substr(regexp_extract(raw_headers, 'host \(203\.([0-9.]+)\)', 1), length(split_part(regexp_extract(raw_headers, 'host \(203\.([0-9.]+)\)', 1), '.', 1)) + 1) as origin_ip from fx_headers")
+def e15_origin_ip(t):
+    return t("fx_headers").select("id", E.origin_ip(col("raw_headers")).alias("origin_ip"))
+
+
+@query(f"select source, d, n, rank from (select source, d, count(*) as n, row_number() over (partition by source order by count(*) desc, d) as rank from (select source, nullif(split_part({_addr_sql('Reply-To')}, '@', 2), '') as r, split_part({_addr_sql('From')}, '@', 2) as d from fx_headers) group by source, d) where rank <= 8")
+def e20_top_domains(t):
+    h = t("fx_headers").select("source", E.domain(E.address(E.field(col("raw_headers"), "From"))).alias("d"))
+    return E.top_values(h, "source", "d", 8)
+
+
+# ---------------------------------------------------------------- lexicon
+NORM = r"""trim(regexp_replace(regexp_replace(replace(replace(lower(text), '’', ''''), '‘', ''''), '\[(url|email|file|domain)\]', ' \1token ', 'g'), '[^\p{L}\p{N}'']+', ' ', 'g'))"""
+HITS = f"""words as (select doc_id, string_split({NORM}, ' ') as w from documents),
+place as (select doc_id, w, unnest(range(1, len(w) + 1)) as i from words),
+hits as (select doc_id, tactic, phrase, weight, i - 1 as start, len(string_split(phrase, ' ')) as size from place join fx_lexicon on w[i] = split_part(phrase, ' ', 1) and array_to_string(w[i : i + len(string_split(phrase, ' ')) - 1], ' ') = phrase)"""
+
+
+@query(f"select doc_id, {NORM} as text from documents")
+def f1_normalise(t):
+    return t("documents").select("doc_id", T.normalise(col("text")).alias("text"))
+
+
+@query(f"with {HITS} select doc_id, tactic, phrase, count(*) as n from hits group by all")
+def f3_phrase_hits(t):
+    return P.phrase_hits(t("documents"), t("fx_lexicon")).groupBy("doc_id", "tactic", "phrase").agg(F.count("*").alias("n"))
+
+
+@query()
+def f4_f5_tactic_scores(t):
+    return P.fired(P.tactic_scores(P.phrase_hits(t("documents"), t("fx_lexicon"))))
+
+
+@query()
+def f6_hit_rates(t):
+    docs = t("fx_docs")
+    return P.hit_rates(docs, P.tactic_scores(P.phrase_hits(docs, t("fx_lexicon"))))
+
+
+@query(f"with {HITS}, n as (select tactic, phrase, count(distinct doc_id) as documents from hits group by all), j as (select x.tactic, x.phrase, x.strength, coalesce(n.documents, 0) as documents from fx_lexicon x left join n on x.tactic = n.tactic and x.phrase = n.phrase) select *, case when sum(documents) over (partition by tactic) > 0 then round(documents / sum(documents) over (partition by tactic), 6) end as share from j")
+def f7_phrase_table(t):
+    return P.phrase_table(t("fx_lexicon"), P.phrase_hits(t("documents"), t("fx_lexicon")))
+
+
+# ---------------------------------------------------------------- labels
+@query("""with n as (select label, count(*) as n, sum(a1) as pos_a, sum(a2) as pos_b, sum((a1 = a2)::int) as same, sum((a1 = 1 and a2 = 1)::int) as both_ from fx_votes where a1 is not null and a2 is not null group by label),
+p as (select *, same / n as po, (pos_a * pos_b + (n - pos_a) * (n - pos_b)) / (n * n)::double as pe from n), k as (select *, case when pe < 1 then round((po - pe) / (1 - pe), 6) end as kappa from p)
+select label, n, pos_a, pos_b, both_ as "both", round(po, 6) as agreement, kappa, case when kappa is null then null when kappa < 0.2 then 'slight' when kappa < 0.4 then 'fair' when kappa < 0.6 then 'moderate' when kappa < 0.8 then 'substantial' else 'almost perfect' end as reading from k""")
+def g6_g7_kappa(t):
+    return L.kappa(t("fx_votes"), "label", "a1", "a2")
+
+
+@query("select doc_id, label from fx_votes where a1 <> a2 and doc_id % 3 <> 0")
+def g9_disagreements(t):
+    v = t("fx_votes")
+    return L.disagreements(v, v.where("doc_id % 3 = 0").select("doc_id", "label"))
+
+
+@query("select doc_id, label, case when a1 = a2 then a1 else tie end as value, case when a1 = a2 then 'agreed' when tie is not null then 'tie-breaker' else 'pending' end as label_source from fx_votes")
+def g10_majority(t):
+    return L.majority(t("fx_votes"))
+
+
+# ---------------------------------------------------------------- ledger, score
+PTS = "case severity when 'high' then 60.0 when 'medium' then 35.0 when 'low' then 15.0 else 0.0 end"
+SCORED = f"""groups_ as (select msg_id, claim_id, claim_type, max({PTS}) as p from fx_ledger where contradiction group by all having max({PTS}) > 0),
+raw as (select msg_id, sum(p * pow(0.5, k)) as raw from (select msg_id, p, row_number() over (partition by msg_id order by p desc, claim_id, claim_type) - 1 as k from groups_) group by 1),
+scored as (select msg_id, least(100, floor(coalesce(raw, 0) + 0.5))::int as score from (select distinct msg_id from fx_ledger) left join raw using (msg_id)),
+banded as (select *, case when score >= 70 then 'high' when score >= 35 then 'medium' else 'low' end as band from scored)"""
+
+
+@query("select msg_id, claim_id, case severity when 'low' then 'medium' when 'medium' then 'high' else severity end as up, case severity when 'high' then 'medium' when 'medium' then 'low' else severity end as down from fx_ledger")
+def i12_severity_shift(t):
+    s = col("severity")
+    return t("fx_ledger").select("msg_id", "claim_id", K.shift(s, F.lit(1)).alias("up"), K.shift(s, F.lit(-1)).alias("down"))
+
+
+@query("select msg_id, claim_id, verifier, count(*) as n from fx_ledger group by all having count(*) > 1")
+def i14_repeated_verdicts(t):
+    return B.repeated_keys(t("fx_ledger"), "msg_id", "claim_id", "verifier")
+
+
+@query("""select case when grouping(claim_type) = 1 then 'any' else claim_type end as claim_type, case when grouping(verifier) = 1 then 'any' else verifier end as verifier, count(distinct msg_id) as messages,
+count(*) filter (where contradiction) as contradictions, count(*) filter (where not contradiction) as consistent, count(*) filter (where contradiction is null) as not_checkable from fx_ledger group by cube (claim_type, verifier)""")
+def i15_verdict_rates(t):
+    return K.verdict_rates(t("fx_ledger"))
+
+
+@query("""with rules as (select v.verifier, 'r' || r as rule from (values ('header'), ('request')) as v(verifier) cross join range(0, 12) as x(r)), n as (select verifier, rule, count(*) as n_rows, count(*) filter (where contradiction) as contradictions from fx_ledger group by all),
+j as (select verifier, rule, coalesce(n_rows, 0) as n_rows, coalesce(contradictions, 0) as contradictions from rules left join n using (verifier, rule)) select *, case when sum(n_rows) over (partition by verifier) > 0 then round(n_rows / sum(n_rows) over (partition by verifier), 6) end as share from j""")
+def i16_rule_table(t):
+    ledger = t("fx_ledger")
+    rules = ledger.sparkSession.createDataFrame([(v, f"r{k}") for v in ("header", "request") for k in range(12)], "verifier string, rule string")
+    return K.rule_table(ledger, rules)
+
+
+@query("select * from (select claim_type, rule, count(*) as n, row_number() over (partition by claim_type order by count(*) desc, rule) as rank from fx_ledger where contradiction is null group by 1, 2) where rank <= 3")
+def i18_top_reasons(t):
+    return K.top_reasons(t("fx_ledger"))
+
+
+@query(f"with {SCORED} select msg_id, score, band from banded")
+def k1_k3_score(t):
+    return K.score(t("fx_ledger"))
+
+
+@query(f"with {SCORED} select o_orderpriority as source, band, count(*) as n, round(avg(score), 6) as mean_score from banded join orders on msg_id = o_orderkey group by all")
+def k2_bands_by_source(t):
+    s = K.score(t("fx_ledger")).join(t("orders").select(col("o_orderkey").alias("msg_id"), col("o_orderpriority").alias("source")), "msg_id")
+    return s.groupBy("source", "band").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score"))
+
+
+@query("""with c as (select msg_id, claim_id, claim_type, bool_or(contradiction) as any_, count(contradiction) as known from fx_ledger group by all)
+select msg_id, count(*) as found, count(*) filter (where known > 0) as checked, count(*) filter (where any_) as contradicted, count(*) filter (where not any_) as consistent, count(*) filter (where known = 0) as not_checkable from c group by 1""")
+def k5_coverage(t):
+    return K.coverage(t("fx_ledger"))
+
+
+@query("""with h as (select rule, count(*) filter (where contradiction) as hits, count(*) as n from fx_ledger where msg_id in (select o_orderkey from orders where o_orderstatus = 'F') group by rule)
+select rule, hits, n, case when hits < 20 then 1.0 when hits / n > 0.4 then 0.0 when hits / n > 0.3 then 0.5 else 1.0 end as factor from h""")
+def k9_reliability(t):
+    return K.reliability(t("fx_ledger"), t("orders").where("o_orderstatus = 'F'").select(col("o_orderkey").alias("msg_id")))
+
+
+WILSON = "round((a / n + {s} 1.959963984540054 * sqrt((a / n) * (1 - a / n) / n + 1.959963984540054 * 1.959963984540054 / (4 * n * n)) + 1.959963984540054 * 1.959963984540054 / (2 * n)) / (1 + 1.959963984540054 * 1.959963984540054 / n), 6)"
+
+
+@query(f"with {SCORED}, g as (select o_orderpriority as source, count(*)::double as n, count(*) filter (where band <> 'low')::double as a from banded join orders on msg_id = o_orderkey group by 1) select source, n::bigint as n, a::bigint as alarms, {WILSON.format(s='-1 *')} as low, {WILSON.format(s='')} as high, a / n <= 0.05 as within from g")
+def k10_budget(t):
+    s = K.score(t("fx_ledger")).join(t("orders").select(col("o_orderkey").alias("msg_id"), col("o_orderpriority").alias("source")), "msg_id")
+    return K.budget(s, "source")
+
+
+@query("""with c as (select * from (values ('c1', 0.5, 60.0), ('c2', 0.5, 45.0), ('c3', 0.25, 60.0)) as v(config, decay, high_points)),
+g as (select config, decay, msg_id, claim_id, claim_type, max(case severity when 'high' then high_points when 'medium' then 35.0 when 'low' then 15.0 else 0.0 end) as p from fx_ledger cross join c where contradiction group by all),
+r as (select config, msg_id, sum(p * pow(decay, k)) as raw from (select *, row_number() over (partition by config, msg_id order by p desc, claim_id, claim_type) - 1 as k from g where p > 0) group by 1, 2),
+s as (select config, least(100, floor(raw + 0.5))::int as score from r) select config, count(*) as messages, sum(score)::bigint as total, count(*) filter (where score >= 35) as alarms from s group by 1""")
+def k11_rescore_grid(t):
+    ledger = t("fx_ledger")
+    return K.rescore(ledger, ledger.sparkSession.createDataFrame([("c1", 0.5, 60.0), ("c2", 0.5, 45.0), ("c3", 0.25, 60.0)], "config string, decay double, high_points double"))
+
+
+# ---------------------------------------------------------------- threads
+NSUB = r"trim(regexp_replace(substr(regexp_replace(lower(trim(subject)), '^(?:(?:re|fw|fwd|aw|wg)(?:\[[0-9]+\])?[ ]*:[ ]*){1,20}', ''), 1, 300), '[ \t\r\n]+', ' ', 'g'))"
+
+
+@query(rf"select msg_key, {NSUB} as subject, regexp_matches(lower(trim(subject)), '^(?:re|aw)(?:\[[0-9]+\])?[ ]*:') as is_reply from fx_messages")
+def j1_subjects(t):
+    return t("fx_messages").select("msg_key", J.normalise_subject(col("subject")).alias("subject"), J.is_reply(col("subject")).alias("is_reply"))
+
+
+@query("""with recursive edge as (select msg_key as a, '~' || message_id as b from fx_messages union select msg_key, '~' || in_reply_to from fx_messages where in_reply_to is not null),
+start_ as (select a, b from edge where b <> '~<x@thread.invalid>'), hub as (select min(a) as h from edge where b = '~<x@thread.invalid>'),
+near as (select a, min(a) over (partition by b) as m from start_), comp0 as (select thread_id, bool_or(in_reply_to = '<x@thread.invalid>') as hubbed from fx_messages group by 1),
+walk as (select a, a as r from start_ union select w.a, s2.a from walk w join start_ s1 on w.r = s1.a join start_ s2 on s1.b = s2.b),
+local_ as (select a, min(r) as c from walk group by a), joined as (select l.a, l.c, max((x.a is not null)::int) over (partition by l.c) as hubbed from local_ l left join (select a from edge where b = '~<x@thread.invalid>') x on l.a = x.a)
+select a as msg_key, case when hubbed = 1 then (select min(c) from joined where hubbed = 1) else c end as component from joined""")
+def j2_reply_components(t):
+    return J.reply_components(t("fx_messages"))
+
+
+@query("""with g as (select event_id, event_type, user_id, ts, case when epoch_us(ts) - lag(epoch_us(ts)) over w > 3600000000 then 1 else 0 end as new_ from events window w as (partition by event_type, user_id order by ts, event_id))
+select event_id, sum(new_) over (partition by event_type, user_id order by ts, event_id rows unbounded preceding)::bigint + 1 as run from g""")
+def j3_gap_runs(t):
+    return J.gap_runs(t("events").select("event_id", "event_type", "user_id", "ts"), ["event_type", "user_id"], "ts", "event_id", 3600).select("event_id", "run")
+
+
+@query("""with n as (select thread_id, count(*) as n, count(distinct from_addr) as senders, count(in_reply_to) as replies from fx_messages group by 1)
+select *, case when n < 2 then 'single' when n > 50 then 'long' when senders < 2 then 'one sender' when replies * 2 < n then 'few replies' else 'kept' end as reason from n""")
+def j5_thread_filters(t):
+    return J.thread_filters(t("fx_messages"))
+
+
+@query("select least(n, 10) as size, count(*) as threads from (select thread_id, count(*) as n from fx_messages group by 1) group by 1")
+def j7_size_buckets(t):
+    return J.size_buckets(t("fx_messages"))
+
+
+@query("""with e as (select event_id, user_id, value, max(value) over w as m, avg(value) over w as a, count(value) over w as c from events window w as (partition by user_id order by event_id rows between unbounded preceding and 1 preceding))
+select event_id, coalesce(value >= 100 and coalesce(m, -1e9) < 100 and value - a >= 0.4 and c >= 2, false) as onset from e""")
+def j8_onset(t):
+    return J.onset(t("events").select("event_id", "user_id", "value"), "user_id", "event_id", "value", 100.0).select("event_id", "onset")
+
+
+@query("""select event_id, case when min(event_id) over (partition by user_id, event_type) = event_id then 'first' when min(event_id) over (partition by user_id, event_type, floor(value)) < event_id then 'seen' else 'changed' end as drift from (select *, floor(value) as v from events)""")
+def j9_drift(t):
+    e = t("events").select("event_id", "user_id", "event_type", F.floor("value").alias("v"))
+    return J.drift(e, "user_id", "event_id", "event_type", "v").select("event_id", "drift")
+
+
+@query(r"""with m as (select *, regexp_extract(origin_ip, '^([0-9]+\.[0-9]+\.[0-9]+)\.', 1) as network from fx_messages)
+select msg_key, network, case when row_number() over (partition by thread_id, from_addr order by position) = 1 then null else row_number() over (partition by thread_id, from_addr, network order by position) = 1 end as new_network from m""")
+def j12_path_drift(t):
+    return J.path_drift(t("fx_messages"))
+
+
+@query("select m.msg_key, bool_or(case when m.in_reply_to is not null then coalesce(p.position < m.position, false) end) as parent_known from fx_messages m left join fx_messages p on m.thread_id = p.thread_id and m.in_reply_to = p.message_id group by 1")
+def j13_reference_integrity(t):
+    return J.reference_integrity(t("fx_messages"))
+
+
+SHINGLE = r"list_filter(string_split(lower(regexp_replace({}, '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' '), lambda x: x <> '')"
+
+
+@query(f"""with w as (select thread_id, position, msg_key, {SHINGLE.format('text')} as tw, {SHINGLE.format('quoted')} as qw from fx_messages),
+said as (select thread_id, s, min(position) as first from (select thread_id, position, array_to_string(tw[i : i + 4], ' ') as s from (select *, unnest(range(1, len(tw) - 3)) as i from w)) group by 1, 2),
+q as (select distinct msg_key, thread_id, position, array_to_string(qw[i : i + 4], ' ') as s from (select *, unnest(range(1, len(qw) - 3)) as i from w where len(qw) >= 20))
+select msg_key, count(*) as shingles, count(*) filter (where first < position) as known from q left join said using (thread_id, s) group by 1""")
+def j14_quotation_integrity(t):
+    return J.quotation_integrity(t("fx_messages"))
+
+
+@query("""select msg_id, min(case when contradiction and position >= 2 and severity in ('medium', 'high') then position end) as flip, max(case when contradiction then case severity when 'high' then 3 when 'medium' then 2 when 'low' then 1 else 0 end else 0 end) as worst
+from (select *, substr(claim_id, 2)::int as position from fx_ledger) group by 1""")
+def j18_flip_points(t):
+    return J.flip_points(t("fx_ledger").withColumn("position", F.expr("int(substr(claim_id, 2))")))
+
+
+# ---------------------------------------------------------------- evaluation
+CONF = "count(*) filter (where y and p) as tp, count(*) filter (where not y and p) as fp, count(*) filter (where y and not p) as fn, count(*) filter (where not y and not p) as tn"
+RATES = "case when tp + fp > 0 then round(tp / (tp + fp), 6) else 0 end as precision, case when tp + fn > 0 then round(tp / (tp + fn), 6) else 0 end as recall, case when 2 * tp + fp + fn > 0 then round(2 * tp / (2 * tp + fp + fn), 6) else 0 end as f1"
+
+
+def _scores(t):
+    return t("events").select("event_id", "event_type", col("user_id").alias("cluster"), (col("event_type") == "error").alias("y"), (col("value") >= 50).alias("p"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.round(col("value") / 100, 2))).alias("s"))
+
+
+@query(f"with x as (select user_id % 5 as g, event_type = 'error' as y, value >= 50 as p from events), n as (select g, {CONF} from x group by g) select *, {RATES} from n")
+def l1_confusion(t):
+    return L.confusion(_scores(t).withColumn("g", col("cluster") % 5), ["g"], col("y"), col("p"))
+
+
+@query(f"with x as (select user_id % 5 as g, event_type = 'error' as y, value >= 50 as p from events), n as (select g, {CONF} from x group by g), r as (select *, {RATES} from n) select g % 2 as half, round(avg(f1), 6) as macro_f1 from r group by 1")
+def l2_macro_f1(t):
+    c = L.confusion(_scores(t).withColumn("g", col("cluster") % 5), ["g"], col("y"), col("p"))
+    return L.macro_f1(c.withColumn("half", col("g") % 2), ["half"])
+
+
+@query("""with x as (select user_id % 5 as g, event_type = 'error' as y, least(1.0, greatest(0.0, round(value / 100, 2))) as s from events), k as (select unnest(range(1, 20)) as k),
+n as (select g, k, count(*) filter (where y and floor(round(s * 20, 6)) >= k) as tp, count(*) filter (where not y and floor(round(s * 20, 6)) >= k) as fp, count(*) filter (where y and floor(round(s * 20, 6)) < k) as fn from x cross join k group by 1, 2),
+f as (select *, case when 2 * tp + fp + fn > 0 then round(2 * tp / (2 * tp + fp + fn), 6) else 0 end as f1 from n)
+select g, round(k / 20, 2) as threshold, f1 from (select *, row_number() over (partition by g order by f1 desc, abs(k - 10), k) as rn from f) where rn = 1""")
+def l3_tune_threshold(t):
+    return L.tune_threshold(_scores(t).withColumn("g", col("cluster") % 5), "g", col("s"), col("y"))
+
+
+@query("""with n as (select 1 as g, score, sum(label) as p, sum(1 - label) as q from fx_scores group by score), b as (select *, coalesce(sum(q) over (order by score rows between unbounded preceding and 1 preceding), 0) as below from n)
+select g, round(sum(p * (below + q / 2)) / (sum(p) * sum(q)), 6) as auc from b group by g""")
+def l6_auc(t):
+    return L.weighted_auc(t("fx_scores").withColumn("g", F.lit(1)), "g", "score", col("label") == 1)
+
+
+@query("select score as cut from (select score, row_number() over (order by score desc) as rn, count(*) over () as n from fx_scores where label = 0) where rn = floor(n * 0.05) + 1")
+def l7_matched_cut(t):
+    return L.matched_cut(t("fx_scores"), "score", col("label") == 1, 0.05)
+
+
+@query()
+def l5_bootstrap(t):
+    s = {"hit": F.sum("label"), "n": F.count("*")}
+    return L.bootstrap(t("fx_scores"), "cluster", s, col("hit") / col("n"))
+
+
+@query("""with x as (select distinct user_id, event_type as label from events), s as (select label, count(*) as n from x group by 1)
+select a.label as a, b.label as b, count(*) as "both", round(count(*) / (any_value(sa.n) + any_value(sb.n) - count(*)), 6) as jaccard from x a join x b on a.user_id = b.user_id and a.label < b.label join s sa on sa.label = a.label join s sb on sb.label = b.label group by 1, 2""")
+def l9_cooccurrence(t):
+    return L.cooccurrence(t("events").select("user_id", col("event_type").alias("label")), "user_id", "label")
+
+
+@query("select event_type, count(*) filter (where a and b) as \"both\", count(*) filter (where a and not b) as only_a, count(*) filter (where not a and b) as only_b, count(*) filter (where not a and not b) as neither from (select event_type, value >= 50 as a, user_id % 2 = 0 as b from events) group by 1")
+def l15_detector_agreement(t):
+    return L.detector_agreement(_scores(t), ["event_type"], col("p"), col("cluster") % 2 == 0)
+
+
+@query("select 'documents have ids' as \"check\", count(*) filter (where doc_id is null) as value, 0::bigint as expected, case when count(*) filter (where doc_id is null) = 0 then 'PASS' else 'FAIL' end as status from documents union all select 'no repeated ids', count(*) - count(distinct doc_id), 0, case when count(*) = count(distinct doc_id) then 'PASS' else 'FAIL' end from documents")
+def l20_check_table(t):
+    d = t("documents")
+    return L.check_row(d, "documents have ids", F.count_if(col("doc_id").isNull()), 0).unionByName(L.check_row(d, "no repeated ids", F.count("*") - F.count_distinct("doc_id"), 0))
+
+
+# ---------------------------------------------------------------- streams (batch form of the same job)
+@query(f"select doc_id, sha256({FP}) as fp, len(list_filter(regexp_split_to_array(text, '[ \\t\\r\\n]+'), lambda w: w <> '')) as n_words from documents")
+def m1_score_messages(t):
+    return M.score_messages(t("documents")).select("doc_id", "fp", "n_words")
+
+
+@query("select user_id, to_timestamp(s * 300)::timestamp as window_start, count(*) as n, count(*) > 2 as over_limit from (select user_id, unnest([epoch_us(ts) // 300000000, epoch_us(ts) // 300000000 - 1]) as s from events where ts is not null) group by user_id, s")
+def m4_rate_windows(t):
+    return M.rate_windows(t("events"), "user_id", "ts", "10 minutes", "5 minutes", 2)
+
+
+@query("""with g as (select user_id, ts, case when epoch_us(ts) - lag(epoch_us(ts)) over w >= 3600000000 then 1 else 0 end as new_ from events window w as (partition by user_id order by ts)),
+r as (select user_id, ts, sum(new_) over (partition by user_id order by ts, new_ desc rows unbounded preceding) as run from g) select user_id, min(ts) as run_start, count(*) as n from r group by user_id, run""")
+def m5_gap_sessions(t):
+    return M.gap_sessions(t("events"), "user_id", "ts", "1 hour")
