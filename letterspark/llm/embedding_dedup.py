@@ -36,10 +36,10 @@ from letterspark.plans.components import connected_components
 COSINE = 0.93
 #: Classes that the centroids are fitted on, and rounds.
 SAMPLE, ROUNDS = 4096, 10
-#: Classes for each cell on average; cells at most (bounds the broadcast centroids).
+#: Classes of the largest label for each cell; cells at most (bounds the broadcast centroids).
 CELL, MAX_CELLS = 1024, 256
-#: Classes in a tile.
-TILE = 512
+#: Classes in a tile, and rows of a product at a time.
+TILE, ROWS = 2048, 512
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -80,7 +80,7 @@ def linked(batches: Iterator[pa.RecordBatch], cosine: float = COSINE) -> Iterato
     """Rows come sorted by group. Yields ``(id, links, root)``: weight of an id's links in a group, and the least id linked there."""
 
     def solve(ids, vectors, weights, home, side) -> tuple[list, list, list]:
-        x = np.array(vectors, np.float64)
+        x = vectors.astype(np.float64)
         x = x / np.abs(x).max(1, keepdims=True)
         norm = np.linalg.norm(x, axis=1)
         order = np.argsort(ids, kind="stable")
@@ -88,8 +88,8 @@ def linked(batches: Iterator[pa.RecordBatch], cosine: float = COSINE) -> Iterato
         left = np.flatnonzero(side <= 1)
         right = np.flatnonzero(side != 1)  # side 0: compared within the tile
         sums, a, b = np.zeros(len(ids), np.int64), [], []
-        for k in range(0, len(left), TILE):
-            rows = left[k : k + TILE]
+        for k in range(0, len(left), ROWS):
+            rows = left[k : k + ROWS]
             near = (x[rows] @ x[right].T) / np.outer(norm[rows], norm[right])
             hit = (near >= cosine) & (home[rows][:, None] | home[right][None, :])
             hit &= (side[rows][:, None] == 1) | (rows[:, None] < right[None, :])
@@ -106,18 +106,27 @@ def linked(batches: Iterator[pa.RecordBatch], cosine: float = COSINE) -> Iterato
     def result(out: list[tuple[list, list, list]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([v for o in out for v in o[k]], pa.int64()) for k in range(3)], ["id", "links", "root"])
 
-    group, rows = None, []
+    group, pieces = None, []
+
+    def solved() -> list[tuple[list, list, list]]:
+        """The group gathered so far, if it has two rows or more."""
+        if sum(len(p[0]) for p in pieces) < 2:
+            return []
+        return [solve(*(np.concatenate(x) for x in zip(*pieces)))]
+
     for batch in batches:
         out = []
-        for row in zip(*(batch.column(c).to_pylist() for c in ("grp", "cid", "embedding", "w", "home", "side"))):
-            if row[0] != group:
-                if len(rows) > 1:
-                    out.append(solve(*zip(*rows)))
-                group, rows = row[0], []
-            rows.append(row[1:])
+        grp, ids, weights, side = (batch.column(c).to_numpy() for c in ("grp", "cid", "w", "side"))
+        home, vectors = batch.column("home").to_numpy(zero_copy_only=False), batch.column("embedding")
+        starts = np.flatnonzero(np.r_[True, grp[1:] != grp[:-1]]) if len(grp) else []
+        for s, e in zip(starts, [*starts[1:], len(grp)]):
+            if grp[s] != group:
+                out += solved()
+                group, pieces = grp[s], []
+            x = vectors.slice(s, e - s).flatten().to_numpy().reshape(e - s, -1)  # a group's vectors are of one length
+            pieces.append((ids[s:e], x, weights[s:e], home[s:e], side[s:e]))
         yield result(out)
-    if len(rows) > 1:
-        yield result([solve(*zip(*rows))])
+    yield result(solved())
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, tile: int = TILE) -> DataFrame:
@@ -128,7 +137,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("embedding", lambda x: x != 0)
     )
     classes = publish(usable.groupBy("label", "embedding").agg(F.min("vec_id").alias("cid"), F.count("*").alias("w")))
-    sizes = {r.d: r.n for r in classes.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy("d").collect()}
+    each = classes.groupBy("label", F.size("embedding").alias("d")).agg(F.count("*").alias("n"))
+    sizes = {r.d: r.n for r in each.groupBy("d").agg(F.max("n").alias("n")).orderBy("d").collect()}
     centroids = {}
     for d, n in sizes.items():
         sample = classes.where(F.size("embedding") == d).select("embedding", "cid", "label").orderBy(F.xxhash64("cid"), "cid", "label").limit(SAMPLE).collect()
