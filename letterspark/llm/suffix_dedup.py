@@ -51,7 +51,7 @@ PART = 256
 #: Blocks in one suffix array.
 ARRAY_BLOCKS = 1 << 16
 #: Bytes hashed at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -265,8 +265,8 @@ _FOUND = "ctx binary, lo int, hi int, h long, wh long, weight long"
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for k in range(0, batch.num_rows, 500):
-            part = batch.slice(k, 500)
+        for k in range(0, batch.num_rows, 100):
+            part = batch.slice(k, 100)
             found = [anchors(_bytes(t.as_py())) for t in part.column("text")]
             n = [len(x[0]) for x in found]
             if not sum(n):
@@ -359,7 +359,7 @@ def find_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
         F.col("p.h").alias("h"),
         (at - before).cast("int").alias("first"),
         (-before).cast("int").alias("s0"),
-        F.substring(F.encode("text", "UTF-8"), (at - before + 1).cast("int"), (more + LENGTH).cast("int")).alias("bytes"),
+        F.substring(F.col("text").cast("binary"), (at - before + 1).cast("int"), (more + LENGTH).cast("int")).alias("bytes"),
     )
     contexts = contexts.withColumn("ctx", F.unhex(F.md5(F.concat(F.encode(F.concat_ws(",", "h", "s0"), "UTF-8"), "bytes"))))
     distinct = publish(contexts.groupBy("ctx").agg(F.count("*").alias("n"), *(F.any_value(c).alias(c) for c in ("h", "s0", "bytes"))))
