@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from letterspark.queries import ORACLE_SQL, QUERIES
+from letterspark.more_queries import ORACLE_SQL, QUERIES
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
