@@ -28,6 +28,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from letterspark.llm.common import bound_batches
+
 #: A rank file larger than this isn't broadcast.
 MAX_RANK_FILE = 64 << 20
 #: Pre-tokens up to this many characters are remembered; so many of them twice (a newer and an older half) at most.
@@ -216,6 +218,7 @@ def broadcast_ranks(spark: SparkSession, path: str) -> Broadcast:
 
 def encode(df: DataFrame, ranks: Broadcast, pattern: str, text_col: str = "text", out_col: str = "token_ids") -> DataFrame:
     """Adds ``out_col``: the packed ids of each text."""
+    bound_batches(df)
 
     @F.arrow_udf("binary")
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -228,6 +231,7 @@ def encode(df: DataFrame, ranks: Broadcast, pattern: str, text_col: str = "text"
 
 def decode(df: DataFrame, ranks: Broadcast, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
     """Adds ``out_col``: the bytes that packed ids stand for (null ids: no bytes)."""
+    bound_batches(df)
 
     @F.arrow_udf("binary")
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

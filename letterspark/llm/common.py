@@ -26,6 +26,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Bytes in an Arrow batch that goes to a Python worker.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(df: DataFrame) -> None:
+    """Lowers the session's bound on an Arrow batch: whole texts, unlike numbers, make 10,000 rows large on both sides of the pipe."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(conf.get(key).rstrip("b"))
+    if now <= 0 or now > BATCH_BYTES:
+        conf.set(key, f"{BATCH_BYTES}b")
+
+
 def publish(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from letterspark.llm.common import chunks
+from letterspark.llm.common import bound_batches, chunks
 
 WINDOW = 13
 #: Bytes of benchmark text in a broadcast block.
@@ -222,6 +222,7 @@ _ARROW = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("sta
 
 def find_contamination(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", out_col: str = "contamination", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Adds a struct: ``n_words``, ``spans`` (covered words, from and up to), ``items`` (ids of items with occurring windows)."""
+    bound_batches(documents)
     context = documents.sparkSession.sparkContext
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n

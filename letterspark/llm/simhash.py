@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from letterspark.llm.common import cut, publish
+from letterspark.llm.common import bound_batches, cut, publish
 from letterspark.plans.components import connected_components
 
 SEED, RADIUS = 42, 2
@@ -61,6 +61,7 @@ def fingerprint(hashes: list[int]) -> int:
 
 def with_fingerprints(df: DataFrame, text_col: str = "text", out_col: str = "fingerprint") -> DataFrame:
     """Adds the fingerprint as a signed 64-bit integer."""
+    bound_batches(df)
 
     @F.arrow_udf("long")
     def fingerprints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

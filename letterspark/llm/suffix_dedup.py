@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from letterspark.llm.common import KEY, publish, row_key
+from letterspark.llm.common import KEY, bound_batches, publish, row_key
 
 LENGTH = 200
 GRAM = 32
@@ -346,6 +346,7 @@ def _cut_characters(text: str, spans: list[tuple[int, int]]) -> str:
 
 def find_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", part: int = PART) -> DataFrame:
     """``(_k0, _k1, text, spans)`` of the documents with repeated strings; spans are byte ranges, possibly overlapping."""
+    bound_batches(documents)
     docs = documents.select(*row_key(id_col, text_col), F.col(text_col).alias("text")).where("octet_length(text) >= %d" % LENGTH)
     found = publish(docs.mapInArrow(_anchor_rows, _ANCHORS))
     repeated = publish(found.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from letterspark.llm.char_grams import buckets, letter_runs
-from letterspark.llm.common import publish
+from letterspark.llm.common import bound_batches, publish
 from letterspark.llm.language_id import fold
 
 ORDERS, BITS = (4, 5, 6), 18
@@ -64,6 +64,7 @@ def fit(labelled: DataFrame) -> tuple[np.ndarray, float] | None:
     share: rows of the class in all labelled rows for each row of it in the sample.
     """
     spark = labelled.sparkSession
+    bound_batches(labelled)
     sizes = {r.y: r for r in labelled.groupBy("y").agg(F.count("*").alias("n"), F.max("share").alias("share")).collect()}
     if len(sizes) < 2:
         return None
@@ -123,6 +124,7 @@ def score(df: DataFrame, model: tuple[np.ndarray, float] | None, text_col: str =
     """Adds the score, between 0 and 1."""
     if model is None:
         return df.withColumn(out_col, F.lit(0.0))
+    bound_batches(df)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
