@@ -197,7 +197,7 @@ class Decoder:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(packed or b"", "<u4").tolist()))
 
 
-#: One encoder or decoder for each Python worker, kept between tasks (Spark runs the two in workers of their own).
+#: One encoder or decoder for each Python worker, kept between tasks (Spark runs chained UDFs in workers of their own).
 _kept: dict[tuple, Encoder | Decoder] = {}
 
 
@@ -242,11 +242,25 @@ def decode(df: DataFrame, ranks: Broadcast, ids_col: str = "token_ids", out_col:
     return df.withColumn(out_col, decoded(F.col(ids_col)))
 
 
+def round_trip(df: DataFrame, ranks: Broadcast, pattern: str, text_col: str = "text", ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
+    """``encode``, then ``decode``, in one Python worker a task instead of two."""
+    bound_batches(df)
+
+    @F.arrow_udf("struct<ids: binary, decoded: binary>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder, decoder = _once(Encoder, ranks.value, pattern), _once(Decoder, ranks.value)
+        for texts in batches:
+            ids = [encoder(t.as_py()) for t in texts]
+            yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(map(decoder, ids), pa.binary())], ["ids", "decoded"])
+
+    out = df.withColumn("_both", both(F.col(text_col)))
+    return out.withColumns({ids_col: F.col("_both.ids"), out_col: F.col("_both.decoded")}).drop("_both")
+
+
 def bpe_digests(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     """Encodes, decodes and digests every text (the contract of ``op1``)."""
     ranks = broadcast_ranks(documents.sparkSession, path)
-    out = encode(documents.select("doc_id", "text"), ranks, pattern)
-    out = decode(out.drop("text"), ranks)
+    out = round_trip(documents.select("doc_id", "text"), ranks, pattern)
     return out.select(
         "doc_id",
         (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),

@@ -51,6 +51,14 @@ def test_bpe_equals_tiktoken(spark, docs):
         assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == (len(ids), sha(np.array(ids, "<u4").tobytes()), sha((t or "").encode()))
 
 
+def test_bpe_round_trip_equals_encode_then_decode(spark, docs):
+    ranks = bpe.broadcast_ranks(spark, P.path("byte_bpe_50k.tiktoken"))
+    once = bpe.round_trip(docs.withColumn("decoded", F.lit(1)), ranks, P.PATTERN)
+    twice = bpe.decode(bpe.encode(docs, ranks, P.PATTERN), ranks)
+    rows = lambda df: sorted(map(repr, df.select("doc_id", "text", "token_ids", "decoded").collect()))
+    assert rows(once) == rows(twice) and rows(bpe.round_trip(docs.where("false"), ranks, P.PATTERN)) == []
+
+
 def test_bpe_merges_at_random():
     data = open(P.path("byte_bpe_50k.tiktoken"), "rb").read()
     encoder, decoder = bpe.Encoder(data, P.PATTERN), bpe.Decoder(data)
