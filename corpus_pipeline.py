@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from letterspark.llm.bpe import broadcast_ranks, decode, encode
+from letterspark.llm.bpe import broadcast_ranks, round_trip
 from letterspark.llm.common import publish, table
 from letterspark.llm.decontaminate import drop_contaminated
 from letterspark.llm.simhash import keep_one
@@ -43,7 +43,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and whether they decode to its bytes."""
     ranks = broadcast_ranks(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    out = decode(encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    out = round_trip(docs, ranks, public_tokenizers.PATTERN)
     return out.select(
         "doc_id",
         "lang",
