@@ -205,9 +205,10 @@ MAIL = """mail as (select doc_id, source, concat(substr(text, 1, 400), case doc_
 
 
 def _mail(t):
+    """Whole documents with a planted tail. The SQL view ``MAIL`` still cuts them to 400 characters (see README)."""
     tail = F.when(col("doc_id") % 4 == 0, " see https://pay.example.com/a?b=1, or mail bob.smith@acme.co.uk now").when(col("doc_id") % 4 == 1, "\r\nOn Monday Bob wrote:\n> old line")
     tail = tail.when(col("doc_id") % 4 == 2, "\nfile invoice_7.pdf at shop.example.org").otherwise("")
-    return t("documents").select("doc_id", "source", F.concat(F.substring("text", 1, 400), tail).alias("text"))
+    return t("documents").select("doc_id", "source", F.concat("text", tail).alias("text"))
 
 
 NL = r"regexp_replace(text, '\r\n?', chr(10), 'g')"
