@@ -58,7 +58,8 @@ def d14_leftovers(t):
 
 @query("select category, count(*) filter (where lang = 'en') as en, count(*) filter (where lang = 'de') as de, count(*) filter (where lang = 'fr') as fr from fx_docs group by 1")
 def d15_contingency(t):
-    return t("fx_docs").groupBy("category").pivot("lang", ["en", "de", "fr"]).agg(F.count(F.lit(1))).fillna(0)
+    lang = F.when(col("lang").isin("en", "de", "fr"), col("lang")).otherwise("other")  # null included: the cells add up to the documents
+    return t("fx_docs").withColumn("_lang", lang).groupBy("category").pivot("_lang", ["en", "de", "fr", "other"]).agg(F.count(F.lit(1))).fillna(0)
 
 
 # ---------------------------------------------------------------- headers
