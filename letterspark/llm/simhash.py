@@ -165,16 +165,16 @@ def fingerprint_links(distinct: DataFrame, tile: int = TILE) -> DataFrame:
     return dealt.mapInArrow(_compare, "a long, b long").distinct()
 
 
-def near_duplicate_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, fp, component_id)`` for every row: the least id reachable by links."""
-    prints = publish(with_fingerprints(documents.select(id_col, text_col), text_col, "fp").select(id_col, "fp"))
+def near_duplicate_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(id, fp, class, component_id)`` and the columns ``carry`` for every row: the class's least fingerprint, and the least id reachable by links."""
+    prints = publish(with_fingerprints(documents.select(id_col, text_col, *carry), text_col, "fp").select(id_col, "fp", *carry))
     groups = publish(prints.groupBy("fp").agg(F.min(id_col).alias("least_id")))
     found = connected_components(fingerprint_links(groups.select("fp")))
     linked = groups.join(found, groups.fp == found.node).select("fp", "least_id", "component")
     least = publish(linked.groupBy("component").agg(F.min("least_id").alias("component_id")))
-    linked = linked.join(least, "component").select("fp", "component_id")
-    classes = publish(groups.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id")))
-    return prints.join(classes, "fp")
+    linked = linked.join(least, "component").select("fp", F.col("component").alias("class"), "component_id")
+    classes = groups.join(linked, "fp", "left").select("fp", F.coalesce("class", "fp").alias("class"), F.coalesce("component_id", "least_id").alias("component_id"))
+    return prints.join(publish(classes), "fp")
 
 
 def simhash_classes(documents: DataFrame) -> DataFrame:
@@ -182,7 +182,26 @@ def simhash_classes(documents: DataFrame) -> DataFrame:
     return near_duplicate_classes(documents).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+ROW = ("_r0", "_r1", "_r2")
+
+
+def with_row_key(documents: DataFrame) -> DataFrame:
+    """Adds ``ROW``: the id and 128 bits of all columns, never null; wholly equal rows share it."""
+    nulls = [F.col(c).isNull() for c in documents.columns]
+    hashes = [F.xxhash64(F.lit(k), *nulls, *documents.columns) for k in (1, 2)]
+    return documents.withColumns(dict(zip(ROW, (F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), *hashes))))
+
+
 def keep_one(documents: DataFrame) -> DataFrame:
-    """The documents without those that aren't the least id of their class; of rows with equal ids and classes all stay."""
-    classes = near_duplicate_classes(documents).where("doc_id <> component_id").select("doc_id").distinct()
-    return documents.join(publish(classes), "doc_id", "left_anti")
+    """One row of each class: the least by id (nulls last), then by hashes of all columns; of wholly equal rows one stays."""
+    rows = with_row_key(documents)
+    keys = publish(near_duplicate_classes(rows, carry=ROW).select("class", "doc_id", *ROW))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), *ROW)
+    best = publish(keys.groupBy("class").agg(F.min(order).alias("best")))
+    judged = keys.join(best, "class").select(*ROW, (order == F.col("best")).alias("stays"))
+    gone = publish(judged.groupBy(*ROW).agg(F.first("stays").alias("stays"), F.count("*").alias("n")).where("not stays or n > 1"))
+    out = rows.join(gone, list(ROW), "left_anti")
+    repeated = gone.where("stays")
+    if not repeated.isEmpty():
+        out = out.unionByName(rows.join(repeated, list(ROW), "left_semi").dropDuplicates(list(ROW)))
+    return out.drop(*ROW)
