@@ -57,9 +57,14 @@ def matched_cut(df: DataFrame, score: str, truth: Column, rate: float) -> DataFr
     return ranked.crossJoin(F.broadcast(total)).where("above <= k and k < above + n").agg(F.max(score).alias("cut"))
 
 
-def bootstrap(df: DataFrame, cluster: str, sums: dict[str, Column], statistic: Column, draws: int = 200, seed: int = 1) -> DataFrame:
-    """Percentile interval of ``statistic`` over resampled clusters; slot j of draw b takes cluster hash(seed, b, j) mod n.
+#: Resamples of every interval.
+DRAWS = 1000
 
+
+def bootstraps(df: DataFrame, cluster: str, sums: dict[str, Column], statistics: dict[str, Column], draws: int = DRAWS, seed: int = 1) -> DataFrame:
+    """``(statistic, value, low, high)``: percentile intervals over resampled clusters; slot j of draw b takes cluster hash(seed, b, j) mod n.
+
+    All statistics share the draws, so one made of the sums of two systems is a paired difference.
     Cluster sums come first; draws are aggregated to weights before they meet the sums.
     """
     spark = df.sparkSession
@@ -69,9 +74,15 @@ def bootstrap(df: DataFrame, cluster: str, sums: dict[str, Column], statistic: C
     slots = spark.range(draws * n).select((F.col("id") / n).cast("int").alias("draw"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n)).alias("_no"))
     weights = slots.groupBy("draw", "_no").agg(F.count("*").alias("_w"))
     drawn = weights.join(per, "_no").groupBy("draw").agg(*(F.sum(F.col(k) * F.col("_w")).alias(k) for k in sums))
-    point = per.agg(*(F.sum(k).alias(k) for k in sums)).select(statistic.alias("value"))
-    ends = drawn.select(statistic.alias("v")).agg(F.percentile("v", F.lit(0.025)).alias("low"), F.percentile("v", F.lit(0.975)).alias("high"))
-    return point.crossJoin(ends)
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("statistic"), v.cast("double").alias("v")) for k, v in statistics.items()))).alias("x")
+    point = per.agg(*(F.sum(k).alias(k) for k in sums)).select(each).select("x.statistic", F.col("x.v").alias("value"))
+    ends = drawn.select(each).groupBy("x.statistic").agg(F.percentile("x.v", F.lit(0.025)).alias("low"), F.percentile("x.v", F.lit(0.975)).alias("high"))
+    return point.join(ends, "statistic")
+
+
+def bootstrap(df: DataFrame, cluster: str, sums: dict[str, Column], statistic: Column, draws: int = DRAWS, seed: int = 1) -> DataFrame:
+    """The interval of one statistic (``bootstraps``)."""
+    return bootstraps(df, cluster, sums, {"": statistic}, draws, seed).select("value", "low", "high")
 
 
 def cooccurrence(df: DataFrame, item: str, label: str) -> DataFrame:
