@@ -1,17 +1,20 @@
 """Main text of web pages: nearest-URL page differencing.
 
-A page is cut into text lines at block tags. Pages of a host are ordered by URL path; each
-is compared with the neighbour whose path shares the longest beginning, their lines are
-aligned by a longest common subsequence (bit-parallel), and shared lines are deleted.
-A neighbour that shares most of a page's text is a copy of it and tells nothing, so the
-other neighbour is taken instead, or none. What differencing can't see, as each page may
-have its own, is told by structure: lines inside menus, headers, footers, sidebars,
-notices, adverts, forms and reader comments go, and lines inside an ``article`` or
-``main`` element stay even if a neighbour shares them, as articles quote each other.
-
-A host with many pages is dealt out: its paths are hashed into parts of about ``PART``
-pages, neighbours are sought inside a part, and a task streams through its parts with
-three pages in memory.
+A page is cut into text lines at block tags. Pages of a host with equal html are one page
+(of least path and query), whose text goes to all of them. Pages of a host are ordered by
+URL path and query; each is compared with the neighbour whose path shares the longest
+beginning, their lines are aligned by a longest common subsequence (bit-parallel), and
+shared lines are deleted. A neighbour that shares most of a page's text is a copy of it and
+tells nothing: a chain of adjacent copies is a group, and the neighbours of its pages are the
+pages next to the group. What differencing can't see, as each page may have its own, is told
+by structure: lines inside menus, headers, footers, sidebars, notices, adverts, forms and
+reader comments go, and lines inside an ``article`` or ``main`` element stay even if a
+neighbour shares them, as articles quote each other.
+
+Pages are sorted into contiguous ranges, however many a host has, and a task streams through
+its range with three pages in memory. Pages at the ends of ranges, groups of copies and the
+pages next to them are left open; they are few, and their neighbours are found by their
+numbers afterwards.
 
 Defined results: null and empty html gives an empty text. A null URL, or one without a
 host, has no neighbours. Repeated rows are copies of each other. Unclosed tags end where
@@ -26,13 +29,14 @@ from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
-from letterspark.llm.common import publish
+from letterspark.llm.common import bound_batches, publish
+from letterspark.plans.prefix import running_sum
 
-#: Pages of a host in a part, about.
-PART = 128
 #: A neighbour with this share of a page's text in common is a copy.
 COPY = 0.6
 
@@ -142,15 +146,20 @@ def shared(a: list[str], b: list[str]) -> list[bool]:
     return keep
 
 
-def difference(page: list[tuple[str, int]], neighbours: list[list[tuple[str, int]]]) -> list[str]:
-    """The lines that stay; the nearest neighbour comes first."""
-    lines = [t for t, _ in page]
+def compare(page: list[tuple[str, int]], other: list[tuple[str, int]]) -> tuple[list[bool], bool]:
+    """The lines that ``page`` shares with ``other``, and whether that is a copy of it."""
     judged = 2 if any(s == 2 for _, s in page) else 0  # a copy is told by the article, where there is one
     size = sum(len(t) for t, s in page if s == judged)
+    found = shared([t for t, _ in page], [t for t, _ in other])
+    return found, sum(len(t) for (t, s), f in zip(page, found) if f and s == judged) > COPY * size
+
+
+def difference(page: list[tuple[str, int]], neighbours: list[list[tuple[str, int]]]) -> list[str]:
+    """The lines that stay; the nearest neighbour comes first."""
     gone = [False] * len(page)
     for other in neighbours:
-        found = shared(lines, [t for t, _ in other])
-        if sum(len(t) for (t, s), f in zip(page, found) if f and s == judged) <= COPY * size:
+        found, copy = compare(page, other)
+        if not copy:
             gone = found
             break
     return [t for (t, s), g in zip(page, gone) if s == 2 or s == 0 and not g]
@@ -165,56 +174,167 @@ def _common(a: str, b: str) -> int:
     return n
 
 
-def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by part and path."""
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
-    before = now = None
+def _out(rows: Iterator[tuple], schema: pa.Schema, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of rows that end in their size."""
+    out: list[tuple] = []
+    total = 0
+    for *row, n in rows:
+        out.append(tuple(row))
+        total += n
+        if total > size or len(out) == 10000:
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), schema)], schema=schema)
+            out, total = [], 0
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), schema)], schema=schema)
 
-    def done(before: tuple | None, now: tuple, after: tuple | None) -> tuple:
-        part, path = now[0], now[1]
-        near = [x for x in (before, after) if x and part is not None and x[0] == part]
-        near.sort(key=lambda x: -_common(path, x[1]))
-        return now[2], now[3], " ".join(difference(now[4], [x[4] for x in near]))
+
+def _read(value: pa.Scalar) -> list[tuple[str, int]]:
+    return [(x[1:], int(x[0])) for x in value.as_py().split("\n") if x]
+
+
+def _write(lines: list[tuple[str, int]]) -> str:
+    """State and text of each line; texts hold no line feeds."""
+    return "\n".join(f"{s}{t}" for t, s in lines)
+
+
+def _nearest(page: tuple, near: list[tuple]) -> str:
+    """Text of a page (path, lines) by its neighbours (the one before first)."""
+    near = sorted(near, key=lambda x: -_common(page[0], x[0]))
+    return " ".join(difference(page[1], [x[1] for x in near]))
+
+
+RANGED = pa.schema(
+    [("part", pa.int32()), ("no", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("copies", pa.bool_()), ("h0", pa.int64()), ("h1", pa.int64()), ("open", pa.bool_()), ("follows", pa.bool_()), ("text", pa.string()), ("lines", pa.string())]
+)
+
+
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by host, path and query. ``open`` rows get lines instead of a text; ``follows``: in a group with the page before."""
+    part = TaskContext.get().partitionId()
+    names = ("host", "path", "page_id", "url", "copies", "h0", "h1")
 
     def pages() -> Iterator[tuple]:
         for batch in batches:
-            for part, path, page_id, url, lines in zip(*(batch.column(c) for c in ("part", "path", "page_id", "url", "lines"))):
-                yield part.as_py(), path.as_py() or "", page_id.as_py(), url.as_py(), [(x["line"], x["state"]) for x in lines.as_py()]
+            for *row, lines in zip(*(batch.column(c) for c in (*names, "lines"))):
+                yield (*(x.as_py() for x in row), _read(lines))
+
+    def copies(x: tuple, y: tuple) -> bool:
+        return x[0] == y[0] and (compare(x[-1], y[-1])[1] or compare(y[-1], x[-1])[1])
+
+    def rows() -> Iterator[tuple]:
+        # open: in a group, or at an end of the range; kept: open, next to a group, or second at an end
+        held: list[list] = []  # page, follows
+
+        def settle(k: int, no: int) -> tuple:
+            page, follows = held[k]
+            before = held[k - 1] if k else None
+            after = held[k + 1] if k + 1 < len(held) else None
+            open_ = bool(before is None or after is None or follows or after[1])
+            keep = open_ or no < 2 or k + 2 >= len(held) or before[1] or held[k + 2][1]
+            text = None
+            if not open_:
+                text = _nearest((page[1], page[-1]), [(x[0][1], x[0][-1]) for x in (before, after) if x[0][0] == page[0]])
+            size = sum(len(t) for t, _ in page[-1]) + 100
+            return part, no, *page[:-1], open_, follows, text, _write(page[-1]) if keep else None, size
+
+        no = at = 0  # at: the place in ``held`` of the next page to settle
+        for page in pages():
+            held.append([page, bool(held) and copies(held[-1][0], page)])
+            if len(held) - at > 2:
+                yield settle(at, no)
+                no, at = no + 1, at + 1
+                if at > 1:
+                    del held[0]
+                    at -= 1
+        while at < len(held):
+            yield settle(at, no)
+            no, at = no + 1, at + 1
+
+    yield from _out(rows(), RANGED)
+
+
+PLACED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("copies", pa.bool_()), ("host", pa.string()), ("h0", pa.int64()), ("h1", pa.int64()), ("text", pa.string())])
 
-    out: list[tuple] = []
-    size = 0
-    for page in pages():
-        if now:
-            out.append(done(before, now, page))
-            size += len(out[-1][2])
-        before, now = now, page
-        if size > 4 << 20:
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), schema)], schema=schema)
-            out, size = [], 0
-    if now:
-        out.append(done(before, now, None))
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), schema)], schema=schema)
+
+def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of open pages, which come with the pages before (a) and after (b) their groups."""
+    names = ("page_id", "url", "copies", "host", "h0", "h1")
+
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            for *row, path, lines, a_path, a_lines, b_path, b_lines in zip(*(batch.column(c) for c in (*names, "path", "lines", "a_path", "a_lines", "b_path", "b_lines"))):
+                near = [(p.as_py(), _read(x)) for p, x in ((a_path, a_lines), (b_path, b_lines)) if x.is_valid]
+                text = _nearest((path.as_py(), _read(lines)), near)
+                yield *(x.as_py() for x in row), text, len(text) + 100
+
+    yield from _out(rows(), PLACED)
+
+
+@F.arrow_udf(BooleanType())
+def _copies(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for a, b in batches:
+        yield pa.array([compare(x, y)[1] or compare(y, x)[1] for x, y in ((_read(x), _read(y)) for x, y in zip(a, b))], pa.bool_())
+
+
+def _place_open(ranged: DataFrame) -> DataFrame:
+    """Texts of the open pages: pages are numbered over all ranges, and groups that go on in the next range are joined."""
+    kept = ranged.where("lines is not null")
+    # one row a range: its number of pages (its last page is always kept) and the pages before it
+    order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = publish(kept.groupBy("part").agg((F.max("no") + 1).alias("n")).withColumn("base", F.coalesce(F.sum("n").over(order), F.lit(0))))
+    kept = kept.join(F.broadcast(sizes), "part").withColumn("pos", F.col("base") + F.col("no"))
+    last = kept.where("no = n - 1").select((F.col("pos") + 1).alias("pos"), "host", F.col("lines").alias("_lines"))
+    joined = kept.where("no = 0").select("pos", "host", "lines").join(last, ["pos", "host"]).where(_copies("_lines", "lines")).select("pos", F.lit(True).alias("_joined"))
+    narrow = kept.select("part", "pos", "open", "follows").join(publish(joined), "pos", "left").withColumn("start", F.when(F.col("follows") | F.col("_joined").isNotNull(), 0).otherwise(1))
+    narrow = running_sum(narrow.withColumn("_all", F.lit(0)), ["_all"], "pos", "start", "_before", "pos", bucket=F.col("part"))
+    narrow = publish(narrow.select("pos", "open", (F.col("_before") + F.col("start")).alias("grp")))
+    groups = publish(narrow.groupBy("grp").agg((F.min("pos") - 1).alias("a"), (F.max("pos") + 1).alias("b")))
+    near = narrow.where("open").join(groups, "grp").select("pos", "a", "b")
+    rows = kept.where("open").select("pos", "host", "path", "page_id", "url", "copies", "h0", "h1", "lines").join(near, "pos")
+    for side in ("a", "b"):
+        other = kept.select(F.col("pos").alias(side), "host", F.col("path").alias(f"{side}_path"), F.col("lines").alias(f"{side}_lines"))
+        rows = rows.join(other, [side, "host"], "left")
+    return rows.mapInArrow(_place, "page_id long, url string, copies boolean, host string, h0 long, h1 long, text string")
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``(page_id, url, text, n_chars)`` of every page (the contract of ``op2``)."""
-    kind = pa.list_(pa.struct([("line", pa.string()), ("state", pa.int32())]))
+    bound_batches(pages)
 
-    @F.arrow_udf("array<struct<line: string, state: int>>")
+    @F.arrow_udf("string")
     def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([[{"line": t, "state": s} for t, s in page_lines(x.as_py())] for x in batch], kind)
+            yield pa.array([_write(page_lines(x.as_py())) for x in batch], pa.string())
+
+    @F.arrow_udf("string")
+    def alone(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([" ".join(difference(page_lines(x.as_py()), [])) for x in batch], pa.string())
 
+    start = "^[a-zA-Z][a-zA-Z0-9+.-]*://"
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    host = F.nullif(F.lower(F.regexp_extract("url", "^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]+)", 1)), F.lit(""))
-    rows = rows.withColumn("host", host).withColumn("path", F.regexp_extract("url", "^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+([^?#]*)", 1))
-    count = publish(rows.where("host is not null").groupBy("host").agg(F.count("*").alias("n")))
-    parts = rows.join(count, "host", "left")
-    slot = F.pmod(F.xxhash64("path"), F.greatest(F.lit(1), F.ceil(F.col("n") / PART)))
-    parts = parts.withColumn("part", F.when(F.col("host").isNotNull(), F.xxhash64("host", slot)))
-    deal = F.coalesce("part", F.xxhash64("page_id", "url"))  # pages without a host go anywhere
-    lined = parts.select(deal.alias("deal"), "part", "path", "page_id", "url", cut("html").alias("lines"))
-    lined = lined.repartition("deal").sortWithinPartitions("deal", "path", "page_id")
-    out = lined.mapInArrow(_stream, "page_id long, url string, text string")
+    rows = rows.withColumns({
+        "host": F.nullif(F.lower(F.regexp_extract("url", f"{start}([^/?#]+)", 1)), F.lit("")),
+        "path": F.regexp_extract("url", f"{start}[^/?#]+([^?#]*)", 1), "query": F.regexp_extract("url", rf"{start}[^/?#]+[^?#]*\?([^#]*)", 1),
+        "h0": F.xxhash64(F.lit(0), "html"), "h1": F.xxhash64(F.lit(1), "html"),
+    })
+    hosted, key = rows.where("host is not null"), ["host", "h0", "h1"]
+    same = publish(hosted.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("path", "query")).alias("at")).where("n > 1").select(*key, "at"))
+    copied = not same.isEmpty()
+    distinct = hosted.withColumn("copies", F.lit(False))
+    if copied:  # the page of least path and query stands for its copies
+        one = hosted.join(same, key).where("path = at.path and query = at.query").groupBy(*key).agg(F.first("html").alias("html"), F.min("path").alias("path"), F.min("query").alias("query"))
+        one = one.select(F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("url"), "html", "host", "path", "query", "h0", "h1", F.lit(True).alias("copies"))
+        distinct = distinct.join(same.drop("at"), key, "left_anti").select(*one.columns).unionByName(one)
+    lined = distinct.select("host", "path", "query", "page_id", "url", "copies", "h0", "h1", cut("html").alias("lines"))
+    by = ("host", "path", "query", "h0", "h1", "page_id")
+    lined = lined.repartitionByRange(*by).sortWithinPartitions(*by)
+    ranged = publish(lined.mapInArrow(_ranges, "part int, no long, host string, path string, page_id long, url string, copies boolean, h0 long, h1 long, open boolean, follows boolean, text string, lines string"))
+    names = ["page_id", "url", "copies", *key, "text"]
+    placed = ranged.where("not open").select(*names).unionByName(_place_open(ranged).select(*names))
+    out = rows.where("host is null").select("page_id", "url", alone("html").alias("text"))
+    if copied:
+        placed = publish(placed)
+        out = out.unionByName(hosted.select("page_id", "url", *key).join(placed.where("copies").select(*key, "text"), key).select("page_id", "url", "text"))
+    out = out.unionByName(placed.where("not copies").select("page_id", "url", "text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 
-from letterspark.llm import simhash
+import pytest
+
+from letterspark.llm import html_text, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 rng = random.Random(7)
@@ -34,3 +36,48 @@ def test_pipeline_keeps_the_text_of_repeated_rows(spark, tmp_path):
     spark.createDataFrame([(1, words(30))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     out = [(r.doc_id, r.n_tokens) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
     assert [n > 60 for i, n in out if i == 250] == [True] and [n > 60 for i, n in out if i is None] == [True]
+
+
+def brute_texts(rows: list[tuple]) -> dict[int, str]:
+    """Texts of pages of one host, by path, with groups of adjacent copies."""
+    least = {}
+    for _, path, html in sorted(rows, key=lambda r: r[1]):
+        least.setdefault(html, path)
+    order = [(p, h, html_text.page_lines(h)) for h, p in sorted(least.items(), key=lambda x: x[1])]
+    linked = [i > 0 and any(html_text.compare(x, y)[1] for x, y in ((order[i][2], order[i - 1][2]), (order[i - 1][2], order[i][2]))) for i in range(len(order))]
+    text = {}
+    for i, (path, html, lines) in enumerate(order):
+        a, b = i, i + 1
+        while linked[a]:
+            a -= 1
+        while b < len(order) and linked[b]:
+            b += 1
+        near = [order[k] for k in (a - 1, b) if 0 <= k < len(order)]
+        near.sort(key=lambda x: -html_text._common(path, x[0]))
+        text[html] = " ".join(html_text.difference(lines, [x[2] for x in near]))
+    return {i: text[h] for i, _, h in rows}
+
+
+@pytest.mark.parametrize("ranges", ["1", "7", "40"])
+def test_siblings_and_copies_of_a_large_host(spark, ranges):
+    rows = []
+    for i in range(300):
+        body = f"<p>{words(12)}</p><p>shared by pair {i // 2}</p><p>{words(3)}</p>"
+        if 100 <= i < 140:
+            body = f"<p>{'the copied page ' * 9}</p><p>own {i}</p><p>shared by pair 49</p>" if i % 3 else rows[-1][2]
+        rows.append((i, f"/en/{i:04}", body))
+    rows += [(900 + k, f"/zz/{k}", rows[10][2]) for k in range(5)]
+    want = brute_texts(rows)
+    pages = [(i, f"http://Big.example{p}", h) for i, p, h in rows] + [(2000 + i, f"http://h{i}.example/", "<p>alone</p>") for i in range(20)] + [(3000, None, None)]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = html_text.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    got = {r.page_id: r.text for r in out}
+    assert len(out) == len(pages) and {i: got[i] for i, _, _ in rows} == want
+    assert not any("pair" in got[i] for i in range(1, 90, 2)) and len({got[900 + k] for k in range(5)} | {got[10]}) == 1
+    assert got[3000] == "" and all(got[2000 + i] == "alone" for i in range(20))
