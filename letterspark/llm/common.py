@@ -60,6 +60,15 @@ def row_key(id_col: str, text_col: str) -> list[Column]:
 KEY = ["_k0", "_k1"]
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores in front as it takes to clash with no column of ``df``, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{name}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def chunks(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
     """Index ranges whose sizes add up to ``limit`` at most, or hold one item."""
     start = total = 0

@@ -16,17 +16,22 @@ document, the same one included; overlaps count) is removed, judged on the input
    descending order with previous-smaller pointers, and then each group's order is
    emitted; no names are assigned recursively. Neighbours that share eleven blocks or more
    form classes: any two equal 200-byte windows share eleven whole blocks, so equal
-   windows are members of a class. An exact comparison of the 200 bytes inside each class
-   follows.
-4. An anchor with many different contexts is dealt out in parts of bounded size. A part
-   yields the hash of each of its windows with a weight instead of a verdict, and the
-   weights are added up by a partial aggregation over all parts.
+   windows are members of a class. Inside a class the 24 bytes that the blocks leave open
+   are compared exactly.
+4. An anchor that stands at many places may have too many contexts for one suffix array.
+   Its contexts are cut by the offset of the window from the anchor into ranges of 64
+   offsets, and dealt by the bytes that all windows of a range share, so equal windows
+   always meet in one group. Groups that are still too large are cut again, into ranges of
+   16, 4 and 1 offsets; a group of one offset holds one window only. Groups with one
+   occurrence hold nothing repeated and go.
 5. The repeated window starts go back to the documents by content hash, become spans, and
    the spans are cut out.
 
+Contexts are told apart by 128-bit hashes of their bytes.
+
 Defined results: null and empty texts have nothing removed. Texts shorter than 200 bytes
 are kept. Repeated rows make each other repeated. An empty table gives an empty table.
-Rows with a null id are treated like others.
+Rows with a null id are treated like others. Other columns are kept under any name.
 """
 
 from __future__ import annotations
@@ -35,10 +40,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from letterspark.llm.common import KEY, bound_batches, publish, row_key
+from letterspark.llm.common import KEY, bound_batches, fresh, publish, row_key
 
 LENGTH = 200
 GRAM = 32
@@ -46,8 +52,10 @@ GRAM = 32
 REACH = LENGTH - GRAM
 BLOCK = 16
 SHARED_BLOCKS = (LENGTH - BLOCK + 1) // BLOCK  # whole blocks in any window, wherever it starts
-#: Contexts of one anchor in a part; more are dealt out.
-PART = 256
+#: Contexts of one suffix array's group at most; anchors at more places are dealt out by the bytes around them.
+PART = 512
+#: Offsets of a range at each further cut.
+WIDTHS = (64, 16, 4, 1)
 #: Blocks in one suffix array.
 ARRAY_BLOCKS = 1 << 16
 #: Bytes hashed at a time.
@@ -201,12 +209,15 @@ def sort_suffixes(symbols: list[int]) -> list[int]:
     return out
 
 
-def repeated_starts(contexts: list[bytes], offsets: np.ndarray, weights: np.ndarray, whole: np.ndarray) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], list[tuple[int, int]]]:
+def _words(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position, as one number."""
+    return np.ndarray(max(0, len(data) - 7), "<u8", np.ascontiguousarray(data), strides=(1,))
+
+
+def repeated_starts(contexts: list[bytes], offsets: np.ndarray, weights: np.ndarray) -> list[tuple[int, int, int]]:
     """Repeated windows among contexts, by a suffix array over their anchor-aligned blocks.
 
-    offsets: of the first byte of each context from its anchor. Returns ranges ``(context, first start, last start)``
-    of windows that are repeated; for contexts that aren't ``whole`` (their anchor's contexts are dealt out), the
-    windows still single ``(context, start, hash)`` and ``(context, hash)`` once for each window found repeated.
+    offsets: of the first byte of each context from its anchor. Returns ranges ``(context, first start, last start)``.
     """
     sizes = np.array([len(c) for c in contexts])
     base = np.r_[0, np.cumsum(sizes)]
@@ -229,38 +240,57 @@ def repeated_starts(contexts: list[bytes], offsets: np.ndarray, weights: np.ndar
     block_at[place] = np.arange(len(which))
     left = np.minimum(np.repeat(ends, blocks + 1), len(symbols) - 1) - np.arange(len(symbols))  # blocks up to the terminator
     order = order[left[order] >= SHARED_BLOCKS]
-    same = np.ones(max(0, len(order) - 1), bool)
+    if not len(order):
+        return []
+    same = np.ones(len(order) - 1, bool)
     for k in range(SHARED_BLOCKS):
         same &= symbols[order[1:] + k] == symbols[order[:-1] + k]
-    classes = np.cumsum(np.r_[True, ~same]) if len(order) else np.empty(0, np.int64)
+    classes = np.cumsum(np.r_[True, ~same])
     # the windows that begin in the block before each suffix
     at = block_at[order]
     start = (byte[at] - base[which[at]])[:, None] - np.arange(BLOCK)
     context = np.broadcast_to(which[at][:, None], start.shape)
     valid = (start >= 0) & (start + LENGTH <= sizes[context])
-    hashes = np.concatenate([window_hashes(data[a : a + CHUNK + LENGTH - 1], LENGTH) for a in range(0, max(1, len(data)), CHUNK)])
     start, context = start[valid], context[valid]
+    if not len(start):
+        return []
     turn = np.broadcast_to(np.arange(BLOCK), valid.shape)[valid]
     group = np.broadcast_to(classes[:, None], valid.shape)[valid] * BLOCK + turn
-    h = hashes[base[context] + start]
+    # a class shares the blocks; at most 15 bytes before them and 24 after them are open
+    words, at = _words(data), base[context] + start
+    edges = [words[at + k] for k in (0, 8, LENGTH - 24, LENGTH - 16, LENGTH - 8)]
+    h = _mix(edges[0])
+    for e in edges[1:]:
+        h = _mix(h + e)
     by = np.lexsort((h, group))
-    start, context, group, h = start[by], context[by], group[by], h[by]
-    new = np.r_[True, (group[1:] != group[:-1]) | (h[1:] != h[:-1])] if len(h) else np.empty(0, bool)
-    total = np.add.reduceat(weights[context], np.flatnonzero(new)) if len(h) else np.empty(0, np.int64)
-    twice = (total >= 2)[np.cumsum(new) - 1] if len(h) else np.empty(0, bool)
-    dealt = ~whole[context]
-    single = [(int(c), int(s), int(x)) for c, s, x in zip(context[~twice & dealt], start[~twice & dealt], h[~twice & dealt].view(np.int64))]
-    known = [(int(c), int(x)) for c, x in zip(context[twice & dealt & new], h[twice & dealt & new].view(np.int64))]
+    new = (group[by][1:] != group[by][:-1]) | (h[by][1:] != h[by][:-1])
+    if any((~new & (e[by][1:] != e[by][:-1])).any() for e in edges):  # equal hashes of different bytes
+        by = np.lexsort((*edges, group))
+        new = group[by][1:] != group[by][:-1]
+        for e in edges:
+            new |= e[by][1:] != e[by][:-1]
+    new = np.r_[True, new]
+    start, context = start[by], context[by]
+    total = np.add.reduceat(weights[context], np.flatnonzero(new))
+    twice = (total >= 2)[np.cumsum(new) - 1]
     context, start = context[twice], start[twice]
+    if not len(start):
+        return []
     by = np.lexsort((start, context))
     context, start = context[by], start[by]
-    cut = np.flatnonzero(np.r_[True, (context[1:] != context[:-1]) | (start[1:] != start[:-1] + 1)]) if len(start) else np.empty(0, np.int64)
-    last = np.r_[cut[1:], len(start)] - 1 if len(start) else cut
-    return list(zip(context[cut].tolist(), start[cut].tolist(), start[last].tolist())), single, known
+    cut = np.flatnonzero(np.r_[True, (context[1:] != context[:-1]) | (start[1:] != start[:-1] + 1)])
+    last = np.r_[cut[1:], len(start)] - 1
+    return list(zip(context[cut].tolist(), start[cut].tolist(), start[last].tolist()))
 
 
 _ANCHORS = "_k0 long, _k1 long, h long, pack long"
-_FOUND = "ctx binary, lo int, hi int, h long, wh long, weight long"
+#: Contexts (or cuts of them): group, hash, offset of the first byte from the anchor, bytes and weight.
+_CONTEXTS = "grp long, ctx binary, s0 int, bytes binary, n long"
+_FOUND = "ctx binary, lo int, hi int"
+
+
+def _digest(s0: int, data: bytes) -> bytes:
+    return xxhash.xxh3_128_digest(data, seed=s0 + LENGTH)
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,26 +307,69 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*keys, pa.array(h.view(np.int64)), pa.array(pack)], ["_k0", "_k1", "h", "pack"])
 
 
+_PLACED = pa.schema([("_k0", pa.int64()), ("_k1", pa.int64()), ("first", pa.int32()), ("hot", pa.bool_()), ("grp", pa.int64()), ("ctx", pa.binary()), ("s0", pa.int32()), ("bytes", pa.binary())])
+
+
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The context of each repeated anchor of a document, with the document's key and the context's first byte in it."""
+    out: list[tuple] = []
+    size = 0
+    for batch in batches:
+        keys = [batch.column(c).to_pylist() for c in KEY]
+        for k0, k1, text, packs in zip(*keys, batch.column("text"), batch.column("packs")):
+            data = text.as_py().encode()
+            for p in packs.as_py():
+                first = (p["pack"] >> 16) - (p["pack"] >> 8 & 255)
+                s0, cut = -(p["pack"] >> 8 & 255), data[first : first + (p["pack"] & 255) + LENGTH]
+                out.append((k0, k1, first, p["hot"], p["h"], _digest(s0, cut), s0, cut))
+                size += len(cut)
+            if size > CHUNK:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _PLACED)], schema=_PLACED)
+                out, size = [], 0
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _PLACED)], schema=_PLACED)
+
+
+def _pieces(width: int):
+    """Cuts of contexts by the offset of the window from the anchor; ``grp`` tells the bytes that all windows of a cut's range share."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for ctx, s0, data, n in zip(*(batch.column(c).to_pylist() for c in ("ctx", "s0", "bytes", "n"))):
+                last = -s0  # offset of the first window, the largest; the last window has the least
+                least = last - (len(data) - LENGTH)
+                for k in range(least // width, last // width + 1):
+                    ends = k * width + width - 1  # offsets of the range: k * width to ends
+                    lo, hi = max(0, last - ends), min(len(data) - LENGTH, last - k * width)
+                    piece = data[lo : hi + LENGTH]
+                    core = data[last - k * width : last - ends + LENGTH]
+                    grp = xxhash.xxh3_64_intdigest(core, seed=k * LENGTH + width) - (1 << 63)
+                    out.append((ctx, lo, grp, _digest(s0 + lo, piece), s0 + lo, piece, n))
+            if out:
+                cols = list(zip(*out))
+                kinds = (pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["whole", "shift", "grp", "ctx", "s0", "bytes", "n"])
+
+    return cut
+
+
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by group; whole groups are gathered up to the size of one suffix array."""
-    schema = pa.schema([("ctx", pa.binary()), ("lo", pa.int32()), ("hi", pa.int32()), ("h", pa.int64()), ("wh", pa.int64()), ("weight", pa.int64())])
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        _, ids, offsets, contexts, weights, whole, anchor = zip(*rows)
-        ranges, single, known = repeated_starts(list(contexts), np.array(offsets), np.array(weights), np.array(whole))
-        out = [(ids[c], a, b, None, None, 0) for c, a, b in ranges] + [(ids[c], a, a, anchor[c], x, 1) for c, a, x in single]
-        out += [(None, None, None, anchor[c], x, 2) for c, x in known]
-        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out) if out else [[]] * 6, schema)], schema=schema)
+        _, ids, offsets, contexts, weights = zip(*rows)
+        found = repeated_starts(list(contexts), np.array(offsets), np.array(weights))
+        out = zip(*((ids[c], a, b) for c, a, b in found)) if found else ([], [], [])
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.binary(), pa.int32(), pa.int32()))], ["ctx", "lo", "hi"])
 
     waiting: list[tuple] = []
-    size, fresh = 0, 0  # blocks waiting; where the last group begins
+    size = 0  # blocks waiting
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("grp", "ctx", "s0", "bytes", "n", "whole", "h"))):
-            if not waiting or waiting[-1][0] != row[0]:
-                if size >= ARRAY_BLOCKS:
-                    yield solve(waiting)
-                    waiting, size = [], 0
-                fresh = len(waiting)
+        for row in zip(*(batch.column(c).to_pylist() for c in ("grp", "ctx", "s0", "bytes", "n"))):
+            if size >= ARRAY_BLOCKS and waiting[-1][0] != row[0]:
+                yield solve(waiting)
+                waiting, size = [], 0
             waiting.append(row)
             size += len(row[3]) // BLOCK + 1
     if waiting:
@@ -344,35 +417,41 @@ def _cut_characters(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join(kept).decode()
 
 
+def _searched(contexts: DataFrame) -> DataFrame:
+    """``(ctx, lo, hi)``: ranges of repeated windows of contexts whose groups are small."""
+    rows = contexts.select("grp", "ctx", "s0", "bytes", "n")
+    return rows.repartition("grp").sortWithinPartitions("grp", "ctx").mapInArrow(_search, _FOUND)
+
+
+def _dealt(contexts: DataFrame, part: int, widths: tuple[int, ...]) -> DataFrame:
+    """``(ctx, lo, hi)`` of contexts whose groups may be large: cut, dealt by what the cuts' windows share, and cut again."""
+    pieces = publish(contexts.mapInArrow(_pieces(widths[0]), f"whole binary, shift int, {_CONTEXTS}"))
+    distinct = publish(pieces.groupBy("ctx").agg(F.sum("n").alias("n"), *(F.any_value(c).alias(c) for c in ("grp", "s0", "bytes"))))
+    sizes = publish(distinct.groupBy("grp").agg(F.count("*").alias("m"), F.sum("n").alias("w")).where("w > 1").select("grp", "m"))
+    grouped = publish(distinct.join(sizes, "grp"))
+    found = _searched(grouped.where(F.col("m") <= part))
+    large = grouped.where(F.col("m") > part).drop("m")
+    if len(widths) > 1 and not large.isEmpty():
+        found = found.unionByName(_dealt(large, part, widths[1:]))
+    back = pieces.select("whole", "shift", "ctx").join(publish(found), "ctx")
+    return back.select(F.col("whole").alias("ctx"), (F.col("shift") + F.col("lo")).alias("lo"), (F.col("shift") + F.col("hi")).alias("hi"))
+
+
 def find_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", part: int = PART) -> DataFrame:
     """``(_k0, _k1, text, spans)`` of the documents with repeated strings; spans are byte ranges, possibly overlapping."""
     bound_batches(documents)
     docs = documents.select(*row_key(id_col, text_col), F.col(text_col).alias("text")).where("octet_length(text) >= %d" % LENGTH)
     found = publish(docs.mapInArrow(_anchor_rows, _ANCHORS))
-    repeated = publish(found.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"))
-    packs = found.join(repeated, "h").groupBy(*KEY).agg(F.collect_set(F.struct("h", "pack")).alias("packs"))
+    repeated = publish(found.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h", (F.col("c") > part).alias("hot")))
+    packs = found.join(repeated, "h").groupBy(*KEY).agg(F.collect_set(F.struct("h", "pack", "hot")).alias("packs"))
     candidates = publish(docs.join(packs, KEY))
 
-    pack = F.col("p.pack")
-    at, before, more = F.shiftright(pack, 16), F.shiftright(pack, 8).bitwiseAND(255), pack.bitwiseAND(255)
-    contexts = candidates.select(*KEY, "text", F.explode("packs").alias("p")).select(
-        *KEY,
-        F.col("p.h").alias("h"),
-        (at - before).cast("int").alias("first"),
-        (-before).cast("int").alias("s0"),
-        F.substring(F.col("text").cast("binary"), (at - before + 1).cast("int"), (more + LENGTH).cast("int")).alias("bytes"),
-    )
-    contexts = contexts.withColumn("ctx", F.unhex(F.md5(F.concat(F.encode(F.concat_ws(",", "h", "s0"), "UTF-8"), "bytes"))))
-    distinct = publish(contexts.groupBy("ctx").agg(F.count("*").alias("n"), *(F.any_value(c).alias(c) for c in ("h", "s0", "bytes"))))
-    several = publish(distinct.groupBy("h").agg(F.count("*").alias("m")))
-    dealt = distinct.join(several, "h").withColumns(
-        {"whole": F.col("m") <= part, "grp": F.xxhash64("h", F.when(F.col("m") <= part, 0).otherwise(F.pmod(F.xxhash64("ctx"), F.ceil(F.col("m") / part)))) }
-    )
-    dealt = dealt.select("grp", "ctx", "s0", "bytes", "n", "whole", "h")
-    verdicts = publish(dealt.repartition("grp").sortWithinPartitions("grp", "ctx").mapInArrow(_search, _FOUND))
-    twice = publish(verdicts.where("wh is not null").groupBy("h", "wh").agg(F.sum("weight").alias("w")).where("w > 1").select("h", "wh"))
-    late = verdicts.where("wh is not null and ctx is not null").join(twice, ["h", "wh"]).select("ctx", "lo", "hi")
-    ranges = verdicts.where("wh is null").select("ctx", "lo", "hi").unionByName(late)
+    contexts = candidates.mapInArrow(_contexts, "_k0 long, _k1 long, first int, hot boolean, grp long, ctx binary, s0 int, bytes binary")
+    distinct = publish(contexts.groupBy("ctx").agg(F.count("*").alias("n"), *(F.any_value(c).alias(c) for c in ("hot", "grp", "s0", "bytes"))))
+    ranges = _searched(distinct.where("not hot"))
+    hot = distinct.where("hot")
+    if not hot.isEmpty():
+        ranges = ranges.unionByName(_dealt(hot, part, WIDTHS))
     ranges = publish(ranges.groupBy("ctx").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")))
 
     places = contexts.select(*KEY, "first", "ctx").join(ranges, "ctx")
@@ -412,6 +491,8 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
         for texts, spans in batches:
             yield pa.array([_cut_characters(t.as_py(), [(x["a"], x["b"]) for x in s.as_py()]) for t, s in zip(texts, spans)], pa.string())
 
-    found = find_repeats(documents, id_col, text_col).select(*KEY, cut("text", "spans").alias("_cut")).dropDuplicates(KEY)
-    joined = documents.select("*", *row_key(id_col, text_col)).join(publish(found), KEY, "left")
-    return joined.withColumn(text_col, F.coalesce("_cut", text_col)).select(*documents.columns)
+    k0, k1, out = fresh(documents, "k0"), fresh(documents, "k1"), fresh(documents, "cut")
+    found = find_repeats(documents, id_col, text_col).select(*KEY, cut("text", "spans").alias(out)).dropDuplicates(KEY)
+    keys = [c.alias(k) for c, k in zip(row_key(id_col, text_col), (k0, k1))]
+    joined = documents.select("*", *keys).join(publish(found).withColumnsRenamed(dict(zip(KEY, (k0, k1)))), [k0, k1], "left")
+    return joined.withColumn(text_col, F.coalesce(out, text_col)).select(*documents.columns)

@@ -85,9 +85,11 @@ def test_suffix_array():
         assert suffix_dedup.sort_suffixes(s) == sorted(range(len(s)), key=lambda i: s[i:])
 
 
-@pytest.mark.parametrize("part", [256, 1])
+@pytest.mark.parametrize("part", [512, 3, 1])
 def test_suffix_dedup_equals_brute_force(spark, docs, part, monkeypatch):
     monkeypatch.setattr(suffix_dedup.find_repeats, "__defaults__", ("doc_id", "text", part))
+    passage = prose(120)[:500]
+    docs = docs.unionByName(spark.createDataFrame([(500 + k, prose(9) + passage[k % 4 :] + prose(9), None, None, 1) for k in range(12)], SCHEMA)).withColumn("_k0", F.lit(1))
     rows = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
     seen = Counter(b[k : k + 200] for _, b in rows for k in range(len(b) - 199))
     want = []
