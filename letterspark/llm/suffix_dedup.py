@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from letterspark.llm.common import KEY, bound_batches, fresh, publish, row_key
+from letterspark.llm.common import KEY, bound_batches, fresh, publish, publish_bucketed, row_key
 
 LENGTH = 200
 GRAM = 32
@@ -316,13 +316,21 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 0
     for batch in batches:
         keys = [batch.column(c).to_pylist() for c in KEY]
-        for k0, k1, text, packs in zip(*keys, batch.column("text"), batch.column("packs")):
+        packs = batch.column("packs")
+        ends, flat = packs.value_lengths().to_numpy(zero_copy_only=False).cumsum(), packs.flatten()
+        h, pack, hot = (flat.field(c) for c in ("h", "pack", "hot"))
+        pack = pack.to_numpy()
+        before = (pack >> 8 & 255).astype(np.int64)
+        firsts, sizes = (pack >> 16) - before, (pack & 255) + LENGTH
+        h, hot, before, firsts, lasts = h.to_pylist(), hot.to_pylist(), before.tolist(), firsts.tolist(), (firsts + sizes).tolist()
+        at = 0
+        for k0, k1, text, end in zip(*keys, batch.column("text"), ends.tolist()):
             data = text.as_py().encode()
-            for p in packs.as_py():
-                first = (p["pack"] >> 16) - (p["pack"] >> 8 & 255)
-                s0, cut = -(p["pack"] >> 8 & 255), data[first : first + (p["pack"] & 255) + LENGTH]
-                out.append((k0, k1, first, p["hot"], p["h"], _digest(s0, cut), s0, cut))
+            for i in range(at, end):
+                cut = data[firsts[i] : lasts[i]]
+                out.append((k0, k1, firsts[i], hot[i], h[i], _digest(-before[i], cut), -before[i], cut))
                 size += len(cut)
+            at = end
             if size > CHUNK:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _PLACED)], schema=_PLACED)
                 out, size = [], 0
@@ -355,23 +363,48 @@ def _pieces(width: int):
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by group; whole groups are gathered up to the size of one suffix array."""
+    """Rows come sorted by group; whole groups are gathered up to the size of one suffix array.
+
+    All windows of one context differ, as they have their anchor at different offsets: a group of a single
+    context needs no array.
+    """
+
+    def rows_of(found: list[tuple[bytes, int, int]]) -> pa.RecordBatch:
+        out = zip(*found) if found else ([], [], [])
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.binary(), pa.int32(), pa.int32()))], ["ctx", "lo", "hi"])
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
         _, ids, offsets, contexts, weights = zip(*rows)
-        found = repeated_starts(list(contexts), np.array(offsets), np.array(weights))
-        out = zip(*((ids[c], a, b) for c, a, b in found)) if found else ([], [], [])
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.binary(), pa.int32(), pa.int32()))], ["ctx", "lo", "hi"])
+        return rows_of([(ids[c], a, b) for c, a, b in repeated_starts(list(contexts), np.array(offsets), np.array(weights))])
 
     waiting: list[tuple] = []
-    size = 0  # blocks waiting
+    size = first = 0  # blocks waiting; where the last group begins
+    alone: list[tuple[bytes, int, int]] = []
+
+    def close() -> None:
+        nonlocal size
+        if len(waiting) == first + 1:
+            _, ctx, _, data, n = waiting.pop()
+            size -= len(data) // BLOCK + 1
+            if n > 1:
+                alone.append((ctx, 0, len(data) - LENGTH))
+
     for batch in batches:
         for row in zip(*(batch.column(c).to_pylist() for c in ("grp", "ctx", "s0", "bytes", "n"))):
-            if size >= ARRAY_BLOCKS and waiting[-1][0] != row[0]:
-                yield solve(waiting)
-                waiting, size = [], 0
+            if waiting and waiting[-1][0] != row[0]:
+                close()
+                first = len(waiting)
+                if size >= ARRAY_BLOCKS:
+                    yield solve(waiting)
+                    waiting.clear()
+                    size = first = 0
             waiting.append(row)
             size += len(row[3]) // BLOCK + 1
+        yield rows_of(alone)
+        alone.clear()
+    if waiting:
+        close()
+    yield rows_of(alone)
     if waiting:
         yield solve(waiting)
 
@@ -444,7 +477,7 @@ def find_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     found = publish(docs.mapInArrow(_anchor_rows, _ANCHORS))
     repeated = publish(found.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h", (F.col("c") > part).alias("hot")))
     packs = found.join(repeated, "h").groupBy(*KEY).agg(F.collect_set(F.struct("h", "pack", "hot")).alias("packs"))
-    candidates = publish(docs.join(packs, KEY))
+    candidates = publish_bucketed(docs, packs, KEY)  # whole texts move once
 
     contexts = candidates.mapInArrow(_contexts, "_k0 long, _k1 long, first int, hot boolean, grp long, ctx binary, s0 int, bytes binary")
     distinct = publish(contexts.groupBy("ctx").agg(F.count("*").alias("n"), *(F.any_value(c).alias(c) for c in ("hot", "grp", "s0", "bytes"))))
