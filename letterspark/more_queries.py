@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from letterspark.functions import text as T
 from letterspark.operators import compare as X
-from letterspark.operators import headers as E
 from letterspark.operators import labels as G
 from letterspark.operators import scoring as K
-from letterspark.queries import ORACLE_SQL, QUERIES, SCORED, WILSON, _addr_sql, _field_sql, query
+from letterspark import header_queries, text_queries  # noqa: F401  they register their queries
+from letterspark.queries import ORACLE_SQL, QUERIES, SCORED, WILSON, query
 from letterspark.sources import messages as A
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -44,41 +43,12 @@ def a9_typed_cells(t):
 
 
 # ---------------------------------------------------------------- text
-@query("select d.doc_id, regexp_matches(d.text, '(?i)(?:https?://|www\\.)[^ \\t\\r\\n]+|href=') or coalesce(l.toxic = 1, false) as has_link from documents d left join labels l on d.doc_id = l.doc_id")
-def d12_link_or_flag(t):
-    flags = t("labels").select("doc_id", (col("toxic") == 1).alias("flag"))
-    return t("documents").join(flags, "doc_id", "left").select("doc_id", (T.has_link(col("text")) | F.coalesce("flag", F.lit(False))).alias("has_link"))
-
-
-@query("select source, count(*) filter (where regexp_matches(r, '@')) as leftovers, count(*) as n from (select source, regexp_replace(text, '" + T.EMAIL + "', '[EMAIL]', 'g') as r from documents) group by source")
-def d14_leftovers(t):
-    rows = t("documents").select("source", F.regexp_replace("text", T.EMAIL, "[EMAIL]").alias("r"))
-    return rows.groupBy("source").agg(F.count_if(F.contains("r", F.lit("@"))).alias("leftovers"), F.count("*").alias("n"))
-
-
-@query("select category, count(*) filter (where lang = 'en') as en, count(*) filter (where lang = 'de') as de, count(*) filter (where lang = 'fr') as fr from fx_docs group by 1")
+@query("select category, count(*) filter (where lang = 'en') as en, count(*) filter (where lang = 'de') as de, count(*) filter (where lang = 'fr') as fr, count(*) filter (where coalesce(lang, '') not in ('en', 'de', 'fr')) as other from fx_docs group by 1")
 def d15_contingency(t):
     lang = F.when(col("lang").isin("en", "de", "fr"), col("lang")).otherwise("other")  # null included: the cells add up to the documents
     return t("fx_docs").withColumn("_lang", lang).groupBy("category").pivot("_lang", ["en", "de", "fr", "other"]).agg(F.count(F.lit(1))).fillna(0)
 
 
-# ---------------------------------------------------------------- headers
-REPLY = f"nullif(split_part(lower({_field_sql('Reply-To')}), '@', 2), '')"
-FROM = f"nullif(split_part({_addr_sql('From')}, '@', 2), '')"
-
-
-@query(f"select id, case when {REPLY} is null then null else {REPLY} <> {FROM} end as reply_to_divergence, {FROM} = 'acme.co.uk' or ends_with({FROM}, '.acme.co.uk') as org_match from fx_headers")
-def e17_evidence_columns(t):
-    reply, own = (E.domain(E.address(E.field(col("raw_headers"), n))) for n in ("Reply-To", "From"))
-    return t("fx_headers").select("id", (reply != own).alias("reply_to_divergence"), ((own == "acme.co.uk") | own.endswith(".acme.co.uk")).alias("org_match"))
-
-
-@query(f"select source, count(*) as n, round(avg(coalesce({REPLY} <> {FROM}, false)::int) * 100, 4) as divergent from fx_headers group by source")
-def e19_evidence_percent(t):
-    reply, own = (E.domain(E.address(E.field(col("raw_headers"), n))) for n in ("Reply-To", "From"))
-    return t("fx_headers").groupBy("source").agg(F.count("*").alias("n"), F.round(F.avg(F.coalesce(reply != own, F.lit(False)).cast("int")) * 100, 4).alias("divergent"))
-
-
 # ---------------------------------------------------------------- labels
 @query("select user_id as item, arg_max(case when value >= 50 then value end, case when value >= 50 then event_id end) as answer, count(*) filter (where not value >= 50) as refused from events group by 1")
 def g5_latest_valid(t):

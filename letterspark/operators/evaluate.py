@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from letterspark.plans.prefix import running_sum
+from letterspark.plans.prefix import ranged, running_sum
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -43,7 +43,8 @@ def weighted_auc(df: DataFrame, by: str, score: str, truth: Column, weight: Colu
     """AUC with ties as half, from one row for each score and sums over score ranges."""
     w = weight if weight is not None else F.lit(1)
     n = df.groupBy(by, score).agg(F.sum(F.when(truth, w).otherwise(0)).alias("p"), F.sum(F.when(truth, 0).otherwise(w)).alias("q"))
-    n = running_sum(n, [by], score, "q", "below", score, bucket=F.floor(score).cast("long"))
+    n, place = ranged(n, score)
+    n = running_sum(n, [by], score, "q", "below", score, bucket=place)
     s = n.groupBy(by).agg(F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)).alias("s"), F.sum("p").alias("pos"), F.sum("q").alias("neg"))
     return s.select(by, F.when((F.col("pos") > 0) & (F.col("neg") > 0), F.round(F.col("s") / (F.col("pos") * F.col("neg")), 6)).alias("auc"))
 
@@ -52,7 +53,8 @@ def matched_cut(df: DataFrame, score: str, truth: Column, rate: float) -> DataFr
     """The (k+1)-th largest score of the negatives, k = floor(rate * negatives)."""
     negative = df.where(~truth)
     counts = negative.groupBy(score).agg(F.count("*").alias("n")).withColumn("_all", F.lit(0)).withColumn("_neg", -F.col(score))
-    ranked = running_sum(counts, ["_all"], "_neg", "n", "above", score, bucket=F.floor("_neg").cast("long"))
+    counts, place = ranged(counts, "_neg")
+    ranked = running_sum(counts, ["_all"], "_neg", "n", "above", score, bucket=place)
     total = negative.agg(F.floor(F.count("*") * rate).alias("k"))
     return ranked.crossJoin(F.broadcast(total)).where("above <= k and k < above + n").agg(F.max(score).alias("cut"))
 

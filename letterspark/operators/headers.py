@@ -1,11 +1,21 @@
-"""Header blocks to evidence columns."""
+"""Header blocks to fields and evidence columns; all of it row by row, without a shuffle."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-FREE_MAIL = ("gmail.com", "protonmail.com", "yahoo.com", "outlook.com", "hotmail.com")
+from letterspark.operators.domains import is_free_mailbox, registered, similarity
+
+# The headers whose coverage is reported.
+HEADERS = [
+    "Message-ID", "Date", "Reply-To", "Return-Path", "Received", "Authentication-Results", "Received-SPF", "DKIM-Signature", "In-Reply-To", "References", "X-Mailer", "User-Agent", "List-Id", "X-Original-From",
+]
+# Known results of a check; others are ``other``.
+RESULTS = ("pass", "fail", "softfail", "neutral", "none", "temperror", "permerror", "policy")
+# Domains that collect mail of others, which name no organisation.
+COLLECTORS = ("monkey.org", "example.com", "example.net", "example.org", "domain.com", "ceas-challenge.cc", "taint.org")
+METHODS = ("dmarc", "dkim", "spf")
 
 
 def split_message(raw: Column) -> tuple[Column, Column]:
@@ -15,26 +25,81 @@ def split_message(raw: Column) -> tuple[Column, Column]:
     return F.when(at > 0, F.substring(raw, F.lit(1), at - 1)).otherwise(raw), F.when(at > 0, F.substring(raw, at + 2, F.length(raw))).otherwise("")
 
 
+def unfolded(headers: Column) -> Column:
+    return F.regexp_replace(headers, r"\n[ \t]+", " ")
+
+
 def field(headers: Column, name: str) -> Column:
     """First value of a header, unfolded; NULL if absent."""
-    unfolded = F.regexp_replace(headers, r"\n[ \t]+", " ")
-    return F.nullif(F.trim(F.regexp_extract(unfolded, rf"(?i)(?:^|\n){name}:([^\n]*)", 1)), F.lit(""))
+    return F.nullif(F.trim(F.regexp_extract(unfolded(headers), rf"(?i)(?:^|\n){name}:([^\n]*)", 1)), F.lit(""))
+
+
+def values(headers: Column, name: str, most: int) -> Column:
+    """All values of a header, the topmost first."""
+    return F.slice(F.transform(F.regexp_extract_all(unfolded(headers), F.lit(rf"(?im)^{name}:([^\n]*)"), F.lit(1)), lambda x: F.trim(x)), 1, most)
+
+
+def usable(addr: Column) -> Column:
+    found = F.lower(F.trim(addr))
+    return F.when(found.rlike(r"^[^@ ]+@[^@ ]+\.[^@ ]+$"), found)
 
 
 def address(value: Column) -> Column:
     """Lower-case address in the last angle brackets, or the whole value; NULL if unusable."""
     inner = F.regexp_extract(value, r"<([^<>]*)>[^<>]*$", 1)
-    found = F.lower(F.trim(F.when(F.length(inner) > 0, inner).otherwise(value)))
-    return F.when(found.rlike(r"^[^@ ]+@[^@ ]+\.[^@ ]+$"), found)
+    return usable(F.when(F.length(inner) > 0, inner).otherwise(value))
+
+
+def display_name(value: Column) -> Column:
+    """What stands before the last angle brackets, without quotes; NULL if nothing."""
+    return F.nullif(F.trim(F.regexp_extract(value, r"^(.*)<[^<>]*>[^<>]*$", 1), F.lit(" \t\"'")), F.lit(""))
 
 
 def domain(addr: Column) -> Column:
     return F.substring_index(addr, "@", -1)
 
 
-def skeleton(name: Column) -> Column:
-    """Look-alike letters mapped together."""
-    return F.translate(F.replace(F.replace(F.lower(name), F.lit("rn"), F.lit("m")), F.lit("vv"), F.lit("w")), "01345$аеорсх", "oleassaeopcx")
+def to_domain(headers: Column) -> Column:
+    """Domain of the first usable address among the recipients."""
+    found = F.regexp_extract_all(field(headers, "To"), F.lit(r"([^ \t<>,;\"]+@[^ \t<>,;\"]+)"), F.lit(1))
+    return domain(F.get(F.filter(F.transform(found, usable), lambda x: x.isNotNull()), F.lit(0)))
+
+
+def message_ids(headers: Column, name: str, most: int = 100) -> Column:
+    """The ids in angle brackets of a header, at most ``most``."""
+    return F.slice(F.regexp_extract_all(F.coalesce(field(headers, name), F.lit("")), F.lit(r"(<[^<> ]+>)"), F.lit(1)), 1, most)
+
+
+def send_hour(headers: Column) -> Column:
+    """Hour of the date on the sender's own clock."""
+    hour = F.regexp_extract(field(headers, "Date"), r"[0-9]{4} ([0-9]{1,2}):[0-9]{2}", 1).try_cast("int")
+    return F.when(hour < 24, hour)
+
+
+def sent_at(headers: Column) -> Column:
+    """The date with its zone as a moment; NULL if it can't be read."""
+    text = F.regexp_extract(field(headers, "Date"), r"([0-9]{1,2} [A-Z][a-z]{2} [0-9]{4} [0-9]{2}:[0-9]{2}:[0-9]{2} [+-][0-9]{4})", 1)
+    return F.try_to_timestamp(text, F.lit("d MMM yyyy HH:mm:ss Z"))
+
+
+def fields(df: DataFrame, key: str = "id", headers: str = "raw_headers", *keep: str) -> DataFrame:
+    """A column for each field; a field that is there but can't be read is NULL and named in ``problems``."""
+    h = F.col(headers)
+    sender, reply, bounce = (field(h, n) for n in ("From", "Reply-To", "Return-Path"))
+    out = {
+        "from_name": display_name(sender), "from_addr": address(sender), "from_domain": domain(address(sender)), "reply_to": address(reply), "return_path": address(bounce), "to_domain": to_domain(h),
+        "subject": field(h, "Subject"), "message_id": F.get(message_ids(h, "Message-ID"), F.lit(0)), "in_reply_to": F.get(message_ids(h, "In-Reply-To"), F.lit(0)), "references": message_ids(h, "References"),
+        "list_id": field(h, "List-Id"), "mailer": F.coalesce(field(h, "X-Mailer"), field(h, "User-Agent")), "sent_at": sent_at(h), "send_hour": send_hour(h),
+    }
+    unread = {"sender": (sender, "from_addr"), "reply_to": (reply, "reply_to"), "return_path": (bounce, "return_path"), "to_domain": (field(h, "To"), "to_domain"), "date": (field(h, "Date"), "sent_at")}
+    found = df.select(key, *keep, *(v.alias(k) for k, v in out.items()), *(v.isNotNull().alias(f"_has_{k}") for k, (v, _) in unread.items()))
+    bad = F.array_compact(F.array(*(F.when(F.col(f"_has_{k}") & F.col(c).isNull(), k) for k, (_, c) in unread.items())))
+    return found.withColumn("problems", F.nullif(F.array_join(bad, ","), F.lit(""))).drop(*(f"_has_{k}" for k in unread))
+
+
+def problem_tally(parsed: DataFrame) -> DataFrame:
+    """How often each field couldn't be read."""
+    return parsed.where("problems is not null").select(F.explode(F.split("problems", ",")).alias("problem")).groupBy("problem").agg(F.count("*").alias("n"))
 
 
 def coverage(df: DataFrame, names: list[str], headers: str = "raw_headers", source: str = "source") -> DataFrame:
@@ -44,40 +109,165 @@ def coverage(df: DataFrame, names: list[str], headers: str = "raw_headers", sour
     return n.unpivot([source], names, "header", "share")
 
 
+def auth_lines(headers: Column) -> Column:
+    """``(server, clauses)`` of each Authentication-Results header, the topmost first; a header that begins with a result names no server."""
+
+    def line(value: Column) -> Column:
+        parts = F.transform(F.split(F.regexp_replace(value, r"\([^()]{0,500}\)", " "), ";"), lambda x: F.trim(x))
+        first = F.get(parts, F.lit(0))
+        named = ~F.contains(first, F.lit("="))
+        clauses = F.filter(F.slice(parts, F.when(named, 2).otherwise(1), F.size(parts)), lambda x: x != "")
+        return F.struct(F.when(named, F.nullif(F.regexp_extract(first, "^([^ \t]+)", 1), F.lit(""))).alias("server"), clauses.alias("clauses"))
+
+    return F.transform(values(headers, "Authentication-Results", 10), line)
+
+
+def normal_result(word: Column) -> Column:
+    w = F.lower(word)
+    return F.when(w == "hardfail", "fail").when(w == "bestguesspass", "pass").when(w.isin(*RESULTS), w).otherwise("other")
+
+
+def line_verdicts(lines: Column) -> Column:
+    """``(pos, method, result, domain)`` of every clause with a known method; of one method in one header a pass wins, else the first."""
+
+    def clause(x: Column) -> Column:
+        method = F.lower(F.regexp_extract(x, r"(?i)\b(spf|dkim|dmarc)[ \t]{0,5}=[ \t]{0,5}[a-z]{1,20}", 1))
+        result = F.regexp_extract(x, r"(?i)\b(?:spf|dkim|dmarc)[ \t]{0,5}=[ \t]{0,5}([a-z]{1,20})", 1)
+        own = [F.when(method == m, F.regexp_extract(x, rf"(?i)\b{p}[ \t]{{0,5}}=[ \t]{{0,5}}([^ \t;]{{1,255}})", 1)) for m, p in (("spf", r"smtp\.mailfrom"), ("dmarc", r"header\.from"), ("dkim", r"header\.[di]"))]
+        place = F.nullif(F.substring_index(F.lower(F.translate(F.coalesce(*own), "\"'<>", "")), "@", -1), F.lit(""))
+        return F.struct(method.alias("method"), normal_result(result).alias("result"), place.alias("domain"))
+
+    def of_line(line: Column, pos: Column) -> Column:
+        found = F.filter(F.transform(line["clauses"], clause), lambda c: c["method"] != "")
+
+        def best(m: str) -> Column:
+            mine = F.filter(found, lambda c: c["method"] == m)
+            pick = F.coalesce(F.get(F.filter(mine, lambda c: c["result"] == "pass"), F.lit(0)), F.get(mine, F.lit(0)))
+            return F.when(pick.isNotNull(), F.struct(pos.alias("pos"), line["server"].alias("server"), pick["method"].alias("method"), pick["result"].alias("result"), pick["domain"].alias("domain")))
+
+        return F.array_compact(F.array(*map(best, METHODS)))
+
+    return F.flatten(F.transform(lines, of_line))
+
+
 def verdicts(df: DataFrame, key: str = "id", headers: str = "raw_headers") -> DataFrame:
-    """``(id, pos, server, method, result, domain)`` of every Authentication-Results clause; unknown results are ``other``."""
-    unfolded = F.regexp_replace(headers, r"\n[ \t]+", " ")
-    lines = df.select(key, F.posexplode(F.regexp_extract_all(unfolded, F.lit(r"(?m)^Authentication-Results:[ ]*([^\n]*)"), F.lit(1))).alias("pos", "line"))
-    clean = F.regexp_replace("line", r"\([^)]*\)", "")
-    parts = lines.select(key, "pos", F.split(clean, ";").alias("p")).select(key, "pos", F.trim(F.element_at("p", 1)).alias("server"), F.explode(F.slice("p", 2, 100)).alias("clause"))
-    # several methods may share a clause: each is a match of its own
-    each = parts.select(key, "pos", "server", F.explode(F.regexp_extract_all("clause", F.lit(r"((?:spf|dkim|dmarc)=[^=]*?(?:(?:smtp\.mailfrom|header\.d|header\.from)=[^ ]+|$))"), F.lit(1))).alias("c"))
-    result = F.lower(F.regexp_extract("c", r"^[a-z]+=([A-Za-z]+)", 1))
-    known = F.when(result.isin("pass", "fail", "softfail", "neutral", "none", "temperror", "permerror"), result).when(result == "hardfail", "fail").when(result == "bestguesspass", "pass").otherwise("other")
-    place = F.nullif(F.lower(F.substring_index(F.regexp_extract("c", r"(?:smtp\.mailfrom|header\.d|header\.from)=([^ ]+)", 1), "@", -1)), F.lit(""))
-    return each.select(key, "pos", "server", F.regexp_extract("c", "^([a-z]+)=", 1).alias("method"), known.alias("result"), place.alias("domain"))
-
-
-def trusted(rows: DataFrame, suffix: str, key: str = "id") -> DataFrame:
-    """Verdicts above the first foreign server; the highest report of a method wins, a pass before others in one header."""
-    foreign = rows.where(~F.col("server").endswith(suffix)).groupBy(key).agg(F.min("pos").alias("stop"))
-    kept = rows.join(foreign, key, "left").where(F.col("stop").isNull() | (F.col("pos") < F.col("stop")))
-    order = F.struct("pos", (F.col("result") != "pass").alias("not_pass"), "domain")
-    return kept.groupBy(key, "method").agg(F.min_by(F.struct("result", "domain"), order).alias("r")).select(key, "method", "r.result", "r.domain")
-
-
-def authenticated(rows: DataFrame, key: str = "id") -> DataFrame:
-    """Authenticated domain by precedence dmarc, dkim, spf."""
-    wide = rows.groupBy(key).pivot("method", ["dmarc", "dkim", "spf"]).agg(F.first("result").alias("result"), F.first("domain").alias("domain"))
-    pick = lambda m: F.when(F.col(f"{m}_result") == "pass", F.col(f"{m}_domain"))
-    return wide.select(key, F.col("spf_result").alias("spf"), F.col("dkim_result").alias("dkim"), F.col("dmarc_result").alias("dmarc"), F.coalesce(*map(pick, ("dmarc", "dkim", "spf"))).alias("authenticated_domain"))
+    """``(id, pos, server, method, result, domain)`` of every Authentication-Results header."""
+    return df.select(key, auth_lines(F.col(headers)).alias("l")).select(key, F.explode(line_verdicts(F.col("l"))).alias("v")).select(key, "v.*")
+
+
+def trusted_lines(lines: Column) -> Column:
+    """The topmost header, and those right below it while their server belongs to the same registered domain."""
+
+    def keep(x: Column) -> Column:
+        orgs = F.transform(x, lambda line: registered(line["server"]))
+        n = F.aggregate(F.slice(orgs, 2, 10), F.struct(F.lit(1).alias("n"), F.lit(True).alias("on")), lambda a, o: F.struct((a["n"] + (a["on"] & F.coalesce(o == F.get(orgs, F.lit(0)), F.lit(False))).cast("int")).alias("n"), (a["on"] & F.coalesce(o == F.get(orgs, F.lit(0)), F.lit(False))).alias("on")))["n"]
+        return F.slice(x, F.lit(1), n)
+
+    return F.get(F.transform(F.array(lines), keep), F.lit(0))
+
+
+def of_method(found: str, method: str) -> Column:
+    """The first verdict of a method."""
+    return F.get(F.filter(found, lambda x: x["method"] == method), F.lit(0))
+
+
+def trusted(df: DataFrame, key: str = "id", headers: str = "raw_headers") -> DataFrame:
+    """``(id, pos, method, result, domain)``: the highest report of each method in trusted headers."""
+    found = df.select(key, auth_lines(F.col(headers)).alias("l")).select(key, line_verdicts(trusted_lines(F.col("l"))).alias("v"))
+    one = [of_method("v", m) for m in METHODS]
+    return found.select(key, F.explode(F.array_compact(F.array(*one))).alias("v")).select(key, "v.pos", "v.method", "v.result", "v.domain")
+
+
+def authentication(df: DataFrame, key: str = "id", headers: str = "raw_headers", *keep: str) -> DataFrame:
+    """States of the three methods, where they were read, and the domain vouched for by dmarc, else dkim, else spf; every message has a row."""
+    h = F.col(headers)
+    lines = df.select(key, *keep, auth_lines(h).alias("l"), field(h, "Received-SPF").alias("s"))
+    found = lines.select(key, *keep, "s", (F.size("l") > 0).alias("some"), line_verdicts(trusted_lines(F.col("l"))).alias("v"))
+    for m in METHODS:
+        found = found.withColumn(f"_{m}", of_method("v", m))
+    fallback = ~F.col("some") & F.col("s").isNotNull()
+    lower = F.greatest(*(F.coalesce(F.col(f"_{m}.pos"), F.lit(0)) for m in METHODS)) > 0
+    states = {m: F.coalesce(F.col(f"_{m}.result"), F.lit("unknown")) for m in METHODS}
+    states["spf"] = F.when(fallback, normal_result(F.regexp_extract("s", "^([^ \t]+)", 1))).otherwise(states["spf"])
+    source = F.when(F.col("some"), F.when(lower, "authentication-results-internal").otherwise("authentication-results")).when(fallback, "received-spf").otherwise("none")
+    vouched = F.coalesce(*(F.when((F.col(f"_{m}.result") == "pass") & F.col(f"_{m}.domain").isNotNull(), F.col(f"_{m}.domain")) for m in METHODS))
+    return found.select(key, *keep, *(states[m].alias(m) for m in ("spf", "dkim", "dmarc")), source.alias("auth_source"), registered(vouched).alias("authenticated_domain"))
+
+
+def auth_format(headers: Column, most: int = 3) -> Column:
+    """Server domain and method names of the first Authentication-Results headers; NULL without one."""
+
+    def part(line: Column, i: Column) -> Column:
+        methods = F.array_sort(F.array_distinct(F.filter(F.transform(line["clauses"], lambda x: F.lower(F.regexp_extract(x, r"(?i)^([a-z][a-z0-9_.-]{0,30})[ \t]{0,5}=", 1))), lambda x: x != "")))
+        where = F.when(line["server"].isNull(), "no server name").otherwise(F.coalesce(registered(line["server"]), F.lit("not a domain")))
+        return F.concat((i + 1).cast("string"), F.lit(" "), where, F.lit(": "), F.when(F.size(methods) > 0, F.array_join(methods, ",")).otherwise("no results"))
+
+    return F.nullif(F.array_join(F.transform(F.slice(auth_lines(headers), 1, most), part), " | "), F.lit(""))
+
+
+def top_formats(df: DataFrame, by: str, fmt: str, n: int = 5) -> DataFrame:
+    """The most frequent formats of each source with their share of its messages."""
+    counts = df.groupBy(by, fmt).agg(F.count("*").alias("n"))
+    total = counts.groupBy(by).agg(F.sum("n").alias("_all"))
+    known = counts.where(F.col(fmt).isNotNull())
+    ranked = known.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("n"), fmt))).where(F.col("rank") <= n)
+    return ranked.join(total, by).withColumn("share", F.round(F.col("n") / F.col("_all"), 6)).drop("_all")
 
 
 def origin_ip(headers: Column) -> Column:
-    """First public IPv4 address from the bottom of the Received chain."""
-    found = F.regexp_extract_all(headers, F.lit(r"(?m)^Received:[^\n]*?\(([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)\)"), F.lit(1))
-    public = F.filter(F.reverse(found), lambda x: ~x.rlike(r"^(?:10\.|127\.|192\.168\.|172\.(?:1[6-9]|2[0-9]|3[01])\.|0\.|169\.254\.)"))
-    return F.get(public, F.lit(0))
+    """First public IPv4 address from the bottom of the Received chain; what isn't an address or isn't public is passed over."""
+    lines = F.reverse(values(headers, "Received", 50))
+    found = F.flatten(F.transform(lines, lambda x: F.regexp_extract_all(x, F.lit(r"\b([0-9]{1,3}(?:\.[0-9]{1,3}){3})\b"), F.lit(1))))
+
+    def public(x: Column) -> Column:
+        o = F.transform(F.split(x, r"\."), lambda y: y.cast("int"))
+        a, b, c = (F.get(o, F.lit(k)) for k in range(3))
+        whole = ~F.exists(o, lambda y: y > 255) & ~x.rlike(r"(?:^|\.)0[0-9]")
+        # Ranges that aren't public
+        inner = (a.isin(0, 10, 127) | (a >= 240) | ((a == 100) & b.between(64, 127)) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168))
+                 | ((a == 192) & (b == 0) & c.isin(0, 2)) | ((a == 198) & b.isin(18, 19)) | ((a == 198) & (b == 51) & (c == 100)) | ((a == 203) & (b == 0) & (c == 113)))
+        return whole & ~inner
+
+    return F.get(F.filter(found, public), F.lit(0))
+
+
+def name_shows_address(name: Column, own: Column) -> Column:
+    """Whether a display name shows a domain or address that isn't the sender's own registered domain."""
+    shown = F.regexp_extract_all(F.coalesce(name, F.lit("")), F.lit(r"(?i)\b([a-z0-9-]{1,63}(?:\.[a-z0-9-]{1,63}){1,8})\b"), F.lit(1))
+    return F.exists(F.transform(shown, lambda x: registered(x)), lambda d: d.isNotNull() & ~d.eqNullSafe(own))
+
+
+def organisation(to: Column) -> Column:
+    """Registered domain of the recipient's organisation; NULL for collectors and mailbox providers."""
+    org = registered(to)
+    return F.when(~org.isin(*COLLECTORS) & ~is_free_mailbox(to), org)
+
+
+def evidence(df: DataFrame, key: str = "id", headers: str = "raw_headers", *keep: str) -> DataFrame:
+    """Three-valued evidence of each message: NULL is not known, never passed."""
+    h = F.col(headers)
+    auth = authentication(df, key, headers, headers, *keep)
+    sender = field(h, "From")
+    rows = auth.select(
+        key, *keep, "spf", "dkim", "dmarc", "auth_source", "authenticated_domain", address(sender).alias("_from"), display_name(sender).alias("from_name"), address(field(h, "Reply-To")).alias("_reply"),
+        address(field(h, "Return-Path")).alias("_bounce"), organisation(to_domain(h)).alias("org_domain"), registered(to_domain(h)).alias("recipient_domain"), field(h, "List-Id").isNotNull().alias("list_mail"), F.size(values(h, "Received", 50)).alias("received_hops"),
+        origin_ip(h).alias("origin_ip"), send_hour(h).alias("send_hour"),
+    )
+    rows = rows.withColumns({c: registered(domain(F.col(a))) for c, a in (("from_registered", "_from"), ("reply_domain", "_reply"), ("_bounce_reg", "_bounce"))})
+    own, org = F.col("from_registered"), F.col("org_domain")
+    divergent = F.when(F.col("_reply").isNull(), False).when(F.col("reply_domain").isNotNull() & own.isNotNull(), (F.col("reply_domain") != own) & ~F.col("list_mail"))
+    return rows.withColumns({
+        "auth_aligned": F.col("authenticated_domain") == own, "freemail": F.when(own.isNotNull(), is_free_mailbox(own)), "name_has_address": name_shows_address(F.col("from_name"), own), "reply_to_divergence": divergent,
+        "envelope_mismatch": F.col("_bounce_reg") != own, "from_matches_org": own == org, "org_lookalike_score": similarity(own, org),
+    }).drop("_from", "_reply", "_bounce", "_bounce_reg")
+
+
+EVIDENCE = ("auth_aligned", "freemail", "name_has_address", "list_mail", "reply_to_divergence", "envelope_mismatch", "from_matches_org")
+
+
+def evidence_percent(found: DataFrame, by: str = "source") -> DataFrame:
+    """Percentages of each source; what isn't known counts as not true."""
+    return found.groupBy(by).agg(F.count("*").alias("n"), *(F.round(F.avg(F.coalesce(F.col(c), F.lit(False)).cast("int")) * 100, 4).alias(c) for c in EVIDENCE))
 
 
 def top_values(df: DataFrame, by: str, value: str, n: int) -> DataFrame:

@@ -5,9 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Points by severity, and the lower ends of the bands.
-POINTS = {"low": 15.0, "medium": 35.0, "high": 60.0}
+# Points by severity, the lower ends of the bands, what each tactic of pressure adds to the multiplier, and the tactics that score points.
+POINTS = {"low": 5.0, "medium": 35.0, "high": 60.0}
 BANDS = {"high": 70, "medium": 35, "low": 0}
+PRESSURE = {"urgency": 0.25, "secrecy": 0.25}
+SCORED_TACTICS = ("authority", "urgency", "scarcity", "secrecy")
+TACTIC_POINTS, TACTIC_POINTS_MAX = 4.0, 12.0
+#: What to do, by band, and one sentence more by the type of the strongest claim.
+ACTIONS = {"low": "Nothing that could be checked was contradicted.", "medium": "Confirm by another route before acting on a request.", "high": "Don't act on this message; report it."}
+ADDENDA = {"payment_request": "Pay nothing until it is confirmed.", "data_request": "Send no data until the sender is confirmed.", "authority": "Look up the rank that is claimed.", "reply_direction": "Write to an address you already have."}
 SEVERITY = ("none", "low", "medium", "high")
 
 
@@ -29,23 +35,38 @@ def shift(severity: Column, steps: Column) -> Column:
 
 
 def strongest(ledger: DataFrame, reliability: DataFrame | None = None) -> DataFrame:
-    """The largest weighted points of each message, claim and claim type, over contradictions."""
+    """The largest weighted points of each message, claim and claim type, over contradictions.
+
+    ``reliability``: a factor for each rule (``reliability`` below), 1 where there is none.
+    """
     rows = ledger.where("contradiction").withColumn("p", points(F.col("severity")))
     if reliability is not None:
-        rows = rows.join(F.broadcast(reliability), "rule", "left").withColumn("p", F.col("p") * F.coalesce("factor", F.lit(1.0)))
+        rows = rows.join(reliability.select("rule", "factor"), "rule", "left").withColumn("p", F.col("p") * F.coalesce("factor", F.lit(1.0)))
     return rows.groupBy("msg_id", "claim_id", "claim_type").agg(F.max("p").alias("p")).where("p > 0")
 
 
-def score(ledger: DataFrame, reliability: DataFrame | None = None, decay: float = 0.5) -> DataFrame:
-    """Saturating sum of the groups, the k-th strongest times decay^k, rounded half up and at most 100."""
+def score(ledger: DataFrame, reliability: DataFrame | None = None, decay: float = 0.5, fired: DataFrame | None = None) -> DataFrame:
+    """``(msg_id, score, band, action)``: saturating sum of the groups, the k-th strongest times decay^k, times the pressure, plus the points of tactics.
+
+    ``fired``: ``(msg_id, tactic)``. Rounded half up and at most 100; every message of the ledger has a row.
+    """
     groups = strongest(ledger, reliability)
     order = Window.partitionBy("msg_id").orderBy(F.desc("p"), "claim_id", "claim_type")
     ranked = groups.withColumn("k", F.row_number().over(order) - 1)
-    sums = ranked.groupBy("msg_id").agg(F.sum(F.col("p") * F.pow(F.lit(decay), F.col("k"))).alias("raw"))
-    all_messages = ledger.select("msg_id").distinct()
-    out = all_messages.join(sums, "msg_id", "left")
-    value = F.least(F.lit(100), F.floor(F.coalesce("raw", F.lit(0.0)) + 0.5)).cast("int")
-    return out.select("msg_id", value.alias("score")).withColumn("band", band(F.col("score")))
+    sums = ranked.groupBy("msg_id").agg(F.sum(F.round(F.col("p") * F.pow(F.lit(decay), F.col("k")), 2)).alias("total"), F.min_by("claim_type", "k").alias("top"))
+    out = ledger.select("msg_id").distinct().join(sums, "msg_id", "left")
+    multiplier = extra = None
+    if fired is not None:
+        own = lambda names: F.count_distinct(F.when(F.col("tactic").isin(*names), F.col("tactic")))
+        pressure = sum((F.max(F.when(F.col("tactic") == k, v).otherwise(0.0)) for k, v in PRESSURE.items()), F.lit(1.0))
+        out = out.join(fired.groupBy("msg_id").agg(pressure.alias("_m"), F.least(F.lit(TACTIC_POINTS_MAX), TACTIC_POINTS * own(SCORED_TACTICS)).alias("_t")), "msg_id", "left")
+        multiplier, extra = F.coalesce("_m", F.lit(1.0)), F.coalesce("_t", F.lit(0.0))
+    raw = F.coalesce("total", F.lit(0.0))
+    raw = raw * multiplier + extra if multiplier is not None else raw
+    out = out.select("msg_id", F.least(F.lit(100), F.floor(raw + 0.5)).cast("int").alias("score"), "top").withColumn("band", band(F.col("score")))
+    text = F.coalesce(*(F.when(F.col("band") == k, F.lit(v)) for k, v in ACTIONS.items()))
+    more = F.coalesce(*(F.when(F.col("top") == k, F.lit(" " + v)) for k, v in ADDENDA.items()), F.lit(""))
+    return out.select("msg_id", "score", "band", F.when(F.col("band") == "low", text).otherwise(F.concat(text, more)).alias("action"))
 
 
 def coverage(ledger: DataFrame) -> DataFrame:

@@ -32,12 +32,13 @@ def deduplicate(df: DataFrame, order: list[Column], text: str = "text") -> DataF
     return best.select("r.*", "fp")
 
 
-def removed_pairs(df: DataFrame, order: list[Column], text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
-    """Counts of removed rows by their source and the source of the row kept."""
-    rows = df.withColumn("fp", fingerprint(F.col(text))).where("fp is not null")
-    kept = deduplicate(df, order, text).select("fp", F.col(source).alias("kept_source"), F.col(key).alias("kept_key"))
-    removed = rows.join(kept, "fp").where(F.col(key) != F.col("kept_key"))
-    return removed.groupBy(F.col(source).alias("removed_source"), "kept_source").agg(F.count("*").alias("n"))
+def removed_pairs(df: DataFrame, order: list[Column], text: str = "text", source: str = "source") -> DataFrame:
+    """Counts of removed rows by their source and the source of the row kept: of each group of copies, all rows but one."""
+    rows = df.select(F.col(source).alias("_source"), F.struct(*order).alias("_order"), fingerprint(F.col(text)).alias("fp")).where("fp is not null")
+    counts = rows.groupBy("fp", "_source").agg(F.count("*").alias("n"), F.min("_order").alias("_order"))
+    groups = counts.groupBy("fp").agg(F.sum("n").alias("_all"), F.min_by("_source", "_order").alias("kept_source")).where("_all > 1")
+    removed = counts.join(groups, "fp").withColumn("n", F.col("n") - F.col("_source").eqNullSafe(F.col("kept_source")).cast("int")).where("n > 0")
+    return removed.groupBy(F.col("_source").alias("removed_source"), "kept_source").agg(F.sum("n").alias("n"))
 
 
 def category_conflicts(df: DataFrame, text: str = "text", category: str = "category") -> DataFrame:

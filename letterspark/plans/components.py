@@ -2,25 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder (``spark.checkpoint.dir``; a temporary one where it is unset, as in tests)."""
-    context = df.sparkSession.sparkContext
-    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-ckpt-"))
-    return df.checkpoint(eager=True)
+from letterspark.plans.shared import cut
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Links every node's neighbours (large: those above it; else those below it and itself) to the least of its neighbours and itself."""
     sides = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
     # a checkpoint, so that both sides of the join are plain shuffles and a hub's partition can be split
-    least = _cut(sides.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+    least = cut(sides.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
     joined = sides.join(least, "a")
     if large:
         out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -38,14 +30,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
     alone = pairs.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("component"))
-    now = _cut(pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = cut(pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None
     while True:
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if tuple(seen) == mark or not seen.n:
             break
         mark = tuple(seen)
-        now = _cut(_star(_star(now, True), False))
+        now = cut(_star(_star(now, True), False))
     return (
         now.select(F.col("a").alias("node"), F.col("b").alias("component"))
         .unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")))

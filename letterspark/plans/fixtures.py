@@ -30,16 +30,47 @@ select concat('m', conv_id, '_', turn) as msg_key, conv_id as thread_id, turn as
 from {conversations}""",
     "fx_headers": """
 select o.o_orderkey as id, c.c_mktsegment as source,
-  concat('From: "', c.c_name, '" <u', c.c_custkey, '@',
-    case c.c_mktsegment when 'BUILDING' then 'gmail.com' when 'AUTOMOBILE' then 'pay.acme.co.uk' when 'MACHINERY' then 'acrne.co.uk' else 'mail.example.com' end, '>', chr(10),
-    case when o.o_orderkey % 4 = 0 then concat('Reply-To: r', c.c_custkey, '@protonmail.com', chr(10)) else '' end,
-    'To: ops@acme.co.uk', chr(10), 'Subject: Re: ', o.o_orderpriority, chr(10), ' ', 'order ', o.o_orderkey % 50, chr(10),
+  concat('From: "', case when o.o_orderkey % 9 = 2 then 'service@paypal.com' when o.o_orderkey % 9 = 5 then 'Acme acme.co.uk' else c.c_name end, '" <u', c.c_custkey,
+    case when o.o_orderkey % 31 = 7 then '' else '@' end,
+    case c.c_mktsegment when 'BUILDING' then 'gmail.com' when 'AUTOMOBILE' then 'pay.acme.co.uk' when 'MACHINERY' then 'acrne.co.uk' else 'mail.sender.com' end, '>', chr(10),
+    case when o.o_orderkey % 4 = 0 then concat('Reply-To: r', c.c_custkey, '@protonmail.com', chr(10)) when o.o_orderkey % 4 = 3 then concat('Reply-To: <x@www.acme.co.uk>', chr(10)) else '' end,
+    case when o.o_orderkey % 5 = 1 then concat('Return-Path: <bounce@mail.sender.com>', chr(10)) when o.o_orderkey % 5 = 2 then concat('Return-Path: <>', chr(10)) else '' end,
+    'To: ', case o.o_orderkey % 6 when 0 then 'undisclosed-recipients:;' when 1 then 'Bob <bob@gmail.com>' when 2 then 'team, "Ann" <ann@hq.acme.co.uk>' when 3 then 'x@monkey.org' else 'ops@acme.co.uk' end, chr(10),
+    'Subject: Re: ', o.o_orderpriority, chr(10), ' ', 'order ', o.o_orderkey % 50, chr(10),
+    'Message-ID: <', o.o_orderkey, '@mail.sender.com>', chr(10),
+    case when o.o_orderkey % 3 = 0 then concat('In-Reply-To: <', o.o_orderkey - 1, '@x.example>', chr(10), 'References: <', o.o_orderkey - 2, '@x.example>', chr(10), ' <', o.o_orderkey - 1, '@x.example>', chr(10)) else '' end,
+    'Date: ', case when o.o_orderkey % 13 = 4 then 'yesterday' else concat('Mon, 5 Aug 2024 ', lpad(cast(o.o_orderkey % 24 as varchar(10)), 2, '0'), ':10:00 +0200') end, chr(10),
+    case when o.o_orderkey % 7 = 3 then concat('List-Id: <dev.lists.acme.co.uk>', chr(10)) else '' end,
+    case when o.o_orderkey % 5 = 3 then concat('User-Agent: Mailer ', o.o_orderkey % 3, chr(10)) else '' end,
     'Received: from relay (10.0.0.1) by mx.acme.co.uk', chr(10),
-    'Received: from host (203.', o.o_custkey % 200, '.7.', o.o_orderkey % 250, ') by relay', chr(10),
-    'Authentication-Results: mx.acme.co.uk; spf=', case o.o_orderstatus when 'F' then 'pass' when 'O' then 'fail' else 'bestguesspass' end,
-    ' smtp.mailfrom=u@mail.example.com; dkim=', case when o.o_orderkey % 5 = 0 then 'hardfail' else 'pass' end, ' header.d=mail.example.com', chr(10),
-    'Authentication-Results: ', case when o.o_orderkey % 2 = 0 then 'mx2.acme.co.uk' else 'evil.example.net' end, '; dmarc=pass header.from=gmail.com') as raw_headers
+    case when o.o_orderkey % 10 = 9 then concat('Received: from host ([999.1.1.1]) by 192.168.7.1', chr(10)) else concat('Received: from host (', 1 + o.o_custkey % 230, '.', o.o_orderkey % 200, '.7.', o.o_orderkey % 250, ') by relay', chr(10)) end,
+    case o.o_orderkey % 8 when 0 then concat('Received-SPF: ', case when o.o_orderkey % 16 = 0 then 'SoftFail (host)' else 'bogus' end, chr(10))
+      when 1 then concat('Authentication-Results: spf=pass (sender IP is 1.2.3.4) smtp.mailfrom=mail.sender.com; dkim=none; dmarc=bestguesspass action=none header.from=sender.com', chr(10), 'Authentication-Results: mx.acme.co.uk; dkim=pass header.d=late.com', chr(10))
+      when 2 then concat('Authentication-Results: mx.acme.co.uk; auth=pass', chr(10), 'Authentication-Results: mx2.acme.co.uk; dkim=fail header.d=list.org; dkim=pass header.i=@mail.sender.com; spf=policy smtp.mailfrom=a@b.org', chr(10))
+      when 3 then ''
+      else concat('Authentication-Results: mx.acme.co.uk; spf=', case o.o_orderstatus when 'F' then 'pass' when 'O' then 'fail' else 'bestguesspass' end, ' (ok; see log) smtp.mailfrom=u@mail.sender.com; dkim=',
+        case when o.o_orderkey % 5 = 0 then 'hardfail' else 'pass' end, ' header.d=gmail.com', chr(10),
+        'Authentication-Results: ', case when o.o_orderkey % 2 = 0 then 'mx2.acme.co.uk' else 'evilacme.co.uk' end, '; dmarc=pass header.from=gmail.com', chr(10)) end,
+    'X-End: 1') as raw_headers
 from {orders} o join {customer} c on o.o_custkey = c.c_custkey""",
+    "fx_mail": """
+select doc_id, source, concat(text, case doc_id % 9
+  when 0 then concat(chr(10), 'Best regards,', chr(10), ' Ann Lee', chr(10), chr(10), '+1 555 0100')
+  when 1 then concat(chr(13), chr(10), 'On Monday Bob wrote:', chr(13), chr(10), '> old line', chr(10), ' > older', chr(10), 'inline')
+  when 2 then concat(chr(10), '-- ', chr(10), 'Ann', chr(10), 'Acme')
+  when 3 then concat(chr(10), '____________________', chr(10), 'To unsubscribe from this mailing list write to x@list.example.com')
+  when 4 then concat(chr(10), '> above', chr(10), '----- Original Message -----', chr(10), 'From: x', chr(10), 'thanks')
+  when 5 then ' see https://pay.example.com/a?b=1, or HTTP://X.COM/A. or mail Bob.Smith@acme.co.uk now or hxxp://bad.net or http : / / a . com / b'
+  when 6 then concat(chr(10), 'file INVOICE_7.pdf at Shop.example.org and bob @ acme . com, paypal . com, setup . exe, e.g. Mr.Smith version1.2 macro.docm')
+  when 7 then '<p>Hi <b>you</b></p><blockquote>old</blockquote><a href="http://x.com/a">here</a> &#233;&#x41;&amp;lt;'
+  else '' end) as text
+from {documents}""",
+    "fx_domains": """
+select c_custkey as id,
+  case c_custkey % 13 when 0 then 'mail.paypal.co.uk' when 1 then 'paypal.com.evil-site.ru' when 2 then 'acme.onmicrosoft.com' when 3 then 'paypa1.com' when 4 then 'localhost' when 5 then '.GMail.com.'
+    when 6 then 'rnicrosoft.net' when 7 then 'pаypal.org' when 8 then 'onmicrosoft.com' when 9 then 'co.uk' when 10 then 'microsofft.com' when 11 then 'vvalmart.com' else concat('a.b', c_custkey, '.de') end as domain,
+  case c_custkey % 4 when 0 then 'paypal.com' when 1 then 'microsoft.com' when 2 then 'www.acme.com' else 'walmart.com' end as target
+from {customer}""",
     "fx_ledger": """
 select l_orderkey as msg_id, concat('c', l_linenumber) as claim_id,
   case l_partkey % 4 when 0 then 'authority' when 1 then 'payment_request' when 2 then 'reply_direction' else 'data_request' end as claim_type,

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from letterspark.functions import text as T
 from letterspark.operators import evaluate as L
-from letterspark.operators import headers as E
 from letterspark.operators import lexicon as P
 from letterspark.operators import scoring as K
 from letterspark.operators import splits as C
@@ -200,166 +199,34 @@ def c15_seeded_limit(t):
     return C.seeded_limit(t("documents").select("doc_id"), "doc_id", 100)
 
 
-# ---------------------------------------------------------------- text
-MAIL = """mail as (select doc_id, source, concat(substr(text, 1, 400), case doc_id % 4 when 0 then ' see https://pay.example.com/a?b=1, or mail bob.smith@acme.co.uk now' when 1 then chr(13) || chr(10) || 'On Monday Bob wrote:' || chr(10) || '> old line' when 2 then chr(10) || 'file invoice_7.pdf at shop.example.org' else '' end) as text from documents)"""
-
-
-def _mail(t):
-    """Whole documents with a planted tail. The SQL view ``MAIL`` still cuts them to 400 characters (see README)."""
-    tail = F.when(col("doc_id") % 4 == 0, " see https://pay.example.com/a?b=1, or mail bob.smith@acme.co.uk now").when(col("doc_id") % 4 == 1, "\r\nOn Monday Bob wrote:\n> old line")
-    tail = tail.when(col("doc_id") % 4 == 2, "\nfile invoice_7.pdf at shop.example.org").otherwise("")
-    return t("documents").select("doc_id", "source", F.concat("text", tail).alias("text"))
-
-
-NL = r"regexp_replace(text, '\r\n?', chr(10), 'g')"
-
-
-@query(f"select doc_id, substr({NL}, 1, 1000) as text, length({NL}) > 1000 as truncated from documents")
-def d1_newlines_and_cap(t):
-    text, more = T.capped(col("text"), 1000)
-    return t("documents").select("doc_id", text.alias("text"), more.alias("truncated"))
-
-
-@query(r"select page_id, regexp_matches(html, '(?i)<(?:html|body|div|p|br|table|span|a|font|td|tr)(?:[ \t\n/][^>]*)?>') as is_html from pages")
-def d2_looks_like_html(t):
-    return t("pages").select("page_id", T.looks_like_html(col("html")).alias("is_html"))
-
-
-def _html_sql() -> str:
-    s = r"regexp_replace(html, '(?is)<!--.*?-->', '', 'g')"
-    for tag in ("script", "style", "head", "noscript", "title", "blockquote"):
-        s = rf"regexp_replace({s}, '(?is)<{tag}(?:[ \t\n][^>]*)?>.*?</{tag}>', '', 'g')"
-    s = rf"""regexp_replace({s}, '(?is)<a[ \t\n][^>]*?href="([^"]{{0,500}})"[^>]*>(.*?)</a>', '\2 [\1]', 'g')"""
-    s = rf"regexp_replace({s}, '(?i)<(?:/?(?:p|div|tr|table|h[1-6]|li|ul|ol|article|nav|footer)|br)(?:[ \t\n/][^>]*)?>', chr(10), 'g')"
-    s = rf"regexp_replace({s}, '<[^>]*>', '', 'g')"
-    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        s = f"replace({s}, '{name}', '{char}')"
-    return rf"select page_id, trim(regexp_replace({s}, '[ \t]*\n[ \t\n]*', chr(10), 'g')) as text from pages"
-
-
-@query(_html_sql())
-def d3_html_to_text(t):
-    return t("pages").select("page_id", T.html_to_text(col("html")).alias("text"))
-
-
-@query(r"select doc_id, trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g')) as text, len(list_filter(regexp_split_to_array(text, '[ \t\r\n]+'), lambda w: w <> '')) as n_words from documents")
-def d7_d18_squeeze(t):
-    return t("documents").select("doc_id", T.squeeze(col("text")).alias("text"), T.word_count(col("text")).alias("n_words"))
-
-
-def _redact_sql() -> str:
-    s, counts = "text", []
-    for pattern, name in ((T.URL, "URL"), (T.EMAIL, "EMAIL"), (T.FILE, "FILE"), (T.DOMAIN, "DOMAIN")):
-        counts.append(f"len(regexp_extract_all({s}, '{pattern}')) as n_{name.lower()}")
-        s = f"regexp_replace({s}, '{pattern}', '[{name}]', 'g')"
-    return f"with {MAIL} select doc_id, {s} as text, {', '.join(counts)} from mail"
-
-
-@query(_redact_sql())
-def d9_redact(t):
-    return _mail(t).select("doc_id", T.redact(col("text")).alias("text"), *(v.alias(k) for k, v in T.redaction_counts(col("text")).items()))
-
-
-@query(rf"with {MAIL} select source, count(*) as n, count(*) filter (where regexp_matches(text, '(?i)(?:https?://|www\.)[^ \t\r\n]+|href=')) as links, round(avg(length(text)), 4) as mean_chars from mail group by source")
-def d11_d13_link_summary(t):
-    return _mail(t).groupBy("source").agg(F.count("*").alias("n"), F.count_if(T.has_link(col("text"))).alias("links"), F.round(F.avg(F.length("text")), 4).alias("mean_chars"))
-
-
-@query(r"select doc_id, translate(case when length(text) > 2000 then regexp_replace(substr(text, 1, 2000), ' [^ ]*$', '') else text end, '<>', '()') as text from documents")
-def d16_model_text(t):
-    return t("documents").select("doc_id", T.model_text(col("text")).alias("text"))
-
-
-@query(rf"with {MAIL} select doc_id, translate(regexp_replace(text, '[\x00-\x1F\x7F]', ' ', 'g'), '<>', '()') as text from mail")
-def d19_display_safe(t):
-    return _mail(t).select("doc_id", T.display_safe(col("text")).alias("text"))
-
-
-# ---------------------------------------------------------------- headers
-UNFOLD = r"regexp_replace(raw_headers, '\n[ \t]+', ' ', 'g')"
-
-
-def _field_sql(name: str) -> str:
-    return rf"nullif(trim(regexp_extract({UNFOLD}, '(?i)(?:^|\n){name}:([^\n]*)', 1)), '')"
-
-
-NAMES = ["From", "Reply-To", "To", "Subject", "Date", "Authentication-Results"]
-
-
-@query(
-    "select source, header, share from (select source, "
-    + ", ".join(f"round(avg(regexp_matches(raw_headers, '(?i)(?:^|\\n){n}:')::int), 6) as \"{n}\"" for n in NAMES)
-    + " from fx_headers group by source) unpivot (share for header in ("
-    + ", ".join(f'"{n}"' for n in NAMES)
-    + "))"
-)
-def e2_header_coverage(t):
-    return E.coverage(t("fx_headers"), NAMES)
-
-
-def _addr_sql(name: str) -> str:
-    return rf"lower(trim(regexp_extract({_field_sql(name)}, '<([^<>]*)>[^<>]*$', 1)))"
-
-
-@query(f"select id, nullif({_addr_sql('From')}, '') as from_addr, {_field_sql('Subject')} as subject, {_field_sql('To')} as to_value, nullif(split_part({_addr_sql('From')}, '@', 2), '') in ('gmail.com', 'protonmail.com', 'yahoo.com', 'outlook.com', 'hotmail.com') as freemail from fx_headers")
-def e3_e4_e9_fields(t):
-    a = E.address(E.field(col("raw_headers"), "From"))
-    return t("fx_headers").select("id", a.alias("from_addr"), E.field(col("raw_headers"), "Subject").alias("subject"), E.field(col("raw_headers"), "To").alias("to_value"), E.domain(a).isin(*E.FREE_MAIL).alias("freemail"))
-
-
-@query(f"select distinct d, translate(replace(replace(lower(d), 'rn', 'm'), 'vv', 'w'), '01345$', 'oleass') as skeleton from (select split_part({_addr_sql('From')}, '@', 2) as d from fx_headers)")
-def e10_skeleton(t):
-    d = E.domain(E.address(E.field(col("raw_headers"), "From")))
-    return t("fx_headers").select(d.alias("d")).distinct().select("d", E.skeleton(col("d")).alias("skeleton"))
-
-
-VERDICTS = r"""lines as (select id, unnest(list_zip(range(0, 10), regexp_extract_all(raw_headers, '(?:^|\n)Authentication-Results:[ ]*([^\n]*)', 1))) as l from fx_headers),
-known as (select id, l[1] as pos, trim(split_part(l[2], ';', 1)) as server, unnest(['spf', 'dkim', 'dmarc']) as method, l[2] as line from lines where l[2] is not null),
-verd as (select id, pos, server, method, regexp_extract(line, method || '=([A-Za-z]+)', 1) as raw,
-  lower(split_part(regexp_extract(line, method || '=[A-Za-z]+ (?:smtp\.mailfrom|header\.d|header\.from)=([^ ;]+)', 1), '@', -1)) as domain from known where contains(line, method || '=')),
-verdict as (select id, pos, server, method, case when raw = 'hardfail' then 'fail' when raw = 'bestguesspass' then 'pass' when raw in ('pass', 'fail', 'softfail', 'neutral', 'none', 'temperror', 'permerror') then raw else 'other' end as result, domain from verd)"""
-TRUSTED = """foreign_ as (select id, min(pos) as stop from verdict where not ends_with(server, 'acme.co.uk') group by id),
-kept as (select v.*, row_number() over (partition by v.id, method order by pos, result <> 'pass', domain) as rn from verdict v left join foreign_ f on v.id = f.id where stop is null or pos < stop)"""
-
-
-@query(f"with {VERDICTS} select id, pos, server, method, result, domain from verdict")
-def e12_verdicts(t):
-    return E.verdicts(t("fx_headers"))
-
-
-@query(f"with {VERDICTS}, {TRUSTED} select id, method, result, domain from kept where rn = 1")
-def e13_trusted_verdicts(t):
-    return E.trusted(E.verdicts(t("fx_headers")), "acme.co.uk")
-
-
-@query(f"""with {VERDICTS}, {TRUSTED}, wide as (select id, max(result) filter (where method = 'spf') as spf, max(result) filter (where method = 'dkim') as dkim, max(result) filter (where method = 'dmarc') as dmarc,
-  max(domain) filter (where method = 'spf' and result = 'pass') as ds, max(domain) filter (where method = 'dkim' and result = 'pass') as dk, max(domain) filter (where method = 'dmarc' and result = 'pass') as dm from kept where rn = 1 group by id)
-select id, spf, dkim, dmarc, coalesce(dm, dk, ds) as authenticated_domain from wide""")
-def e14_authentication(t):
-    return E.authenticated(E.trusted(E.verdicts(t("fx_headers")), "acme.co.uk"))
+# ---------------------------------------------------------------- lexicon
+INVISIBLE = T.INVISIBLE
+GLUED = r"""regexp_replace(regexp_replace(translate(lower(text), '‘’‛ʼ´`' || '{inv}', repeat('''', 6)), '\[(url|email|file|domain)\]', ' plh\1 ', 'g'), '([a-z]) '' (t|s|re|ve|ll|d|m)([^a-z0-9]|$)', '\1''\2\3', 'g')""".replace("{inv}", INVISIBLE)
+NORM = rf"""trim(regexp_replace(regexp_replace(regexp_replace({GLUED}, '([a-z])''([a-z])', '\1\2', 'g'), '([a-z])''([a-z])', '\1\2', 'g'), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"""
+HITS = f"""words as (select doc_id, string_split({NORM}, ' ') as w from documents),
+place as (select doc_id, w, unnest(range(1, len(w) + 1)) as i from words),
+hits as (select doc_id, tactic, phrase, weight, i - 1 as start, len(string_split(phrase, ' ')) as size from place join fx_lexicon on w[i] = split_part(phrase, ' ', 1) and array_to_string(w[i : i + len(string_split(phrase, ' ')) - 1], ' ') = phrase)"""
 
 
-@query(r"select id, '203.' || split_part(regexp_extract(raw_headers, 'host \(203\.([0-9.]+)\)', 1), '.', 1) || substr(regexp_extract(raw_headers, 'host \(203\.([0-9.]+)\)', 1), length(split_part(regexp_extract(raw_headers, 'host \(203\.([0-9.]+)\)', 1), '.', 1)) + 1) as origin_ip from fx_headers")
-def e15_origin_ip(t):
-    return t("fx_headers").select("id", E.origin_ip(col("raw_headers")).alias("origin_ip"))
+ODD = "concat(text, case doc_id % 3 when 0 then concat(' don’t kee​p [URL] we ', chr(39), ' ll rock', chr(39), 'n', chr(39), 'roll') when 1 then concat(' it ', chr(39), ' s so', '­', 'ft_x') else '' end)"
 
 
-@query(f"select source, d, n, rank from (select source, d, count(*) as n, row_number() over (partition by source order by count(*) desc, d) as rank from (select source, nullif(split_part({_addr_sql('Reply-To')}, '@', 2), '') as r, split_part({_addr_sql('From')}, '@', 2) as d from fx_headers) group by source, d) where rank <= 8")
-def e20_top_domains(t):
-    h = t("fx_headers").select("source", E.domain(E.address(E.field(col("raw_headers"), "From"))).alias("d"))
-    return E.top_values(h, "source", "d", 8)
+@query(f"with odd as (select doc_id, {ODD} as text from documents) select doc_id, {NORM} as text from odd")
+def f1_normalise(t):
+    return t("documents").select("doc_id", F.expr(ODD).alias("text")).select("doc_id", T.normalise(col("text")).alias("text"))
 
 
-# ---------------------------------------------------------------- lexicon
-NORM = r"""trim(regexp_replace(regexp_replace(replace(replace(lower(text), '’', ''''), '‘', ''''), '\[(url|email|file|domain)\]', ' \1token ', 'g'), '[^\p{L}\p{N}'']+', ' ', 'g'))"""
-HITS = f"""words as (select doc_id, string_split({NORM}, ' ') as w from documents),
-place as (select doc_id, w, unnest(range(1, len(w) + 1)) as i from words),
-hits as (select doc_id, tactic, phrase, weight, i - 1 as start, len(string_split(phrase, ' ')) as size from place join fx_lexicon on w[i] = split_part(phrase, ' ', 1) and array_to_string(w[i : i + len(string_split(phrase, ' ')) - 1], ' ') = phrase)"""
+TACTICS = ("t1", "t2", "t3", "t4")
+BAD_LEXICON = "lex as (select tactic, phrase, strength from fx_lexicon union all select * from (values ('t9', 'x', 'weak'), ('t1', 'The', 'weak'), ('t2', '!!', 'weak'), ('t2', 'a b c d e f g h i j k l m', 'strong'), ('t3', 'ok', 'loud')) as v(tactic, phrase, strength))"
 
 
-@query(f"select doc_id, {NORM} as text from documents")
-def f1_normalise(t):
-    return t("documents").select("doc_id", T.normalise(col("text")).alias("text"))
+@query(f"""with {BAD_LEXICON}, n as (select *, {NORM.replace('(text)', '(phrase)')} as n from lex), s as (select *, len(list_filter(string_split(n, ' '), lambda w: w <> '')) as size from n)
+select tactic, phrase, case when tactic not in ('t1', 't2', 't3', 't4') then 'unknown tactic' when strength not in ('strong', 'weak') then 'bad strength' when size = 0 then 'empty' else 'too long' end as problem from s where tactic not in ('t1', 't2', 't3', 't4') or strength not in ('strong', 'weak') or size = 0 or size > 12
+union all select tactic, min(phrase), 'duplicate' from s where size > 0 group by tactic, n having count(*) > 1 union all select x, null, 'no phrases' from (values ('t1'), ('t2'), ('t3'), ('t4')) as v(x) where x not in (select tactic from lex)""")
+def f2_lexicon_problems(t):
+    lex = t("fx_lexicon").select("tactic", "phrase", "strength")
+    more = [("t9", "x", "weak"), ("t1", "The", "weak"), ("t2", "!!", "weak"), ("t2", "a b c d e f g h i j k l m", "strong"), ("t3", "ok", "loud")]
+    return P.lexicon_problems(lex.unionByName(lex.sparkSession.createDataFrame(more, "tactic string, phrase string, strength string")), TACTICS)
 
 
 @query(f"with {HITS} select doc_id, tactic, phrase, count(*) as n from hits group by all")
@@ -367,17 +234,38 @@ def f3_phrase_hits(t):
     return P.phrase_hits(t("documents"), t("fx_lexicon")).groupBy("doc_id", "tactic", "phrase").agg(F.count("*").alias("n"))
 
 
-@query()
+SPANS = f"""{HITS}, m as (select *, row_number() over (partition by doc_id, tactic order by size desc, start, phrase) as rn from hits),
+fold as (select doc_id, tactic, 0::bigint as rn, []::struct(a int, b int)[] as used, []::varchar[] as seen, 0.0::double as score from (select distinct doc_id, tactic from hits)
+  union all select f.doc_id, f.tactic, m.rn, case when t.taken or m.size = 1 then used else list_append(used, {{'a': m.start::int, 'b': (m.start + m.size)::int}}) end,
+    case when t.taken or list_contains(seen, m.phrase) then seen else list_append(seen, m.phrase) end, case when t.taken or list_contains(seen, m.phrase) then score else score + m.weight end
+  from fold f join m on f.doc_id = m.doc_id and f.tactic = m.tactic and m.rn = f.rn + 1, lateral (select len(list_filter(f.used, lambda u: m.start < u.b and m.start + m.size > u.a)) > 0 as taken) t),
+scores as (select doc_id, tactic, arg_max(score, rn) as score from fold group by 1, 2)"""
+
+
+@query(f"with recursive {SPANS} select doc_id, tactic, score, score >= case tactic when 't1' then 1.5 when 't2' then 0.5 else 1.0 end as fired from scores")
 def f4_f5_tactic_scores(t):
-    return P.fired(P.tactic_scores(P.phrase_hits(t("documents"), t("fx_lexicon"))))
+    return P.fired(P.tactic_scores(P.phrase_hits(t("documents"), t("fx_lexicon"))), {"t1": 1.5, "t2": 0.5})
 
 
-@query()
+@query(f"""with recursive {SPANS}, x as (select t.tactic, d.doc_id, d.category, d.source, coalesce(score, 0) as s from fx_docs d cross join (select distinct tactic from scores) t left join scores on d.doc_id = scores.doc_id and t.tactic = scores.tactic)
+select tactic, case when grouping(category) = 1 and grouping(source) = 1 then 'all' when grouping(source) = 1 then 'category:' || category else 'source:' || source end as scope, count(*) as n, count(*) filter (where s >= 1) as fired, count(*) filter (where s > 0) as any_hit, round(avg(s), 6) as mean_score
+from x group by grouping sets ((tactic), (tactic, category), (tactic, source))""")
 def f6_hit_rates(t):
     docs = t("fx_docs")
     return P.hit_rates(docs, P.tactic_scores(P.phrase_hits(docs, t("fx_lexicon"))))
 
 
+@query(f"""with {HITS}, d as (select doc_id, category in ('phishing', 'fraud', 'spam') as attack from fx_docs), z as (select count(*) filter (where attack) as na, count(*) filter (where not attack) as nh from d),
+n as (select tactic, count(distinct case when attack then doc_id end) as a, count(distinct case when not attack then doc_id end) as h from hits join d using (doc_id) group by 1),
+r as (select l.tactic, coalesce(a, 0) / nullif(na, 0) as ra, coalesce(h, 0) / nullif(nh, 0) as rh from (select distinct tactic from fx_lexicon) l left join n on l.tactic = n.tactic cross join z),
+p as (select tactic, phrase, count(distinct doc_id) as c from hits group by all), top_ as (select tactic, max(round(c / s, 6)) as v from (select *, sum(c) over (partition by tactic) as s from p) group by 1)
+select 'attack ratio' as "check", tactic, round(ra / nullif(rh, 0), 6) as value, case when ra > 0 and ra >= 1.5 * rh then 'PASS' else 'FAIL' end as status from r
+union all select 'coverage', tactic, round(ra, 6), case when ra >= 0.01 then 'PASS' else 'FAIL' end from r union all select 'dominant phrase', l.tactic, v, case when v <= 0.6 then 'PASS' else 'FAIL' end from (select distinct tactic from fx_lexicon) l left join top_ on l.tactic = top_.tactic""")
+def f8_sanity_checks(t):
+    docs = t("fx_docs")
+    return P.sanity_checks(t("fx_lexicon"), P.phrase_hits(docs, t("fx_lexicon")), docs)
+
+
 @query(f"with {HITS}, n as (select tactic, phrase, count(distinct doc_id) as documents from hits group by all), j as (select x.tactic, x.phrase, x.strength, coalesce(n.documents, 0) as documents from fx_lexicon x left join n on x.tactic = n.tactic and x.phrase = n.phrase) select *, case when sum(documents) over (partition by tactic) > 0 then round(documents / sum(documents) over (partition by tactic), 6) end as share from j")
 def f7_phrase_table(t):
     return P.phrase_table(t("fx_lexicon"), P.phrase_hits(t("documents"), t("fx_lexicon")))
@@ -403,9 +291,9 @@ def g10_majority(t):
 
 
 # ---------------------------------------------------------------- ledger, score
-PTS = "case severity when 'high' then 60.0 when 'medium' then 35.0 when 'low' then 15.0 else 0.0 end"
+PTS = "case severity when 'high' then 60.0 when 'medium' then 35.0 when 'low' then 5.0 else 0.0 end"
 SCORED = f"""groups_ as (select msg_id, claim_id, claim_type, max({PTS}) as p from fx_ledger where contradiction group by all having max({PTS}) > 0),
-raw as (select msg_id, sum(p * pow(0.5, k)) as raw from (select msg_id, p, row_number() over (partition by msg_id order by p desc, claim_id, claim_type) - 1 as k from groups_) group by 1),
+raw as (select msg_id, sum(round(p * pow(0.5, k), 2)) as raw from (select msg_id, p, row_number() over (partition by msg_id order by p desc, claim_id, claim_type) - 1 as k from groups_) group by 1),
 scored as (select msg_id, least(100, floor(coalesce(raw, 0) + 0.5))::int as score from (select distinct msg_id from fx_ledger) left join raw using (msg_id)),
 banded as (select *, case when score >= 70 then 'high' when score >= 35 then 'medium' else 'low' end as band from scored)"""
 
@@ -440,9 +328,23 @@ def i18_top_reasons(t):
     return K.top_reasons(t("fx_ledger"))
 
 
-@query(f"with {SCORED} select msg_id, score, band from banded")
+FACTOR = "case rule when 'r0' then 0.0 when 'r4' then 0.5 else 1.0 end"
+FIRED = "fired as (select o_orderkey as msg_id, unnest(list_filter([case when o_orderkey % 5 = 0 then 'urgency' end, case when o_orderkey % 7 = 0 then 'secrecy' end, case when o_orderkey % 2 = 0 then 'authority' end, case when o_orderkey % 3 = 0 then 'scarcity' end, 'other'], lambda x: x is not null)) as tactic from orders)"
+ACTION = "case band " + " ".join(f"when '{k}' then '{v.replace(chr(39), chr(39) * 2)}'" for k, v in K.ACTIONS.items()) + " end || case when band = 'low' then '' else coalesce(case top " + " ".join(f"when '{k}' then ' {v}'" for k, v in K.ADDENDA.items()) + " end, '') end"
+
+
+@query(f"""with groups_ as (select msg_id, claim_id, claim_type, max({PTS} * {FACTOR}) as p from fx_ledger where contradiction group by all having max({PTS} * {FACTOR}) > 0),
+k as (select *, row_number() over (partition by msg_id order by p desc, claim_id, claim_type) - 1 as k from groups_), raw as (select msg_id, sum(round(p * pow(0.5, k), 2)) as raw, arg_min(claim_type, k) as top from k group by 1), {FIRED},
+f as (select msg_id, 1 + 0.25 * count(*) filter (where tactic in ('urgency', 'secrecy')) as m, least(12, 4 * count(*) filter (where tactic <> 'other')) as x from fired group by 1),
+scored as (select l.msg_id, least(100, floor(coalesce(raw, 0) * coalesce(m, 1) + coalesce(x, 0) + 0.5))::int as score, top from (select distinct msg_id from fx_ledger) l left join raw on l.msg_id = raw.msg_id left join f on l.msg_id = f.msg_id),
+b as (select *, case when score >= 70 then 'high' when score >= 35 then 'medium' else 'low' end as band from scored)
+select msg_id, score, band, {ACTION} as action from b""")
 def k1_k3_score(t):
-    return K.score(t("fx_ledger"))
+    ledger = t("fx_ledger")
+    factors = ledger.sparkSession.createDataFrame([("r0", 0.0), ("r4", 0.5)], "rule string, factor double")
+    k = col("o_orderkey")
+    names = F.array_compact(F.array(*(F.when(k % m == 0, n) for n, m in (("urgency", 5), ("secrecy", 7), ("authority", 2), ("scarcity", 3))), F.lit("other")))
+    return K.score(ledger, factors, fired=t("orders").select(k.alias("msg_id"), F.explode(names).alias("tactic")))
 
 
 @query(f"with {SCORED} select o_orderpriority as source, band, count(*) as n, round(avg(score), 6) as mean_score from banded join orders on msg_id = o_orderkey group by all")
@@ -473,7 +375,7 @@ def k10_budget(t):
 
 
 @query("""with c as (select * from (values ('c1', 0.5, 60.0), ('c2', 0.5, 45.0), ('c3', 0.25, 60.0)) as v(config, decay, high_points)),
-g as (select config, decay, msg_id, claim_id, claim_type, max(case severity when 'high' then high_points when 'medium' then 35.0 when 'low' then 15.0 else 0.0 end) as p from fx_ledger cross join c where contradiction group by all),
+g as (select config, decay, msg_id, claim_id, claim_type, max(case severity when 'high' then high_points when 'medium' then 35.0 when 'low' then 5.0 else 0.0 end) as p from fx_ledger cross join c where contradiction group by all),
 r as (select config, msg_id, sum(p * pow(decay, k)) as raw from (select *, row_number() over (partition by config, msg_id order by p desc, claim_id, claim_type) - 1 as k from g where p > 0) group by 1, 2),
 s as (select config, least(100, floor(raw + 0.5))::int as score from r) select config, count(*) as messages, sum(score)::bigint as total, count(*) filter (where score >= 35) as alarms from s group by 1""")
 def k11_rescore_grid(t):
