@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 _MIX = np.uint32(0x9E3779B1)
@@ -24,8 +26,8 @@ def letter_runs(text: str) -> np.ndarray:
     return x if len(x) > 1 else x[:0]
 
 
-def buckets(x: np.ndarray, orders: tuple[int, ...], bits: int) -> np.ndarray:
-    """Buckets of all n-grams of ``x`` for the n in ``orders`` (ascending), one order after the other."""
+def buckets(x: np.ndarray, orders: tuple[int, ...], bits: int, starts: int | None = None) -> np.ndarray:
+    """Buckets of all n-grams of ``x`` (of those at the first ``starts`` places) for the n in ``orders`` (ascending), one order after the other."""
     if not len(x):
         return np.empty(0, np.uint32)
     x = x.astype(np.uint32)
@@ -38,5 +40,11 @@ def buckets(x: np.ndarray, orders: tuple[int, ...], bits: int) -> np.ndarray:
             h = (h[:-1] * _NEXT ^ (h[:-1] >> np.uint32(15))) + x[n - 1 :] * _MIX
         if n in orders:
             g = h ^ (h >> np.uint32(16))
-            out.append((g * np.uint32(0x85EBCA6B) ^ (g >> np.uint32(13))) * _MIX >> shift)
+            out.append(((g * np.uint32(0x85EBCA6B) ^ (g >> np.uint32(13))) * _MIX >> shift)[:starts])
     return np.concatenate(out) if out else np.empty(0, np.uint32)
+
+
+def bucket_parts(x: np.ndarray, orders: tuple[int, ...], bits: int, size: int) -> Iterator[np.ndarray]:
+    """The buckets of all n-grams of ``x`` in parts of ``size`` places; n-grams across the end of a part belong to it."""
+    for a in range(0, len(x), size):
+        yield buckets(x[a : a + size + orders[-1] - 1], orders, bits, size)

@@ -2,28 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from letterspark.plans.shared import ensure_checkpoint_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share (``spark.checkpoint.dir``).
-
-    Where the setting is absent, as in local tests, a temporary folder is made and set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-ckpt-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+    """The folder that the driver and all executors share (``spark.checkpoint.dir``; a temporary one where it is unset on a local master)."""
+    ensure_checkpoint_dir(spark)
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
 
 
 #: Bytes in an Arrow batch that goes to a Python worker.
@@ -38,11 +34,26 @@ def bound_batches(df: DataFrame) -> None:
         conf.set(key, f"{BATCH_BYTES}b")
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _tidy(spark: SparkSession) -> Iterator[None]:
+    """While a table is written: shuffle files go when the job ends, as the table takes their place."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def publish(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with _tidy(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -52,18 +63,13 @@ def publish_bucketed(left: DataFrame, right: DataFrame, keys: list[str]) -> Data
     n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"bucketed_{uuid.uuid4().hex}"
     joined = left.repartition(n, *keys).join(right.repartition(n, *keys), keys)
     writer = joined.write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}")
-    writer.bucketBy(n, *keys).sortBy(*keys).saveAsTable(name)
+    with _tidy(spark):
+        writer.bucketBy(n, *keys).sortBy(*keys).saveAsTable(name)
     table = spark.table(name)
     spark.sql(f"drop table {name}")  # the catalog's entry only: a table with a path of its own keeps its files
     return table
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of ``df`` in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def row_key(id_col: str, text_col: str) -> list[Column]:
     """Null-safe join key of a document row; rows equal in both columns share it."""
     return [F.coalesce(F.col(id_col), F.lit(0)).cast("long").alias("_k0"), F.xxhash64(F.col(id_col).isNull(), F.col(text_col)).alias("_k1")]

@@ -6,29 +6,38 @@ URL path and query; each is compared with the neighbour whose path shares the lo
 beginning, their lines are aligned by a longest common subsequence (bit-parallel), and
 shared lines are deleted. A neighbour that shares most of a page's text is a copy of it and
 tells nothing: a chain of adjacent copies is a group, and the neighbours of its pages are the
-pages next to the group. What differencing can't see, as each page may have its own, is told
-by structure: lines inside menus, headers, footers, sidebars, notices, adverts, forms and
-reader comments go, and lines inside an ``article`` or ``main`` element stay even if a
-neighbour shares them, as articles quote each other.
+pages next to the group.
 
-Pages are sorted into contiguous ranges, however many a host has, and a task streams through
-its range with three pages in memory. Pages at the ends of ranges, groups of copies and the
-pages next to them are left open; they are few, and their neighbours are found by their
-numbers afterwards.
+Lines inside an ``article`` or ``main`` element stay even if a neighbour shares them, as
+articles quote each other. What differencing can't see, as each page has its own, is told by
+structure: lines inside menus, headers, footers, sidebars, forms and other elements that
+never hold an article go, as do lines inside elements that one whole token of their class,
+id or role names as such, unless the element holds an article; inside an article only
+adverts and reader comments are told in that way.
+
+Differencing runs on line hashes with their sizes, a few bytes a line: these are sorted into
+contiguous ranges, however many pages a host has, and a task streams through its range with
+three pages in memory. Pages at the ends of ranges, groups of copies and the pages next to
+them are left open; they are few, and their neighbours are found by their numbers
+afterwards. Only the numbers of deleted lines go back to the pages, by host and content.
 
 Defined results: null and empty html gives an empty text. A null URL, or one without a
 host, has no neighbours. Repeated rows are copies of each other. Unclosed tags end where
 their parents end; an unclosed boilerplate element hides nothing. Very long pages have no
-cap. An empty table gives an empty table; other columns are ignored.
+cap; the alignment takes memory in proportion to their lines. An empty table gives an empty
+table; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,6 +48,8 @@ from letterspark.plans.prefix import running_sum
 
 #: A neighbour with this share of a page's text in common is a copy.
 COPY = 0.6
+#: Bits of an alignment kept at once; longer pages are halved first.
+ALIGNED = 1 << 24
 
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp"}
 HIDDEN = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "select", "head", "svg", "object", "fieldset", "audio", "video", "canvas"}
@@ -48,11 +59,15 @@ BLOCK = {
     "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hr", "html", "li", "main", "menu", "nav", "ol", "option", "p", "pre",
     "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
-#: Words of a class, id or role that mark boilerplate.
-MARKED = re.compile(
-    r"""(?:class|id|role|aria-label)\s*=\s*["']?[^"'>]*?(?<![a-z])(?:ads?|advert\w*|adverti[sz]ement|sponsor\w*|promo\w*|banner|menu|nav|navigation|navbar|breadcrumbs?|sidebar|footer|masthead|cookies?|consent|notice|alert|popup|modal|newsletter|subscribe|share|sharing|social|related|recommended|comments?|disqus|replies|pagination|pager|widget|complementary|contentinfo|search)(?![a-z])""",
-    re.I,
-)
+#: Class, id and role tokens of boilerplate, as whole tokens.
+MARKED = {
+    "banner", "breadcrumb", "breadcrumbs", "complementary", "consent", "contentinfo", "cookie", "cookie-banner", "cookies", "footer", "masthead", "menu", "modal", "nav", "navbar", "navigation",
+    "newsletter", "notice", "pager", "pagination", "popup", "promo", "related", "search", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "widget",
+}
+#: The same inside an article.
+MARKED_INSIDE = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "comment", "comments", "comment-list", "comments-area", "disqus", "disqus_thread", "replies"}
+NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+ARTICLE = ("article", "main")
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S)
 
 
@@ -92,6 +107,7 @@ def page_lines(html: str | None) -> list[tuple[str, int]]:
             open_at.setdefault(tag, []).append(k)
         elif kind == "close" and open_at.get(tag):
             close_of[open_at[tag].pop()] = k
+    articles = [k for k, (kind, tag, _) in enumerate(tokens) if kind == "open" and tag in ARTICLE and k in close_of]
     out: list[tuple[str, int]] = []
     parts: list[str] = []
     hidden_until = article_until = -1
@@ -102,6 +118,16 @@ def page_lines(html: str | None) -> list[tuple[str, int]]:
         if line:
             out.append((line, state))
 
+    def hides(k: int, tag: str, rest: str, end: int) -> bool:
+        at = bisect_right(articles, k)
+        if tag in ARTICLE or at < len(articles) and articles[at] < end:
+            return False
+        inside = k <= article_until
+        if tag in HIDDEN:
+            return tag != "header" or not inside
+        named = {x.lower() for m in NAMES.finditer(rest) for x in (m[1] or m[2] or m[3] or "").split()} if rest else ()
+        return tag not in ("html", "body") and bool(named) and not (named.isdisjoint(MARKED_INSIDE) and (inside or named.isdisjoint(MARKED)))
+
     for k, (kind, tag, rest) in enumerate(tokens):
         state = 1 if k <= hidden_until else 2 if k <= article_until else 0
         if kind == "text":
@@ -111,58 +137,105 @@ def page_lines(html: str | None) -> list[tuple[str, int]]:
             flush(state)
         if kind == "open" and k > hidden_until:
             end = close_of.get(k, -1)
-            if end > 0 and (tag in HIDDEN and not (tag == "header" and k <= article_until) or rest and tag not in ("html", "body", "article", "main") and MARKED.search(rest)):
+            if end > 0 and hides(k, tag, rest, end):
                 flush(state)
                 hidden_until = end
-            elif tag in ("article", "main"):
+            elif tag in ARTICLE:
                 article_until = max(article_until, end)
     flush(1 if len(tokens) <= hidden_until else 0)
     return out
 
 
-def shared(a: list[str], b: list[str]) -> list[bool]:
-    """Which lines of ``a`` are in its longest common subsequence with ``b``."""
-    keep = [False] * len(a)
-    places: dict[str, int] = {}
+def _bits(a: list, b: list) -> Iterator[int]:
+    """Bit rows of the alignment of ``a`` with ``b``: a zero bit j where the common length grows at b[j]."""
+    places: dict = {}
     for j, line in enumerate(b):
         places[line] = places.get(line, 0) | 1 << j
-    rows, full = [(1 << len(b)) - 1], (1 << len(b)) - 1
+    full = v = (1 << len(b)) - 1
+    yield v
     for line in a:
-        v = rows[-1]
         u = v & places.get(line, 0)
-        rows.append(((v + u) | (v - u)) & full)
+        v = ((v + u) | (v - u)) & full
+        yield v
+
+
+def _lengths(a: list, b: list) -> np.ndarray:
+    """Length of the longest common subsequence of ``a`` and each beginning of ``b``."""
+    for v in _bits(a, b):
+        last = v
+    ones = np.unpackbits(np.frombuffer(last.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.r_[0, np.cumsum(1 - ones.astype(np.int64))]
+
+
+def _align(a: list, b: list) -> list[int]:
+    """Places in ``a`` of a longest common subsequence with ``b``; memory in proportion to their lengths."""
+    if not a or not b:
+        return []
+    if len(a) * len(b) > ALIGNED and len(a) > 1:
+        half = len(a) // 2
+        at = int((_lengths(a[:half], b) + _lengths(a[half:][::-1], b[::-1])[::-1]).argmax())
+        return _align(a[:half], b[:at]) + [half + k for k in _align(a[half:], b[at:])]
+    rows, out = list(_bits(a, b)), []
     i, j = len(a), len(b)
-    while i and j:  # a zero bit j - 1 in a row: the length grows at column j
-        if not rows[i] >> (j - 1) & 1:
-            if rows[i - 1] >> (j - 1) & 1 and a[i - 1] == b[j - 1]:
-                keep[i - 1] = True
-                i, j = i - 1, j - 1
-            elif not rows[i - 1] >> (j - 1) & 1:
-                i -= 1
-            else:
-                j -= 1
+    while i and j:
+        if rows[i] >> (j - 1) & 1:
+            j -= 1
+        elif not rows[i - 1] >> (j - 1) & 1:
+            i -= 1
+        elif a[i - 1] == b[j - 1]:
+            out.append(i - 1)
+            i, j = i - 1, j - 1
         else:
             j -= 1
+    return out[::-1]
+
+
+def shared(a: list, b: list) -> list[bool]:
+    """Which lines of ``a`` are in its longest common subsequence with ``b``."""
+    keep = [False] * len(a)
+    in_a, in_b = set(a), set(b)
+    at = [i for i, x in enumerate(a) if x in in_b]
+    for k in _align([a[i] for i in at], [x for x in b if x in in_a]):
+        keep[at[k]] = True
     return keep
 
 
-def compare(page: list[tuple[str, int]], other: list[tuple[str, int]]) -> tuple[list[bool], bool]:
+LINE = np.dtype([("h", "<u8"), ("n", "<u4"), ("s", "u1")])
+
+
+def _pack(lines: list[tuple[str, int]]) -> bytes:
+    """Hash, size and state of each line."""
+    return np.array([(xxhash.xxh3_64_intdigest(t), len(t), s) for t, s in lines], LINE).tobytes()
+
+
+def _unpack(value: bytes) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Hashes, sizes and states."""
+    x = np.frombuffer(value, LINE)
+    return x["h"].tolist(), x["n"].astype(np.int64), x["s"]
+
+
+Page = tuple[list[int], np.ndarray, np.ndarray]
+
+
+def compare(page: Page, other: Page) -> tuple[np.ndarray, bool]:
     """The lines that ``page`` shares with ``other``, and whether that is a copy of it."""
-    judged = 2 if any(s == 2 for _, s in page) else 0  # a copy is told by the article, where there is one
-    size = sum(len(t) for t, s in page if s == judged)
-    found = shared([t for t, _ in page], [t for t, _ in other])
-    return found, sum(len(t) for (t, s), f in zip(page, found) if f and s == judged) > COPY * size
+    found = np.array(shared(page[0], other[0]), bool)
+    judged = page[2] == (2 if (page[2] == 2).any() else 0)  # a copy is told by the article, where there is one
+    return found, bool(page[1][judged & found].sum() > COPY * page[1][judged].sum())
 
 
-def difference(page: list[tuple[str, int]], neighbours: list[list[tuple[str, int]]]) -> list[str]:
-    """The lines that stay; the nearest neighbour comes first."""
-    gone = [False] * len(page)
+def difference(page: Page, neighbours: list[Page]) -> list[int]:
+    """Numbers of the plain lines that go; the nearest neighbour comes first."""
     for other in neighbours:
         found, copy = compare(page, other)
         if not copy:
-            gone = found
-            break
-    return [t for (t, s), g in zip(page, gone) if s == 2 or s == 0 and not g]
+            return np.flatnonzero(found & (page[2] == 0)).tolist()
+    return []
+
+
+def kept_text(lines: list[tuple[str, int]], gone: list[int]) -> str:
+    out = set(gone)
+    return " ".join(t for k, (t, s) in enumerate(lines) if s == 2 or s == 0 and k not in out)
 
 
 def _common(a: str, b: str) -> int:
@@ -174,6 +247,12 @@ def _common(a: str, b: str) -> int:
     return n
 
 
+def _nearest(page: tuple, near: list[tuple]) -> list[int]:
+    """Deleted lines of a page (path, lines) by its neighbours (the one before first)."""
+    near = sorted(near, key=lambda x: -_common(page[0], x[0]))
+    return difference(page[1], [x[1] for x in near])
+
+
 def _out(rows: Iterator[tuple], schema: pa.Schema, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Batches of rows that end in their size."""
     out: list[tuple] = []
@@ -188,35 +267,20 @@ def _out(rows: Iterator[tuple], schema: pa.Schema, size: int = 4 << 20) -> Itera
         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), schema)], schema=schema)
 
 
-def _read(value: pa.Scalar) -> list[tuple[str, int]]:
-    return [(x[1:], int(x[0])) for x in value.as_py().split("\n") if x]
-
-
-def _write(lines: list[tuple[str, int]]) -> str:
-    """State and text of each line; texts hold no line feeds."""
-    return "\n".join(f"{s}{t}" for t, s in lines)
-
-
-def _nearest(page: tuple, near: list[tuple]) -> str:
-    """Text of a page (path, lines) by its neighbours (the one before first)."""
-    near = sorted(near, key=lambda x: -_common(page[0], x[0]))
-    return " ".join(difference(page[1], [x[1] for x in near]))
-
-
-RANGED = pa.schema(
-    [("part", pa.int32()), ("no", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("copies", pa.bool_()), ("h0", pa.int64()), ("h1", pa.int64()), ("open", pa.bool_()), ("follows", pa.bool_()), ("text", pa.string()), ("lines", pa.string())]
-)
+GONE = pa.list_(pa.int32())
+RANGED = pa.schema([("part", pa.int32()), ("no", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("h0", pa.int64()), ("h1", pa.int64()), ("open", pa.bool_()), ("follows", pa.bool_()), ("gone", GONE), ("lines", pa.binary())])
 
 
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by host, path and query. ``open`` rows get lines instead of a text; ``follows``: in a group with the page before."""
+    """Rows come sorted by host, path and query. ``open`` rows aren't judged yet; ``follows``: in a group with the page before."""
     part = TaskContext.get().partitionId()
-    names = ("host", "path", "page_id", "url", "copies", "h0", "h1")
+    names = ("host", "path", "h0", "h1")
 
     def pages() -> Iterator[tuple]:
         for batch in batches:
             for *row, lines in zip(*(batch.column(c) for c in (*names, "lines"))):
-                yield (*(x.as_py() for x in row), _read(lines))
+                packed = lines.as_py()
+                yield (*(x.as_py() for x in row), packed, _unpack(packed))
 
     def copies(x: tuple, y: tuple) -> bool:
         return x[0] == y[0] and (compare(x[-1], y[-1])[1] or compare(y[-1], x[-1])[1])
@@ -231,11 +295,10 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             after = held[k + 1] if k + 1 < len(held) else None
             open_ = bool(before is None or after is None or follows or after[1])
             keep = open_ or no < 2 or k + 2 >= len(held) or before[1] or held[k + 2][1]
-            text = None
+            gone = None
             if not open_:
-                text = _nearest((page[1], page[-1]), [(x[0][1], x[0][-1]) for x in (before, after) if x[0][0] == page[0]])
-            size = sum(len(t) for t, _ in page[-1]) + 100
-            return part, no, *page[:-1], open_, follows, text, _write(page[-1]) if keep else None, size
+                gone = _nearest((page[1], page[-1]), [(x[0][1], x[0][-1]) for x in (before, after) if x[0][0] == page[0]])
+            return part, no, *page[:4], open_, follows, gone, page[4] if keep else None, len(page[4]) + 100
 
         no = at = 0  # at: the place in ``held`` of the next page to settle
         for page in pages():
@@ -253,19 +316,18 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _out(rows(), RANGED)
 
 
-PLACED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("copies", pa.bool_()), ("host", pa.string()), ("h0", pa.int64()), ("h1", pa.int64()), ("text", pa.string())])
+PLACED = pa.schema([("host", pa.string()), ("h0", pa.int64()), ("h1", pa.int64()), ("gone", GONE)])
 
 
 def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of open pages, which come with the pages before (a) and after (b) their groups."""
-    names = ("page_id", "url", "copies", "host", "h0", "h1")
+    """Deleted lines of open pages, which come with the pages before (a) and after (b) their groups."""
 
     def rows() -> Iterator[tuple]:
         for batch in batches:
-            for *row, path, lines, a_path, a_lines, b_path, b_lines in zip(*(batch.column(c) for c in (*names, "path", "lines", "a_path", "a_lines", "b_path", "b_lines"))):
-                near = [(p.as_py(), _read(x)) for p, x in ((a_path, a_lines), (b_path, b_lines)) if x.is_valid]
-                text = _nearest((path.as_py(), _read(lines)), near)
-                yield *(x.as_py() for x in row), text, len(text) + 100
+            for *row, path, lines, a_path, a_lines, b_path, b_lines in zip(*(batch.column(c) for c in ("host", "h0", "h1", "path", "lines", "a_path", "a_lines", "b_path", "b_lines"))):
+                near = [(p.as_py(), _unpack(x.as_py())) for p, x in ((a_path, a_lines), (b_path, b_lines)) if x.is_valid]
+                gone = _nearest((path.as_py(), _unpack(lines.as_py())), near)
+                yield *(x.as_py() for x in row), gone, len(gone) + 100
 
     yield from _out(rows(), PLACED)
 
@@ -273,11 +335,11 @@ def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 @F.arrow_udf(BooleanType())
 def _copies(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     for a, b in batches:
-        yield pa.array([compare(x, y)[1] or compare(y, x)[1] for x, y in ((_read(x), _read(y)) for x, y in zip(a, b))], pa.bool_())
+        yield pa.array([compare(x, y)[1] or compare(y, x)[1] for x, y in ((_unpack(x.as_py()), _unpack(y.as_py())) for x, y in zip(a, b))], pa.bool_())
 
 
 def _place_open(ranged: DataFrame) -> DataFrame:
-    """Texts of the open pages: pages are numbered over all ranges, and groups that go on in the next range are joined."""
+    """Deleted lines of the open pages: pages are numbered over all ranges, and groups that go on in the next range are joined."""
     kept = ranged.where("lines is not null")
     # one row a range: its number of pages (its last page is always kept) and the pages before it
     order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -290,26 +352,53 @@ def _place_open(ranged: DataFrame) -> DataFrame:
     narrow = publish(narrow.select("pos", "open", (F.col("_before") + F.col("start")).alias("grp")))
     groups = publish(narrow.groupBy("grp").agg((F.min("pos") - 1).alias("a"), (F.max("pos") + 1).alias("b")))
     near = narrow.where("open").join(groups, "grp").select("pos", "a", "b")
-    rows = kept.where("open").select("pos", "host", "path", "page_id", "url", "copies", "h0", "h1", "lines").join(near, "pos")
+    rows = kept.where("open").select("pos", "host", "path", "h0", "h1", "lines").join(near, "pos")
     for side in ("a", "b"):
         other = kept.select(F.col("pos").alias(side), "host", F.col("path").alias(f"{side}_path"), F.col("lines").alias(f"{side}_lines"))
         rows = rows.join(other, [side, "host"], "left")
-    return rows.mapInArrow(_place, "page_id long, url string, copies boolean, host string, h0 long, h1 long, text string")
+    return rows.mapInArrow(_place, "host string, h0 long, h1 long, gone array<int>")
 
 
-def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``(page_id, url, text, n_chars)`` of every page (the contract of ``op2``)."""
+def deleted_lines(pages: DataFrame) -> DataFrame:
+    """``(host, h0, h1, gone)``: numbers of the lines that go, for each html of a host that loses any, from ``(host, path, query, h0, h1, html)``."""
+
+    @F.arrow_udf("binary")
+    def packed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([_pack(page_lines(x.as_py())) for x in batch], pa.binary())
+
+    lined = pages.where("host is not null").select("host", "path", "query", "h0", "h1", packed("html").alias("lines"))
+    # equal html of a host is one page: the one of least path and query
+    one = lined.groupBy("host", "h0", "h1").agg(F.min(F.struct("path", "query")).alias("at"), F.any_value("lines").alias("lines"))
+    one = publish(one.select("host", "at.path", "at.query", "h0", "h1", "lines"))
+    by = ("host", "path", "query", "h0", "h1")
+    ranged = one.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(
+        _ranges, "part int, no long, host string, path string, h0 long, h1 long, open boolean, follows boolean, gone array<int>, lines binary"
+    )
+    ranged = publish(ranged)
+    names = ("host", "h0", "h1", "gone")
+    return publish(ranged.where("not open").select(*names).unionByName(_place_open(ranged).select(*names)).where("size(gone) > 0"))
+
+
+def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", differencing: bool = True) -> DataFrame:
+    """``(page_id, url, text, n_chars)`` of every page (the contract of ``op2``); ``differencing=False`` leaves structure alone to decide."""
     bound_batches(pages)
 
-    @F.arrow_udf("string")
-    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    @F.arrow_udf("struct<text: string, lines: string>")
+    def parsed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        """The text of a page without plain lines, which differencing can't change; the lines of others with their states."""
         for batch in batches:
-            yield pa.array([_write(page_lines(x.as_py())) for x in batch], pa.string())
+            pages = [page_lines(x.as_py()) for x in batch]
+            plain = [any(s == 0 for _, s in p) for p in pages]
+            texts = [None if q else kept_text(p, []) for p, q in zip(pages, plain)]
+            lines = ["\n".join(f"{s}{t}" for t, s in p) if q else None for p, q in zip(pages, plain)]
+            yield pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(lines, pa.string())], ["text", "lines"])
 
     @F.arrow_udf("string")
-    def alone(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield pa.array([" ".join(difference(page_lines(x.as_py()), [])) for x in batch], pa.string())
+    def joined(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for lines, gone in batches:
+            rows = zip(lines.to_pylist(), gone.to_pylist())
+            yield pa.array([None if x is None else kept_text([(y[1:], int(y[0])) for y in x.split("\n")], g or []) for x, g in rows], pa.string())
 
     start = "^[a-zA-Z][a-zA-Z0-9+.-]*://"
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
@@ -318,23 +407,10 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
         "path": F.regexp_extract("url", f"{start}[^/?#]+([^?#]*)", 1), "query": F.regexp_extract("url", rf"{start}[^/?#]+[^?#]*\?([^#]*)", 1),
         "h0": F.xxhash64(F.lit(0), "html"), "h1": F.xxhash64(F.lit(1), "html"),
     })
-    hosted, key = rows.where("host is not null"), ["host", "h0", "h1"]
-    same = publish(hosted.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("path", "query")).alias("at")).where("n > 1").select(*key, "at"))
-    copied = not same.isEmpty()
-    distinct = hosted.withColumn("copies", F.lit(False))
-    if copied:  # the page of least path and query stands for its copies
-        one = hosted.join(same, key).where("path = at.path and query = at.query").groupBy(*key).agg(F.first("html").alias("html"), F.min("path").alias("path"), F.min("query").alias("query"))
-        one = one.select(F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("url"), "html", "host", "path", "query", "h0", "h1", F.lit(True).alias("copies"))
-        distinct = distinct.join(same.drop("at"), key, "left_anti").select(*one.columns).unionByName(one)
-    lined = distinct.select("host", "path", "query", "page_id", "url", "copies", "h0", "h1", cut("html").alias("lines"))
-    by = ("host", "path", "query", "h0", "h1", "page_id")
-    lined = lined.repartitionByRange(*by).sortWithinPartitions(*by)
-    ranged = publish(lined.mapInArrow(_ranges, "part int, no long, host string, path string, page_id long, url string, copies boolean, h0 long, h1 long, open boolean, follows boolean, text string, lines string"))
-    names = ["page_id", "url", "copies", *key, "text"]
-    placed = ranged.where("not open").select(*names).unionByName(_place_open(ranged).select(*names))
-    out = rows.where("host is null").select("page_id", "url", alone("html").alias("text"))
-    if copied:
-        placed = publish(placed)
-        out = out.unionByName(hosted.select("page_id", "url", *key).join(placed.where("copies").select(*key, "text"), key).select("page_id", "url", "text"))
-    out = out.unionByName(placed.where("not copies").select("page_id", "url", "text"))
+    out = rows.select("page_id", "url", "host", "h0", "h1", parsed("html").alias("p"))
+    if differencing:  # read back with its size, so that Spark broadcasts it only if small
+        out = out.join(deleted_lines(rows), ["host", "h0", "h1"], "left")
+    else:
+        out = out.withColumn("gone", F.lit(None).cast("array<int>"))
+    out = out.select("page_id", "url", F.coalesce("p.text", joined("p.lines", "gone")).alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))

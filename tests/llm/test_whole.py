@@ -38,13 +38,39 @@ def test_pipeline_keeps_the_text_of_repeated_rows(spark, tmp_path):
     assert [n > 60 for i, n in out if i == 250] == [True] and [n > 60 for i, n in out if i is None] == [True]
 
 
+def brute_common(a: list[str], b: list[str]) -> list[bool]:
+    """Lines of ``a`` in a longest common subsequence, by the full table."""
+    t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+    keep, i, j = [False] * len(a), len(a), len(b)
+    while i and j:
+        if t[i][j] == t[i][j - 1]:
+            j -= 1
+        elif t[i][j] == t[i - 1][j]:
+            i -= 1
+        else:
+            keep[i - 1] = True
+            i, j = i - 1, j - 1
+    return keep
+
+
+def brute_compare(x: list[tuple[str, int]], y: list[tuple[str, int]]) -> tuple[list[bool], bool]:
+    found = brute_common([t for t, _ in x], [t for t, _ in y])
+    judged = 2 if any(s == 2 for _, s in x) else 0
+    both = sum(len(t) for (t, s), f in zip(x, found) if f and s == judged)
+    return found, both > 0.6 * sum(len(t) for t, s in x if s == judged)
+
+
 def brute_texts(rows: list[tuple]) -> dict[int, str]:
-    """Texts of pages of one host, by path, with groups of adjacent copies."""
+    """Texts of pages of one host: each page's nearest URL before and after is sought among all pages of the host."""
     least = {}
     for _, path, html in sorted(rows, key=lambda r: r[1]):
         least.setdefault(html, path)
     order = [(p, h, html_text.page_lines(h)) for h, p in sorted(least.items(), key=lambda x: x[1])]
-    linked = [i > 0 and any(html_text.compare(x, y)[1] for x, y in ((order[i][2], order[i - 1][2]), (order[i - 1][2], order[i][2]))) for i in range(len(order))]
+    alike = lambda i, k: any(brute_compare(x, y)[1] for x, y in ((order[i][2], order[k][2]), (order[k][2], order[i][2])))
+    linked = [i > 0 and alike(i, i - 1) for i in range(len(order))]
     text = {}
     for i, (path, html, lines) in enumerate(order):
         a, b = i, i + 1
@@ -52,12 +78,48 @@ def brute_texts(rows: list[tuple]) -> dict[int, str]:
             a -= 1
         while b < len(order) and linked[b]:
             b += 1
-        near = [order[k] for k in (a - 1, b) if 0 <= k < len(order)]
-        near.sort(key=lambda x: -html_text._common(path, x[0]))
-        text[html] = " ".join(html_text.difference(lines, [x[2] for x in near]))
+        near = [k for k in (a - 1, b) if 0 <= k < len(order)]
+        near.sort(key=lambda k: -next((n for n, (x, y) in enumerate(zip(path, order[k][0])) if x != y), min(len(path), len(order[k][0]))))
+        gone = [False] * len(lines)
+        for k in near:
+            found, copy = brute_compare(lines, order[k][2])
+            if not copy:
+                gone = found
+                break
+        text[html] = " ".join(t for (t, s), g in zip(lines, gone) if s == 2 or s == 0 and not g)
     return {i: text[h] for i, _, h in rows}
 
 
+@pytest.mark.parametrize("n", [10, 130, 1000])
+def test_sections_of_a_host_of_any_size(spark, n):
+    """Pages in sections, each with a line that its pages share and one that the host shares."""
+    rows = [(i, f"/s{i % max(2, n // 20):02}/{i:04}", f"<div>All of the host</div><p>{words(8)}</p><p>Of section {i % max(2, n // 20)}</p><p>own {i}</p>") for i in range(n)]
+    rows += [(5000, "/s00/x", f"<div>All of the host</div><article><p>Of section 0</p><p>{words(5)}</p></article><p>Of section 0</p>")]
+    pages = spark.createDataFrame([(i, f"https://h.example{p}", h) for i, p, h in rows], "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in html_text.extract_text(pages).collect()}
+    assert got == brute_texts(rows) and not any("section" in t for i, t in got.items() if i < 5000)
+    assert got[5000].startswith("Of section 0 ") and got[5000].count("section") == 1
+    assert {r.page_id: r.text for r in html_text.extract_text(pages, differencing=False).collect()} != got
+
+
+def test_article_text_stays_under_names_like_boilerplate():
+    text = lambda html: html_text.kept_text(html_text.page_lines(html), [])
+    assert text('<article><p class="share-price">Up</p><div id="banner-year">1999</div></article>') == "Up 1999"
+    assert text('<main><div class="search-results">One</div><p class="notice">Two</p></main>') == "One Two"
+    assert text('<div class="post-comments-open"><article><p>Whole</p></article></div>') == "Whole"
+    assert text('<form class="search"><article><p>Whole</p></article></form><div class="ad">Buy</div>') == "Whole"
+    assert text('<article><p>A</p><div class="ad big">Buy</div><nav>N</nav><section id="comments">Hm</section></article><div class="sidebar">S</div>') == "A"
+
+
+def test_long_alignments_take_halves(monkeypatch):
+    monkeypatch.setattr(html_text, "ALIGNED", 64)
+    for _ in range(200):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 60))] for _ in range(2))
+        assert sum(html_text.shared(a, b)) == sum(brute_common(a, b))
+        kept, rest = [x for x, k in zip(a, html_text.shared(a, b)) if k], iter(b)
+        assert all(x in rest for x in kept)
+
+
 @pytest.mark.parametrize("ranges", ["1", "7", "40"])
 def test_siblings_and_copies_of_a_large_host(spark, ranges):
     rows = []
