@@ -4,7 +4,8 @@ A page is cut into text lines at block tags. Pages of a host with equal html are
 (of least path and query), whose text goes to all of them. Pages of a host are ordered by
 URL path and query; each is compared with the neighbour whose path shares the longest
 beginning, their lines are aligned by a longest common subsequence (bit-parallel), and
-shared lines are deleted. A neighbour that shares most of a page's text is a copy of it and
+shared lines are deleted (for the deletion, only lines that structure leaves open are
+aligned). A neighbour that shares most of a page's text is a copy of it and
 tells nothing: a chain of adjacent copies is a group, and the neighbours of its pages are the
 pages next to the group.
 
@@ -218,18 +219,19 @@ Page = tuple[list[int], np.ndarray, np.ndarray]
 
 
 def compare(page: Page, other: Page) -> tuple[np.ndarray, bool]:
-    """The lines that ``page`` shares with ``other``, and whether that is a copy of it."""
+    """The lines that ``page`` shares with ``other``, and whether that is a copy of it: told by the lines of the article, where there are some, else by the plain lines."""
     found = np.array(shared(page[0], other[0]), bool)
-    judged = page[2] == (2 if (page[2] == 2).any() else 0)  # a copy is told by the article, where there is one
+    judged = page[2] == (2 if (page[2] == 2).any() else 0)
     return found, bool(page[1][judged & found].sum() > COPY * page[1][judged].sum())
 
 
 def difference(page: Page, neighbours: list[Page]) -> list[int]:
-    """Numbers of the plain lines that go; the nearest neighbour comes first."""
-    for other in neighbours:
-        found, copy = compare(page, other)
-        if not copy:
-            return np.flatnonzero(found & (page[2] == 0)).tolist()
+    """Numbers of the plain lines that go, aligned without the lines that stay or go anyway; the nearest neighbour comes first."""
+    plain = np.flatnonzero(page[2] == 0)
+    for other in neighbours if len(plain) else ():
+        if not compare(page, other)[1]:
+            found = shared([page[0][k] for k in plain], other[0])
+            return plain[np.array(found, bool)].tolist()
     return []
 
 

@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,21 +105,23 @@ def score_texts(texts: list[str | None], langs: list[str], log_p: np.ndarray, pr
     return [langs[k] if len(x) else None for k, x in zip(best, runs)], top, top + np.log(np.exp(total - top[:, None]).sum(1))
 
 
+def _scorer(shared: Broadcast):
+    """A function of texts for the model of one block."""
+
+    @F.arrow_udf("struct<lang: string, top: double, all: double>")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            parts = [score_texts(batch.slice(a, 500).to_pylist(), *shared.value) for a in range(0, len(batch), 500)]
+            names = pa.array([x for p in parts for x in p[0]], pa.string())
+            yield pa.StructArray.from_arrays([names, *(pa.array(np.concatenate([p[k] for p in parts]) if parts else [], pa.float64()) for k in (1, 2))], ["lang", "top", "all"])
+
+    return scored
+
+
 def predict(df: DataFrame, models: list[Model], text_col: str = "text", out_col: str = "language") -> DataFrame:
     """Adds a struct ``(lang_pred, score)``."""
     bound_batches(df)
-    found = []
-    for model in models:
-        shared = df.sparkSession.sparkContext.broadcast(model)
-
-        @F.arrow_udf("struct<lang: string, top: double, all: double>")
-        def predicted(batches: Iterator[pa.Array], shared=shared) -> Iterator[pa.Array]:
-            for batch in batches:
-                parts = [score_texts(batch.slice(a, 500).to_pylist(), *shared.value) for a in range(0, len(batch), 500)]
-                names = pa.array([x for p in parts for x in p[0]], pa.string())
-                yield pa.StructArray.from_arrays([names, *(pa.array(np.concatenate([p[k] for p in parts]) if parts else [], pa.float64()) for k in (1, 2))], ["lang", "top", "all"])
-
-        found.append(predicted(F.col(text_col)))
+    found = [_scorer(df.sparkSession.sparkContext.broadcast(model))(F.col(text_col)) for model in models]
     unknown = F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     if not found:
         return df.withColumn(out_col, unknown)

@@ -82,9 +82,10 @@ def brute_texts(rows: list[tuple]) -> dict[int, str]:
         near.sort(key=lambda k: -next((n for n, (x, y) in enumerate(zip(path, order[k][0])) if x != y), min(len(path), len(order[k][0]))))
         gone = [False] * len(lines)
         for k in near:
-            found, copy = brute_compare(lines, order[k][2])
-            if not copy:
-                gone = found
+            if not brute_compare(lines, order[k][2])[1]:
+                plain = [n for n, (_, s) in enumerate(lines) if s == 0]
+                for n, f in zip(plain, brute_common([lines[n][0] for n in plain], [t for t, _ in order[k][2]])):
+                    gone[n] = f
                 break
         text[html] = " ".join(t for (t, s), g in zip(lines, gone) if s == 2 or s == 0 and not g)
     return {i: text[h] for i, _, h in rows}
