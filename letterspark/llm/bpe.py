@@ -28,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from letterspark.llm.common import bound_batches
+from letterspark.llm.common import bound_batches, fresh
 
 #: A rank file larger than this isn't broadcast.
 MAX_RANK_FILE = 64 << 20
@@ -253,8 +253,9 @@ def round_trip(df: DataFrame, ranks: Broadcast, pattern: str, text_col: str = "t
             ids = [encoder(t.as_py()) for t in texts]
             yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(map(decoder, ids), pa.binary())], ["ids", "decoded"])
 
-    out = df.withColumn("_both", both(F.col(text_col)))
-    return out.withColumns({ids_col: F.col("_both.ids"), out_col: F.col("_both.decoded")}).drop("_both")
+    name = fresh(df, "both")
+    out = df.withColumn(name, both(F.col(text_col)))
+    return out.withColumns({ids_col: F.col(name)["ids"], out_col: F.col(name)["decoded"]}).drop(name)
 
 
 def bpe_digests(documents: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from letterspark.llm.common import bound_batches, chunks
+from letterspark.llm.common import bound_batches, chunks, fresh
 
 WINDOW = 13
 #: Bytes of benchmark text in a broadcast block.
@@ -249,13 +249,13 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, text_col: str
                 out.append({"n_words": x["n_words"], "spans": [{"start": s, "end": e} for s, e in spans], "items": sorted({*x["items"], *y["items"]})})
             yield pa.array(out, _ARROW)
 
-    out = documents
+    out, other = documents, fresh(documents, "block")
     for k in range(blocks):  # a bounded block each time, never the whole of a large benchmark
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
         found = searched(context.broadcast([tuple(r) for r in rows]))(F.col(text_col))
-        out = out.withColumn(out_col if k == 0 else "_block", found)
+        out = out.withColumn(out_col if k == 0 else other, found)
         if k:
-            out = out.withColumn(out_col, merged(F.col(out_col), F.col("_block"))).drop("_block")
+            out = out.withColumn(out_col, merged(F.col(out_col), F.col(other))).drop(other)
     return out
 
 
@@ -275,6 +275,7 @@ def decontamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that aren't contaminated, unchanged."""
-    found = find_contamination(documents, benchmark, out_col="_found")
-    n_hit = F.aggregate("_found.spans", F.lit(0).cast("long"), lambda acc, s: acc + (s["end"] - s["start"]))
-    return found.where(~((n_hit > 0) & (20 * n_hit >= F.col("_found.n_words")))).drop("_found")
+    name = fresh(documents, "found")
+    found = find_contamination(documents, benchmark, out_col=name)
+    n_hit = F.aggregate(F.col(name)["spans"], F.lit(0).cast("long"), lambda acc, s: acc + (s["end"] - s["start"]))
+    return found.where(~((n_hit > 0) & (20 * n_hit >= F.col(name)["n_words"]))).drop(name)

@@ -2,8 +2,8 @@
 
 Vectors are compared if their labels are equal and not null; a link is a cosine of 0.93 or
 more in double precision. Equal vectors of a label are one class with a weight. Centroids
-are fitted by spherical k-means on a bounded sample (``SAMPLE`` classes, the first in the
-order of a hash), every class is assigned to the nearest centroid's cell, and cells are
+are fitted by spherical k-means on a bounded sample (``SAMPLE`` classes, or four for each cell, the
+first in the order of a hash), every class is assigned to the nearest centroid's cell, and cells are
 compared in blocks.
 
 No link across cells is lost: if y, of cell j, is linked to a vector of cell i, then
@@ -29,15 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from letterspark.llm.common import publish
+from letterspark.llm.common import bound_batches, publish
 from letterspark.llm.simhash import forest
 from letterspark.plans.components import connected_components
 
 COSINE = 0.93
 #: Classes that the centroids are fitted on, and rounds.
 SAMPLE, ROUNDS = 4096, 10
-#: Classes of the largest label for each cell; cells at most (bounds the broadcast centroids).
-CELL, MAX_CELLS = 1024, 256
+#: Classes of the largest label for each cell. Cells at most: bounds the broadcast centroids and the table of distances
+#: between them (32 MB); beyond, cells hold more classes and are dealt out in more tiles, which finds the same links.
+CELL, MAX_CELLS = 4096, 2048
 #: Classes in a tile, and rows of a product at a time.
 TILE, ROWS = 2048, 512
 
@@ -68,7 +69,7 @@ def cells_of(x: np.ndarray, c: np.ndarray, cosine: float = COSINE) -> tuple[np.n
     near = x @ c.T
     own = near.argmax(1)
     reach = np.sqrt(2 - 2 * cosine) + 1e-9
-    apart = np.linalg.norm(c[:, None] - c[None], axis=2)
+    apart = np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T))) + 1e-7
     visits = near[np.arange(len(x)), own][:, None] - near <= reach * apart[own] + 1e-9
     visits &= np.arange(len(c)) < own[:, None]
     visits[np.arange(len(x)), own] = True
@@ -132,33 +133,47 @@ def linked(batches: Iterator[pa.RecordBatch], cosine: float = COSINE) -> Iterato
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, tile: int = TILE) -> DataFrame:
     """``(id, n_links, component_id, kept)`` for every row (the contract of ``op5``)."""
     spark = vectors.sparkSession
+    bound_batches(vectors)
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("embedding"), F.col(label_col).alias("label"))
     usable = rows.where("vec_id is not null and label is not null and size(embedding) > 0").where(
         ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("embedding", lambda x: x != 0)
     )
     classes = publish(usable.groupBy("label", "embedding").agg(F.min("vec_id").alias("cid"), F.count("*").alias("w")))
     each = classes.groupBy("label", F.size("embedding").alias("d")).agg(F.count("*").alias("n"))
-    sizes = {r.d: r.n for r in each.groupBy("d").agg(F.max("n").alias("n")).orderBy("d").collect()}
+    # lengths whose labels fit in one cell need no centroids
+    sizes = {r.d: r.n for r in each.groupBy("d").agg(F.max("n").alias("n")).where(F.col("n") > CELL).orderBy("d").collect()}
     centroids = {}
     for d, n in sizes.items():
-        sample = classes.where(F.size("embedding") == d).select("embedding", "cid", "label").orderBy(F.xxhash64("cid"), "cid", "label").limit(SAMPLE).collect()
-        centroids[d] = spherical_kmeans(_unit(np.array([r.embedding for r in sample], np.float64)), min(MAX_CELLS, -(-n // CELL)))
+        k = min(MAX_CELLS, -(-n // CELL))
+        sample = classes.where(F.size("embedding") == d).select("embedding", "cid", "label").orderBy(F.xxhash64("cid"), "cid", "label").limit(max(SAMPLE, 4 * k)).select("embedding").toArrow()
+        centroids[d] = spherical_kmeans(_unit(sample.column("embedding").combine_chunks().flatten().to_numpy().reshape(-1, d).astype(np.float64)), k)
     shared = spark.sparkContext.broadcast(centroids)
 
-    @F.arrow_udf("array<struct<cell: int, home: boolean>>")
+    @F.arrow_udf("array<int>")
     def placed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        """Twice the number of each cell of a vector, and one more for its own."""
         for batch in batches:
-            data = batch.to_pylist()
-            out: list[list[dict]] = [[] for _ in data]
-            for d in {len(v) for v in data}:
-                these = [k for k, v in enumerate(data) if len(v) == d]
+            size = batch.value_lengths().to_numpy(zero_copy_only=False)
+            row, code = [], []
+            for d in np.unique(size):
+                these = np.flatnonzero(size == d)
+                if int(d) not in shared.value:
+                    row.append(these)
+                    code.append(np.ones(len(these), np.int32))
+                    continue
                 for k in range(0, len(these), 2048):
                     some = these[k : k + 2048]
-                    for row, cell, home in zip(*cells_of(_unit(np.array([data[i] for i in some], np.float64)), shared.value[d], cosine)):
-                        out[some[row]].append({"cell": int(cell), "home": bool(home)})
-            yield pa.array(out, pa.list_(pa.struct([("cell", pa.int32()), ("home", pa.bool_())])))
-
-    found = classes.withColumn("p", F.explode(placed("embedding"))).select("cid", "embedding", "w", "p.home", F.struct("label", F.size("embedding").alias("d"), "p.cell").alias("key"))
+                    x = batch.take(pa.array(some)).flatten().to_numpy().reshape(len(some), d).astype(np.float64)
+                    r, cell, home = cells_of(_unit(x), shared.value[int(d)], cosine)
+                    row.append(some[r])
+                    code.append((2 * cell + home).astype(np.int32))
+            row, code = (np.concatenate(row), np.concatenate(code)) if row else (np.empty(0, np.int64), np.empty(0, np.int32))
+            order = np.argsort(row, kind="stable")
+            ends = np.r_[0, np.cumsum(np.bincount(row, minlength=len(size)))].astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(code[order]))
+
+    found = classes.withColumn("p", F.explode(placed("embedding")))
+    found = found.select("cid", "embedding", "w", (F.col("p") % 2 == 1).alias("home"), F.struct("label", F.size("embedding").alias("d"), F.floor(F.col("p") / 2).cast("int").alias("cell")).alias("key"))
     found = publish(found)
     count = publish(found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     found = found.join(count, "key").withColumn("slots", F.when(F.col("n") <= 2 * tile, 1).otherwise(F.ceil(F.col("n") / tile)).cast("int"))

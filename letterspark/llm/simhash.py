@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from letterspark.llm.common import bound_batches, publish
+from letterspark.llm.common import bound_batches, fresh, publish
 from letterspark.plans.components import connected_components
 from letterspark.plans.shared import cut
 
@@ -183,26 +183,24 @@ def simhash_classes(documents: DataFrame) -> DataFrame:
     return near_duplicate_classes(documents).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-ROW = ("_r0", "_r1", "_r2")
-
-
-def with_row_key(documents: DataFrame) -> DataFrame:
-    """Adds ``ROW``: the id and 128 bits of all columns, never null; wholly equal rows share it."""
+def with_row_key(documents: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Adds three columns of fresh names: the id and 128 bits of all columns, never null; wholly equal rows share them."""
+    names = [fresh(documents, f"r{k}") for k in range(3)]
     nulls = [F.col(c).isNull() for c in documents.columns]
     hashes = [F.xxhash64(F.lit(k), *nulls, *documents.columns) for k in (1, 2)]
-    return documents.withColumns(dict(zip(ROW, (F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), *hashes))))
+    return documents.withColumns(dict(zip(names, (F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), *hashes)))), names
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """One row of each class: the least by id (nulls last), then by hashes of all columns; of wholly equal rows one stays."""
-    rows = with_row_key(documents)
-    keys = publish(near_duplicate_classes(rows, carry=ROW).select("class", "doc_id", *ROW))
-    order = F.struct(F.col("doc_id").isNull().alias("last"), *ROW)
+    """One row of each class: the least by id (nulls last), then by hashes of all columns; of wholly equal rows one stays. Other columns are kept under any name."""
+    rows, names = with_row_key(documents)
+    keys = publish(near_duplicate_classes(rows, carry=tuple(names)).select("class", "doc_id", *names))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), *names)
     best = publish(keys.groupBy("class").agg(F.min(order).alias("best")))
-    judged = keys.join(best, "class").select(*ROW, (order == F.col("best")).alias("stays"))
-    gone = publish(judged.groupBy(*ROW).agg(F.first("stays").alias("stays"), F.count("*").alias("n")).where("not stays or n > 1"))
-    out = rows.join(gone, list(ROW), "left_anti")
+    judged = keys.join(best, "class").select(*names, (order == F.col("best")).alias("stays"))
+    gone = publish(judged.groupBy(*names).agg(F.first("stays").alias("stays"), F.count("*").alias("n")).where("not stays or n > 1"))
+    out = rows.join(gone.select(*names), names, "left_anti")
     repeated = gone.where("stays")
     if not repeated.isEmpty():
-        out = out.unionByName(rows.join(repeated, list(ROW), "left_semi").dropDuplicates(list(ROW)))
-    return out.drop(*ROW)
+        out = out.unionByName(rows.join(repeated.select(*names), names, "left_semi").dropDuplicates(names))
+    return out.drop(*names)

@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from letterspark.llm.common import chunks
+from letterspark.llm.common import bound_batches, chunks
 
 #: A model file larger than this isn't broadcast.
 MAX_MODEL_FILE = 64 << 20
@@ -196,7 +196,8 @@ def broadcast_model(spark: SparkSession, path: str) -> Broadcast:
 
 
 def count_tokens(df: DataFrame, model: Broadcast, text_col: str = "text", out_col: str = "n_tokens") -> DataFrame:
-    """Adds ``out_col``: the number of tokens of each text."""
+    """Adds ``out_col``: the number of tokens of each text. Other columns are kept."""
+    bound_batches(df)
 
     @F.arrow_udf("long")
     def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

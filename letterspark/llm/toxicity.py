@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from letterspark.llm.char_grams import buckets, letter_runs
-from letterspark.llm.common import bound_batches, publish
+from letterspark.llm.common import bound_batches, fresh, publish
 from letterspark.llm.language_id import fold
 
 ORDERS, BITS = (4, 5, 6), 18
@@ -146,5 +146,6 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier doesn't reject, unchanged."""
-    scored = score(documents, train(documents, labels), out_col="_score")
-    return scored.where(F.col("_score") < THRESHOLD).drop("_score")
+    name = fresh(documents, "score")
+    scored = score(documents, train(documents, labels), out_col=name)
+    return scored.where(F.col(name) < THRESHOLD).drop(name)
