@@ -202,7 +202,7 @@ evidence as (select id, source, spf, dkim, dmarc, auth_source, authenticated_dom
 
 @query(f"with {EVIDENCE} select * from evidence")
 def e17_evidence_columns(t):
-    return E.evidence(t("fx_headers"), "id", "raw_headers", "source").drop("org_lookalike_score", "reply_domain", "from_name", "recipient_domain")
+    return E.evidence(t("fx_headers"), "id", "raw_headers", "source").drop("reply_domain", "from_name", "recipient_domain")
 
 
 @query(f"with {EVIDENCE} select source, count(*) as n, " + ", ".join(f"round(avg(coalesce({c}, false)::int) * 100, 4) as {c}" for c in E.EVIDENCE) + " from evidence group by 1")

@@ -31,26 +31,23 @@ LOOKS, LETTERS = "0135|аеорсухіјѕ", "oleslaeopcyxijs"
 def parts(domain: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
     """``(name, suffix)`` of the registered part of a domain, by its longest suffix that leaves a name; NULL without one."""
     labels = F.filter(F.split(F.lower(F.trim(F.trim(domain), F.lit("."))), r"\."), lambda x: x != "")
-    known = F.array(*map(F.lit, (*suffixes, *PLATFORMS)))
-
     def find(x: Column) -> Column:
         ends = F.sequence(F.lit(2), F.greatest(F.size(x), F.lit(2)))
         cuts = F.transform(ends, lambda i: F.struct(F.get(x, i - 2).alias("name"), F.array_join(F.slice(x, i, F.greatest(F.size(x) - i + 1, F.lit(0))), ".").alias("suffix")))
-        return F.get(F.filter(cuts, lambda c: F.array_contains(known, c["suffix"])), F.lit(0))
+        return F.get(F.filter(cuts, lambda c: c["suffix"].isin(*suffixes, *PLATFORMS)), F.lit(0))
 
     return F.get(F.transform(F.array(labels), find), F.lit(0))
 
 
 def registered(domain: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
     """The part of a domain that somebody registered; NULL if there is none."""
-    p = parts(domain, suffixes)
-    return F.concat(p["name"], F.lit("."), p["suffix"])
+    return F.get(F.transform(F.array(parts(domain, suffixes)), lambda p: F.concat(p["name"], F.lit("."), p["suffix"])), F.lit(0))
 
 
 def is_free_mailbox(domain: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
     """Whether anyone can get an address there: a mailbox provider or a tenant of a platform."""
-    p = parts(domain, suffixes)
-    return F.coalesce(F.concat(p["name"], F.lit("."), p["suffix"]).isin(*FREE_MAIL) | p["suffix"].isin(*PLATFORMS), F.lit(False))
+    free = lambda p: F.concat(p["name"], F.lit("."), p["suffix"]).isin(*FREE_MAIL) | p["suffix"].isin(*PLATFORMS)
+    return F.coalesce(F.get(F.transform(F.array(parts(domain, suffixes)), free), F.lit(0)), F.lit(False))
 
 
 def skeleton(name: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from letterspark.operators.domains import is_free_mailbox, registered, similarity
+from letterspark.operators.domains import is_free_mailbox, registered
 
 # The headers whose coverage is reported.
 HEADERS = [
@@ -258,7 +258,7 @@ def evidence(df: DataFrame, key: str = "id", headers: str = "raw_headers", *keep
     divergent = F.when(F.col("_reply").isNull(), False).when(F.col("reply_domain").isNotNull() & own.isNotNull(), (F.col("reply_domain") != own) & ~F.col("list_mail"))
     return rows.withColumns({
         "auth_aligned": F.col("authenticated_domain") == own, "freemail": F.when(own.isNotNull(), is_free_mailbox(own)), "name_has_address": name_shows_address(F.col("from_name"), own), "reply_to_divergence": divergent,
-        "envelope_mismatch": F.col("_bounce_reg") != own, "from_matches_org": own == org, "org_lookalike_score": similarity(own, org),
+        "envelope_mismatch": F.col("_bounce_reg") != own, "from_matches_org": own == org,
     }).drop("_from", "_reply", "_bounce", "_bounce_reg")
 
 

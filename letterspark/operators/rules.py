@@ -65,20 +65,25 @@ def clean_domain(value: Column, most: int = 80) -> Column:
     return F.nullif(F.substring(kept, 1, most), F.lit(""))
 
 
-def prepare_facts(evidence: DataFrame, *keep: str) -> DataFrame:
-    """Facts that the rules read, from the columns of ``headers.evidence`` and ``reply_domain``, ``name_address``, ``recipient_domain``."""
+def related(rows: DataFrame, domain: str, target: str, out: str) -> DataFrame:
+    """Adds what a domain is to a target, judged once for each pair of different domains."""
+    pairs = rows.select(domain, target).where(col(domain).isNotNull() & col(target).isNotNull()).distinct()
+    return rows.join(pairs.withColumn(out, relation(col(domain), col(target))), [domain, target], "left")
+
+
+def prepare_facts(evidence: DataFrame) -> DataFrame:
+    """Facts that the rules read, from the columns of ``headers.evidence`` and ``name_address``."""
     own, org = col("from_registered"), F.when(~col("list_mail"), col("org_domain"))
-    rows = evidence.withColumns({"org_domain": org, "from_matches_org": own == org, "external": own != org})
+    rows = evidence.withColumn("org_domain", org).withColumns({"from_matches_org": own == col("org_domain"), "external": own != col("org_domain")})
     state = auth_state(col("spf"), col("dkim"), col("dmarc"), col("auth_aligned"), col("list_mail"), col("authenticated_domain"))
-    return rows.withColumns({"auth_state": state, "name_domain": col("name_has_address") & ~col("name_address"), "org_relation": relation(own, org)})
+    return related(rows.withColumns({"auth_state": state, "name_domain": col("name_has_address") & ~col("name_address")}), "from_registered", "org_domain", "org_relation")
 
 
 def best_relation(rows: DataFrame, targets: DataFrame, key: list[str], domain: str) -> DataFrame:
     """``(key, relation, near)``: the strongest relation of a domain to the targets (``key``, ``target``): same, lookalike, suffix; NULL if none."""
-    r = relation(col(domain), col("target"))
-    rank = F.when(r == "same", 3).when(r == "lookalike", 2).when(r == "suffix", 1)
-    joined = rows.select(*key, domain).distinct().join(targets, key).withColumn("_r", r).withColumn("_k", rank)
-    return joined.groupBy(*key).agg(F.max_by("_r", F.struct("_k", F.hash("target"), "target")).alias("relation"), F.max_by(F.when(col("_k").isNotNull(), col("target")), F.struct("_k", F.hash("target"), "target")).alias("near"))
+    joined = related(rows.select(*key, domain).distinct().join(targets, key), domain, "target", "_r")
+    rank = F.when(col("_r") == "same", 3).when(col("_r") == "lookalike", 2).when(col("_r") == "suffix", 1)
+    return joined.withColumn("_k", rank).groupBy(*key).agg(F.max_by("_r", F.struct("_k", "target")).alias("relation"), F.max_by(F.when(col("_k").isNotNull(), col("target")), F.struct("_k", "target")).alias("near"))
 
 
 def verdict(*outcomes: tuple[Column | None, str, str]) -> Column:

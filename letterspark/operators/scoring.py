@@ -136,3 +136,9 @@ def rescore(ledger: DataFrame, configs: DataFrame) -> DataFrame:
     sums = groups.withColumn("k", k).groupBy("config", "msg_id").agg(F.sum(F.col("p") * F.pow("decay", "k")).alias("raw"))
     s = sums.withColumn("score", F.least(F.lit(100), F.floor(F.col("raw") + 0.5)).cast("int"))
     return s.groupBy("config").agg(F.count("*").alias("messages"), F.sum("score").alias("total"), F.count_if(F.col("score") >= BANDS["medium"]).alias("alarms"))
+
+
+def units(ledger: DataFrame, **kwargs) -> DataFrame:
+    """One scoring unit for each message of a ledger: claims, checked and contradicted verdicts, score and band."""
+    n = ledger.groupBy("msg_id").agg(F.count_distinct("claim_id").alias("claims"), F.count("contradiction").alias("checked"), F.count_if("contradiction").alias("contradictions"))
+    return n.join(score(ledger, **kwargs).drop("action"), "msg_id")

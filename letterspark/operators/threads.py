@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from letterspark.functions.text import bind
+from letterspark.operators.domains import relation
+from letterspark.operators.splits import modulo_bucket
 from letterspark.plans.components import connected_components
+from letterspark.plans.shared import cut
 
 PREFIX = r"(?:(?:re|fw|fwd|aw|wg)(?:\[[0-9]+\])?[ ]*:[ ]*)"
 
@@ -20,14 +24,46 @@ def is_reply(subject: Column) -> Column:
     return F.lower(F.trim(subject)).rlike(r"^(?:re|aw)(?:\[[0-9]+\])?[ ]*:")
 
 
-def reply_components(messages: DataFrame, key: str = "msg_key", own: str = "message_id", reply: str = "in_reply_to") -> DataFrame:
-    """``(msg_key, component)``: messages joined by their ids; a component is its least key. Ids that no message has still join."""
-    named = messages.select(F.col(key).alias("a"), F.concat(F.lit("~"), F.col(own)).alias("b")).unionByName(messages.where(F.col(reply).isNotNull()).select(F.col(key).alias("a"), F.concat(F.lit("~"), F.col(reply)).alias("b")))
-    found = connected_components(named).where(~F.col("node").startswith("~"))
+def is_forward(subject: Column) -> Column:
+    return F.lower(F.trim(subject)).rlike(r"^(?:fw|fwd|wg)(?:\[[0-9]+\])?[ ]*:")
+
+
+def reply_components(messages: DataFrame, key: str = "msg_key", own: str = "message_id", reply: str = "in_reply_to", references: str | None = None) -> DataFrame:
+    """``(msg_key, component)``: messages joined by their ids; a component is its least key. Ids that no message has still join.
+
+    ``references``: a column with further ids in angle brackets.
+    """
+    rows = messages.select(F.col(key).alias("a"), F.concat(F.lit("~"), F.col(own)).alias("b"))
+    rows = rows.unionByName(messages.where(F.col(reply).isNotNull()).select(F.col(key).alias("a"), F.concat(F.lit("~"), F.col(reply)).alias("b")))
+    if references is not None:
+        ids = F.explode(F.regexp_extract_all(references, F.lit("(<[^<> ]+>)"), F.lit(1)))
+        rows = rows.unionByName(messages.select(F.col(key).alias("a"), ids.alias("b")).select("a", F.concat(F.lit("~"), "b").alias("b")))
+    found = connected_components(rows).where(~F.col("node").startswith("~"))
     least = found.groupBy("component").agg(F.min("node").alias("least"))
     return found.join(least, "component").select(F.col("node").alias(key), F.col("least").alias("component"))
 
 
+def participant_components(messages: DataFrame, run: list[str], key: str = "msg_key", people: str = "people", least: int = 1, most: int = 50) -> DataFrame:
+    """``(msg_key, component)``: messages of a run (columns ``run``) that share a participant, directly or through others; runs outside the sizes are left out."""
+    sizes = messages.groupBy(*run).agg(F.count("*").alias("_n")).where(F.col("_n").between(least, most)).select(*run)
+    place = F.concat_ws("|", F.lit("~"), *run)
+    edges = messages.join(sizes, run, "left_semi").select(F.col(key).alias("a"), F.explode_outer(people).alias("person"), place.alias("run"))
+    edges = edges.select("a", F.coalesce(F.concat("run", F.lit("|"), "person"), F.concat(F.lit("~"), "a")).alias("b"))
+    found = connected_components(edges).where(~F.col("node").startswith("~"))
+    names = found.groupBy("component").agg(F.min("node").alias("least"))
+    return found.join(names, "component").select(F.col("node").alias(key), F.col("least").alias("component"))
+
+
+def ordered(messages: DataFrame, thread: str, ts: str, key: str = "msg_key", label: str = "t") -> DataFrame:
+    """Place of each dated message in its thread (by time, then key), the thread's id by its first message, and its split by a hash of the id."""
+    w = Window.partitionBy(thread).orderBy(ts, key)
+    rows = messages.where(F.col(ts).isNotNull()).withColumn("position", F.row_number().over(w) - 1)
+    first = F.first(key).over(w)
+    rows = rows.withColumn("thread_id", F.substring(F.sha2(F.concat(F.lit(f"{label}|"), first), 256), 1, 16))
+    bucket = modulo_bucket(F.col("thread_id"))
+    return rows.withColumn("split", F.when(bucket < 70, "train").when(bucket < 85, "validation").otherwise("test"))
+
+
 def gap_runs(df: DataFrame, by: list[str], ts: str, row: str, gap_seconds: int) -> DataFrame:
     """Number of the run of each row: a new one after a longer gap."""
     w = Window.partitionBy(*by).orderBy(ts, row)
@@ -35,17 +71,20 @@ def gap_runs(df: DataFrame, by: list[str], ts: str, row: str, gap_seconds: int)
     return df.withColumn("_new", F.coalesce(new, F.lit(False)).cast("int")).withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)) + 1).drop("_new")
 
 
-def thread_filters(messages: DataFrame, thread: str = "thread_id", least: int = 2, most: int = 50) -> DataFrame:
-    """Why each thread is kept or dropped."""
-    n = messages.groupBy(thread).agg(F.count("*").alias("n"), F.count_distinct("from_addr").alias("senders"), F.count("in_reply_to").alias("replies"))
-    reason = F.when(F.col("n") < least, "single").when(F.col("n") > most, "long").when(F.col("senders") < 2, "one sender").when(F.col("replies") * 2 < F.col("n"), "few replies").otherwise("kept")
+def thread_filters(messages: DataFrame, thread: str = "thread_id", ts: str = "sent", least: int = 3, most: int = 50, senders: int = 2, replies: int = 2) -> DataFrame:
+    """Why each thread is kept or dropped, judged on its dated messages, and how many have no date."""
+    dated = F.col(ts).isNotNull()
+    n = messages.groupBy(thread).agg(
+        F.count("*").alias("n"), F.count_if(~dated).alias("undated"), F.count_distinct(F.when(dated, F.col("from_addr"))).alias("senders"), F.count_if(dated & is_reply(F.col("subject"))).alias("replies")
+    )
+    left = F.col("n") - F.col("undated")
+    reason = F.when(F.col("n") < 2, "single").when(left < least, "short").when(left > most, "long").when(F.col("senders") < senders, "one sender").when(F.col("replies") < replies, "few replies").otherwise("kept")
     return n.withColumn("reason", reason)
 
 
 def size_buckets(messages: DataFrame, thread: str = "thread_id", split: Column | None = None) -> DataFrame:
-    n = messages.groupBy(thread).agg(F.count("*").alias("n"))
-    if split is not None:
-        n = n.withColumn("split", split)
+    """Threads by size (ten or more together), and by split where one is given: the least split of a thread's messages."""
+    n = messages.groupBy(thread).agg(F.count("*").alias("n"), *([F.min(split).alias("split")] if split is not None else []))
     keys = (["split"] if split is not None else []) + [F.least(F.col("n"), F.lit(10)).alias("size")]
     return n.groupBy(*keys).agg(F.count("*").alias("threads"))
 
@@ -66,34 +105,133 @@ def drift(df: DataFrame, by: str, order: str, kind: str, value: str) -> DataFram
 
 
 def path_drift(messages: DataFrame) -> DataFrame:
-    """New /24 network of a sender that has written before in the thread."""
-    network = F.regexp_extract("origin_ip", r"^([0-9]+\.[0-9]+\.[0-9]+)\.", 1)
-    rows = messages.withColumn("network", network)
-    sender = Window.partitionBy("thread_id", "from_addr").orderBy("position")
-    same = Window.partitionBy("thread_id", "from_addr", "network").orderBy("position")
-    return rows.select("msg_key", "network", F.when(F.row_number().over(sender) == 1, None).otherwise(F.row_number().over(same) == 1).alias("new_network"))
+    """New /24 network and new mail program of a sender that has written before in the thread; NULL where there is nothing to compare with."""
+    network = F.nullif(F.regexp_extract("origin_ip", r"^([0-9]+\.[0-9]+\.[0-9]+)\.", 1), F.lit(""))
+    family = F.nullif(F.regexp_extract(F.lower("mailer"), r"^([a-z]+(?: [0-9]+)?)", 1), F.lit(""))
+    rows = messages.withColumns({"network": network, "family": family})
+
+    def new(value: str) -> Column:
+        sender = Window.partitionBy("thread_id", "from_addr").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
+        same = Window.partitionBy("thread_id", "from_addr", value).orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
+        v = F.col(value)
+        return F.when(F.col("from_addr").isNotNull() & v.isNotNull() & (F.count(v).over(sender) > 0), F.count(v).over(same) == 0)
+
+    return rows.select("msg_key", "network", "family", new("network").alias("new_network"), new("family").alias("new_mailer"))
 
 
 def reference_integrity(messages: DataFrame) -> DataFrame:
-    """Whether the message named as parent is an earlier one of the thread (NULL: none is named)."""
-    earlier = messages.select("thread_id", F.col("message_id").alias("in_reply_to"), F.col("position").alias("p"))
-    rows = messages.join(earlier, ["thread_id", "in_reply_to"], "left")
-    return rows.groupBy("msg_key").agg(F.max(F.when(F.col("in_reply_to").isNotNull(), F.coalesce(F.col("p") < F.col("position"), F.lit(False)))).alias("parent_known"))
+    """Of the ids that a message names (parent and references): how many are earlier messages of the thread, and whether the parent is; NULL where none is named."""
+    named = F.array_distinct(F.array_compact(F.concat(F.array("in_reply_to"), F.regexp_extract_all(F.coalesce("refs", F.lit("")), F.lit("(<[^<> ]+>)"), F.lit(1)))))
+    ids = messages.select("msg_key", "thread_id", "position", "in_reply_to", F.explode(named).alias("id"))
+    earlier = messages.select("thread_id", F.col("message_id").alias("id"), F.col("position").alias("p"))
+    hit = ids.join(earlier, ["thread_id", "id"], "left").withColumn("known", F.coalesce(F.col("p") < F.col("position"), F.lit(False)))
+    n = hit.groupBy("msg_key").agg(F.count("*").alias("total"), F.count_if("known").alias("known"), F.max(F.when(F.col("id") == F.col("in_reply_to"), F.col("known"))).alias("parent_known"))
+    return messages.select("msg_key").join(n, "msg_key", "left").select("msg_key", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("known", F.lit(0)).alias("known"), "parent_known")
+
+
+def word_list(text: str) -> Column:
+    return F.filter(F.split(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " ")), " "), lambda x: x != "")
 
 
 def quotation_integrity(messages: DataFrame, words: int = 5, least: int = 20) -> DataFrame:
-    """Share of a quotation's word shingles that an earlier message of the thread holds; hashed, first position by shingle."""
+    """How many of a quotation's word shingles an earlier message of the thread holds, and their share; hashed, first position by shingle.
+
+    Short quotations and forwards, which quote from outside, are left out.
+    """
 
     def shingles(text: str) -> Column:
-        w = F.filter(F.split(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " ")), " "), lambda x: x != "")
-        n = F.size(w) - words + 1
-        return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, words), " ")))))
+        def of(w: Column) -> Column:  # the words are split once
+            n = F.size(w) - words + 1
+            return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, words), " ")))))
+
+        return bind(word_list(text), of)
 
     said = messages.select("thread_id", "position", F.explode(shingles("text")).alias("h")).groupBy("thread_id", "h").agg(F.min("position").alias("first"))
-    size = F.size(F.filter(F.split(F.lower(F.regexp_replace("quoted", r"[^\p{L}\p{N}]+", " ")), " "), lambda x: x != ""))
-    quoted = messages.where("quoted is not null").where(size >= least).select("msg_key", "thread_id", "position", F.explode(shingles("quoted")).alias("h"))
+    rows = messages.where("quoted is not null").where(~is_forward(F.col("subject"))).where(F.size(word_list("quoted")) >= least)
+    quoted = rows.select("msg_key", "thread_id", "position", F.explode(shingles("quoted")).alias("h"))
     found = quoted.join(said, ["thread_id", "h"], "left")
-    return found.groupBy("msg_key").agg(F.count("*").alias("shingles"), F.count_if(F.col("first") < F.col("position")).alias("known"))
+    n = found.groupBy("msg_key").agg(F.count("*").alias("shingles"), F.count_if(F.col("first") < F.col("position")).alias("known"))
+    return n.withColumn("share", F.round(F.col("known") / F.col("shingles"), 6))
+
+
+#: Earlier messages of a thread that a message is compared with.
+HISTORY = 49
+_STATES = ("same_domain", "other_domain", "suffix", "lookalike")
+
+
+def sender_identity(messages: DataFrame, letters: int = 5) -> DataFrame:
+    """``(msg_key, n_earlier, status, earlier_domain)``: the sender against the earlier senders of the thread (at most ``HISTORY`` messages back).
+
+    no_from, same_address, same_domain, lookalike, suffix, other_domain (the same name or local part from elsewhere, the strongest) or new_sender.
+    Senders are told apart first, so a thread meets itself by its distinct senders only.
+    """
+    name, local = F.regexp_replace(F.lower("from_name"), r"[^\p{L}]+", ""), F.substring_index("from_addr", "@", 1)
+    rows = messages.select("msg_key", "thread_id", "position", "from_addr", F.when(F.length(name) >= letters, name).alias("_n"), F.when(F.length(local) >= letters, local).alias("_l"))
+    rows = rows.withColumn("n_earlier", F.least(F.lit(HISTORY), F.col("position")))
+    past = cut(rows.where("from_addr is not null").groupBy("thread_id", "from_addr", "_n", "_l").agg(F.collect_set("position").alias("at")))
+    past = past.select("thread_id", F.col("from_addr").alias("_a"), F.col("_n").alias("_pn"), F.col("_l").alias("_pl"), "at")
+    met = rows.where("from_addr is not null").join(past, "thread_id").where(F.exists("at", lambda x: (x < F.col("position")) & (x >= F.col("position") - HISTORY)))
+    same = F.col("_a") == F.col("from_addr")
+    met = met.where(same | (F.col("_pn") == F.col("_n")) | (F.col("_pl") == F.col("_l")))
+    here, there = F.substring_index("from_addr", "@", -1), F.substring_index("_a", "@", -1)
+    r = relation(here, there)
+    rank = F.when(same, 9).when(here == there, 0).when(r == "lookalike", 3).when(r == "suffix", 2).when(r == "same", 0).otherwise(1)
+    best = met.groupBy("msg_key").agg(F.max(F.struct(rank.alias("r"), F.when(~same, there).alias("d"))).alias("b"))
+    state = F.when(F.col("b.r") == 9, "same_address").when(F.col("b.r") == 0, "same_domain").when(F.col("b.r") == 1, "other_domain").when(F.col("b.r") == 2, "suffix").when(F.col("b.r") == 3, "lookalike")
+    out = rows.join(best, "msg_key", "left")
+    return out.select("msg_key", "n_earlier", F.when(F.col("from_addr").isNull(), "no_from").otherwise(F.coalesce(state, F.lit("new_sender"))).alias("status"), F.col("b.d").alias("earlier_domain"))
+
+
+def _row(kind: str, *outcomes: tuple[Column | None, str, str]) -> Column:
+    """A verdict ``(claim_type, rule, severity)`` of the first condition that holds."""
+    out = None
+    for condition, rule, severity in outcomes:
+        s = F.struct(F.lit(kind).alias("claim_type"), F.lit(rule).alias("rule"), F.lit(severity).alias("severity"))
+        out = (F.when(condition, s) if out is None else out.when(condition, s)) if condition is not None else out.otherwise(s)
+    return out
+
+
+def prior_rows(claims: DataFrame, identity: DataFrame) -> DataFrame:
+    """Verdicts of claims of an earlier conversation, ``(msg_key, claim_id)``: did the sender take part before?"""
+    s, n = F.col("status"), F.coalesce("n_earlier", F.lit(0))
+    v = _row(
+        "prior_relationship", (n == 0, "tv_prior_no_thread", "not_checkable"), (s == "no_from", "tv_prior_no_from", "not_checkable"), (s.isin("same_address", "same_domain"), "tv_prior_ok", "none"),
+        (s.isin("lookalike", "suffix", "other_domain"), "tv_prior_other_address", "low"), (n < 2, "tv_prior_few", "not_checkable"), (None, "tv_prior_stranger", "low"),
+    )
+    return claims.join(identity, "msg_key", "left").select("msg_key", "claim_id", v.alias("v")).select("msg_key", "claim_id", "v.*")
+
+
+def signal_ledger(messages: DataFrame, quote_share: float = 0.3) -> DataFrame:
+    """``(msg_key, claim_type, rule, contradiction, severity)``: verdicts about each message against its thread, or on its own where it is the first.
+
+    Sender, sending path, named ids and quotation, each a distributed comparison of its own, joined by message.
+    """
+    who, path, ids, quote = sender_identity(messages), path_drift(messages), reference_integrity(messages), quotation_integrity(messages)
+    rows = messages.select("msg_key", "thread_id", "subject", "position", "in_reply_to", "refs", F.size(word_list("quoted")).alias("words"))
+    rows = rows.join(who, "msg_key").join(path, "msg_key").join(ids, "msg_key").join(quote.select("msg_key", "share"), "msg_key", "left")
+    s, first = F.col("status"), F.col("n_earlier") == 0
+    some = F.col("in_reply_to").isNotNull() | (F.coalesce("refs", F.lit("")) != "")
+    ip, mailer = F.col("new_network"), F.col("new_mailer")
+    verdicts = [
+        F.when(first, _row("single_email", (~is_reply(F.col("subject")), "tv_single_not_reply", "not_checkable"), (F.coalesce("words", F.lit(0)) < 20, "tv_single_no_quote", "not_checkable"), (some, "tv_single_ids_present", "none"), (None, "tv_single_no_reply_ids", "low"))),
+        F.when(~first, _row("sending_path", (s == "no_from", "tv_who_no_from", "not_checkable"), (s == "same_address", "tv_who_same_address", "none"), (s == "same_domain", "tv_who_same_domain", "none"), (s == "lookalike", "tv_who_lookalike", "high"),
+                            (s == "suffix", "tv_who_suffix", "medium"), (s == "other_domain", "tv_who_other_domain", "low"), (None, "tv_who_new_sender", "not_checkable"))),
+        F.when(~first & (s == "same_address"), _row("sending_path", (ip.isNull() & mailer.isNull(), "tv_path_no_data", "not_checkable"), (ip & mailer, "tv_path_origin_mailer", "medium"), (ip, "tv_path_origin", "low"), (mailer, "tv_path_mailer", "low"), (None, "tv_path_same", "none"))),
+        F.when(~first, _row("thread_integrity", (F.col("total") == 0, "tv_int_no_ids", "not_checkable"), (F.col("known") == 0, "tv_int_ids_unknown", "medium"), (~F.col("parent_known"), "tv_int_parent_missing", "low"), (None, "tv_int_ids_ok", "none"))),
+        F.when(~first, _row("thread_integrity", (is_forward(F.col("subject")), "tv_quote_forward", "not_checkable"), (F.col("share").isNull(), "tv_quote_none", "not_checkable"), (F.col("share") < quote_share, "tv_quote_mismatch", "high"), (None, "tv_quote_ok", "none"))),
+    ]
+    out = rows.withColumn("v", F.explode(F.array_compact(F.array(*verdicts))))
+    severity = F.col("v.severity")
+    contradiction = F.when(severity.isin("low", "medium", "high"), True).when(severity == "none", False)
+    return out.select("msg_key", "thread_id", "position", "v.claim_type", "v.rule", contradiction.alias("contradiction"), severity.alias("severity"))
+
+
+def signal_rates(ledger: DataFrame, by: str) -> DataFrame:
+    """Verdicts by rule, for all and for each value of ``by``."""
+    g = ledger.groupingSets([["rule"], ["rule", by]], "rule", by).agg(
+        F.count_if("contradiction").alias("contradictions"), F.count_if(~F.col("contradiction")).alias("consistent"), F.count_if(F.col("contradiction").isNull()).alias("not_checkable"), F.grouping(by).alias("g")
+    )
+    return g.select("rule", F.when(F.col("g") == 1, "all").otherwise(F.col(by).cast("string")).alias(by), "contradictions", "consistent", "not_checkable")
 
 
 def flip_points(ledger: DataFrame, thread: str = "msg_id", position: str = "position") -> DataFrame:

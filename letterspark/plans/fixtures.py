@@ -21,13 +21,17 @@ select doc_id, 'toxic' as label, toxic as a1, case when doc_id % 7 = 0 then 1 -
 from {labels}""",
     "fx_messages": """
 select concat('m', conv_id, '_', turn) as msg_key, conv_id as thread_id, turn as position,
-  concat(role, case when turn % 5 = 4 then '@examp1e.com' else '@example.com' end) as from_addr,
+  case when turn % 8 = 6 then null else concat(case when conv_id % 5 = 2 then 'user' else role end, case when turn % 5 = 4 then '@examp1e.com' when turn % 5 = 3 then '@example.net' else '@example.com' end) end as from_addr,
+  case when turn % 3 = 1 then 'Assistant Bot' else role end as from_name,
   concat('<', conv_id, '.', turn, '@example.com>') as message_id,
-  case when turn = 0 then null when turn % 6 = 5 then '<x@thread.invalid>' else concat('<', conv_id, '.', turn - 1, '@example.com>') end as in_reply_to,
-  concat(case when turn % 3 = 0 then '' else 'Re: RE: ' end, 'Topic ', conv_id % 40) as subject,
-  concat('10.', conv_id % 4, '.', turn % 3, '.9') as origin_ip, text,
-  case when turn % 2 = 1 then lag(text) over (partition by conv_id order by turn) end as quoted
-from {conversations}""",
+  case when turn = 0 or conv_id % 7 = 3 then null when turn % 6 = 5 then '<x@thread.invalid>' else concat('<', conv_id, '.', turn - 1, '@example.com>') end as in_reply_to,
+  case when turn >= 2 and turn % 4 = 0 then concat('<', conv_id, '.', turn - 2, '@example.com> <lost', turn, '@example.com>') else '' end as refs,
+  concat(case when turn % 9 = 4 then 'Fwd: ' when turn % 3 = 0 then '' else 'Re: RE: ' end, 'Topic ', conv_id % 40) as subject,
+  concat('10.', conv_id % 4, '.', turn % 3, '.9') as origin_ip, concat('Mailer ', turn % 4) as mailer,
+  case when conv_id % 13 = 5 and turn % 2 = 1 then null else 1700000000 + conv_id * 1000 + (turn - 3 * (turn % 2)) * 3600 end as sent, text,
+  case when turn % 4 = 3 then concat(lag(text) over (partition by conv_id order by turn), ' and then these many words were never said before by anybody else here at all')
+    when turn % 2 = 1 then lag(text) over (partition by conv_id order by turn) end as quoted
+from {conversations} where not (conv_id % 11 = 4 and turn > 0)""",
     "fx_headers": """
 select o.o_orderkey as id, c.c_mktsegment as source,
   concat('From: "', case when o.o_orderkey % 9 = 2 then 'service@paypal.com' when o.o_orderkey % 9 = 5 then 'Acme acme.co.uk' else c.c_name end, '" <u', c.c_custkey,
@@ -78,6 +82,19 @@ select l_orderkey as msg_id, concat('c', l_linenumber) as claim_id,
   case l_partkey % 3 when 0 then true when 1 then false end as contradiction,
   case when l_partkey % 3 = 1 then 'none' when l_partkey % 3 = 2 then 'not_checkable' when l_returnflag = 'R' then 'high' when l_returnflag = 'A' then 'medium' else 'low' end as severity
 from {lineitem}""",
+    "fx_claims": """
+select l_orderkey as msg_id, concat('c', l_linenumber, '_', l_partkey, '_', l_suppkey, '_', l_quantity, l_shipdate) as claim_id,
+  case l_partkey % 11 when 0 then 'affiliation_internal' when 1 then 'affiliation_external' when 2 then 'authority' when 3 then 'reply_direction' when 4 then 'signature_contact' when 5 then 'prior_relationship'
+    when 6 then 'payment_request' when 7 then 'payment_change' when 8 then 'credential_request' when 9 then 'gift_card' else 'data_request' end as type,
+  case when l_suppkey % 4 = 0 then 0.6D else 0.9D end as confidence,
+  case l_linenumber % 4 when 0 then 'your account' when 1 then 'the PayPal security team' when 2 then 'Sender Group and PayPal' else 'Nobody Ltd' end as text,
+  case l_linenumber % 4 when 0 then '' when 3 then 'Nobody Ltd' else 'known' end as named, l_suppkey % 3 <> 0 as speaks,
+  case when l_suppkey % 7 = 0 then 'sc_street' else 'sc_contact' end as pattern,
+  case l_partkey % 5 when 0 then 'Ann, a@mail.sender.com or x@sendar.com' when 1 then 'b@hq.acme.co.uk. To Unsubscribe write x@list.org' when 2 then 'no address' when 3 then 'c@gmail.com' else 'z@senber.com, q@evil.ru' end as contact,
+  l_partkey % 2 = 0 as has_bank_details
+from {lineitem}""",
+    "fx_brands": """
+select * from (values ('paypal', 'paypal', 'paypal.com'), ('sender group', 'sender', 'sender.com'), ('acme', 'acme', 'acme.co.uk')) as v(phrase, brand, domain)""",
     "fx_scores": """
 select event_id as item, user_id as cluster, round(value, 0) as score, case when event_type = 'error' then 1 else 0 end as label from {events}""",
     "fx_lexicon": """
@@ -94,12 +111,17 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(sql, **tables)
 
 
+def _portable(sql: str) -> str:
+    """A view for other engines: bare table names, doubles without their mark."""
+    return re.sub(r"([0-9]\.[0-9]+)D\b", r"\1", re.sub(r"{(\w+)}", r"\1", sql))
+
+
 def with_views(sql: str) -> str:
     """DuckDB SQL with the views that it names in front."""
     used = [v for v in VIEWS if re.search(rf"\b{v}\b", sql)]
     if not used:
         return sql
-    defined = ",\n".join(f"{v} as ({re.sub(r'{(\w+)}', r'\1', VIEWS[v]).replace('.0D', '.0').replace('.5D', '.5')})" for v in used)
+    defined = ",\n".join(f"{v} as ({_portable(VIEWS[v])})" for v in used)
     sql = sql.lstrip()
     if sql.startswith("with recursive "):
         return f"with recursive {defined},\n{sql[15:]}"

@@ -13,7 +13,6 @@ from letterspark.operators import lexicon as P
 from letterspark.operators import scoring as K
 from letterspark.operators import splits as C
 from letterspark.operators import staging as B
-from letterspark.operators import threads as J
 from letterspark.plans.fixtures import view, with_views
 from letterspark.streaming import jobs as M
 
@@ -383,82 +382,6 @@ def k11_rescore_grid(t):
     return K.rescore(ledger, ledger.sparkSession.createDataFrame([("c1", 0.5, 60.0), ("c2", 0.5, 45.0), ("c3", 0.25, 60.0)], "config string, decay double, high_points double"))
 
 
-# ---------------------------------------------------------------- threads
-NSUB = r"trim(regexp_replace(substr(regexp_replace(lower(trim(subject)), '^(?:(?:re|fw|fwd|aw|wg)(?:\[[0-9]+\])?[ ]*:[ ]*){1,20}', ''), 1, 300), '[ \t\r\n]+', ' ', 'g'))"
-
-
-@query(rf"select msg_key, {NSUB} as subject, regexp_matches(lower(trim(subject)), '^(?:re|aw)(?:\[[0-9]+\])?[ ]*:') as is_reply from fx_messages")
-def j1_subjects(t):
-    return t("fx_messages").select("msg_key", J.normalise_subject(col("subject")).alias("subject"), J.is_reply(col("subject")).alias("is_reply"))
-
-
-@query("""with recursive edge as (select msg_key as a, '~' || message_id as b from fx_messages union select msg_key, '~' || in_reply_to from fx_messages where in_reply_to is not null),
-start_ as (select a, b from edge where b <> '~<x@thread.invalid>'), hub as (select min(a) as h from edge where b = '~<x@thread.invalid>'),
-near as (select a, min(a) over (partition by b) as m from start_), comp0 as (select thread_id, bool_or(in_reply_to = '<x@thread.invalid>') as hubbed from fx_messages group by 1),
-walk as (select a, a as r from start_ union select w.a, s2.a from walk w join start_ s1 on w.r = s1.a join start_ s2 on s1.b = s2.b),
-local_ as (select a, min(r) as c from walk group by a), joined as (select l.a, l.c, max((x.a is not null)::int) over (partition by l.c) as hubbed from local_ l left join (select a from edge where b = '~<x@thread.invalid>') x on l.a = x.a)
-select a as msg_key, case when hubbed = 1 then (select min(c) from joined where hubbed = 1) else c end as component from joined""")
-def j2_reply_components(t):
-    return J.reply_components(t("fx_messages"))
-
-
-@query("""with g as (select event_id, event_type, user_id, ts, case when epoch_us(ts) - lag(epoch_us(ts)) over w > 3600000000 then 1 else 0 end as new_ from events window w as (partition by event_type, user_id order by ts, event_id))
-select event_id, sum(new_) over (partition by event_type, user_id order by ts, event_id rows unbounded preceding)::bigint + 1 as run from g""")
-def j3_gap_runs(t):
-    return J.gap_runs(t("events").select("event_id", "event_type", "user_id", "ts"), ["event_type", "user_id"], "ts", "event_id", 3600).select("event_id", "run")
-
-
-@query("""with n as (select thread_id, count(*) as n, count(distinct from_addr) as senders, count(in_reply_to) as replies from fx_messages group by 1)
-select *, case when n < 2 then 'single' when n > 50 then 'long' when senders < 2 then 'one sender' when replies * 2 < n then 'few replies' else 'kept' end as reason from n""")
-def j5_thread_filters(t):
-    return J.thread_filters(t("fx_messages"))
-
-
-@query("select least(n, 10) as size, count(*) as threads from (select thread_id, count(*) as n from fx_messages group by 1) group by 1")
-def j7_size_buckets(t):
-    return J.size_buckets(t("fx_messages"))
-
-
-@query("""with e as (select event_id, user_id, value, max(value) over w as m, avg(value) over w as a, count(value) over w as c from events window w as (partition by user_id order by event_id rows between unbounded preceding and 1 preceding))
-select event_id, coalesce(value >= 100 and coalesce(m, -1e9) < 100 and value - a >= 0.4 and c >= 2, false) as onset from e""")
-def j8_onset(t):
-    return J.onset(t("events").select("event_id", "user_id", "value"), "user_id", "event_id", "value", 100.0).select("event_id", "onset")
-
-
-@query("""select event_id, case when min(event_id) over (partition by user_id, event_type) = event_id then 'first' when min(event_id) over (partition by user_id, event_type, floor(value)) < event_id then 'seen' else 'changed' end as drift from (select *, floor(value) as v from events)""")
-def j9_drift(t):
-    e = t("events").select("event_id", "user_id", "event_type", F.floor("value").alias("v"))
-    return J.drift(e, "user_id", "event_id", "event_type", "v").select("event_id", "drift")
-
-
-@query(r"""with m as (select *, regexp_extract(origin_ip, '^([0-9]+\.[0-9]+\.[0-9]+)\.', 1) as network from fx_messages)
-select msg_key, network, case when row_number() over (partition by thread_id, from_addr order by position) = 1 then null else row_number() over (partition by thread_id, from_addr, network order by position) = 1 end as new_network from m""")
-def j12_path_drift(t):
-    return J.path_drift(t("fx_messages"))
-
-
-@query("select m.msg_key, bool_or(case when m.in_reply_to is not null then coalesce(p.position < m.position, false) end) as parent_known from fx_messages m left join fx_messages p on m.thread_id = p.thread_id and m.in_reply_to = p.message_id group by 1")
-def j13_reference_integrity(t):
-    return J.reference_integrity(t("fx_messages"))
-
-
-SHINGLE = r"list_filter(string_split(lower(regexp_replace({}, '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' '), lambda x: x <> '')"
-
-
-@query(f"""with w as (select thread_id, position, msg_key, {SHINGLE.format('text')} as tw, {SHINGLE.format('quoted')} as qw from fx_messages),
-said as (select thread_id, s, min(position) as first from (select thread_id, position, array_to_string(tw[i : i + 4], ' ') as s from (select *, unnest(range(1, len(tw) - 3)) as i from w)) group by 1, 2),
-q as (select distinct msg_key, thread_id, position, array_to_string(qw[i : i + 4], ' ') as s from (select *, unnest(range(1, len(qw) - 3)) as i from w where len(qw) >= 20))
-select msg_key, count(*) as shingles, count(*) filter (where first < position) as known from q left join said using (thread_id, s) group by 1""")
-def j14_quotation_integrity(t):
-    return J.quotation_integrity(t("fx_messages"))
-
-
-@query("""select msg_id, min(case when contradiction and position >= 2 and severity in ('medium', 'high') then position end) as flip, max(case when contradiction then case severity when 'high' then 3 when 'medium' then 2 when 'low' then 1 else 0 end else 0 end) as worst
-from (select *, substr(claim_id, 2)::int as position from fx_ledger) group by 1""")
-def j18_flip_points(t):
-    return J.flip_points(t("fx_ledger").withColumn("position", F.expr("int(substr(claim_id, 2))")))
-
-
 # ---------------------------------------------------------------- evaluation
 CONF = "count(*) filter (where y and p) as tp, count(*) filter (where not y and p) as fp, count(*) filter (where y and not p) as fn, count(*) filter (where not y and not p) as tn"
 RATES = "case when tp + fp > 0 then round(tp / (tp + fp), 6) else 0 end as precision, case when tp + fn > 0 then round(tp / (tp + fn), 6) else 0 end as recall, case when 2 * tp + fp + fn > 0 then round(2 * tp / (2 * tp + fp + fn), 6) else 0 end as f1"
