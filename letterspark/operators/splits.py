@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from letterspark.plans.prefix import running_sum
+from letterspark.plans.prefix import join_on, running_sum
+from letterspark.plans.shared import cut
 
 
 def subject_of(headers: Column) -> Column:
@@ -41,22 +42,23 @@ def pick(tag: str, key: Column, options: list[str]) -> Column:
 
 
 def break_up_groups(df: DataFrame, stratum: str, group: str, row: str, share: float = 0.02, least: int = 25) -> DataFrame:
-    """Rows of groups larger than max(share of the stratum, least) become groups of their own."""
+    """Rows of groups larger than max(share of the stratum, least) become groups of their own. ``df`` is read three times: cut its lineage before where it is dear."""
     sizes = df.groupBy(stratum, group).agg(F.count("*").alias("_g"))
-    totals = df.groupBy(stratum).agg(F.count("*").alias("_s"))
-    big = sizes.join(F.broadcast(totals), stratum).where(F.col("_g") > F.greatest(F.col("_s") * share, F.lit(float(least)))).select(stratum, group, F.lit(True).alias("_big"))
-    out = df.join(big, [stratum, group], "left")
+    totals = sizes.groupBy(stratum).agg(F.sum("_g").alias("_s"))
+    big = join_on(sizes, totals, [stratum]).where(F.col("_g") > F.greatest(F.col("_s") * share, F.lit(float(least)))).select(stratum, group, F.lit(True).alias("_big"))
+    out = join_on(df, big, [stratum, group], "left")
     return out.withColumn(group, F.when(F.col("_big"), F.concat(F.lit("r:"), F.col(row).cast("string"))).otherwise(F.col(group))).drop("_big")
 
 
 def assign_splits(df: DataFrame, stratum: str, group: str, seed: str = "1") -> DataFrame:
-    """70/15/15 by the middle of each whole group in hash order inside its stratum, in integers."""
+    """70/15/15 by the middle of each whole group in hash order inside its stratum, in integers. A null stratum or group is one like any other."""
     groups = df.groupBy(stratum, group).agg(F.count("*").alias("_n")).withColumn("_pos", position(F.col(group), seed))
-    groups = running_sum(groups, [stratum], "_pos", "_n", "_done", group)
+    groups = cut(groups)  # read for ranges, sums and totals
+    placed = running_sum(groups, [stratum], "_pos", "_n", "_done", group)
     total = groups.groupBy(stratum).agg(F.sum("_n").alias("_total"))
     twice = 10 * (2 * F.col("_done") + F.col("_n"))
-    placed = groups.join(F.broadcast(total), stratum).withColumn("split", F.when(twice < 14 * F.col("_total"), "train").when(twice < 17 * F.col("_total"), "validation").otherwise("test"))
-    return df.join(placed.select(stratum, group, "split"), [stratum, group])
+    placed = join_on(placed, total, [stratum]).withColumn("split", F.when(twice < 14 * F.col("_total"), "train").when(twice < 17 * F.col("_total"), "validation").otherwise("test"))
+    return join_on(df, placed.select(stratum, group, "split"), [stratum, group])
 
 
 def straddling_groups(df: DataFrame, group: str) -> DataFrame:
@@ -70,8 +72,8 @@ def split_report(df: DataFrame, stratum: str) -> DataFrame:
 
 
 def draw(df: DataFrame, strata: list[str], quota: DataFrame, row: str, seed: str = "1") -> DataFrame:
-    """The first ``n`` rows (column of ``quota``) of each stratum in hash order, found by their least positions."""
-    placed = df.withColumn("_pos", position(F.col(row), seed)).join(F.broadcast(quota), strata)
+    """The first ``n`` rows (column of ``quota``) of each stratum in hash order; rows of strata without a quota are left out."""
+    placed = df.withColumn("_pos", position(F.col(row), seed)).join(quota, strata)
     rank = F.row_number().over(Window.partitionBy(*strata).orderBy("_pos", row))
     return placed.withColumn("_rank", rank).where("_rank <= n").drop("_pos", "n")
 

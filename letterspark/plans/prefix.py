@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,13 @@ def ranged(df: DataFrame, *order: str) -> tuple[DataFrame, Column]:
     return cut(df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id())), F.col("_range")
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join on columns of equal names in which nulls equal each other; the left side's keys stay."""
+    names = {k: f"_on{i}" for i, k in enumerate(keys)}
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()))
+    return left.join(right.withColumnsRenamed(names), same, how).drop(*names.values())
+
+
 def running_sum(df: DataFrame, by: list[str], position: str, value: str, out: str, tie: str, bucket: Column | None = None) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over the rows before this one in ``by``, ordered by ``position`` and ``tie``.
 
@@ -32,10 +41,7 @@ def running_sum(df: DataFrame, by: list[str], position: str, value: str, out: st
     keys = [*by, "_bucket"]
     sums = df.groupBy(*keys).agg(F.sum(value).alias("_sum"))
     over = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(*(F.col(k).alias(f"_o{i}") for i, k in enumerate(keys)), F.coalesce(F.sum("_sum").over(over), F.lit(0)).alias("_base"))
-    same = F.lit(True)
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_o{i}"))
+    offsets = sums.withColumn("_base", F.coalesce(F.sum("_sum").over(over), F.lit(0))).drop("_sum")
     inside = Window.partitionBy(*keys).orderBy(position, tie).rowsBetween(Window.unboundedPreceding, -1)
-    joined = df.join(offsets, same).withColumn(out, F.col("_base") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    return joined.drop("_bucket", "_base", *(f"_o{i}" for i in range(len(keys))))
+    joined = join_on(df, offsets, keys)
+    return joined.withColumn(out, F.col("_base") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("_bucket", "_base")

@@ -14,6 +14,7 @@ from letterspark.operators import scoring as K
 from letterspark.operators import splits as C
 from letterspark.operators import staging as B
 from letterspark.plans.fixtures import view, with_views
+from letterspark.plans.shared import cut
 from letterspark.streaming import jobs as M
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,7 +114,7 @@ split as (select stratum, grp, case when 10 * (2 * done + n) < 14 * total then '
 
 def _grouped(t):
     h = t("fx_headers")
-    return h.select("id", col("source").alias("stratum"), C.group_key(C.subject_of(col("raw_headers")), col("id")).alias("grp"))
+    return cut(h.select("id", col("source").alias("stratum"), C.group_key(C.subject_of(col("raw_headers")), col("id")).alias("grp")))
 
 
 def _split(t):

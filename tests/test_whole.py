@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from letterspark.more_queries import ORACLE_SQL, QUERIES
@@ -11,15 +10,9 @@ from letterspark.operators import evaluate as L
 from tests.test_oracle import DIR, duck, plain  # noqa: F401
 
 
-@pytest.mark.parametrize("name", ["d9_redact", "d11_d13_link_summary", "d19_display_safe"])
-def test_mail_is_whole(spark, duck, name):  # noqa: F811
-    whole = ORACLE_SQL[name].replace("substr(text, 1, 400)", "text")
-    assert plain(QUERIES[name](spark, DIR).toPandas()) == plain(duck.sql(whole).df())
-
-
 def test_contingency_holds_every_document(spark, duck):  # noqa: F811
     rows = QUERIES["d15_contingency"](spark, DIR).toPandas()
-    assert plain(rows[["category", "en", "de", "fr"]]) == plain(duck.sql(ORACLE_SQL["d15_contingency"]).df())
+    assert plain(rows) == plain(duck.sql(ORACLE_SQL["d15_contingency"]).df())
     docs = duck.sql("select count(*) as n, count(*) filter (where lang is null or lang not in ('en', 'de', 'fr')) as rest from documents").df()
     assert rows[["en", "de", "fr", "other"]].to_numpy().sum() == docs.n[0]
     assert rows["other"].sum() == docs.rest[0] > 0
