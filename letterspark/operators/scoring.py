@@ -42,18 +42,18 @@ def strongest(ledger: DataFrame, reliability: DataFrame | None = None) -> DataFr
     rows = ledger.where("contradiction").withColumn("p", points(F.col("severity")))
     if reliability is not None:
         rows = rows.join(reliability.select("rule", "factor"), "rule", "left").withColumn("p", F.col("p") * F.coalesce("factor", F.lit(1.0)))
-    return rows.groupBy("msg_id", "claim_id", "claim_type").agg(F.max("p").alias("p")).where("p > 0")
+    return rows.groupBy("msg_id", "claim_id", "claim_type").agg(F.max("p").alias("p"), F.min_by("rule", F.struct(-F.col("p"), "rule")).alias("rule")).where("p > 0")
 
 
 def score(ledger: DataFrame, reliability: DataFrame | None = None, decay: float = 0.5, fired: DataFrame | None = None) -> DataFrame:
-    """``(msg_id, score, band, action)``: saturating sum of the groups, the k-th strongest times decay^k, times the pressure, plus the points of tactics.
+    """``(msg_id, score, band, action, top_rule)``: saturating sum of the groups, the k-th strongest times decay^k, times the pressure, plus the points of tactics.
 
     ``fired``: ``(msg_id, tactic)``. Rounded half up and at most 100; every message of the ledger has a row.
     """
     groups = strongest(ledger, reliability)
     order = Window.partitionBy("msg_id").orderBy(F.desc("p"), "claim_id", "claim_type")
     ranked = groups.withColumn("k", F.row_number().over(order) - 1)
-    sums = ranked.groupBy("msg_id").agg(F.sum(F.round(F.col("p") * F.pow(F.lit(decay), F.col("k")), 2)).alias("total"), F.min_by("claim_type", "k").alias("top"))
+    sums = ranked.groupBy("msg_id").agg(F.sum(F.round(F.col("p") * F.pow(F.lit(decay), F.col("k")), 2)).alias("total"), F.min_by("claim_type", "k").alias("top"), F.min_by("rule", "k").alias("top_rule"))
     out = ledger.select("msg_id").distinct().join(sums, "msg_id", "left")
     multiplier = extra = None
     if fired is not None:
@@ -63,10 +63,10 @@ def score(ledger: DataFrame, reliability: DataFrame | None = None, decay: float
         multiplier, extra = F.coalesce("_m", F.lit(1.0)), F.coalesce("_t", F.lit(0.0))
     raw = F.coalesce("total", F.lit(0.0))
     raw = raw * multiplier + extra if multiplier is not None else raw
-    out = out.select("msg_id", F.least(F.lit(100), F.floor(raw + 0.5)).cast("int").alias("score"), "top").withColumn("band", band(F.col("score")))
+    out = out.select("msg_id", F.least(F.lit(100), F.floor(raw + 0.5)).cast("int").alias("score"), "top", "top_rule").withColumn("band", band(F.col("score")))
     text = F.coalesce(*(F.when(F.col("band") == k, F.lit(v)) for k, v in ACTIONS.items()))
     more = F.coalesce(*(F.when(F.col("top") == k, F.lit(" " + v)) for k, v in ADDENDA.items()), F.lit(""))
-    return out.select("msg_id", "score", "band", F.when(F.col("band") == "low", text).otherwise(F.concat(text, more)).alias("action"))
+    return out.select("msg_id", "score", "band", F.when(F.col("band") == "low", text).otherwise(F.concat(text, more)).alias("action"), "top_rule")
 
 
 def coverage(ledger: DataFrame) -> DataFrame:
@@ -88,18 +88,35 @@ def wilson(hits: Column, n: Column, z: float = 1.959963984540054) -> tuple[Colum
     return F.when(n > 0, middle - half), F.when(n > 0, middle + half)
 
 
-def reliability(ledger: DataFrame, false_alarm: DataFrame, judged: int = 20) -> DataFrame:
-    """Factor of each rule from its rate of contradictions on messages of ``false_alarm`` (1, 0.5 or 0), judged from so many hits."""
-    rows = ledger.join(false_alarm, "msg_id", "left_semi").groupBy("rule").agg(F.count_if("contradiction").alias("hits"), F.count("*").alias("n"))
-    rate = F.col("hits") / F.col("n")
-    return rows.select("rule", "hits", "n", F.when(F.col("hits") < judged, 1.0).when(rate > 0.4, 0.0).when(rate > 0.3, 0.5).otherwise(1.0).alias("factor"))
+# Shares of checked ordinary messages that may be at high risk, and at medium risk or above.
+BUDGET_HIGH, BUDGET_MEDIUM = 0.01, 0.05
 
 
-def budget(scored: DataFrame, group: str, limit: float = 0.05) -> DataFrame:
-    """False alarms of each group with their Wilson interval and a verdict."""
-    rows = scored.groupBy(group).agg(F.count("*").alias("n"), F.count_if(F.col("band") != "low").alias("alarms"))
-    low, high = wilson(F.col("alarms"), F.col("n"))
-    return rows.select(group, "n", "alarms", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"), (F.col("alarms") / F.col("n") <= limit).alias("within"))
+def reliability(ledger: DataFrame, ordinary: DataFrame, group: str, judged: int = 20, half: float = BUDGET_MEDIUM, zero: float = 2 * BUDGET_MEDIUM) -> DataFrame:
+    """``(rule, group, hits, n, judged, factor)``: how often a rule fires on checked messages of ``ordinary`` (msg_id, group), and the factor (1, 0.5 or 0) by its highest rate among groups with enough hits."""
+    rows = ledger.join(ordinary, "msg_id")
+    n = rows.where("contradiction is not null").groupBy(group).agg(F.count_distinct("msg_id").alias("n"))
+    hits = rows.where("contradiction").groupBy("rule", group).agg(F.count_distinct("msg_id").alias("hits"))
+    rates = ledger.select("rule").distinct().crossJoin(n).join(hits, ["rule", group], "left").fillna(0, ["hits"])  # rules and groups: both small
+    rates = rates.withColumn("judged", F.col("hits") >= judged)
+    worst = F.max(F.when(F.col("judged"), F.col("hits") / F.col("n"))).over(Window.partitionBy("rule"))
+    return rates.withColumn("factor", F.when(worst > zero, 0.0).when(worst > half, 0.5).otherwise(1.0))
+
+
+def budget(scored: DataFrame, group: str, least: int = 20, top: int = 4) -> DataFrame:
+    """False alarms of each group of checked ordinary messages with their Wilson intervals, the rules behind most of them, and a verdict: PASS, OVER or info (too few)."""
+    alarm = F.col("band") != "low"
+    rows = scored.groupBy(group).agg(F.count("*").alias("n"), F.count_if(F.col("band") == "high").alias("high"), F.count_if(alarm).alias("alarms"))
+    behind = scored.where(alarm).groupBy(group, "top_rule").agg(F.count("*").alias("c")).withColumn("k", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("c"), "top_rule"))).where(F.col("k") <= top)
+    named = F.transform(F.sort_array(F.collect_list(F.struct("k", "top_rule", "c"))), lambda x: F.concat(x["top_rule"], F.lit(":"), x["c"].cast("string")))
+    behind = behind.groupBy(group).agg(F.array_join(named, "; ").alias("top_rules"))
+    out = rows.join(behind, group, "left")
+    ends = {}
+    for name in ("high", "alarms"):
+        low, high = wilson(F.col(name), F.col("n"))
+        ends |= {f"{name}_low": F.round(low, 6), f"{name}_high": F.round(high, 6)}
+    over = (F.col("high") / F.col("n") > BUDGET_HIGH) | (F.col("alarms") / F.col("n") > BUDGET_MEDIUM)
+    return out.withColumns(ends).withColumn("verdict", F.when(F.col("n") < least, "info").when(over, "OVER").otherwise("PASS"))
 
 
 def verdict_rates(ledger: DataFrame) -> DataFrame:
@@ -127,18 +144,50 @@ def top_reasons(ledger: DataFrame, n: int = 3) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(Window.partitionBy("claim_type").orderBy(F.desc("n"), "rule"))).where(F.col("rank") <= n)
 
 
-def rescore(ledger: DataFrame, configs: DataFrame) -> DataFrame:
-    """Mean score and share of alarms under each configuration (a few rows of ``config, decay, high_points``)."""
-    rows = ledger.where("contradiction").crossJoin(F.broadcast(configs))
-    p = F.when(F.col("severity") == "high", F.col("high_points")).otherwise(points(F.col("severity")))
-    groups = rows.withColumn("p", p).groupBy("config", "decay", "msg_id", "claim_id", "claim_type").agg(F.max("p").alias("p")).where("p > 0")
-    k = F.row_number().over(Window.partitionBy("config", "msg_id").orderBy(F.desc("p"), "claim_id", "claim_type")) - 1
-    sums = groups.withColumn("k", k).groupBy("config", "msg_id").agg(F.sum(F.col("p") * F.pow("decay", "k")).alias("raw"))
-    s = sums.withColumn("score", F.least(F.lit(100), F.floor(F.col("raw") + 0.5)).cast("int"))
-    return s.groupBy("config").agg(F.count("*").alias("messages"), F.sum("score").alias("total"), F.count_if(F.col("score") >= BANDS["medium"]).alias("alarms"))
+# The points that calibration tries, and where it starts from.
+GRID = [(h, m, p) for h in (50.0, 60.0, 70.0) for m in (25.0, 35.0, 45.0) for p in (0.15, 0.25, 0.35)]
+START = (60.0, 35.0, 0.25)
+
+
+def calibrate(ledger: DataFrame, ordinary: DataFrame, group: str, fired: DataFrame, least: int = 20, high_budget: float = BUDGET_HIGH, medium_budget: float = BUDGET_MEDIUM, decay: float = 0.5) -> DataFrame:
+    """All configurations of ``GRID`` with their false alarms in the groups of ``ordinary`` (msg_id, group), and the one to keep.
+
+    Scores depend on a message only through its numbers of high, medium and low findings and its tactics: messages
+    are counted by these once, and the few patterns meet the configurations. ``chosen``: of those that keep the meaning
+    of the bands and the budget, the nearest to the start (then fewest points); the start if none does.
+    """
+    rank = F.when(F.col("severity") == "high", 3).when(F.col("severity") == "medium", 2).when(F.col("severity") == "low", 1)
+    claims = ledger.where("contradiction").groupBy("msg_id", "claim_id", "claim_type").agg(F.max(rank).alias("r"))
+    n = claims.groupBy("msg_id").agg(*(F.count_if(F.col("r") == k).alias(name) for name, k in (("h", 3), ("m", 2), ("l", 1))))
+    own = lambda names: F.count_distinct(F.when(F.col("tactic").isin(*names), F.col("tactic")))
+    tactics = fired.groupBy("msg_id").agg(own(tuple(PRESSURE)).alias("pressure"), F.least(F.lit(TACTIC_POINTS_MAX), TACTIC_POINTS * own(SCORED_TACTICS)).alias("extra"))
+    checked = ledger.where("contradiction is not null").select("msg_id").distinct().join(ordinary, "msg_id")
+    rows = checked.join(n, "msg_id", "left").join(tactics, "msg_id", "left").fillna(0, ["h", "m", "l", "pressure", "extra"])
+    patterns = rows.groupBy(group, "h", "m", "l", "pressure", "extra").agg(F.count("*").alias("n"))
+    grid = ledger.sparkSession.createDataFrame([(*p, k) for k, p in enumerate(GRID)], "high_points double, medium_points double, step double, config int")
+    each = patterns.crossJoin(F.broadcast(grid))  # 27 rows
+    found = F.concat(F.array_repeat("high_points", F.col("h").cast("int")), F.array_repeat("medium_points", F.col("m").cast("int")), F.array_repeat(F.lit(POINTS["low"]), F.col("l").cast("int")))
+    total = F.aggregate(F.transform(found, lambda p, k: F.round(p * F.pow(F.lit(decay), k), 2)), F.lit(0.0), lambda a, b: a + b)
+    s = F.least(F.lit(100), F.floor(total * (1 + F.col("step") * F.col("pressure")) + F.col("extra") + 0.5))
+    bands = each.withColumn("s", s).groupBy("config", "high_points", "medium_points", "step", group).agg(
+        F.sum("n").alias("n"), F.sum(F.when(F.col("s") >= BANDS["high"], F.col("n")).otherwise(0)).alias("high"), F.sum(F.when(F.col("s") >= BANDS["medium"], F.col("n")).otherwise(0)).alias("alarms")
+    )
+    over = (F.col("high") / F.col("n") > high_budget) | (F.col("alarms") / F.col("n") > medium_budget)
+    out = bands.where(F.col("n") >= least).groupBy("config", "high_points", "medium_points", "step").agg(
+        F.count("*").alias("groups"), F.count_if(over).alias("over"), F.round(F.max(F.col("high") / F.col("n")), 6).alias("worst_high"), F.round(F.max(F.col("alarms") / F.col("n")), 6).alias("worst_alarms")
+    )
+    h, m, p = F.col("high_points"), F.col("medium_points"), F.col("step")
+    meaning = m.between(BANDS["medium"], BANDS["high"] - 1e-9) & h.between(BANDS["medium"], BANDS["high"] - 1e-9) & (m < h) & (h * (1 + p) + TACTIC_POINTS >= BANDS["high"])
+    distance = F.round(F.abs(h - START[0]) / 10 + F.abs(m - START[1]) / 10 + F.abs(p - START[2]) / 0.1, 2)
+    out = out.withColumns({"meaning": meaning, "distance": distance})
+    fits = F.col("meaning") & (F.col("over") == 0)
+    best = F.min(F.when(fits, F.struct("distance", "high_points", "medium_points", "step"))).over(Window.partitionBy())  # 27 rows
+    out = out.withColumn("_b", best)
+    start = (h == START[0]) & (m == START[1]) & (p == START[2])
+    return out.withColumn("chosen", F.when(F.col("_b").isNull(), start).otherwise((h == F.col("_b.high_points")) & (m == F.col("_b.medium_points")) & (p == F.col("_b.step")))).drop("_b", "config")
 
 
 def units(ledger: DataFrame, **kwargs) -> DataFrame:
     """One scoring unit for each message of a ledger: claims, checked and contradicted verdicts, score and band."""
     n = ledger.groupBy("msg_id").agg(F.count_distinct("claim_id").alias("claims"), F.count("contradiction").alias("checked"), F.count_if("contradiction").alias("contradictions"))
-    return n.join(score(ledger, **kwargs).drop("action"), "msg_id")
+    return n.join(score(ledger, **kwargs).drop("action", "top_rule"), "msg_id")

@@ -344,7 +344,7 @@ def k1_k3_score(t):
     factors = ledger.sparkSession.createDataFrame([("r0", 0.0), ("r4", 0.5)], "rule string, factor double")
     k = col("o_orderkey")
     names = F.array_compact(F.array(*(F.when(k % m == 0, n) for n, m in (("urgency", 5), ("secrecy", 7), ("authority", 2), ("scarcity", 3))), F.lit("other")))
-    return K.score(ledger, factors, fired=t("orders").select(k.alias("msg_id"), F.explode(names).alias("tactic")))
+    return K.score(ledger, factors, fired=t("orders").select(k.alias("msg_id"), F.explode(names).alias("tactic"))).drop("top_rule")
 
 
 @query(f"with {SCORED} select o_orderpriority as source, band, count(*) as n, round(avg(score), 6) as mean_score from banded join orders on msg_id = o_orderkey group by all")
@@ -359,28 +359,52 @@ def k5_coverage(t):
     return K.coverage(t("fx_ledger"))
 
 
-@query("""with h as (select rule, count(*) filter (where contradiction) as hits, count(*) as n from fx_ledger where msg_id in (select o_orderkey from orders where o_orderstatus = 'F') group by rule)
-select rule, hits, n, case when hits < 20 then 1.0 when hits / n > 0.4 then 0.0 when hits / n > 0.3 then 0.5 else 1.0 end as factor from h""")
+WILSON = "round((a / n + {s} 1.959963984540054 * sqrt((a / n) * (1 - a / n) / n + 1.959963984540054 * 1.959963984540054 / (4 * n * n)) + 1.959963984540054 * 1.959963984540054 / (2 * n)) / (1 + 1.959963984540054 * 1.959963984540054 / n), 6)"
+
+
+ORDINARY = "ordinary as (select o_orderkey as msg_id, o_orderpriority as source from orders where o_orderstatus = 'F')"
+
+
+def _ordinary(t):
+    return t("orders").where("o_orderstatus = 'F'").select(col("o_orderkey").alias("msg_id"), col("o_orderpriority").alias("source"))
+
+
+@query(f"""with {ORDINARY}, j as (select l.*, o.source from fx_ledger l join ordinary o using (msg_id)), n as (select source, count(distinct msg_id) as n from j where contradiction is not null group by 1),
+h as (select rule, source, count(distinct msg_id) as hits from j where contradiction group by all), r as (select x.rule, n.source, coalesce(hits, 0) as hits, n from (select distinct rule from fx_ledger) x cross join n left join h on x.rule = h.rule and n.source = h.source),
+w as (select *, hits >= 5 as judged, max(case when hits >= 5 then hits / n end) over (partition by rule) as worst from r)
+select rule, source, hits, n, judged, case when worst > 0.2 then 0.0 when worst > 0.17 then 0.5 else 1.0 end as factor from w""")
 def k9_reliability(t):
-    return K.reliability(t("fx_ledger"), t("orders").where("o_orderstatus = 'F'").select(col("o_orderkey").alias("msg_id")))
+    return K.reliability(t("fx_ledger"), _ordinary(t), "source", judged=5, half=0.17, zero=0.2)
 
 
-WILSON = "round((a / n + {s} 1.959963984540054 * sqrt((a / n) * (1 - a / n) / n + 1.959963984540054 * 1.959963984540054 / (4 * n * n)) + 1.959963984540054 * 1.959963984540054 / (2 * n)) / (1 + 1.959963984540054 * 1.959963984540054 / n), 6)"
+TOP = f"""tops as (select msg_id, arg_min(rule, k) as top_rule from (select msg_id, rule, row_number() over (partition by msg_id order by p desc, claim_id, claim_type) as k from (select msg_id, claim_id, claim_type, max({PTS}) as p, arg_min(rule, struct_pack(a := -({PTS}), b := rule)) as rule from fx_ledger where contradiction group by all having max({PTS}) > 0)) group by 1)"""
 
 
-@query(f"with {SCORED}, g as (select o_orderpriority as source, count(*)::double as n, count(*) filter (where band <> 'low')::double as a from banded join orders on msg_id = o_orderkey group by 1) select source, n::bigint as n, a::bigint as alarms, {WILSON.format(s='-1 *')} as low, {WILSON.format(s='')} as high, a / n <= 0.05 as within from g")
+@query(f"""with {SCORED}, {TOP}, s as (select b.*, o_orderpriority as source, top_rule from banded b join orders on b.msg_id = o_orderkey left join tops t on b.msg_id = t.msg_id),
+g as (select source, count(*)::double as n, count(*) filter (where band = 'high')::double as h, count(*) filter (where band <> 'low')::double as a from s group by 1),
+r as (select source, top_rule, count(*) as c, row_number() over (partition by source order by count(*) desc, top_rule) as k from s where band <> 'low' group by source, top_rule), t as (select source, string_agg(top_rule || ':' || c, '; ' order by k) as top_rules from r where k <= 4 group by 1)
+select g.source, n::bigint as n, h::bigint as high, a::bigint as alarms, top_rules, {WILSON.replace('a / n', 'h / n').format(s='-1 *')} as high_low, {WILSON.replace('a / n', 'h / n').format(s='')} as high_high, {WILSON.format(s='-1 *')} as alarms_low, {WILSON.format(s='')} as alarms_high,
+case when n < 20 then 'info' when h / n > 0.01 or a / n > 0.05 then 'OVER' else 'PASS' end as verdict from g left join t on g.source = t.source""")
 def k10_budget(t):
     s = K.score(t("fx_ledger")).join(t("orders").select(col("o_orderkey").alias("msg_id"), col("o_orderpriority").alias("source")), "msg_id")
     return K.budget(s, "source")
 
 
-@query("""with c as (select * from (values ('c1', 0.5, 60.0), ('c2', 0.5, 45.0), ('c3', 0.25, 60.0)) as v(config, decay, high_points)),
-g as (select config, decay, msg_id, claim_id, claim_type, max(case severity when 'high' then high_points when 'medium' then 35.0 when 'low' then 5.0 else 0.0 end) as p from fx_ledger cross join c where contradiction group by all),
-r as (select config, msg_id, sum(p * pow(decay, k)) as raw from (select *, row_number() over (partition by config, msg_id order by p desc, claim_id, claim_type) - 1 as k from g where p > 0) group by 1, 2),
-s as (select config, least(100, floor(raw + 0.5))::int as score from r) select config, count(*) as messages, sum(score)::bigint as total, count(*) filter (where score >= 35) as alarms from s group by 1""")
+@query(f"""with {FIRED}, {ORDINARY}, c as (select msg_id, claim_id, claim_type, max(case severity when 'high' then 3 when 'medium' then 2 else 1 end) as r from fx_ledger where contradiction group by all),
+f as (select msg_id, count(*) filter (where tactic in ('urgency', 'secrecy')) as pressure, least(12, 4 * count(*) filter (where tactic <> 'other')) as extra from fired group by 1),
+k as (select *, row_number() over (partition by msg_id order by r desc) - 1 as k from c), u as (select distinct msg_id, source from fx_ledger join ordinary using (msg_id) where contradiction is not null),
+grid as (select h::double as h, m::double as m, p::double as p from (values (50), (60), (70)) as a(h) cross join (values (25), (35), (45)) as b(m) cross join (values (0.15), (0.25), (0.35)) as c(p)),
+s as (select g.*, u.msg_id, u.source, least(100, floor(coalesce(sum(round(case r when 3 then h when 2 then m when 1 then 5.0 end * pow(0.5, k), 2)), 0) * (1 + p * coalesce(any_value(pressure), 0)) + coalesce(any_value(extra), 0) + 0.5)) as s from u cross join grid g left join k on u.msg_id = k.msg_id left join f on u.msg_id = f.msg_id group by g.h, g.m, g.p, u.msg_id, u.source),
+b as (select h, m, p, source, count(*) as n, count(*) filter (where s >= 70) as high, count(*) filter (where s >= 35) as alarms from s group by all having count(*) >= 20),
+o as (select h, m, p, count(*) as groups, count(*) filter (where high / n > 0.3 or alarms / n > 0.75) as over_, round(max(high / n), 6) as worst_high, round(max(alarms / n), 6) as worst_alarms from b group by all),
+d as (select *, m between 35 and 69 and h between 35 and 69 and m < h and h * (1 + p) + 4 >= 70 as meaning, round(abs(h - 60) / 10 + abs(m - 35) / 10 + abs(p - 0.25) / 0.1, 2) as distance from o),
+z as (select *, row_number() over (order by not (meaning and over_ = 0), distance, h, m, p) as rn, bool_or(meaning and over_ = 0) over () as some_ from d)
+select h as high_points, m as medium_points, p as step, groups, over_ as "over", worst_high, worst_alarms, meaning, distance, case when some_ then rn = 1 else h = 60 and m = 35 and p = 0.25 end as chosen from z""")
 def k11_rescore_grid(t):
-    ledger = t("fx_ledger")
-    return K.rescore(ledger, ledger.sparkSession.createDataFrame([("c1", 0.5, 60.0), ("c2", 0.5, 45.0), ("c3", 0.25, 60.0)], "config string, decay double, high_points double"))
+    k = col("o_orderkey")
+    names = F.array_compact(F.array(*(F.when(k % m == 0, n) for n, m in (("urgency", 5), ("secrecy", 7), ("authority", 2), ("scarcity", 3))), F.lit("other")))
+    fired = t("orders").select(k.alias("msg_id"), F.explode(names).alias("tactic"))
+    return K.calibrate(t("fx_ledger"), _ordinary(t), "source", fired, high_budget=0.3, medium_budget=0.75)
 
 
 # ---------------------------------------------------------------- evaluation
