@@ -199,7 +199,8 @@ def keep_one(documents: DataFrame) -> DataFrame:
     best = publish(keys.groupBy("class").agg(F.min(order).alias("best")))
     judged = keys.join(best, "class").select(*names, (order == F.col("best")).alias("stays"))
     gone = publish(judged.groupBy(*names).agg(F.first("stays").alias("stays"), F.count("*").alias("n")).where("not stays or n > 1"))
-    out = rows.join(gone.select(*names), names, "left_anti")
+    # rows that go are as many as the corpus makes them: never broadcast, so the work is of one kind at any size
+    out = rows.join(gone.select(*names).hint("merge"), names, "left_anti")
     repeated = gone.where("stays")
     if not repeated.isEmpty():
         out = out.unionByName(rows.join(repeated.select(*names), names, "left_semi").dropDuplicates(names))
