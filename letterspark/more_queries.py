@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from letterspark.operators import compare as X
 from letterspark.operators import labels as G
 from letterspark.operators import scoring as K
-from letterspark import claim_queries, header_queries, rule_queries, text_queries, thread_queries  # noqa: F401  they register their queries
+from letterspark import annotation_queries, claim_queries, header_queries, rule_queries, text_queries, thread_queries  # noqa: F401  they register their queries
 from letterspark.queries import ORACLE_SQL, QUERIES, SCORED, WILSON, query
 from letterspark.sources import messages as A
 
@@ -58,11 +58,15 @@ def g5_latest_valid(t):
 WORDS = r"list_filter(string_split(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> '')"
 
 
-@query(rf"""with x as (select msg_key, {WORDS.format('text')} as a, {WORDS.format('quoted')} as b from fx_messages where quoted is not null),
+OTHER = "case when position % 3 = 1 then substring(text, 5, 40) when position % 3 = 2 then concat(text, ' with more words') else quoted end"
+
+
+@query(rf"""with y as (select msg_key, text, {OTHER} as other from fx_messages), x as (select msg_key, {WORDS.format('text')} as a, {WORDS.format('other')} as b from y where other is not null),
 n as (select *, ' ' || array_to_string(a, ' ') || ' ' as sa, ' ' || array_to_string(b, ' ') || ' ' as sb, len(list_distinct(list_intersect(a, b))) as i, len(list_distinct(list_concat(a, b))) as u from x)
 select msg_key, contains(sa, sb) or contains(sb, sa) or case when u > 0 then i / u >= 0.5 else false end as overlap from n""")
 def g8_span_overlap(t):
-    return t("fx_messages").where("quoted is not null").select("msg_key", G.spans_overlap(col("text"), col("quoted")).alias("overlap"))
+    rows = t("fx_messages").select("msg_key", "text", F.expr(OTHER).alias("other")).where("other is not null")
+    return rows.select("msg_key", G.spans_overlap(col("text"), col("other")).alias("overlap"))
 
 
 @query("""select case when grouping(lang) = 0 then 'lang:' || lang when grouping(source) = 0 then 'source:' || source else 'all' end as scope, sum(toxic)::bigint as positives, sum(toxic) < 10 as rare
@@ -76,10 +80,10 @@ def l22_class_weights(t):
     return G.class_weights(t("labels").join(t("documents").select("doc_id", "source"), "doc_id"), "source", "toxic", 10.0)
 
 
-@query("""with x as (select user_id, event_type as label, max(value) >= 80 as y, min(value) < 20 as p from events group by all)
+@query("""with x as (select event_id // 4 as user_id, event_type as label, max(value) >= 60 as y, min(value) < 30 as p from events group by event_id // 4, event_type)
 select m.label as missed, w.label as given, count(*) as n from x m join x w on m.user_id = w.user_id where m.y and not m.p and not w.y and w.p group by all""")
 def l10_confusion_pairs(t):
-    x = t("events").groupBy("user_id", col("event_type").alias("label")).agg((F.max("value") >= 80).alias("y"), (F.min("value") < 20).alias("p"))
+    x = t("events").groupBy(F.floor(col("event_id") / 4).alias("user_id"), col("event_type").alias("label")).agg((F.max("value") >= 60).alias("y"), (F.min("value") < 30).alias("p"))
     return G.confusion_pairs(x, "user_id", "label", col("y"), col("p"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from letterspark.operators.evaluate import bootstraps
+
 # Points by severity, the lower ends of the bands, what each tactic of pressure adds to the multiplier, and the tactics that score points.
 POINTS = {"low": 5.0, "medium": 35.0, "high": 60.0}
 BANDS = {"high": 70, "medium": 35, "low": 0}
@@ -191,3 +193,24 @@ def units(ledger: DataFrame, **kwargs) -> DataFrame:
     """One scoring unit for each message of a ledger: claims, checked and contradicted verdicts, score and band."""
     n = ledger.groupBy("msg_id").agg(F.count_distinct("claim_id").alias("claims"), F.count("contradiction").alias("checked"), F.count_if("contradiction").alias("contradictions"))
     return n.join(score(ledger, **kwargs).drop("action", "top_rule"), "msg_id")
+
+
+def system_rates(df: DataFrame, group: str, system: str, hit: Column) -> DataFrame:
+    """Rate and Wilson interval of each system, for all and by group."""
+    g = df.groupingSets([[system], [group, system]], group, system).agg(F.count("*").alias("n"), F.count_if(hit).alias("hits"), F.grouping(group).alias("g"))
+    low, high = wilson(F.col("hits"), F.col("n"))
+    return g.select(F.when(F.col("g") == 1, "all").otherwise(F.col(group)).alias("source"), system, "n", "hits", F.round(F.col("hits") / F.col("n"), 6).alias("rate"), F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
+
+
+def compare_runs(now: DataFrame, before: DataFrame, keys: list[str], value: str, tolerance: float) -> DataFrame:
+    """A table against that of an earlier run: change of a value, and whether it is new, steady or changed."""
+    out = now.select(*keys, F.col(value).alias("now")).join(before.select(*keys, F.col(value).alias("before")), keys, "left")
+    change = F.round(F.col("now") - F.col("before"), 4)
+    return out.withColumns({"change": change, "state": F.when(F.col("before").isNull(), "new").when(F.abs(F.col("now") - F.col("before")) <= tolerance, "steady").otherwise("changed")})
+
+
+def paired_differences(df: DataFrame, cluster: str, truth: Column, one: Column, two: Column, draws: int = 1000) -> DataFrame:
+    """``(statistic, value, low, high)``: recall and false alarms of the second system less those of the first, over shared draws of clusters."""
+    sums = {"pos": F.count_if(truth), "neg": F.count_if(~truth), "t1": F.count_if(truth & one), "t2": F.count_if(truth & two), "f1": F.count_if(~truth & one), "f2": F.count_if(~truth & two)}
+    c = F.col
+    return bootstraps(df, cluster, sums, {"recall": c("t2") / c("pos") - c("t1") / c("pos"), "false alarms": c("f2") / c("neg") - c("f1") / c("neg")}, draws)

@@ -50,6 +50,14 @@ def break_up_groups(df: DataFrame, stratum: str, group: str, row: str, share: fl
     return out.withColumn(group, F.when(F.col("_big"), F.concat(F.lit("r:"), F.col(row).cast("string"))).otherwise(F.col(group))).drop("_big")
 
 
+def clusters(df: DataFrame, sizes: DataFrame, stratum: str, group: str, row: str, share: float = 0.02, least: int = 25) -> DataFrame:
+    """Resampling units of one split: groups, broken up like ``break_up_groups`` by the sizes ``(stratum, n)`` of the strata in all splits."""
+    own = df.groupBy(stratum, group).agg(F.count("*").alias("_g"))
+    big = join_on(own, sizes, [stratum]).where(F.col("_g") > F.greatest(F.col("n") * share, F.lit(float(least)))).select(stratum, group, F.lit(True).alias("_big"))
+    out = join_on(df, big, [stratum, group], "left")
+    return out.withColumn(group, F.when(F.col("_big"), F.concat(F.lit("r:"), F.col(row).cast("string"))).otherwise(F.col(group))).drop("_big")
+
+
 def assign_splits(df: DataFrame, stratum: str, group: str, seed: str = "1") -> DataFrame:
     """70/15/15 by the middle of each whole group in hash order inside its stratum, in integers. A null stratum or group is one like any other."""
     groups = df.groupBy(stratum, group).agg(F.count("*").alias("_n")).withColumn("_pos", position(F.col(group), seed))
