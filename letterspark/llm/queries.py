@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from letterspark.llm import chat_format
+from letterspark.llm import chat_format, phrases
 from letterspark.llm.bpe import bpe_digests
 from letterspark.llm.common import table
 from letterspark.llm.decontaminate import decontamination
@@ -58,6 +58,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -71,11 +75,13 @@ QUERIES = {
         op8_suffix_dedup,
         op9_simhash,
         op10_decontamination,
+        op11_phrases,
     )
 }
 
 #: DuckDB SQL with the same rows.
 ORACLE_SQL: dict[str, str] = {
+    "op11_phrases": phrases.SQL,
     "op3_chat_format": chat_format.SQL,
     "op5_embedding_dedup": """
 with recursive v as (select vec_id, label, embedding::double[] as e from embeddings),
