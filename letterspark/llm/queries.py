@@ -12,6 +12,7 @@ from letterspark.llm.decontaminate import decontamination
 from letterspark.llm.embedding_dedup import near_duplicates
 from letterspark.llm.html_text import extract_text
 from letterspark.llm.language_id import language_predictions
+from letterspark.llm.language_model import language_model_scores
 from letterspark.llm.simhash import simhash_classes
 from letterspark.llm.suffix_dedup import suffix_digests
 from letterspark.llm.token_counts import token_counts
@@ -62,6 +63,10 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model_scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -76,6 +81,7 @@ QUERIES = {
         op9_simhash,
         op10_decontamination,
         op11_phrases,
+        op13_language_model,
     )
 }
 

@@ -101,15 +101,18 @@ def take_spans(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nd
     return text[np.repeat(starts - first, sizes) + np.arange(int(sizes.sum()))]
 
 
-def text_blocks(df: DataFrame, text_col: str, keys: list[str]) -> DataFrame:
-    """Rows ``(block, data, ends, *keys)``: lower-case bytes of the texts (null: empty) with one byte between them, 64-bit ends, and each key column as an array."""
+def text_blocks(df: DataFrame, text_col: str, keys: list[str], first: int = 0) -> DataFrame:
+    """Rows ``(block, data, ends, *keys)``: lower-case bytes of the texts (null: empty) with one byte between them, 64-bit ends, and each key column as an array.
+
+    ``first`` is added to the numbers, so that blocks of several tables can stand together.
+    """
     bound_batches(df)
     fields = [df.schema[k] for k in keys]
     schema = StructType([StructField("block", LongType()), StructField("data", BinaryType()), StructField("ends", BinaryType()), *(StructField(f.name, ArrayType(f.dataType)) for f in fields)])
     limit = BLOCK_BYTES
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, size, texts, held = TaskContext.get().partitionId() << 32, 0, [], []
+        number, size, texts, held = first + (TaskContext.get().partitionId() << 32), 0, [], []
 
         def block() -> pa.RecordBatch:
             ends = np.add.accumulate([len(t) + 1 for t in texts]) - 1
