@@ -45,7 +45,7 @@ _KINDS[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = 2
 class Grams:
     """The n-grams of a block: ``prints[n - 1]`` at every word, ``whole[n - 1]`` where n words stand in one piece."""
 
-    def __init__(self, row: dict, longest: int):
+    def __init__(self, row: dict, longest: int, bits: int = 64):
         ends = np.frombuffer(row["ends"], np.int64)
         self.words = Words(row["data"], ends, _KINDS)
         index = {lang: k for k, lang in enumerate(dict.fromkeys(row["lang"]))}
@@ -55,7 +55,8 @@ class Grams:
         own = mix(seed)[self.lang] if len(self.words) else np.empty(0, np.uint64)
         piece, n = self.words.piece, len(self.words)
         self.whole = [np.flatnonzero(piece[k:] == piece[: n - k]) if k < n else np.empty(0, np.int64) for k in range(longest)]
-        self.prints = [mix(gram_hashes(self.words.hash, k + 1)[at] ^ own[at]) for k, at in enumerate(self.whole)]
+        rest = np.uint64(64 - bits)
+        self.prints = [mix(gram_hashes(self.words.hash, k + 1)[at] ^ own[at]) >> rest << rest for k, at in enumerate(self.whole)]
 
     def frequent(self, kept: list[np.ndarray], k: int) -> np.ndarray:
         """Which n-grams of ``k + 1`` words have only frequent parts of ``len(kept)`` words, given as places."""
@@ -108,8 +109,11 @@ def _texts(grams: Grams, n: int, at: np.ndarray, prints: np.ndarray) -> Iterator
         yield pa.RecordBatch.from_pylist([{"lang": grams.langs[g], "phrase": t.decode(), "words": n, "n": c} for (g, t), c in odd.items()], schema=pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("n", pa.int64())]))
 
 
-def frequent_phrases(df: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
-    """Rows ``(lang, phrase, words, a)`` of all phrases of 1 to ``longest`` words that occur ``least`` times, and ``(lang, n)``: the words of each language."""
+def frequent_phrases(df: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST, bits: int = 64) -> tuple[DataFrame, DataFrame]:
+    """Rows ``(lang, phrase, words, a)`` of all phrases of 1 to ``longest`` words that occur ``least`` times, and ``(lang, n)``: the words of each language.
+
+    ``bits`` of a fingerprint are used; fewer mean more texts to compare, not other counts.
+    """
     rows = df.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text_col).alias("text"))
     blocks = publish(text_blocks(rows, "text", ["lang"]))
 
@@ -117,12 +121,12 @@ def frequent_phrases(df: DataFrame, text_col: str = "text", lang_col: str = "lan
         return sums[0] >= least
 
     def longer_slots(row: dict) -> tuple[np.ndarray, np.ndarray]:
-        return _distinct(*_longer(Grams(row, longest), row)[1])
+        return _distinct(*_longer(Grams(row, longest, bits), row)[1])
 
     def materialise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                grams = Grams(row, longest)
+                grams = Grams(row, longest, bits)
                 sizes = np.bincount(grams.lang, minlength=len(grams.langs))
                 yield pa.RecordBatch.from_arrays([pa.array(grams.langs, pa.string()), pa.array([None] * len(sizes), pa.string()), pa.array(np.zeros(len(sizes), np.int32)), pa.array(sizes.astype(np.int64))], ["lang", "phrase", "words", "n"])
                 for k, at in enumerate(_kept(grams, row)):
@@ -136,7 +140,7 @@ def frequent_phrases(df: DataFrame, text_col: str = "text", lang_col: str = "lan
                     if ok.any():
                         yield from _texts(grams, k + 3, at[ok], p[ok])
 
-    short = publish(exchange(blocks, lambda row: _distinct(*Grams(row, 2).prints), enough))
+    short = publish(exchange(blocks, lambda row: _distinct(*Grams(row, 2, bits).prints), enough))
     long = publish(exchange(with_answers(blocks, short=short), longer_slots, enough)) if longest > 2 else short.where("false")
     found = with_answers(blocks, short=short, long=long).mapInArrow(materialise, "lang string, phrase string, words int, n long")
     counts = publish(found.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("a")).where(f"words = 0 or a >= {int(least)}"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from letterspark.llm import chat_format, phrases
+from letterspark.llm import chat_format, phrases, repair
 from letterspark.llm.bpe import bpe_digests
 from letterspark.llm.common import table
 from letterspark.llm.decontaminate import decontamination
@@ -13,6 +13,7 @@ from letterspark.llm.embedding_dedup import near_duplicates
 from letterspark.llm.html_text import extract_text
 from letterspark.llm.language_id import language_predictions
 from letterspark.llm.language_model import language_model_scores
+from letterspark.llm.repair import repaired_conversations
 from letterspark.llm.simhash import simhash_classes
 from letterspark.llm.suffix_dedup import suffix_digests
 from letterspark.llm.token_counts import token_counts
@@ -63,6 +64,10 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op13_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model_scores(table(spark, sf_dir, "documents"))
 
@@ -81,6 +86,7 @@ QUERIES = {
         op9_simhash,
         op10_decontamination,
         op11_phrases,
+        op12_repair,
         op13_language_model,
     )
 }
@@ -88,6 +94,7 @@ QUERIES = {
 #: DuckDB SQL with the same rows.
 ORACLE_SQL: dict[str, str] = {
     "op11_phrases": phrases.SQL,
+    "op12_repair": repair.SQL,
     "op3_chat_format": chat_format.SQL,
     "op5_embedding_dedup": """
 with recursive v as (select vec_id, label, embedding::double[] as e from embeddings),
