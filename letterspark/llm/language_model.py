@@ -107,16 +107,18 @@ def interpolate(estimates: list[tuple[np.ndarray, np.ndarray]], weights: list[np
     return p
 
 
-def learn(cells: list[tuple[int, int, int]]) -> np.ndarray:
-    """Weights of the buckets 0 to 64 from cells (bucket, level, n): EM on the ratio of estimate to shorter model."""
-    n = np.zeros((65, 2 * STEPS * OCTAVES + 2))
-    for bucket, level, count in cells:
+def learn(cells: list[tuple[int, int, int, float]]) -> np.ndarray:
+    """Weights of the buckets 0 to 64 from cells (bucket, level, n, sum of binary logarithms): EM on the ratio of estimate to shorter model."""
+    n, logs = np.zeros((2, 65, 2 * STEPS * OCTAVES + 2))
+    for bucket, level, count, log in cells:
         n[bucket, level] += count
-    ratio = np.r_[0.0, 2.0 ** (np.arange(-STEPS * OCTAVES, STEPS * OCTAVES + 1) / STEPS)]
+        logs[bucket, level] += log
+    ratio = 2.0 ** (logs / np.maximum(1, n))
+    ratio[:, 0] = 0
     total, w = n.sum(1), np.full(65, 0.5)
     known = np.flatnonzero(total)
     for _ in range(ROUNDS if len(known) else 0):
-        share = w[known, None] * ratio
+        share = w[known, None] * ratio[known]
         w[known] = np.minimum(MOST, (n[known] * (share / (share + 1 - w[known, None]))).sum(1) / total[known])
     if len(known):
         w = w[known[np.maximum(0, np.searchsorted(known, np.arange(65), "right") - 1)]]
@@ -124,30 +126,33 @@ def learn(cells: list[tuple[int, int, int]]) -> np.ndarray:
     return w
 
 
-def levels(ml: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    """Cell of the ratio: 0 for none, else eighths of octaves from 1."""
-    with np.errstate(divide="ignore"):
-        step = np.rint(np.log2(ml / lower) * STEPS)
-    return np.where(ml > 0, np.clip(step, -STEPS * OCTAVES, STEPS * OCTAVES) + STEPS * OCTAVES + 1, 0).astype(np.int64)
+def levels(ml: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cell of the ratio (0 for none, else eighths of octaves from 1) and its binary logarithm (0 for none)."""
+    log = np.log2(ml / lower, out=np.zeros(len(ml)), where=ml > 0)
+    step = np.clip(np.rint(log * STEPS), -STEPS * OCTAVES, STEPS * OCTAVES).astype(np.int64)
+    return np.where(ml > 0, step + STEPS * OCTAVES + 1, 0), log
 
 
-def _cells(evidence: DataFrame, order: int, weights: list[np.ndarray], distinct: int) -> list[tuple[int, int, int]]:
+def _cells(evidence: DataFrame, order: int, weights: list[np.ndarray], distinct: int) -> list[tuple[int, int, int, float]]:
     """The cells of the order after those that have weights."""
     k, width = len(weights), 2 * STEPS * OCTAVES + 2
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(65 * width, np.int64)
+        sums, logs = np.zeros(65 * width, np.int64), np.zeros(65 * width)
         for batch in batches:
             for ml, bucket in zip(batch.column("ml").to_pylist(), batch.column("bucket").to_pylist()):
                 ml, bucket = np.frombuffer(ml, np.float32).reshape(order, -1).astype(float), np.frombuffer(bucket, np.uint8).reshape(order, -1)
                 lower = interpolate(list(zip(ml, bucket)), weights, distinct)
                 some = bucket[k] > 0
-                sums += np.bincount(bucket[k][some].astype(np.int64) * width + levels(ml[k][some], lower[some]), minlength=len(sums))
+                level, log = levels(ml[k][some], lower[some])
+                cell = bucket[k][some].astype(np.int64) * width + level
+                sums += np.bincount(cell, minlength=len(sums))
+                logs += np.bincount(cell, log, len(logs))
         at = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array((at // width).astype(np.int32)), pa.array((at % width).astype(np.int32)), pa.array(sums[at])], ["bucket", "level", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array((at // width).astype(np.int32)), pa.array((at % width).astype(np.int32)), pa.array(sums[at]), pa.array(logs[at])], ["bucket", "level", "n", "logs"])
 
-    rows = evidence.mapInArrow(count, "bucket int, level int, n long").groupBy("bucket", "level").agg(F.sum("n").alias("n"))
-    return [(r.bucket, r.level, r.n) for r in rows.collect()]  # bounded by the cells
+    rows = evidence.mapInArrow(count, "bucket int, level int, n long, logs double").groupBy("bucket", "level").agg(F.sum("n"), F.sum("logs"))
+    return sorted(map(tuple, rows.collect()))  # bounded by the cells
 
 
 def interpolated_scores(df: DataFrame, keys: list[str], train: Column, tune: Column, text_col: str = "text", order: int = ORDER) -> DataFrame:

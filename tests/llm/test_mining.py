@@ -129,10 +129,12 @@ def test_language_model_equals_brute_force(spark, docs, block_bytes):
             yield out
 
     weights = []
+
     def p_of(each, upto):
         p = 1 / (v + 1)
         for w, (ml, b) in zip(weights[:upto], each):
-            p = w.get(b, 0.0 if not b else w[min(w, key=lambda x: (x > b, abs(x - b)))]) * ml + (1 - w.get(b, 0.0 if not b else w[min(w, key=lambda x: (x > b, abs(x - b)))])) * p
+            m = w.get(b, w[min(w, key=lambda x: (x > b, abs(x - b)))]) if b else 0.0
+            p = m * ml + (1 - m) * p
         return p
 
     tuning = [e for i, text, *_ in ROWS if rest(i) == 1 for e in estimates(tokens(text), 1)]
@@ -167,7 +169,7 @@ def test_language_model_without_training_rows(spark):
 
 
 def test_learned_weights_rise_with_the_evidence():
-    one = language_model.learn([(3, 8 * 64 + 1 + 24, 90), (3, 0, 10), (5, 8 * 64 + 1 + 24, 50), (5, 0, 50)])
+    one = language_model.learn([(3, 8 * 64 + 1 + 24, 90, 270.0), (3, 0, 10, 0.0), (5, 8 * 64 + 1 + 24, 50, 150.0), (5, 0, 50, 0.0)])
     assert one[0] == 0 and one[3] > one[5] > 0 and one[4] == one[3] and one[1] == one[2] == one[3] and one[64] == one[5]
     assert np.all(language_model.learn([])[1:] == 0.5)
 
