@@ -36,7 +36,7 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from letterspark.llm.common import publish
 from letterspark.llm.language_id import fold
-from letterspark.llm.text_blocks import Words, answers_of, exchange, gram_hashes, text_blocks, with_answers
+from letterspark.llm.text_blocks import Words, counts_of, exchange, gram_hashes, text_blocks, with_answers
 
 ORDER = 3
 ADDED = 0.1
@@ -93,7 +93,7 @@ class Tokens:
         history = np.full(len(self.at), less @ sizes.tokens)
         for k in range(1, order + 1):
             _, slot = self.slots(k)
-            count = (less @ answers_of(row[f"_a{k}"], np.int64, 2))[slot]
+            count = (less @ counts_of(row[f"_a{k}"], 2))[slot]
             yield count, np.divide(count, history, out=np.zeros(len(count)), where=history > 0), np.frexp(history.astype(float))[1].astype(np.uint8)
             history = np.r_[0, count[:-1]]
             history[self.first] = less @ sizes.docs

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from letterspark.llm.common import publish
-from letterspark.llm.text_blocks import Words, answers_of, exchange, gram_hashes, mix, take_spans, text_blocks, with_answers
+from letterspark.llm.text_blocks import Words, exchange, flags_of, gram_hashes, mix, take_spans, text_blocks, with_answers
 
 LONGEST = 4
 LEAST = 30
@@ -74,7 +74,7 @@ def _distinct(*prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _kept(grams: Grams, row: dict) -> list[np.ndarray]:
     """Places of the frequent words and pairs."""
     slots, _ = _distinct(*grams.prints[:2])
-    flags = answers_of(row["short"], np.bool_)[0]
+    flags = flags_of(row["short"])
     return [at[flags[np.searchsorted(slots, p)]] for at, p in zip(grams.whole[:2], grams.prints)]
 
 
@@ -134,7 +134,7 @@ def frequent_phrases(df: DataFrame, text_col: str = "text", lang_col: str = "lan
                         yield from _texts(grams, k + 1, at, grams.prints[k][np.searchsorted(grams.whole[k], at)])
                 places, prints = _longer(grams, row)
                 slots, _ = _distinct(*prints) if prints else (np.empty(0, np.uint64), None)
-                flags = answers_of(row["long"], np.bool_)[0]
+                flags = flags_of(row["long"])
                 for k, (at, p) in enumerate(zip(places, prints)):
                     ok = flags[np.searchsorted(slots, p)]
                     if ok.any():

@@ -137,6 +137,18 @@ def text_blocks(df: DataFrame, text_col: str, keys: list[str], first: int = 0) -
     return df.select(F.col(text_col).alias("_text"), *keys).mapInArrow(build, schema)
 
 
+def pack_counts(x: np.ndarray) -> bytes:
+    """Rows of counts: their length, a byte for each count, and those of 255 or more once again in full."""
+    return np.uint32(x.shape[1]).tobytes() + np.minimum(x, 255).astype(np.uint8).tobytes() + x[x >= 255].astype(np.int64).tobytes()
+
+
+def unpack_counts(data: bytes, rows: int) -> np.ndarray:
+    m = int(np.frombuffer(data, np.uint32, 1)[0])
+    x = np.frombuffer(data, np.uint8, rows * m, 4).reshape(rows, m).astype(np.int64)
+    x[x == 255] = np.frombuffer(data[4 + rows * m :], np.int64)
+    return x
+
+
 Slots = Callable[[dict], tuple[np.ndarray, np.ndarray]]
 
 
@@ -144,7 +156,7 @@ def exchange(blocks: DataFrame, slots: Slots, answer: Callable[[np.ndarray], np.
     """Rows ``(block, part, answer)``: for each block what ``answer`` makes of the sums of its slots' counts, in parts in order.
 
     ``slots`` gives a block's distinct fingerprints, ascending, and their counts (one row or several); ``answer`` takes sums
-    of all blocks as 64-bit columns. ``summary`` of the distinct sums of a range comes as a row of block -1.
+    of all blocks as 64-bit columns; 64-bit answers are packed. ``summary`` of the distinct sums of a range comes as a row of block -1.
     """
     spark = blocks.sparkSession
     ranges = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -153,7 +165,7 @@ def exchange(blocks: DataFrame, slots: Slots, answer: Callable[[np.ndarray], np.
         for batch in batches:
             for row in batch.to_pylist():
                 prints, counts = slots(row)
-                counts = np.ascontiguousarray(np.atleast_2d(counts), np.uint32)
+                counts = np.atleast_2d(counts)
                 cuts = np.searchsorted((prints >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), np.arange(ranges + 1))
                 some = [k for k in range(ranges) if cuts[k] < cuts[k + 1]]
                 for a in range(0, len(some), 256):
@@ -163,28 +175,30 @@ def exchange(blocks: DataFrame, slots: Slots, answer: Callable[[np.ndarray], np.
                             pa.array(part, pa.int32()),
                             pa.array([row["block"]] * len(part), pa.int64()),
                             pa.array([prints[cuts[k] : cuts[k + 1]].tobytes() for k in part], pa.binary()),
-                            pa.array([counts[:, cuts[k] : cuts[k + 1]].tobytes() for k in part], pa.binary()),
+                            pa.array([pack_counts(counts[:, cuts[k] : cuts[k + 1]]) for k in part], pa.binary()),
+                            pa.array([len(counts)] * len(part), pa.int32()),
                         ],
-                        ["part", "block", "prints", "counts"],
+                        ["part", "block", "prints", "counts", "rows"],
                     )
 
     def sums(table: pa.Table) -> pa.Table:
         each = [np.frombuffer(b.as_py(), np.uint64) for b in table.column("prints")]
         prints = np.concatenate(each)
-        counts = np.concatenate([np.frombuffer(b.as_py(), np.uint32).reshape(-1, len(e)) for b, e in zip(table.column("counts"), each)], axis=1)
+        counts = np.concatenate([unpack_counts(b.as_py(), n) for b, n in zip(table.column("counts"), table.column("rows").to_pylist())], axis=1)
         order = np.argsort(prints, kind="stable")
         new = np.r_[True, prints[order[1:]] != prints[order[:-1]]]
-        total = np.add.reduceat(counts[:, order], np.flatnonzero(new), axis=1, dtype=np.int64)
+        total = np.add.reduceat(counts[:, order], np.flatnonzero(new), axis=1)
         group = np.empty(len(prints), np.int64)
         group[order] = np.add.accumulate(new) - 1
-        replies, cuts = answer(total)[..., group], np.r_[0, np.add.accumulate([len(e) for e in each])]
-        out = [np.ascontiguousarray(replies[..., a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+        replies, cuts = answer(total), np.r_[0, np.add.accumulate([len(e) for e in each])]
+        pack = pack_counts if replies.dtype == np.int64 else lambda x: x.tobytes()
+        out = [pack(replies[..., group[a:b]]) for a, b in zip(cuts[:-1], cuts[1:])]
         numbers, parts = table.column("block").to_pylist(), table.column("part").to_pylist()
         if summary:
             numbers, parts, out = [*numbers, -1], [*parts, parts[0]], [*out, summary(total).tobytes()]
         return pa.table([pa.array(numbers, pa.int64()), pa.array(parts, pa.int32()), pa.array(out, pa.binary())], ["block", "part", "answer"])
 
-    asked = blocks.mapInArrow(ask, "part int, block long, prints binary, counts binary")
+    asked = blocks.mapInArrow(ask, "part int, block long, prints binary, counts binary, rows int")
     return asked.groupBy("part").applyInArrow(sums, "block long, part int, answer binary")
 
 
@@ -196,7 +210,11 @@ def with_answers(blocks: DataFrame, **answers: DataFrame) -> DataFrame:
     return blocks
 
 
-def answers_of(parts: list[bytes] | None, kind: type, rows: int = 1) -> np.ndarray:
-    """The answers to a block's slots, in their order: ``rows`` columns of ``kind``."""
-    each = [np.frombuffer(p, kind).reshape(rows, -1) for p in parts or []]
-    return np.concatenate(each, axis=1) if each else np.empty((rows, 0), kind)
+def flags_of(parts: list[bytes] | None) -> np.ndarray:
+    """The true and false answers to a block's slots, in their order."""
+    return np.frombuffer(b"".join(parts or []), np.bool_)
+
+
+def counts_of(parts: list[bytes] | None, rows: int) -> np.ndarray:
+    """The packed answers to a block's slots, in their order."""
+    return np.concatenate([unpack_counts(p, rows) for p in parts or []] or [np.empty((rows, 0), np.int64)], axis=1)

@@ -120,11 +120,17 @@ def test_language_model_equals_brute_force(spark, docs, block_bytes):
     assert sum(h[1].values()) > 20
 
     def estimates(ts, less):
+        each = {k: grams(ts, k) for k in (1, 2, 3)}
         for at in range(len(ts)):
             out = []
             for k in (1, 2, 3):
-                g = grams(ts, k)[at]
-                past = n - less * sum(h[1].values()) if k == 1 else (c[0]["docs"] - less * h[0]["docs"] if at == 0 else c[k - 1][grams(ts, k - 1)[at - 1]] - less * h[k - 1][grams(ts, k - 1)[at - 1]])
+                g = each[k][at]
+                if k == 1:
+                    past = n - less * sum(h[1].values())
+                elif at == 0:
+                    past = c[0]["docs"] - less * h[0]["docs"]
+                else:
+                    past = c[k - 1][each[k - 1][at - 1]] - less * h[k - 1][each[k - 1][at - 1]]
                 out.append(((c[k][g] - less * h[k][g]) / past if past else 0.0, past.bit_length()))
             yield out
 
