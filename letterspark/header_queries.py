@@ -21,9 +21,16 @@ def labels_sql(d: str) -> str:
 
 
 def parts_sql(d: str) -> str:
-    x = labels_sql(d)
-    known = f"[{quoted((*D.SUFFIXES, *D.PLATFORMS))}]"
-    return f"""list_filter(list_transform(range(2, len({x}) + 1), lambda i: {{'name': ({x})[i - 1], 'suffix': array_to_string(({x})[i:], '.')}}), lambda c: list_contains({known}, c.suffix))[1]"""
+    """The labels ``x``, their ends ``e``, the first end that a rule makes a suffix, and the tenant of a platform."""
+    plain, stars, exceptions = map(quoted, D.by_kind(D.SUFFIXES))
+    ends = "list_transform(range(1, len(v.x) + 1), lambda i: array_to_string(v.x[i:], '.'))"
+    hit = f"list_contains([{plain}], v.e[i]) or (i < len(v.e) and list_contains([{stars}], v.e[i + 1]) and not list_contains([{exceptions}], v.e[i])) or (i > 1 and list_contains([{exceptions}], v.e[i - 1]))"
+    first = f"list_filter(range(1, len(v.e) + 1), lambda i: {hit})[1]"
+    whole = "v.x[v.i - 1] || '.' || v.e[v.i]"
+    platform = f"({whole}) in ({quoted(D.PLATFORMS)}) and v.i > 2"
+    found = f"case when v.i > 1 then {{'name': case when {platform} then v.x[v.i - 2] else v.x[v.i - 1] end, 'suffix': case when {platform} then {whole} else v.e[v.i] end}} end"
+    steps = f"list_transform([{{'x': {labels_sql(d)}}}], lambda v: {{'x': v.x, 'e': {ends}}})"
+    return f"list_transform(list_transform({steps}, lambda v: {{'x': v.x, 'e': v.e, 'i': {first}}}), lambda v: {found})[1]"
 
 
 def registered_sql(d: str) -> str:

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Public suffixes (a parameter of every function below; pass a longer list for real mail) and platforms
-# whose sub-domains anyone may take, which count as suffixes.
+# Rules of public suffixes in common use, in the notation of the public list: ``*.`` stands for one label more,
+# ``!`` for an exception. Every function takes other rules as a parameter; the whole list goes as a table (``registered_by_rules``).
 SUFFIXES = (
-    "com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "io", "co", "me", "eu", "us", "uk", "co.uk", "org.uk", "ac.uk", "gov.uk", "de", "fr", "es", "it", "nl", "be", "ch", "at", "pl", "cz", "se", "no",
-    "dk", "fi", "ie", "pt", "gr", "ru", "ua", "bg", "ro", "hu", "in", "co.in", "jp", "co.jp", "cn", "com.cn", "kr", "co.kr", "au", "com.au", "nz", "co.nz", "br", "com.br", "mx", "com.mx", "za", "co.za", "ca",
+    "com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "name", "pro", "mobi", "asia", "jobs", "travel", "io", "co", "me", "tv", "cc", "ws", "ai", "gg", "ly", "to", "fm", "sh", "la", "st",
+    "app", "dev", "page", "xyz", "top", "click", "link", "site", "online", "store", "shop", "club", "live", "life", "world", "today", "news", "blog", "cloud", "tech", "email", "support", "services", "solutions",
+    "agency", "digital", "media", "group", "team", "work", "bank", "money", "finance", "icu", "buzz", "space", "website", "host", "fun", "win", "bid", "loan", "men", "date", "stream", "download", "review", "trade",
+    "eu", "us", "uk", "co.uk", "org.uk", "ac.uk", "gov.uk", "me.uk", "ltd.uk", "plc.uk", "net.uk", "nhs.uk", "police.uk", "*.sch.uk", "de", "fr", "es", "com.es", "it", "nl", "be", "ch", "at", "co.at", "or.at", "pl", "com.pl", "cz", "sk",
+    "se", "no", "dk", "fi", "is", "ie", "pt", "com.pt", "gr", "com.gr", "ru", "su", "ua", "com.ua", "by", "bg", "ro", "hu", "rs", "hr", "si", "lt", "lv", "ee", "tr", "com.tr", "il", "co.il", "ae", "sa", "com.sa", "in", "co.in",
+    "jp", "co.jp", "ne.jp", "or.jp", "ac.jp", "go.jp", "*.kawasaki.jp", "!city.kawasaki.jp", "cn", "com.cn", "hk", "com.hk", "tw", "com.tw", "kr", "co.kr", "sg", "com.sg", "my", "com.my", "th", "co.th", "id", "co.id", "ph", "com.ph", "vn", "com.vn",
+    "au", "com.au", "net.au", "org.au", "nz", "co.nz", "br", "com.br", "mx", "com.mx", "ar", "com.ar", "za", "co.za", "ng", "com.ng", "ke", "co.ke", "ca", "*.ck", "!www.ck", "*.bd", "*.np", "*.kh", "*.mm",
 )
 PLATFORMS = ("onmicrosoft.com", "firebaseapp.com")
 # Providers where anyone may open a mailbox.
@@ -28,15 +33,64 @@ PAIRS = (("rn", "m"), ("vv", "w"))
 LOOKS, LETTERS = "0135|аеорсухіјѕ", "oleslaeopcyxijs"
 
 
+def by_kind(suffixes: tuple[str, ...]) -> tuple[list[str], list[str], list[str]]:
+    """Plain rules, what stands behind the star of wildcards, and exceptions without their mark."""
+    return [r for r in suffixes if r[0] not in "*!"], [r[2:] for r in suffixes if r[0] == "*"], [r[1:] for r in suffixes if r[0] == "!"]
+
+
+def labels(domain: Column) -> Column:
+    return F.filter(F.split(F.lower(F.trim(F.trim(domain), F.lit("."))), r"\."), lambda x: x != "")
+
+
+def _tenant(x: Column, name: Column, suffix: Column, at: Column) -> Column:
+    """``(name, suffix)``; on an open platform the label before it is the name and the platform the suffix."""
+    whole = F.concat_ws(".", name, suffix)
+    return F.when(whole.isin(*PLATFORMS) & (at > 1), F.struct(F.get(x, at - 2).alias("name"), whole.alias("suffix"))).otherwise(F.struct(name.alias("name"), suffix.alias("suffix")))
+
+
 def parts(domain: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
-    """``(name, suffix)`` of the registered part of a domain, by its longest suffix that leaves a name; NULL without one."""
-    labels = F.filter(F.split(F.lower(F.trim(F.trim(domain), F.lit("."))), r"\."), lambda x: x != "")
-    def find(x: Column) -> Column:
-        ends = F.sequence(F.lit(2), F.greatest(F.size(x), F.lit(2)))
-        cuts = F.transform(ends, lambda i: F.struct(F.get(x, i - 2).alias("name"), F.array_join(F.slice(x, i, F.greatest(F.size(x) - i + 1, F.lit(0))), ".").alias("suffix")))
-        return F.get(F.filter(cuts, lambda c: c["suffix"].isin(*suffixes, *PLATFORMS)), F.lit(0))
+    """``(name, suffix)`` of the registered part of a domain by the longest rule that matches (an exception before all); NULL without one, or if nothing stands before it."""
+    plain, stars, exceptions = by_kind(suffixes)
+    among = lambda c, rules: c.isin(*rules) if rules else F.lit(False)
 
-    return F.get(F.transform(F.array(labels), find), F.lit(0))
+    def find(x: Column) -> Column:
+        ends = F.transform(F.sequence(F.lit(1), F.greatest(F.size(x), F.lit(1))), lambda i: F.array_join(F.slice(x, i, F.greatest(F.size(x) - i + 1, F.lit(0))), "."))
+
+        def first(e: Column) -> Column:
+            # places of ``e`` that a rule makes a suffix; behind the last place and before the first there is none
+            hits = F.transform(e, lambda s, i: F.when(among(s, plain) | (among(F.get(e, i + 1), stars) & ~among(s, exceptions)) | among(F.get(e, i - 1), exceptions), i))
+            return F.get(F.transform(F.array(F.array_min(hits)), lambda i: F.when(i > 0, _tenant(x, F.get(x, i - 1), F.get(e, i), i))), F.lit(0))
+
+        return F.get(F.transform(F.array(ends), first), F.lit(0))
+
+    return F.get(F.transform(F.array(labels(domain)), find), F.lit(0))
+
+
+def suffix_rules(spark: SparkSession, path: str) -> DataFrame:
+    """The rules of a file in the format of the public list: one a line, comments behind two slashes."""
+    line = F.lower(F.regexp_extract("value", r"^[ \t]*([^ \t]+)", 1))
+    return spark.read.text(path).select(line.alias("rule")).where("rule <> '' and not startswith(rule, '//')").distinct()
+
+
+def registered_by_rules(df: DataFrame, domain: str, rules: DataFrame, out: str = "registered") -> DataFrame:
+    """``df`` with the registered part of a domain by a whole table of rules (column ``rule``), without a scan of the table for each row.
+
+    Each distinct domain asks for the rules that could match it, one for each of its label suffixes and kinds, in one
+    equi-join; the strongest answer wins: an exception, else the longest.
+    """
+    names = df.select(domain).where(F.col(domain).isNotNull()).distinct().withColumn("_x", labels(F.col(domain)))
+    ends = F.transform(F.sequence(F.lit(1), F.size("_x")), lambda i: F.struct(F.array_join(F.slice("_x", i, F.size("_x") - i + 1), ".").alias("end"), F.array_join(F.slice("_x", i + 1, F.size("_x") - i), ".").alias("behind"), i.alias("i")))
+    asked = names.where(F.size("_x") > 0).select(domain, "_x", F.explode(ends).alias("e"))
+    kinds = F.array(
+        F.struct(F.col("e.end").alias("rule"), (F.col("e.i") - 1).alias("at"), F.lit(False).alias("sure")),
+        F.struct(F.concat(F.lit("*."), F.when(F.col("e.behind") != "", F.col("e.behind"))).alias("rule"), (F.col("e.i") - 1).alias("at"), F.lit(False).alias("sure")),
+        F.struct(F.concat(F.lit("!"), "e.end").alias("rule"), F.col("e.i").alias("at"), F.lit(True).alias("sure")),
+    )
+    hits = asked.select(domain, "_x", F.explode(kinds).alias("k")).select(domain, "_x", "k.*").join(rules.select("rule").distinct(), "rule")
+    best = hits.groupBy(domain, "_x").agg(F.min(F.struct(~F.col("sure"), "at")).alias("b")).select(domain, "_x", F.col("b.at").alias("_at")).where("_at > 0")
+    tail = F.array_join(F.slice("_x", F.col("_at") + 1, F.size("_x") - F.col("_at")), ".")
+    found = best.withColumn("_t", _tenant(F.col("_x"), F.get("_x", F.col("_at") - 1), tail, F.col("_at")))
+    return df.join(found.select(domain, F.concat_ws(".", "_t.name", "_t.suffix").alias(out)), domain, "left")
 
 
 def registered(domain: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:

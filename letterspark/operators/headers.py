@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from letterspark.functions.text import bind
 from letterspark.operators.domains import is_free_mailbox, registered
 
 # The headers whose coverage is reported.
@@ -114,10 +115,14 @@ def auth_lines(headers: Column) -> Column:
 
     def line(value: Column) -> Column:
         parts = F.transform(F.split(F.regexp_replace(value, r"\([^()]{0,500}\)", " "), ";"), lambda x: F.trim(x))
-        first = F.get(parts, F.lit(0))
-        named = ~F.contains(first, F.lit("="))
-        clauses = F.filter(F.slice(parts, F.when(named, 2).otherwise(1), F.size(parts)), lambda x: x != "")
-        return F.struct(F.when(named, F.nullif(F.regexp_extract(first, "^([^ \t]+)", 1), F.lit(""))).alias("server"), clauses.alias("clauses"))
+
+        def record(p: Column) -> Column:
+            first = F.get(p, F.lit(0))
+            named = ~F.contains(first, F.lit("="))
+            clauses = F.filter(F.slice(p, F.when(named, 2).otherwise(1), F.size(p)), lambda x: x != "")
+            return F.struct(F.when(named, F.nullif(F.regexp_extract(first, "^([^ \t]+)", 1), F.lit(""))).alias("server"), clauses.alias("clauses"))
+
+        return bind(parts, record)
 
     return F.transform(values(headers, "Authentication-Results", 10), line)
 
@@ -131,21 +136,24 @@ def line_verdicts(lines: Column) -> Column:
     """``(pos, method, result, domain)`` of every clause with a known method; of one method in one header a pass wins, else the first."""
 
     def clause(x: Column) -> Column:
-        method = F.lower(F.regexp_extract(x, r"(?i)\b(spf|dkim|dmarc)[ \t]{0,5}=[ \t]{0,5}[a-z]{1,20}", 1))
-        result = F.regexp_extract(x, r"(?i)\b(?:spf|dkim|dmarc)[ \t]{0,5}=[ \t]{0,5}([a-z]{1,20})", 1)
+        said = F.lower(F.regexp_extract(x, r"(?i)\b(?:spf|dkim|dmarc)[ \t]{0,5}=[ \t]{0,5}[a-z]{1,20}", 0))
+        return bind(F.transform(F.split(said, "="), lambda y: F.trim(y, F.lit(" \t"))), lambda m: F.struct(F.get(m, F.lit(0)).alias("method"), normal_result(F.get(m, F.lit(1))).alias("result"), place(x, F.get(m, F.lit(0))).alias("domain")))
+
+    def place(x: Column, method: Column) -> Column:
         own = [F.when(method == m, F.regexp_extract(x, rf"(?i)\b{p}[ \t]{{0,5}}=[ \t]{{0,5}}([^ \t;]{{1,255}})", 1)) for m, p in (("spf", r"smtp\.mailfrom"), ("dmarc", r"header\.from"), ("dkim", r"header\.[di]"))]
-        place = F.nullif(F.substring_index(F.lower(F.translate(F.coalesce(*own), "\"'<>", "")), "@", -1), F.lit(""))
-        return F.struct(method.alias("method"), normal_result(result).alias("result"), place.alias("domain"))
+        return F.nullif(F.substring_index(F.lower(F.translate(F.coalesce(*own), "\"'<>", "")), "@", -1), F.lit(""))
 
     def of_line(line: Column, pos: Column) -> Column:
-        found = F.filter(F.transform(line["clauses"], clause), lambda c: c["method"] != "")
+        def best(found: Column, m: str) -> Column:
+            def choose(mine: Column) -> Column:
+                return F.coalesce(F.get(F.filter(mine, lambda c: c["result"] == "pass"), F.lit(0)), F.get(mine, F.lit(0)))
 
-        def best(m: str) -> Column:
-            mine = F.filter(found, lambda c: c["method"] == m)
-            pick = F.coalesce(F.get(F.filter(mine, lambda c: c["result"] == "pass"), F.lit(0)), F.get(mine, F.lit(0)))
-            return F.when(pick.isNotNull(), F.struct(pos.alias("pos"), line["server"].alias("server"), pick["method"].alias("method"), pick["result"].alias("result"), pick["domain"].alias("domain")))
+            def verdict(pick: Column) -> Column:
+                return F.when(pick.isNotNull(), F.struct(pos.alias("pos"), line["server"].alias("server"), pick["method"].alias("method"), pick["result"].alias("result"), pick["domain"].alias("domain")))
 
-        return F.array_compact(F.array(*map(best, METHODS)))
+            return bind(bind(F.filter(found, lambda c: c["method"] == m), choose), verdict)
+
+        return bind(F.transform(line["clauses"], clause), lambda found: F.array_compact(F.array(*(best(found, m) for m in METHODS))))
 
     return F.flatten(F.transform(lines, of_line))
 
@@ -159,9 +167,12 @@ def trusted_lines(lines: Column) -> Column:
     """The topmost header, and those right below it while their server belongs to the same registered domain."""
 
     def keep(x: Column) -> Column:
-        orgs = F.transform(x, lambda line: registered(line["server"]))
-        n = F.aggregate(F.slice(orgs, 2, 10), F.struct(F.lit(1).alias("n"), F.lit(True).alias("on")), lambda a, o: F.struct((a["n"] + (a["on"] & F.coalesce(o == F.get(orgs, F.lit(0)), F.lit(False))).cast("int")).alias("n"), (a["on"] & F.coalesce(o == F.get(orgs, F.lit(0)), F.lit(False))).alias("on")))["n"]
-        return F.slice(x, F.lit(1), n)
+        def count(orgs: Column) -> Column:
+            same = lambda o: F.coalesce(o == F.get(orgs, F.lit(0)), F.lit(False))
+            first_other = F.array_min(F.transform(orgs, lambda o, i: F.when((i > 0) & ~same(o), i)))
+            return F.coalesce(first_other, F.size(orgs))
+
+        return F.slice(x, F.lit(1), bind(F.transform(x, lambda line: registered(line["server"])), count))
 
     return F.get(F.transform(F.array(lines), keep), F.lit(0))
 

@@ -17,7 +17,7 @@ def subject_of(headers: Column) -> Column:
 
 def thread_key(subject: Column) -> Column:
     """Letters and digits of the subject without reply and forward prefixes."""
-    bare = F.regexp_replace(F.lower(subject), r"^(?:[ ]*(?:re|fw|fwd|aw|wg|sv|vs)(?:\[[0-9]+\])?[ ]*:)+", "")
+    bare = F.regexp_replace(F.lower(subject), r"^[ ]*(?:(?:re|fw|fwd|aw|sv|antw)[ ]*(?:\[[0-9]+\])?[ ]*:[ ]*)+", "")
     return F.regexp_replace(bare, r"[^\p{L}\p{N}]+", "")
 
 

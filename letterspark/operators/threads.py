@@ -11,21 +11,30 @@ from letterspark.operators.splits import modulo_bucket
 from letterspark.plans.components import connected_components
 from letterspark.plans.shared import cut
 
-PREFIX = r"(?:(?:re|fw|fwd|aw|wg)(?:\[[0-9]+\])?[ ]*:[ ]*)"
+# Prefixes of replies and forwards.
+PREFIX = r"(?:(?:re|fw|fwd|aw|sv|antw)[ ]*(?:\[[0-9]{1,5}\][ ]*)?:[ ]*)"
+
+
+def _line(subject: Column) -> Column:
+    return F.lower(F.substring(F.trim(F.regexp_replace(subject, r"[ \t\r\n]+", " ")), 1, 300))
 
 
 def normalise_subject(subject: Column) -> Column:
-    """Lower case without up to 20 reply or forward prefixes, squeezed, at most 300 characters."""
-    bare = F.regexp_replace(F.lower(F.trim(subject)), "^" + PREFIX + "{1,20}", "")
-    return F.trim(F.regexp_replace(F.substring(bare, 1, 300), r"[ \t\r\n]+", " "))
+    """The squeezed subject, at most 300 characters, in lower case, without up to 20 prefixes."""
+    return F.regexp_replace(_line(subject), "^" + PREFIX + "{1,20}", "")
+
+
+def has_prefix(subject: Column) -> Column:
+    """Whether any prefix of a reply or forward begins the subject."""
+    return _line(subject).rlike("^" + PREFIX)
 
 
 def is_reply(subject: Column) -> Column:
-    return F.lower(F.trim(subject)).rlike(r"^(?:re|aw)(?:\[[0-9]+\])?[ ]*:")
+    return F.lower(F.trim(subject)).startswith("re:")
 
 
 def is_forward(subject: Column) -> Column:
-    return F.lower(F.trim(subject)).rlike(r"^(?:fw|fwd|wg)(?:\[[0-9]+\])?[ ]*:")
+    return F.lower(F.trim(subject)).rlike("^fwd?:")
 
 
 def reply_components(messages: DataFrame, key: str = "msg_key", own: str = "message_id", reply: str = "in_reply_to", references: str | None = None) -> DataFrame:
@@ -75,7 +84,7 @@ def thread_filters(messages: DataFrame, thread: str = "thread_id", ts: str = "se
     """Why each thread is kept or dropped, judged on its dated messages, and how many have no date."""
     dated = F.col(ts).isNotNull()
     n = messages.groupBy(thread).agg(
-        F.count("*").alias("n"), F.count_if(~dated).alias("undated"), F.count_distinct(F.when(dated, F.col("from_addr"))).alias("senders"), F.count_if(dated & is_reply(F.col("subject"))).alias("replies")
+        F.count("*").alias("n"), F.count_if(~dated).alias("undated"), F.count_distinct(F.when(dated, F.col("from_addr"))).alias("senders"), F.count_if(dated & has_prefix(F.col("subject"))).alias("replies")
     )
     left = F.col("n") - F.col("undated")
     reason = F.when(F.col("n") < 2, "single").when(left < least, "short").when(left > most, "long").when(F.col("senders") < senders, "one sender").when(F.col("replies") < replies, "few replies").otherwise("kept")
@@ -104,11 +113,21 @@ def drift(df: DataFrame, by: str, order: str, kind: str, value: str) -> DataFram
     return df.withColumn("drift", F.when(before == F.col(order), "first").when(same < F.col(order), "seen").otherwise("changed"))
 
 
+def network_of(ip: Column) -> Column:
+    """The /24 of an IPv4 address, the first four groups of an IPv6 address, or the value itself."""
+    dots = F.size(F.split(ip, r"\.")) == 4
+    return F.when(dots, F.substring_index(ip, ".", 3)).when(F.contains(ip, F.lit(":")), F.substring_index(ip, ":", 4)).otherwise(F.nullif(ip, F.lit("")))
+
+
+def mailer_family(mailer: Column) -> Column:
+    """Name of a mail program without its version: its first three words of three letters or more."""
+    words = F.regexp_extract_all(F.lower(F.substring(mailer, 1, 200)), F.lit(r"(\p{L}{3,})"), F.lit(1))
+    return F.nullif(F.array_join(F.slice(words, 1, 3), " "), F.lit(""))
+
+
 def path_drift(messages: DataFrame) -> DataFrame:
-    """New /24 network and new mail program of a sender that has written before in the thread; NULL where there is nothing to compare with."""
-    network = F.nullif(F.regexp_extract("origin_ip", r"^([0-9]+\.[0-9]+\.[0-9]+)\.", 1), F.lit(""))
-    family = F.nullif(F.regexp_extract(F.lower("mailer"), r"^([a-z]+(?: [0-9]+)?)", 1), F.lit(""))
-    rows = messages.withColumns({"network": network, "family": family})
+    """New network and new mail program of a sender that has written before in the thread; NULL where there is nothing to compare with."""
+    rows = messages.withColumns({"network": network_of(F.col("origin_ip")), "family": mailer_family(F.col("mailer"))})
 
     def new(value: str) -> Column:
         sender = Window.partitionBy("thread_id", "from_addr").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)

@@ -26,8 +26,10 @@ select concat('m', conv_id, '_', turn) as msg_key, conv_id as thread_id, turn as
   concat('<', conv_id, '.', turn, '@example.com>') as message_id,
   case when turn = 0 or conv_id % 7 = 3 then null when turn % 6 = 5 then '<x@thread.invalid>' else concat('<', conv_id, '.', turn - 1, '@example.com>') end as in_reply_to,
   case when turn >= 2 and turn % 4 = 0 then concat('<', conv_id, '.', turn - 2, '@example.com> <lost', turn, '@example.com>') else '' end as refs,
-  concat(case when turn % 9 = 4 then 'Fwd: ' when turn % 3 = 0 then '' else 'Re: RE: ' end, 'Topic ', conv_id % 40) as subject,
-  concat('10.', conv_id % 4, '.', turn % 3, '.9') as origin_ip, concat('Mailer ', turn % 4) as mailer,
+  concat(case when turn % 9 = 4 then 'Fwd: ' when turn % 3 = 0 then '' when conv_id % 6 = 1 then 'SV: Antw [2] : ' when conv_id % 6 = 2 then 'AW: WG: ' else 'Re: RE[2]: ' end, 'Topic  ', conv_id % 40) as subject,
+  case conv_id % 4 when 0 then concat('2001:db8:', conv_id % 4, ':', turn % 3, ':1::9') when 1 then null else concat('10.', conv_id % 4, '.', turn % 3, '.', turn) end as origin_ip,
+  case conv_id % 5 when 0 then concat('Outlook ', 15 + turn % 2, '.0') when 1 then case when turn % 4 = 0 then 'Mozilla Thunderbird 91.2' else concat('Mozilla Firefox/', turn) end when 2 then concat('Apple Mail (2.', turn, ')')
+    when 3 then case when turn > 2 then '7.1' end else 'Microsoft Office Outlook Express Plus 6' end as mailer,
   case when conv_id % 13 = 5 and turn % 2 = 1 then null else 1700000000 + conv_id * 1000 + (turn - 3 * (turn % 2)) * 3600 end as sent, text,
   case when turn % 4 = 3 then concat(lag(text) over (partition by conv_id order by turn), ' and then these many words were never said before by anybody else here at all')
     when turn % 2 = 1 then lag(text) over (partition by conv_id order by turn) end as quoted
@@ -36,7 +38,7 @@ from {conversations} where not (conv_id % 11 = 4 and turn > 0)""",
 select o.o_orderkey as id, c.c_mktsegment as source,
   concat('From: "', case when o.o_orderkey % 9 = 2 then 'service@paypal.com' when o.o_orderkey % 9 = 5 then 'Acme acme.co.uk' else c.c_name end, '" <u', c.c_custkey,
     case when o.o_orderkey % 31 = 7 then '' else '@' end,
-    case c.c_mktsegment when 'BUILDING' then 'gmail.com' when 'AUTOMOBILE' then 'pay.acme.co.uk' when 'MACHINERY' then 'acrne.co.uk' else 'mail.sender.com' end, '>', chr(10),
+    case c.c_mktsegment when 'BUILDING' then 'gmail.com' when 'AUTOMOBILE' then 'pay.acme.co.uk' when 'MACHINERY' then 'acrne.co.uk' when 'FURNITURE' then case o.o_orderkey % 4 when 0 then 'mail.zenith.xyz' when 1 then 'pay.shop.ck' when 2 then 'www.ck' else 'mail.sender.com' end else 'mail.sender.com' end, '>', chr(10),
     case when o.o_orderkey % 4 = 0 then concat('Reply-To: r', c.c_custkey, '@protonmail.com', chr(10)) when o.o_orderkey % 4 = 3 then concat('Reply-To: <x@www.acme.co.uk>', chr(10)) else '' end,
     case when o.o_orderkey % 5 = 1 then concat('Return-Path: <bounce@mail.sender.com>', chr(10)) when o.o_orderkey % 5 = 2 then concat('Return-Path: <>', chr(10)) else '' end,
     'To: ', case o.o_orderkey % 6 when 0 then 'undisclosed-recipients:;' when 1 then 'Bob <bob@gmail.com>' when 2 then 'team, "Ann" <ann@hq.acme.co.uk>' when 3 then 'x@monkey.org' else 'ops@acme.co.uk' end, chr(10),
@@ -65,14 +67,15 @@ select doc_id, source, concat(text, case doc_id % 9
   when 3 then concat(chr(10), '____________________', chr(10), 'To unsubscribe from this mailing list write to x@list.example.com')
   when 4 then concat(chr(10), '> above', chr(10), '----- Original Message -----', chr(10), 'From: x', chr(10), 'thanks')
   when 5 then ' see https://pay.example.com/a?b=1, or HTTP://X.COM/A. or mail Bob.Smith@acme.co.uk now or hxxp://bad.net or http : / / a . com / b'
-  when 6 then concat(chr(10), 'file INVOICE_7.pdf at Shop.example.org and bob @ acme . com, paypal . com, setup . exe, e.g. Mr.Smith version1.2 macro.docm')
+  when 6 then concat(chr(10), 'file INVOICE_7.pdf at Shop.example.org and bob @ acme . com, paypal . com, setup . exe, paypal.xyz, bad.top/x, evil.click, a.b.ck, www.ck, shop.ck, e.g. Mr.Smith version1.2 macro.docm')
   when 7 then '<p>Hi <b>you</b></p><blockquote>old</blockquote><a href="http://x.com/a">here</a> &#233;&#x41;&amp;lt;'
   else '' end) as text
 from {documents}""",
     "fx_domains": """
 select c_custkey as id,
   case c_custkey % 13 when 0 then 'mail.paypal.co.uk' when 1 then 'paypal.com.evil-site.ru' when 2 then 'acme.onmicrosoft.com' when 3 then 'paypa1.com' when 4 then 'localhost' when 5 then '.GMail.com.'
-    when 6 then 'rnicrosoft.net' when 7 then 'pаypal.org' when 8 then 'onmicrosoft.com' when 9 then 'co.uk' when 10 then 'microsofft.com' when 11 then 'vvalmart.com' else concat('a.b', c_custkey, '.de') end as domain,
+    when 6 then 'rnicrosoft.net' when 7 then 'pаypal.org' when 8 then 'onmicrosoft.com' when 9 then 'co.uk' when 10 then 'microsofft.com' when 11 then 'vvalmart.com'
+    else case c_custkey % 9 when 0 then concat('a.b', c_custkey, '.de') when 1 then 'pay.Zenith.xyz' when 2 then 'bad.top' when 3 then 'a.shop.ck' when 4 then 'x.www.ck' when 5 then 'shop.ck' when 6 then 'www.ck' when 7 then 'school.city.kawasaki.jp' else 'a.b.kawasaki.jp' end end as domain,
   case c_custkey % 4 when 0 then 'paypal.com' when 1 then 'microsoft.com' when 2 then 'www.acme.com' else 'walmart.com' end as target
 from {customer}""",
     "fx_ledger": """

@@ -103,7 +103,7 @@ def b10_message_copies(t):
 
 # ---------------------------------------------------------------- splits
 SUBJECT = r"trim(regexp_replace(regexp_extract(raw_headers, '(?i)(?:^|\n)Subject:([^\n]*(?:\n[ \t][^\n]*)*)', 1), '[ \t\r\n]+', ' ', 'g'))"
-TKEY = rf"regexp_replace(regexp_replace(lower({SUBJECT}), '^(?:[ ]*(?:re|fw|fwd|aw|wg|sv|vs)(?:\[[0-9]+\])?[ ]*:)+', ''), '[^\p{{L}}\p{{N}}]+', '', 'g')"
+TKEY = rf"regexp_replace(regexp_replace(lower({SUBJECT}), '^[ ]*(?:(?:re|fw|fwd|aw|sv|antw)[ ]*(?:\[[0-9]+\])?[ ]*:[ ]*)+', ''), '[^\p{{L}}\p{{N}}]+', '', 'g')"
 GROUPS = f"grouped as (select id, source as stratum, case when {TKEY} <> '' then 't:' || {TKEY} else 'r:' || id::varchar end as grp from fx_headers)"
 BROKEN = """sized as (select *, count(*) over (partition by stratum, grp) as g, count(*) over (partition by stratum) as s from grouped),
 broken as (select id, stratum, case when g > greatest(s * 0.02, 25.0) then 'r:' || id::varchar else grp end as grp from sized)"""

@@ -9,15 +9,18 @@ from letterspark.operators import threads as J
 from letterspark.queries import MOD100, query
 
 col = F.col
-NSUB = r"trim(regexp_replace(substr(regexp_replace(lower(trim(subject)), '^(?:(?:re|fw|fwd|aw|wg)(?:\[[0-9]+\])?[ ]*:[ ]*){1,20}', ''), 1, 300), '[ \t\r\n]+', ' ', 'g'))"
-REPLY = r"regexp_matches(lower(trim(subject)), '^(?:re|aw)(?:\[[0-9]+\])?[ ]*:')"
-FORWARD = r"regexp_matches(lower(trim(subject)), '^(?:fw|fwd|wg)(?:\[[0-9]+\])?[ ]*:')"
+LINE = r"lower(substr(trim(regexp_replace(subject, '[ \t\r\n]+', ' ', 'g')), 1, 300))"
+PREFIXES = r"(?:(?:re|fw|fwd|aw|sv|antw)[ ]*(?:\[[0-9]{1,5}\][ ]*)?:[ ]*)"
+NSUB = f"regexp_replace({LINE}, '^{PREFIXES}{{1,20}}', '')"
+PREFIXED = f"regexp_matches({LINE}, '^{PREFIXES}')"
+REPLY = "starts_with(lower(trim(subject)), 're:')"
+FORWARD = "regexp_matches(lower(trim(subject)), '^fwd?:')"
 
 
-@query(f"select msg_key, {NSUB} as subject, {REPLY} as is_reply, {FORWARD} as is_forward from fx_messages")
+@query(f"select msg_key, {NSUB} as subject, {PREFIXED} as has_prefix, {REPLY} as is_reply, {FORWARD} as is_forward from fx_messages")
 def j1_subjects(t):
     s = col("subject")
-    return t("fx_messages").select("msg_key", J.normalise_subject(s).alias("subject"), J.is_reply(s).alias("is_reply"), J.is_forward(s).alias("is_forward"))
+    return t("fx_messages").select("msg_key", J.normalise_subject(s).alias("subject"), J.has_prefix(s).alias("has_prefix"), J.is_reply(s).alias("is_reply"), J.is_forward(s).alias("is_forward"))
 
 
 @query("""with recursive edge as (select msg_key as a, message_id as b from fx_messages union select msg_key, in_reply_to from fx_messages where in_reply_to is not null union select msg_key, unnest(regexp_extract_all(refs, '<[^<> ]+>')) from fx_messages),
@@ -39,7 +42,7 @@ def j4_participant_components(t):
     return J.participant_components(e.withColumn("people", people), ["run"], least=2, most=30).select(col("msg_key").cast("long").alias("event_id"), "component")
 
 
-@query(f"""with n as (select thread_id, count(*) as n, count(*) filter (where sent is null) as undated, count(distinct case when sent is not null then from_addr end) as senders, count(*) filter (where sent is not null and {REPLY}) as replies from fx_messages group by 1)
+@query(f"""with n as (select thread_id, count(*) as n, count(*) filter (where sent is null) as undated, count(distinct case when sent is not null then from_addr end) as senders, count(*) filter (where sent is not null and {PREFIXED}) as replies from fx_messages group by 1)
 select *, case when n < 2 then 'single' when n - undated < 3 then 'short' when n - undated > 6 then 'long' when senders < 2 then 'one sender' when replies < 2 then 'few replies' else 'kept' end as reason from n""")
 def j5_thread_filters(t):
     return J.thread_filters(t("fx_messages"), most=6)
@@ -77,9 +80,10 @@ def j11_sender_identity(t):
     return J.sender_identity(t("fx_messages")).drop("earlier_domain")
 
 
-PATH = r"""nets as (select *, regexp_extract(origin_ip, '^([0-9]+\.[0-9]+\.[0-9]+)\.', 1) as network, regexp_extract(lower(mailer), '^([a-z]+(?: [0-9]+)?)', 1) as family from fx_messages),
-paths as (select msg_key, network, family, case when from_addr is not null and row_number() over (partition by thread_id, from_addr order by position) > 1 then row_number() over (partition by thread_id, from_addr, network order by position) = 1 end as new_network,
-  case when from_addr is not null and row_number() over (partition by thread_id, from_addr order by position) > 1 then row_number() over (partition by thread_id, from_addr, family order by position) = 1 end as new_mailer from nets)"""
+PATH = r"""nets as (select *, case when len(string_split(origin_ip, '.')) = 4 then array_to_string(string_split(origin_ip, '.')[1:3], '.') when contains(origin_ip, ':') then array_to_string(string_split(origin_ip, ':')[1:4], ':') else nullif(origin_ip, '') end as network,
+  nullif(array_to_string(regexp_extract_all(lower(substr(mailer, 1, 200)), '\p{L}{3,}')[1:3], ' '), '') as family from fx_messages),
+paths as (select msg_key, network, family, case when from_addr is not null and network is not null and count(network) over (partition by thread_id, from_addr order by position rows between unbounded preceding and 1 preceding) > 0 then row_number() over (partition by thread_id, from_addr, network order by position) = 1 end as new_network,
+  case when from_addr is not null and family is not null and count(family) over (partition by thread_id, from_addr order by position rows between unbounded preceding and 1 preceding) > 0 then row_number() over (partition by thread_id, from_addr, family order by position) = 1 end as new_mailer from nets)"""
 
 
 @query(f"with {PATH} select * from paths")
