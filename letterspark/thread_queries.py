@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from letterspark.header_queries import parts_sql, registered_sql, skeleton_sql
 from letterspark.operators import threads as J
 from letterspark.queries import MOD100, query
+from letterspark.streaming import threads as S
 
 col = F.col
 LINE = r"lower(substr(trim(regexp_replace(subject, '[ \t\r\n]+', ' ', 'g')), 1, 300))"
@@ -174,3 +175,13 @@ def j18_flip_points(t):
     return J.flip_points(t("fx_ledger").withColumn("position", F.expr("int(substr(claim_id, 2))")))
 
 
+
+
+@query(f"""with {LEDGER}, worst as (select msg_key, thread_id, position, string_agg(claim_type || ':' || rule || ':' || severity, ',' order by claim_type, rule) as verdicts,
+  case max(case severity when 'high' then 3 when 'medium' then 2 when 'low' then 1 else 0 end) when 3 then 'high' when 2 then 'medium' when 1 then 'low' end as worst from ledger group by all)
+select msg_key, least(49, position) as n_earlier, verdicts, worst, first_value(case when worst in ('medium', 'high') and position > 0 then msg_key end ignore nulls) over (partition by thread_id order by position) as flip_key from worst""")
+def m2_thread_state(t):
+    m = t("fx_messages").withColumn("sent", F.timestamp_seconds(col("position") * 60))
+    S.use_rocksdb(m.sparkSession)
+    one = F.transform("verdicts", lambda v: F.concat_ws(":", v["claim_type"], v["rule"], v["severity"]))
+    return S.score_threads(m).select("msg_key", "n_earlier", F.array_join(F.array_sort(one), ",").alias("verdicts"), "worst", "flip_key")
