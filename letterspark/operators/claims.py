@@ -2,7 +2,8 @@
 
 A phrase is words with spaces: ``a|b`` alternatives, ``stem*``, ``?word`` optional, ``..N`` up to N words between,
 ``!a|b`` any other word, ``=Word`` exact case, ``#`` digits. Each is compiled once to a regular expression;
-all patterns are tried on a message in one projection, without a join.
+all patterns of a short table are tried on a message in one projection, without a join. The surveyed table goes through
+``claim_phrases.match_phrases``, which reads the words of a text once for all patterns.
 """
 
 from __future__ import annotations
@@ -13,15 +14,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from letterspark.functions.text import bind
+from letterspark.operators.claim_phrases import STRONG, WEAK, match_phrases
+from letterspark.operators.claim_phrases import WORD as TOKEN
 from letterspark.operators.labels import spans_overlap
 
-STRONG, WEAK = 0.9, 0.6
 # Types of claims.
 TYPES = (
     "affiliation_internal", "affiliation_external", "authority", "prior_relationship", "reply_direction", "credential_request", "payment_request", "payment_change", "gift_card", "data_request", "signature_contact",
 )
-#: A starting table of patterns ``(id, type, phrase, confidence)``; it is a parameter of every function.
-PATTERNS = (
+#: A short table ``(id, type, phrase, confidence)``: what is compiled to regular expressions.
+SHORT_PATTERNS = (
     ("au_title", "authority", "i am ..2 ceo|cfo|director|president|chairman", STRONG),
     ("ai_our_team", "affiliation_internal", "our ?own it|finance|payroll|hr department|team|desk", STRONG),
     ("ae_on_behalf", "affiliation_external", "on behalf of", WEAK),
@@ -36,7 +38,9 @@ PATTERNS = (
 )
 # Most claims of a type and of a message, longest span, words of a department, labels before a contact.
 PER_TYPE, MOST, SPAN = 3, 12, 300
-DEPARTMENTS = ("finance", "payroll", "hr", "it", "accounting", "legal", "sales", "support", "security", "billing")
+# Words that name a department, looked for among six words on each side of a claim.
+DEPARTMENTS = ("it", "ict", "hr", "finance", "payroll", "accounts", "accounting", "helpdesk", "security", "support", "procurement", "legal", "compliance", "operations", "marketing", "sales", "engineering", "treasury", "billing")
+AROUND, REACH = 6, 300
 LABELS = ("tel", "phone", "telephone", "mobile", "cell", "fax", "e-mail", "email", "mail", "office", "direct")
 GAP = r"[^\p{L}\p{N}]+"
 WORD = r"[\p{L}\p{N}]+"
@@ -69,7 +73,7 @@ def compile_phrase(phrase: str) -> str:
     return rf"(?i)\b{''.join(out)}\b"
 
 
-def check_patterns(patterns=PATTERNS) -> None:
+def check_patterns(patterns=SHORT_PATTERNS) -> None:
     """Refuses unknown types, repeated ids, other confidences and phrases that can't be compiled."""
     ids = [p[0] for p in patterns]
     if len(set(ids)) < len(ids) or any(p[1] not in TYPES or p[3] not in (STRONG, WEAK) for p in patterns):
@@ -99,7 +103,7 @@ def places(text: Column, pattern: str) -> Column:
 CANDIDATE = "array<struct<type: string, start: int, end: int, confidence: double, pattern: string>>"
 
 
-def phrase_candidates(text: Column, patterns=PATTERNS) -> Column:
+def phrase_candidates(text: Column, patterns=SHORT_PATTERNS) -> Column:
     """Candidates of all phrases; one inside a placeholder such as [EMAIL] isn't one."""
 
     def of(p: tuple, t: Column) -> Column:
@@ -178,16 +182,26 @@ def select(candidates: Column, least: float = WEAK) -> Column:
     return F.slice(placed, 1, MOST)
 
 
-def extract(documents: DataFrame, text: str = "text", key: str = "doc_id", least: float = WEAK, patterns=PATTERNS, organisations: DataFrame | None = None) -> DataFrame:
-    """``(key, claim_id, type, claim, start, end, confidence, pattern, department)``: one row a claim, numbered in order of place."""
+def extract(documents: DataFrame, text: str = "text", key: str = "doc_id", least: float = WEAK, patterns=None, organisations: DataFrame | None = None) -> DataFrame:
+    """``(key, claim_id, type, claim, start, end, confidence, pattern, department)``: one row a claim, numbered in order of place.
+
+    ``patterns``: a short table, compiled to regular expressions; without one the surveyed table is matched.
+    """
     t = F.col(text)
-    found = F.concat(phrase_candidates(t, patterns), contact_candidates(t), signoff_candidates(t))
-    rows = documents.select(key, text, found.alias("_c"))
+    found = F.concat(contact_candidates(t), signoff_candidates(t))
+    rows = documents.select(key, text, (found if patterns is None else F.concat(phrase_candidates(t, patterns), found)).alias("_c"))
+    if patterns is None:
+        match = F.struct("type", "start", "end", "confidence", "pattern")
+        matched = match_phrases(documents, text, key).groupBy(key).agg(F.collect_list(match).alias("_m"))
+        rows = rows.join(matched, key, "left").withColumn("_c", F.concat("_c", F.coalesce(F.col("_m").cast(CANDIDATE), F.array().cast(CANDIDATE)))).drop("_m")
     if organisations is not None:
         rows = rows.join(organisation_candidates(documents, organisations, text, key), key).withColumn("_c", F.concat("_c", "candidates"))
     rows = rows.select(key, text, F.posexplode(select(F.col("_c"), least)).alias("_k", "c"))
     s = F.col("c.start")
-    around = F.split(F.lower(F.substr(t, F.greatest(F.lit(1), s - 39), F.col("c.end") - s + 80)), r"[^\p{L}\p{N}]+")
+    tokens = lambda x: F.regexp_extract_all(F.lower(x), F.lit(f"({TOKEN})"), F.lit(1))
+    before = tokens(F.substr(t, F.greatest(F.lit(1), s - REACH + 1), F.least(s, F.lit(REACH))))
+    before = bind(before, lambda w: F.slice(w, F.greatest(F.lit(1), F.size(w) - AROUND + 1), F.lit(AROUND)))
+    around = F.concat(before, tokens(F.substr(t, s + 1, F.col("c.end") - s)), F.slice(tokens(F.substr(t, F.col("c.end") + 1, F.lit(REACH))), 1, AROUND))
     department = F.get(F.filter(around, lambda w: w.isin(*DEPARTMENTS)), F.lit(0))
     claim = F.substr(t, s + 1, F.col("c.end") - s)
     return rows.select(key, F.concat(F.lit("c"), F.col("_k") + 1).alias("claim_id"), "c.type", claim.alias("claim"), "c.start", "c.end", "c.confidence", "c.pattern", department.alias("department"))
