@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -21,3 +23,12 @@ def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint of ``df``."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, schema: StructType | None = None) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read back with its own or an equivalent schema: cuts lineage and survives lost executors."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(schema or df.schema).parquet(path)
