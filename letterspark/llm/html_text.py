@@ -11,10 +11,12 @@ pages next to the group.
 
 Lines inside an ``article`` or ``main`` element stay even if a neighbour shares them, as
 articles quote each other. What differencing can't see, as each page has its own, is told by
-structure: lines inside menus, headers, footers, sidebars, forms and other elements that
-never hold an article go, as do lines inside elements that one whole token of their class,
-id or role names as such, unless the element holds an article; inside an article only
-adverts and reader comments are told in that way.
+structure: lines inside menus, headers, footers, sidebars, forms, hidden elements and other
+elements that never hold an article go, as do reader comments (elements named so that don't
+hold the first article, nested articles too), and lines inside elements whose class, id or role names them
+as adverts, notices, menus and the like, in an article as outside, unless the element holds an
+article or the page had no text of its own left; a page without an article keeps named
+elements that hold more than the rest of it.
 
 Differencing runs on line hashes with their sizes, a few bytes a line: these are sorted into
 contiguous ranges, however many pages a host has, and a task streams through its range with
@@ -60,13 +62,14 @@ BLOCK = {
     "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hr", "html", "li", "main", "menu", "nav", "ol", "option", "p", "pre",
     "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
-#: Class, id and role tokens of boilerplate, as whole tokens.
+#: Words of boilerplate in class, id and role names, as whole names or as parts between hyphens and underscores.
 MARKED = {
-    "banner", "breadcrumb", "breadcrumbs", "complementary", "consent", "contentinfo", "cookie", "cookie-banner", "cookies", "footer", "masthead", "menu", "modal", "nav", "navbar", "navigation",
-    "newsletter", "notice", "pager", "pagination", "popup", "promo", "related", "search", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "widget",
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "complementary", "consent", "contentinfo", "cookie", "cookies", "footer", "masthead", "menu", "modal", "nav", "navbar",
+    "navigation", "newsletter", "notice", "notices", "pager", "pagination", "popup", "promo", "promoted", "related", "search", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "widget",
 }
-#: The same inside an article.
-MARKED_INSIDE = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "comment", "comments", "comment-list", "comments-area", "disqus", "disqus_thread", "replies"}
+#: Whole names of reader comments.
+COMMENTS = {"comment", "comments", "comment-list", "commentlist", "comments-area", "comment-section", "comments-section", "user-comments", "reader-comments", "disqus", "disqus_thread", "replies"}
+UNSEEN = re.compile(r"""(?:^|\s)(?:hidden(?=[\s/=]|$)|style\s*=\s*(?:"[^"]*|'[^']*|)(?:display\s*:\s*none|visibility\s*:\s*hidden))""", re.I)
 NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 ARTICLE = ("article", "main")
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S)
@@ -99,7 +102,11 @@ def _tokens(html: str) -> Iterator[tuple[str, str, str]]:
 
 
 def page_lines(html: str | None) -> list[tuple[str, int]]:
-    """Text lines of a page in order, each with 0 (plain), 1 (inside boilerplate) or 2 (inside the article)."""
+    """Text lines of a page in order, each with 0 (plain), 1 (inside boilerplate) or 2 (inside the article).
+
+    Lines that only the name of an element marks are boilerplate if other text is left: in an article any, on a page
+    without one as much as they hold themselves. Otherwise they are as plain as others, and differencing decides.
+    """
     tokens = list(_tokens(html or ""))
     close_of: dict[int, int] = {}
     open_at: dict[str, list[int]] = {}
@@ -109,42 +116,52 @@ def page_lines(html: str | None) -> list[tuple[str, int]]:
         elif kind == "close" and open_at.get(tag):
             close_of[open_at[tag].pop()] = k
     articles = [k for k, (kind, tag, _) in enumerate(tokens) if kind == "open" and tag in ARTICLE and k in close_of]
-    out: list[tuple[str, int]] = []
+    out: list[tuple[str, int, bool]] = []  # line, state, told by a name alone
     parts: list[str] = []
-    hidden_until = article_until = -1
+    hidden_until = named_until = article_until = -1
 
-    def flush(state: int) -> None:
+    def flush(k: int) -> None:
         line = " ".join(unescape("".join(parts)).split())
         parts.clear()
         if line:
-            out.append((line, state))
+            out.append((line, 1 if k <= hidden_until else 2 if k <= article_until else 0, hidden_until < k <= named_until))
 
-    def hides(k: int, tag: str, rest: str, end: int) -> bool:
+    def judge(k: int, tag: str, rest: str, end: int) -> str:
+        """``hidden``, ``named`` or nothing."""
+        inside = k <= article_until
+        names = {x.lower() for m in NAMES.finditer(rest) for x in (m[1] or m[2] or m[3] or "").split()} if rest else set()
+        if not names.isdisjoint(COMMENTS) and tag not in ("html", "body") and not (articles and k <= articles[0] < end):
+            return "hidden"
         at = bisect_right(articles, k)
         if tag in ARTICLE or at < len(articles) and articles[at] < end:
-            return False
-        inside = k <= article_until
-        if tag in HIDDEN:
-            return tag != "header" or not inside
-        named = {x.lower() for m in NAMES.finditer(rest) for x in (m[1] or m[2] or m[3] or "").split()} if rest else ()
-        return tag not in ("html", "body") and bool(named) and not (named.isdisjoint(MARKED_INSIDE) and (inside or named.isdisjoint(MARKED)))
+            return ""
+        if tag in HIDDEN and (tag != "header" or not inside) or rest and UNSEEN.search(rest):
+            return "hidden"
+        words = names | {w for x in names for w in re.split("[-_]+", x)}
+        return "named" if tag not in ("html", "body") and not words.isdisjoint(MARKED) else ""
 
     for k, (kind, tag, rest) in enumerate(tokens):
-        state = 1 if k <= hidden_until else 2 if k <= article_until else 0
         if kind == "text":
             parts.append(rest)
             continue
-        if kind == "break" or tag in BLOCK or k == hidden_until:
-            flush(state)
+        if kind == "break" or tag in BLOCK or k in (hidden_until, named_until):
+            flush(k)
         if kind == "open" and k > hidden_until:
             end = close_of.get(k, -1)
-            if end > 0 and hides(k, tag, rest, end):
-                flush(state)
+            found = judge(k, tag, rest, end) if end > 0 else ""
+            if found:
+                flush(k)
+            if found == "hidden":
                 hidden_until = end
+            elif found:
+                named_until = max(named_until, end)
             elif tag in ARTICLE:
                 article_until = max(article_until, end)
-    flush(1 if len(tokens) <= hidden_until else 0)
-    return out
+    flush(len(tokens))
+    size = lambda want: sum(len(line) for line, state, named in out if state != 1 and want(state, named))
+    others, article = size(lambda s, named: not named), size(lambda s, named: s == 2 and not named)
+    drop = article > 0 or others > 0 and (any(s == 2 for _, s, _ in out) or others >= size(lambda s, named: named))
+    return [(line, 1 if named and drop else state) for line, state, named in out]
 
 
 def _bits(a: list, b: list) -> Iterator[int]:
