@@ -127,20 +127,29 @@ def common_length(a: Column, b: Column) -> Column:
     return F.when((F.length(a) > 0) & (F.length(b) > 0), F.get(F.aggregate(chars(a), zero, row), F.length(b))).otherwise(0)
 
 
+def _ratio(x: Column, y: Column) -> Column:
+    """Twice the common subsequence of two names over both lengths, 0 to 100; NULL if either is missing."""
+    total = lambda s: F.length(s["x"]) + F.length(s["y"])
+    one = lambda s: F.when(s["x"].isNotNull() & s["y"].isNotNull(), F.round(200.0 * common_length(s["x"], s["y"]) / total(s), 1))
+    return F.get(F.transform(F.array(F.struct(x.alias("x"), y.alias("y"))), one), F.lit(0))
+
+
 def similarity(a: Column, b: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
-    """How alike the registered names of two domains look, 0 to 100: twice their common subsequence over both lengths; NULL if either is missing."""
-    x, y = skeleton(parts(a, suffixes)["name"]), skeleton(parts(b, suffixes)["name"])
+    """How alike the registered names of two domains look, 0 to 100; NULL if either is missing."""
+    return _ratio(skeleton(parts(a, suffixes)["name"]), skeleton(parts(b, suffixes)["name"]))
 
-    def ratio(s: Column) -> Column:
-        total = F.length(s["x"]) + F.length(s["y"])
-        return F.when(s["x"].isNotNull() & s["y"].isNotNull(), F.round(200.0 * common_length(s["x"], s["y"]) / total, 1))
 
-    return F.get(F.transform(F.array(F.struct(x.alias("x"), y.alias("y"))), ratio), F.lit(0))
+def names_alike(p: Column, q: Column, alike: float = 80.0, least: int = 6) -> Column:
+    """Equal skeletons, or names of some length that are alike."""
+    near = lambda s: (s["x"] == s["y"]) | ((F.least(F.length(s["p"]), F.length(s["q"])) >= least) & (_ratio(s["x"], s["y"]) >= alike))
+    return F.get(F.transform(F.array(F.struct(p.alias("p"), q.alias("q"), skeleton(p).alias("x"), skeleton(q).alias("y"))), near), F.lit(0))
 
 
 def relation(domain: Column, target: Column, suffixes: tuple[str, ...] = SUFFIXES, alike: float = 80.0, least: int = 6) -> Column:
-    """What a domain is to a target: ``same``, ``suffix`` (the name under another suffix), ``lookalike`` (equal skeletons, or names of some length that are alike) or NULL."""
-    d, t = registered(domain, suffixes), registered(target, suffixes)
-    p, q = parts(domain, suffixes)["name"], parts(target, suffixes)["name"]
-    near = (skeleton(p) == skeleton(q)) | ((F.least(F.length(p), F.length(q)) >= least) & (similarity(domain, target, suffixes) >= alike))
-    return F.when(d == t, "same").when(p == q, "suffix").when(near, "lookalike")
+    """What a domain is to a target: ``same``, ``suffix`` (the name under another suffix), ``lookalike`` or NULL."""
+
+    def judge(s: Column) -> Column:
+        p, q = s["p"], s["q"]
+        return F.when((p["name"] == q["name"]) & (p["suffix"] == q["suffix"]), "same").when(p["name"] == q["name"], "suffix").when(names_alike(p["name"], q["name"], alike, least), "lookalike")
+
+    return F.get(F.transform(F.array(F.struct(parts(domain, suffixes).alias("p"), parts(target, suffixes).alias("q"))), judge), F.lit(0))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from letterspark.plans.prefix import ranged, running_sum
+from letterspark.plans.prefix import join_on, ranged, running_sum
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -87,6 +92,70 @@ def bootstrap(df: DataFrame, cluster: str, sums: dict[str, Column], statistic: C
     return bootstraps(df, cluster, sums, {"": statistic}, draws, seed).select("value", "low", "high")
 
 
+def draw_weights(hashes: np.ndarray, draws: int, seed: int) -> np.ndarray:
+    """Times that each cluster (its 64-bit hash) counts in each draw: Poisson with mean 1, from a hash of both, so alike wherever the cluster is read."""
+    with np.errstate(over="ignore"):
+        x = hashes.astype(np.uint64)[:, None] ^ ((np.arange(1, draws + 1, dtype=np.uint64) + np.uint64(seed << 20)) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        x ^= x >> np.uint64(31)
+    return np.searchsorted(_POISSON, (x >> np.uint64(11)) * 2.0**-53, "right").astype(np.uint8)
+
+
+#: Distribution function of a Poisson number with mean 1.
+_POISSON = np.add.accumulate([math.exp(-1) / math.factorial(k) for k in range(20)])
+
+
+def intervals(df: DataFrame, by: list[str], cluster: str, sums: dict[str, Column], statistics: dict[str, Column], draws: int = DRAWS, seed: int = 1) -> DataFrame:
+    """``(*by, statistic, value, low, high)``: percentile intervals over clusters that count a random number of times in each draw.
+
+    A cluster's draws are made beside its sums and added up inside the task, so what is shuffled is one row for each task,
+    group and draw, whatever the number of clusters. All statistics and groups share the draws: one of the sums of several
+    systems or views is a paired difference, also of differences.
+    """
+    names = list(sums)
+    per = df.groupBy(*by, cluster).agg(*(v.cast("double").alias(k) for k, v in sums.items())).select(*by, F.xxhash64(cluster).alias("_h"), *names)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in per.schema if f.name in by)
+    schema = f"{kinds + ', ' if by else ''}_draw int, {', '.join(f'`{k}` double' for k in names)}"
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                weights = draw_weights(part.column("_h").to_numpy(), draws, seed).astype(float)
+                values = np.stack([part.column(k).to_numpy(zero_copy_only=False) for k in names], 1)
+                keys = list(zip(*(part.column(k).to_pylist() for k in by))) if by else [()] * part.num_rows
+                for key in dict.fromkeys(keys):
+                    rows = [k for k, x in enumerate(keys) if x == key]
+                    total[key] = total.get(key, 0) + weights[rows].T @ np.nan_to_num(values[rows])
+        for key, sums_ in total.items():
+            columns = [pa.array([v] * draws, part.schema.field(k).type) for k, v in zip(by, key)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.arange(draws, dtype=np.int32)), *(pa.array(sums_[:, k]) for k in range(len(names)))], [*by, "_draw", *names])
+
+    drawn = per.mapInArrow(add, schema).groupBy(*by, "_draw").agg(*(F.sum(k).alias(k) for k in names))
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("statistic"), v.cast("double").alias("v")) for k, v in statistics.items()))).alias("x")
+    point = per.groupBy(*by).agg(*(F.sum(k).alias(k) for k in names)).select(*by, each).select(*by, "x.statistic", F.col("x.v").alias("value"))
+    ends = drawn.select(*by, each).groupBy(*by, "x.statistic").agg(F.percentile("x.v", F.lit(0.025)).alias("low"), F.percentile("x.v", F.lit(0.975)).alias("high"))
+    return join_on(point, ends, [*by, "statistic"], "left")
+
+
+def view_contrasts(df: DataFrame, cluster: str, view: str, truth: Column, systems: dict[str, Column], base: str, others: list[str], draws: int = DRAWS) -> DataFrame:
+    """``(statistic, value, low, high)`` over rows of several views: F1 of each system in each view, the drop from the base view, and the drop of each drop between systems."""
+    sums, f1 = {}, {}
+    for v in [base, *others]:
+        for name, hit in systems.items():
+            here = F.col(view) == v
+            k = f"{name}@{v}"
+            sums |= {f"{k}:tp": F.count_if(here & truth & hit), f"{k}:fp": F.count_if(here & ~truth & hit), f"{k}:fn": F.count_if(here & truth & ~hit)}
+            tp, fp, fn = (F.col(f"`{k}:{x}`") for x in ("tp", "fp", "fn"))
+            f1[k] = F.when(2 * tp + fp + fn > 0, 2 * tp / (2 * tp + fp + fn)).otherwise(0.0)
+    drop = {f"drop {n}@{v}": f1[f"{n}@{base}"] - f1[f"{n}@{v}"] for v in others for n in systems}
+    pairs = [(a, b) for k, a in enumerate(systems) for b in list(systems)[k + 1 :]]
+    twice = {f"drop {a} - drop {b}@{v}": drop[f"drop {a}@{v}"] - drop[f"drop {b}@{v}"] for v in others for a, b in pairs}
+    return intervals(df, [], cluster, sums, f1 | drop | twice, draws)
+
+
 def cooccurrence(df: DataFrame, item: str, label: str) -> DataFrame:
     """Pairs of labels on the same item with their Jaccard index."""
     rows = df.select(item, label).distinct()
