@@ -114,4 +114,10 @@ def l21_clusters(t):
 select 'recall' as statistic, round(tpb / pos - tpa / pos, 6) as value from n union all select 'false alarms', round(fpb / neg - fpa / neg, 6) from n""")
 def l8_l26_paired_differences(t):
     e = t("events").select("user_id", (col("event_type") == "error").alias("y"), (col("value") >= 50).alias("a"), (col("user_id") % 2 == 0).alias("b"))
-    return K.paired_differences(e, "user_id", col("y"), col("a"), col("b"), draws=200).select("statistic", F.round("value", 6).alias("value"))
+    return K.paired_differences(e, "user_id", col("y"), col("a"), col("b")).select("statistic", F.round("value", 6).alias("value"))
+
+
+@query()
+def l8_paired_intervals(t):
+    e = t("events").select("user_id", (col("event_type") == "error").alias("y"), (col("value") >= 50).alias("a"), (col("user_id") % 2 == 0).alias("b"))
+    return K.paired_differences(e, "user_id", col("y"), col("a"), col("b"))

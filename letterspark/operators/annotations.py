@@ -49,9 +49,10 @@ def map_taxonomy(techniques: DataFrame, mapping: DataFrame, targets: tuple[str,
     """One column a target: 1 where a technique of the item maps to it, 0 only where some technique maps to it directly at all (``direct``), else NULL."""
     hit = techniques.join(mapping, "technique").groupBy(key, "target").agg(F.lit(1).alias("y"))
     wide = hit.groupBy(key).pivot("target", list(targets)).agg(F.max("y"))
-    direct = {r.target for r in mapping.where("direct").select("target").distinct().limit(1000).collect()}
-    out = techniques.select(key).distinct().join(wide, key, "left")
-    return out.select(key, *((F.coalesce(F.col(x), F.lit(0)) if x in direct else F.col(x)).alias(x) for x in targets))
+    # one row: which of the given targets are mapped to directly
+    direct = mapping.where(F.col("direct") & F.col("target").isin(*targets)).agg(F.collect_set("target").alias("_direct"))
+    out = techniques.select(key).distinct().join(wide, key, "left").crossJoin(F.broadcast(direct))
+    return out.select(key, *(F.coalesce(F.col(x), F.when(F.array_contains("_direct", x), 0)).alias(x) for x in targets))
 
 
 def pair_problems(pairs: DataFrame, least: int = 20, most: int = 400) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from letterspark.operators.evaluate import bootstraps
+from letterspark.operators.evaluate import intervals
 
 # Points by severity, the lower ends of the bands, what each tactic of pressure adds to the multiplier, and the tactics that score points.
 POINTS = {"low": 5.0, "medium": 35.0, "high": 60.0}
@@ -213,4 +213,4 @@ def paired_differences(df: DataFrame, cluster: str, truth: Column, one: Column,
     """``(statistic, value, low, high)``: recall and false alarms of the second system less those of the first, over shared draws of clusters."""
     sums = {"pos": F.count_if(truth), "neg": F.count_if(~truth), "t1": F.count_if(truth & one), "t2": F.count_if(truth & two), "f1": F.count_if(~truth & one), "f2": F.count_if(~truth & two)}
     c = F.col
-    return bootstraps(df, cluster, sums, {"recall": c("t2") / c("pos") - c("t1") / c("pos"), "false alarms": c("f2") / c("neg") - c("f1") / c("neg")}, draws)
+    return intervals(df, [], cluster, sums, {"recall": c("t2") / c("pos") - c("t1") / c("pos"), "false alarms": c("f2") / c("neg") - c("f1") / c("neg")}, draws)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -29,12 +29,21 @@ def message_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFra
 def mailbox(spark: SparkSession, path: str) -> DataFrame:
     """Messages of mailbox files, split at lines that begin with ``From ``; the reference ends in the message's number.
 
-    A file is read by one task, as its messages are numbered.
+    The separator is that of the text source, so a large file is read by many tasks, each from the first separator in its
+    byte range. Messages are numbered in their range, and ranges by the counts of those before them in the file.
     """
-    whole = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
-    parts = whole.select("file", F.posexplode(F.split(F.concat(F.lit("\n"), F.regexp_replace("value", r"\r\n?", "\n")), "\nFrom ")).alias("number", "part"))
-    raw = F.regexp_replace("part", r"^[^\n]*\n?", "")
-    return parts.where("number > 0").select(F.concat_ws("#", "file", "number").alias("raw_ref"), raw.alias("raw"))
+    rows = spark.read.option("lineSep", "\nFrom ").text(path)
+    rows = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    counts = rows.groupBy("file", "block").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a range
+    numbered = rows.withColumn("k", F.row_number().over(Window.partitionBy("file", "block").orderBy("at"))).join(counts.withColumn("before", before).drop("n"), ["file", "block"])
+    number = F.col("before") + F.col("k")
+    text = F.regexp_replace("value", r"\r\n?", "\n")
+    begins = (number > 1) | F.startswith("value", F.lit("From "))  # what stands before the first separator is no message
+    first = numbered.groupBy("file").agg(F.max((number == 1) & F.startswith("value", F.lit("From "))).alias("whole"))
+    out = numbered.where(begins).join(first, "file")
+    no = number - F.when(F.col("whole"), 0).otherwise(1)
+    return out.select(F.concat_ws("#", "file", no).alias("raw_ref"), F.regexp_replace(text, r"^[^\n]*\n?", "").alias("raw"))
 
 
 def union_of_sources(sources: list[tuple[str, DataFrame]]) -> DataFrame:
