@@ -32,3 +32,15 @@ def stored(df: DataFrame, schema: StructType | None = None) -> DataFrame:
     path = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(schema or df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """``df`` as a table in the shared folder, in sorted buckets of ``key``: tables of equal buckets join on it without a shuffle."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    name = f"bucketed_{uuid.uuid4().hex}"
+    path = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()}/{name}"
+    df.repartition(buckets, key).write.option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"drop table {name}")  # the catalog's entry only: a table with a path of its own keeps its files
+    return table
