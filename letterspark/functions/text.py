@@ -207,6 +207,11 @@ def redact_domains(text: Column) -> Column:
     return bind(text, parts)
 
 
+def _marks(text: Column, mark: str) -> Column:
+    """How often a mark stands in a text, by its length without them."""
+    return ((F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))) / len(mark)).cast("int")
+
+
 def redaction(text: Column) -> Column:
     """``(text, n_url, n_email, n_file, n_domain)``: replacements of each kind in their order, each in its plain and its spaced form."""
 
@@ -216,12 +221,13 @@ def redaction(text: Column) -> Column:
         name, plain, spaced = KINDS[k]
 
         def replaced(s: Column) -> Column:
-            t = s["text"]
-            n = F.regexp_count(t, F.lit(plain)) if plain else F.size(real_domains(t))
-            new = F.regexp_replace(t, plain, f"[{name}]") if plain else redact_domains(t)
-            own = f"n_{name.lower()}"
-            done = lambda x: F.struct(F.regexp_replace(x, spaced, f"[{name}]").alias("text"), *(s[f"n_{b[0].lower()}"].alias(f"n_{b[0].lower()}") for b in KINDS[:k]), (n + F.regexp_count(x, F.lit(spaced))).alias(own))
-            return bind(new, done)
+            t, own, mark = s["text"], f"n_{name.lower()}", f"[{name}]"
+            new = F.regexp_replace(t, plain, mark) if plain else redact_domains(t)
+            # spaced forms hold their sign between spaces; a text without it isn't scanned
+            spread = lambda x: F.regexp_replace(x, spaced, mark) if name == "URL" else F.when(F.contains(x, F.lit(" @ " if name == "EMAIL" else " . ")), F.regexp_replace(x, spaced, mark)).otherwise(x)
+            # no form matches a bracket, so what is replaced is what marks have been added
+            done = lambda x: F.struct(x.alias("text"), *(s[f"n_{b[0].lower()}"].alias(f"n_{b[0].lower()}") for b in KINDS[:k]), (_marks(x, mark) - _marks(t, mark)).alias(own))
+            return bind(bind(new, spread), done)
 
         return step(bind(state, replaced), k + 1)
 
