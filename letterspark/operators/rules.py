@@ -27,7 +27,8 @@ FOOTERS = (
     "x-spam", "envfrom", "original message", "wrote:",
 )
 NO_CONTACT = ("sc_street", "sc_street_zip", "sc_in_error", "sc_notify_sender", "sc_copyright", "sc_sent_by", "sc_receiving", "sc_signoff_name")
-# Steps on the ladder of severities by the type of a request.
+# Requests whose messages are searched for bank details, and steps on the ladder of severities by the type of a request.
+PAYMENTS = ("payment_change", "payment_request")
 ADJUST = {"payment_change": 1, "gift_card": 1, "data_request": -1}
 
 col = F.col
@@ -179,9 +180,10 @@ def asker_signals() -> Column:
 
 
 def request() -> Column:
-    """Who asks? Reads ``has_bank_details`` besides the facts."""
+    """Who asks? Reads ``bank_details`` (``bank.bank_details`` of the message) besides the facts."""
     first = F.get(asker_signals(), F.lit(0))
-    steps = F.coalesce(*(F.when(col("type") == k, v) for k, v in ADJUST.items()), F.lit(0)) + (col("type").isin("payment_change", "payment_request") & F.coalesce("has_bank_details", F.lit(False))).cast("int")
+    carries = F.coalesce(F.size("bank_details") > 0, F.lit(False))
+    steps = F.coalesce(*(F.when(col("type") == k, v) for k, v in ADJUST.items()), F.lit(0)) + (col("type").isin(*PAYMENTS) & carries).cast("int")
     severity = shift(F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), (-first["rank"]).cast("int")), steps)
     rest = verdict((col("type") == "payment_change", "rv_change_needs_thread", OPEN), (col("auth_state") == "aligned", "rv_ok", NONE), (None, "rv_no_proof", OPEN))
     return F.when(col("from_registered").isNull(), F.struct(F.lit("rv_no_from").alias("rule"), F.lit(OPEN).alias("severity"))).when(first.isNotNull(), F.struct(first["rule"].alias("rule"), severity.alias("severity"))).otherwise(rest)
@@ -190,19 +192,106 @@ def request() -> Column:
 RULES = {"affiliation_internal": internal, "affiliation_external": external, "authority": authority, "reply_direction": reply, "signature_contact": signature}
 
 
-def verify(claims: DataFrame, facts: DataFrame, key: str = "msg_id") -> DataFrame:
-    """The ledger: one row for each claim that headers can judge, with ``claim_id, claim_type, verifier, rule, contradiction, severity``.
+#: What a signal says in a reason; ``{own}`` and ``{reply}`` stand for the sender's domain and that of replies.
+SIGNAL_TEXTS = {
+    "hv_auth_name_address": "the name shows another address", "hv_auth_lookalike": "{own} resembles the organisation's domain", "hv_auth_dmarc_fail": "DMARC failed",
+    "hv_auth_freemail": "{own} gives mailboxes to anyone", "hv_auth_spf_fail": "SPF failed", "hv_auth_no_pass": "no check passed",
+    "rv_lookalike": "{own} resembles another's domain", "rv_auth_fail": "DMARC failed", "rv_freemail": "{own} gives mailboxes to anyone", "rv_reply_redirect": "replies go to {reply}",
+    "rv_name_address": "the name shows another address", "rv_name_domain": "the name shows another domain", "rv_spf_fail": "SPF failed", "rv_no_pass": "no check passed",
+}
+#: What a row without signals says, by the last part of its rule or by the rule.
+RULE_TEXTS = {
+    "no_from": "The message has no usable sender.", "hv_auth_ok": "The sender is authenticated; the rank itself can't be checked.", "hv_auth_no_evidence": "Nothing shows who the sender is.",
+    "rv_ok": "The sender is authenticated; that says nothing about the request.", "rv_no_proof": "Nothing shows who asks.", "rv_change_needs_thread": "Headers can't confirm new payment details.",
+}
+#: Most signals in a reason, most details in the evidence, most characters of a reason.
+MOST_SIGNALS, MOST_SHOWN, MOST_REASON = 3, 4, 400
 
-    ``claims``: key, claim_id, type, confidence and what the rules read. A contradicted weak claim counts one step less.
-    Claims of the thread verifier are left out; claims without facts have no usable sender.
-    """
+
+def signals() -> Column:
+    """Rules of all signals behind a row of the authority and request rules, the strongest first; none for others."""
+    asked = F.transform(asker_signals(), lambda s: s["rule"])
+    return F.coalesce(F.when(col("type") == "authority", authority_signals()).when(col("type").isin(*REQUESTS), asked), F.array().cast("array<string>"))
+
+
+def reason(found: Column, rule: Column, shown: Column) -> Column:
+    """One sentence on a row of the authority and request rules from its signals, its rule and its masked details."""
+
+    def said(signal: Column) -> Column:
+        text = F.coalesce(*(F.when(signal == k, v) for k, v in SIGNAL_TEXTS.items()), signal)
+        return F.replace(F.replace(text, F.lit("{own}"), F.coalesce(clean_domain(col("from_registered")), F.lit("?"))), F.lit("{reply}"), F.coalesce(clean_domain(col("reply_domain")), F.lit("?")))
+
+    start = F.when(col("type") == "authority", "Claims a rank, but ").otherwise("Asks for something, but ")
+    details = F.when(F.size(shown) > 0, F.concat(F.lit(" Bank details: "), F.array_join(shown, ", "), F.lit("."))).otherwise("")
+    told = F.concat(start, F.array_join(F.transform(F.slice(found, 1, MOST_SIGNALS), said), "; "), F.lit("."), details)
+    plain = F.coalesce(*(F.when(rule.endswith(k), v) for k, v in RULE_TEXTS.items()), rule)
+    return F.substring(F.when((F.size(found) > 0) & ~rule.endswith("no_from"), told).otherwise(plain), 1, MOST_REASON)
+
+
+def _judged(claims: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """Claims that headers can judge, with their facts and ``verifier, rule, contradiction, severity``."""
     rows = claims.join(facts, key, "left")
+    if "bank_details" not in rows.columns:
+        rows = rows.withColumn("bank_details", F.array().cast("array<struct<kind:string,value:string,masked:string>>"))
     v = F.coalesce(*(F.when(col("type") == k, f()) for k, f in RULES.items()), F.when(col("type").isin(*REQUESTS), request()))
     route = F.coalesce(*(F.when(col("type") == k, r) for k, r in ROUTES.items()))
     rows = rows.withColumn("verifier", route).where("verifier in ('header', 'request')").withColumn("_v", v)
     contradiction = F.when(~col("_v.severity").isin(NONE, OPEN), True).when(col("_v.severity") == NONE, False)
     severity = F.when(contradiction & (F.coalesce("confidence", F.lit(1.0)) < 0.9), shift(col("_v.severity"), F.lit(-1))).otherwise(col("_v.severity"))
-    return rows.select(key, "claim_id", col("type").alias("claim_type"), "verifier", col("_v.rule").alias("rule"), contradiction.alias("contradiction"), severity.alias("severity"))
+    return rows.withColumns({"rule": col("_v.rule"), "contradiction": contradiction, "severity": severity}).drop("_v")
+
+
+def verify(claims: DataFrame, facts: DataFrame, key: str = "msg_id") -> DataFrame:
+    """The ledger: one row for each claim that headers can judge, with ``claim_id, claim_type, verifier, rule, contradiction, severity``.
+
+    ``claims``: key, claim_id, type, confidence and what the rules read; ``facts``: those of ``prepare_facts`` and, if payments
+    are to be judged by them, ``bank_details``. A contradicted weak claim counts one step less.
+    Claims of the thread verifier are left out; claims without facts have no usable sender.
+    """
+    return _judged(claims, facts, key).select(key, "claim_id", col("type").alias("claim_type"), "verifier", "rule", "contradiction", "severity")
+
+
+def evidence(claims: DataFrame, facts: DataFrame, key: str = "msg_id") -> DataFrame:
+    """Rows of ``verify`` by the authority and request rules with what they rest on.
+
+    ``signals``: all of them, the strongest first, though only the first sets rule and severity; ``shown``: masked bank
+    details of payment claims; ``strength``: weak or strong; ``reason``: one sentence.
+    """
+    rows = _judged(claims, facts, key).where((col("type") == "authority") | col("type").isin(*REQUESTS))
+    details = F.when(col("type").isin(*PAYMENTS), F.transform(F.slice("bank_details", 1, MOST_SHOWN), lambda d: d["masked"]))
+    rows = rows.withColumns({"signals": signals(), "shown": F.coalesce(details, F.array().cast("array<string>"))})
+    weak = F.when(F.coalesce("confidence", F.lit(1.0)) < 0.9, "weak").otherwise("strong")
+    return rows.select(
+        key, "claim_id", col("type").alias("claim_type"), "verifier", "rule", "contradiction", "severity", "auth_state", "signals", "shown",
+        weak.alias("strength"), reason(col("signals"), col("rule"), col("shown")).alias("reason"),
+    )
+
+
+def row_problems(verifiers: dict[str, str], signal_id: str = "thread", most_reason: int = MOST_REASON) -> Column:
+    """What a ledger row breaks of its contract: names of problems, none for a sound row.
+
+    ``verifiers``: the verifier that each known rule belongs to. Reads ``verifier, rule, contradiction, severity, claim_id,
+    claim_type, reason``; rows of thread signals bear ``signal_id``.
+    """
+    owners = F.create_map(*(F.lit(x) for pair in verifiers.items() for x in pair))
+    owner = F.try_element_at(owners, F.coalesce("rule", F.lit("")))
+    fits = F.when(col("contradiction"), col("severity").isin("low", "medium", "high")).when(~col("contradiction"), col("severity") == NONE).otherwise(col("severity") == OPEN)
+    long = F.coalesce(F.length("reason").between(10, most_reason), F.lit(False))
+    checks = {
+        "unknown verifier": ~F.coalesce(col("verifier").isin("header", "request", "thread"), F.lit(False)), "unknown rule": owner.isNull(),
+        "rule of another verifier": owner != F.coalesce("verifier", F.lit("")), "severity against verdict": ~F.coalesce(fits, F.lit(False)), "length of the reason": ~long,
+        "markup in the reason": F.coalesce(col("reason").rlike(r"[<>`\p{Cntrl}]"), F.lit(False)), "signal under a claim": (col("claim_type") == "signal") & (F.coalesce("claim_id", F.lit("")) != signal_id),
+    }
+    return F.array_compact(F.array(*(F.when(c, name) for name, c in checks.items())))
+
+
+def check_ledger(ledger: DataFrame, claims: DataFrame, verifiers: dict[str, str], key: str = "msg_id", signal_id: str = "thread") -> DataFrame:
+    """``(problem, n)``: rows that break the contract, rows on claims that weren't found, claims with several rows of a verifier; problems that occur."""
+    broken = ledger.select(F.explode(row_problems(verifiers, signal_id)).alias("problem"))
+    own = ledger.where(~F.coalesce(col("claim_id") == signal_id, F.lit(False)))
+    lost = own.join(claims.select(key, "claim_id").distinct(), [key, "claim_id"], "left_anti").select(F.lit("no such claim").alias("problem"))
+    twice = own.groupBy(key, "claim_id", "verifier").count().where("count > 1").select(F.lit("several rows of a verifier").alias("problem"))
+    return broken.unionByName(lost).unionByName(twice).groupBy("problem").agg(F.count("*").alias("n"))
 
 
 def routing_problems(claims: DataFrame, ledger: DataFrame, key: str = "msg_id") -> DataFrame:

@@ -93,9 +93,17 @@ select l_orderkey as msg_id, concat('c', l_linenumber, '_', l_partkey, '_', l_su
   case l_linenumber % 4 when 0 then 'your account' when 1 then 'the PayPal security team' when 2 then 'Sender Group and PayPal' else 'Nobody Ltd' end as text,
   case l_linenumber % 4 when 0 then '' when 3 then 'Nobody Ltd' else 'known' end as named, l_suppkey % 3 <> 0 as speaks,
   case when l_suppkey % 7 = 0 then 'sc_street' else 'sc_contact' end as pattern,
-  case l_partkey % 5 when 0 then 'Ann, a@mail.sender.com or x@sendar.com' when 1 then 'b@hq.acme.co.uk. To Unsubscribe write x@list.org' when 2 then 'no address' when 3 then 'c@gmail.com' else 'z@senber.com, q@evil.ru' end as contact,
-  l_partkey % 2 = 0 as has_bank_details
+  case l_partkey % 5 when 0 then 'Ann, a@mail.sender.com or x@sendar.com' when 1 then 'b@hq.acme.co.uk. To Unsubscribe write x@list.org' when 2 then 'no address' when 3 then 'c@gmail.com' else 'z@senber.com, q@evil.ru' end as contact
 from {lineitem}""",
+    "fx_bodies": """
+select o_orderkey as msg_id, o_custkey as thread_id, case when o_orderkey % 14 = 7 then null else concat('Please pay order ', o_orderkey, ' ', case o_orderkey % 14
+  when 0 then concat('to IBAN DE89 3704 0044 0532 0130 0', o_custkey % 4, '.') when 1 then concat('(GB82WEST1234569876543', o_custkey % 5, '), or gb82 WEST 1234 5698 7654 32 today')
+  when 2 then concat('Account number: ', 10000000 + o_custkey % 9, ', sort code 12-34-5', o_custkey % 10) when 3 then concat('SWIFT code DEUTDEFF', case when o_custkey % 2 = 0 then '500' else '' end, ' and a/c no. ', o_custkey)
+  when 4 then concat('routing # 02100002', o_custkey % 10, ' ABA is 12345') when 5 then 'account : 12345678' when 6 then 'no.15 NO93 8601 1117 947 then order DE12 now'
+  when 8 then 'acct 100001 acct 100002 acct 100003 acct 100004 acct 100005 acct 100006 acct 100007 acct 100008 acct 100009 acct 100001 acct 100010 acct 100011 NL91ABNA0417164300'
+  when 9 then concat('by sort, swift delivery of account books ', 10 + o_custkey % 80) when 10 then 'FR14 2004 1010 0505 0001 3M02 606 BIC is BNPAFRPP' when 11 then concat('XK05 1212 0123 4567 89', lpad(cast(o_custkey % 97 as varchar(10)), 2, '0'))
+  else '' end) end as body
+from {orders}""",
     "fx_brands": """
 select * from (values ('paypal', 'paypal', 'paypal.com'), ('sender group', 'sender', 'sender.com'), ('acme', 'acme', 'acme.co.uk')) as v(phrase, brand, domain)""",
     "fx_scores": """

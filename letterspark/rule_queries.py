@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from letterspark.bank_queries import DETAILS
 from letterspark.header_queries import EVIDENCE, domain_sql, free_sql, parts_sql, quoted, registered_sql, skeleton_sql
+from letterspark.operators import bank as N
 from letterspark.operators import domains as D
 from letterspark.operators import headers as E
 from letterspark.operators import lexicon as P
@@ -20,7 +22,9 @@ SPEAKERS = ("team", "department", "security", "support")
 
 def _facts(t) -> DataFrame:
     found = E.evidence(t("fx_headers"), "id", "raw_headers").withColumn("name_address", F.exists(R.addresses("from_name"), lambda d: ~d.eqNullSafe(col("from_registered"))) & col("from_registered").isNotNull())
-    return cut(R.prepare_facts(cut(found)).drop("raw_headers").withColumnRenamed("id", "msg_id"))  # read several times
+    facts = R.prepare_facts(cut(found)).drop("raw_headers").withColumnRenamed("id", "msg_id")
+    details = t("fx_bodies").select("msg_id", N.bank_details(col("body")).alias("bank_details"))
+    return cut(facts.join(details, "msg_id", "left"))  # read several times
 
 
 def _brands(t) -> DataFrame:
@@ -102,13 +106,13 @@ SQL_RULES = {
 }
 REQUESTS = quoted(R.REQUESTS)
 SIGNALS = """list_sort(list_filter([case when coalesce(org_relation = 'lookalike', false) or coalesce(brand_relation = 'lookalike', false) then [-3, 0] end, case when auth_state = 'failed' then [-3, 1] end, case when freemail then [case when external then -3 else -2 end, 2] end,
-  case when reply_to_divergence then [-2, 3] end, case when name_address then [-2, 4] end, case when name_domain then [-1, 5] end, case when auth_state = 'spf_failed' then [-2, 6] end, case when auth_state = 'no_pass' then [-1, 7] end], lambda x: x is not null))[1]"""
+  case when reply_to_divergence then [-2, 3] end, case when name_address then [-2, 4] end, case when name_domain then [-1, 5] end, case when auth_state = 'spf_failed' then [-2, 6] end, case when auth_state = 'no_pass' then [-1, 7] end], lambda x: x is not null))"""
 NAMES = "['rv_lookalike', 'rv_auth_fail', 'rv_freemail', 'rv_reply_redirect', 'rv_name_address', 'rv_name_domain', 'rv_spf_fail', 'rv_no_pass']"
-LEDGER = f"""{FACTS}, {CLAIMS}, first_ as (select *, {SIGNALS} as sig from ready),
+LEDGER = f"""{FACTS}, {CLAIMS}, {DETAILS}, first_ as (select *, {SIGNALS}[1] as sig, msg_id in (select msg_id from details_) as banked from ready),
 ruled as (select msg_id, claim_id, type, confidence, case when type in ({REQUESTS}) then 'request' else 'header' end as verifier, auth_state,
   case {" ".join(f"when type = '{k}' then {case_sql(v)}" for k, v in SQL_RULES.items())}
     when from_registered is null then 'rv_no_from|not_checkable'
-    when sig is not null then ({NAMES})[sig[2] + 1] || '|' || (['low', 'medium', 'high'])[least(3, greatest(1, -sig[1] + case type when 'payment_change' then 1 when 'gift_card' then 1 when 'data_request' then -1 else 0 end + case when type in ('payment_change', 'payment_request') and has_bank_details then 1 else 0 end))]
+    when sig is not null then ({NAMES})[sig[2] + 1] || '|' || (['low', 'medium', 'high'])[least(3, greatest(1, -sig[1] + case type when 'payment_change' then 1 when 'gift_card' then 1 when 'data_request' then -1 else 0 end + case when type in ('payment_change', 'payment_request') and banked then 1 else 0 end))]
     when type = 'payment_change' then 'rv_change_needs_thread|not_checkable' when auth_state = 'aligned' then 'rv_ok|none' else 'rv_no_proof|not_checkable' end as v
   from first_ where type <> 'prior_relationship'),
 split_ as (select *, split_part(v, '|', 1) as rule, split_part(v, '|', 2) as s from ruled),
@@ -137,6 +141,52 @@ def i5_i13_ledger(t):
     return R.verify(_claims(t, facts), facts)
 
 
+AUTH_SIGNALS = """list_filter([case when name_address then 'hv_auth_name_address' end, case when org_relation = 'lookalike' and not coalesce(from_matches_org, false) then 'hv_auth_lookalike' end,
+  case auth_state when 'failed' then 'hv_auth_dmarc_fail' end, case when freemail then 'hv_auth_freemail' end, case auth_state when 'spf_failed' then 'hv_auth_spf_fail' when 'no_pass' then 'hv_auth_no_pass' end], lambda x: x is not null)"""
+WORDS = "case s " + " ".join(f"when '{k}' then '{v.replace(chr(39), chr(39) * 2)}'" for k, v in R.SIGNAL_TEXTS.items()) + " end"
+PLAIN = "case " + " ".join(f"when ends_with(rule, '{k}') then '{v.replace(chr(39), chr(39) * 2)}'" for k, v in R.RULE_TEXTS.items()) + " else rule end"
+SHOWN = "shown_ as (select msg_id, array_to_string(list(masked order by no) filter (where no <= 4), ', ') as masked from details_ group by 1)"
+
+
+@query(f"""with {LEDGER}, {SHOWN}, behind as (select msg_id, claim_id, from_registered, reply_domain, case when type = 'authority' then {AUTH_SIGNALS} else list_transform({SIGNALS}, lambda x: ({NAMES})[x[2] + 1]) end as found
+  from ready where type = 'authority' or type in ({REQUESTS})),
+put as (select v.*, b.found, b.from_registered as own, b.reply_domain as away, case when claim_type in ('payment_change', 'payment_request') then coalesce(masked, '') else '' end as shown
+  from verified v join behind b on v.msg_id = b.msg_id and v.claim_id = b.claim_id left join shown_ s on v.msg_id = s.msg_id),
+told as (select *, array_to_string(list_transform(found[1:3], lambda s: replace(replace({WORDS}, '{{own}}', coalesce(own, '?')), '{{reply}}', coalesce(away, '?'))), '; ') as says from put)
+select msg_id, claim_id, claim_type, verifier, rule, contradiction, severity, auth_state, array_to_string(found, ' ') as signals, shown, case when confidence < 0.9 then 'weak' else 'strong' end as strength,
+  case when len(found) > 0 and not ends_with(rule, 'no_from') then case claim_type when 'authority' then 'Claims a rank, but ' else 'Asks for something, but ' end || says || '.' || case when shown <> '' then ' Bank details: ' || shown || '.' else '' end else {PLAIN} end as reason from told""")
+def i7_i10_evidence(t):
+    facts = _facts(t)
+    rows = R.evidence(_claims(t, facts), facts)
+    return rows.withColumns({"signals": F.array_join("signals", " "), "shown": F.array_join("shown", ", ")})
+
+
+RULE_OWNERS = {f"r{k}": "header" if k % 2 else "request" for k in range(8)}
+FAULTY = """faulty as (select msg_id, case when claim_type = 'authority' and msg_id % 3 = 0 then 'thread' when msg_id % 97 = 5 then 'c99' else claim_id end as claim_id, case when msg_id % 3 = 0 and claim_type = 'authority' then 'signal' when msg_id % 11 = 2 then 'signal' else claim_type end as claim_type,
+  case when msg_id % 31 = 4 then 'nobody' when msg_id % 37 = 5 then null else verifier end as verifier, rule, contradiction, case when msg_id % 17 = 3 then 'none' when msg_id % 41 = 7 then null else severity end as severity,
+  case msg_id % 23 when 0 then null when 1 then 'short' when 2 then 'holds <b>markup</b> here' when 3 then 'tab' || chr(9) || 'in the reason' when 4 then repeat('long ', 90) else 'The sender is not who is claimed.' end as reason from fx_ledger)"""
+
+
+@query(f"""with {FAULTY}, owned as (select *, case rule {' '.join(f"when '{k}' then '{v}'" for k, v in RULE_OWNERS.items())} end as owner from faulty), own as (select * from faulty where claim_id <> 'thread'), all_ as (
+  select 'unknown verifier' as problem from owned where verifier is null or verifier not in ('header', 'request', 'thread') union all select 'unknown rule' from owned where owner is null
+  union all select 'rule of another verifier' from owned where owner <> coalesce(verifier, '')
+  union all select 'severity against verdict' from owned where not coalesce(case when contradiction then severity in ('low', 'medium', 'high') when not contradiction then severity = 'none' else severity = 'not_checkable' end, false)
+  union all select 'length of the reason' from owned where reason is null or length(reason) not between 10 and 400 union all select 'markup in the reason' from owned where regexp_matches(reason, '[<>`\\x00-\\x1f]')
+  union all select 'signal under a claim' from owned where claim_type = 'signal' and claim_id <> 'thread' union all select 'no such claim' from own o where not exists (select 1 from fx_ledger f where f.msg_id = o.msg_id and f.claim_id = o.claim_id)
+  union all select 'several rows of a verifier' from (select 1 from own group by msg_id, claim_id, verifier having count(*) > 1))
+select problem, count(*) as n from all_ group by 1""")
+def i12_row_contract(t):
+    m, ledger = col("msg_id"), t("fx_ledger")
+    signal = (m % 3 == 0) & (col("claim_type") == "authority")
+    rows = ledger.select(
+        "msg_id", F.when(signal, "thread").when(m % 97 == 5, "c99").otherwise(col("claim_id")).alias("claim_id"), F.when(signal | (m % 11 == 2), "signal").otherwise(col("claim_type")).alias("claim_type"),
+        F.when(m % 31 == 4, "nobody").when(m % 37 == 5, None).otherwise(col("verifier")).alias("verifier"), "rule", "contradiction",
+        F.when(m % 17 == 3, "none").when(m % 41 == 7, None).otherwise(col("severity")).alias("severity"),
+        F.when(m % 23 == 0, None).when(m % 23 == 1, "short").when(m % 23 == 2, "holds <b>markup</b> here").when(m % 23 == 3, "tab\tin the reason").when(m % 23 == 4, "long " * 90).otherwise("The sender is not who is claimed.").alias("reason"),
+    )
+    return R.check_ledger(rows, ledger, RULE_OWNERS)
+
+
 @query(f"""with {LEDGER}, some_ as (select * from verified where claim_id not like 'c3%' union all select * from verified where claim_id like 'c4%'), due as (select msg_id, claim_id, case when type in ({REQUESTS}) then 'request' else 'header' end as verifier from fx_claims where type <> 'prior_relationship' and claim_id not like 'c5%')
 select 'no row' as problem, count(*) as n from due d where not exists (select 1 from some_ k where k.msg_id = d.msg_id and k.claim_id = d.claim_id and k.verifier = d.verifier)
 union all select 'not assigned', count(*) from some_ k where not exists (select 1 from due d where k.msg_id = d.msg_id and k.claim_id = d.claim_id and k.verifier = d.verifier)
