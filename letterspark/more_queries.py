@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from letterspark.operators import compare as X
 from letterspark.operators import labels as G
 from letterspark.operators import scoring as K
-from letterspark import annotation_queries, bank_queries, claim_queries, classify_queries, header_queries, rule_queries, takeover_queries, text_queries, thread_queries, world_queries  # noqa: F401  they register their queries
+from letterspark import annotation_queries, bank_queries, claim_queries, classify_queries, header_queries, report_queries, rule_queries, takeover_queries, text_queries, thread_queries, world_queries  # noqa: F401  they register their queries
 from letterspark.queries import ORACLE_SQL, QUERIES, SCORED, WILSON, query
 from letterspark.sources import messages as A
 

@@ -214,3 +214,63 @@ def paired_differences(df: DataFrame, cluster: str, truth: Column, one: Column,
     sums = {"pos": F.count_if(truth), "neg": F.count_if(~truth), "t1": F.count_if(truth & one), "t2": F.count_if(truth & two), "f1": F.count_if(~truth & one), "f2": F.count_if(~truth & two)}
     c = F.col
     return intervals(df, [], cluster, sums, {"recall": c("t2") / c("pos") - c("t1") / c("pos"), "false alarms": c("f2") / c("neg") - c("f1") / c("neg")}, draws)
+
+
+#: What kept a check from running, in words, by code.
+LIMITS = {
+    "headers_missing": "There was no header block.", "no_from": "There was no usable sender.", "no_authentication": "No result of SPF, DKIM or DMARC was found.",
+    "no_org_domain": "The reader's organisation isn't known.", "org_domain_ignored": "The organisation given wasn't usable.", "single_email": "There was no earlier message to compare with.",
+    "thread_truncated": "Only the last messages of the thread were read.", "thread_unordered": "Messages without a date were taken in the order given.", "text_truncated": "The text was cut at its limit.",
+    "mime_too_deep": "Parts of the message were nested too deeply.",
+}
+
+
+def coverage_report(messages: DataFrame, ledger: DataFrame, claims: DataFrame, limits: DataFrame, signal_id: str = "thread") -> DataFrame:
+    """How much of each message could be checked: claims and thread signals by status, limits that applied, and a note; a row for each of ``messages`` (msg_id).
+
+    A claim counts once, whatever the number of its rows: a contradiction wins, then a passed check. Rows on claims that weren't
+    found (``claims``: msg_id, claim_id) don't count. Signals are rows under ``signal_id``, one each; those of type
+    ``single_email`` don't look at history. ``limits``: (msg_id, code), codes that aren't known are passed over.
+    """
+    signal = F.coalesce(F.col("claim_id") == signal_id, F.lit(False))
+    found = ledger.where(~signal).join(claims.select("msg_id", "claim_id").distinct(), ["msg_id", "claim_id"], "left_semi")
+    status = found.groupBy("msg_id", "claim_id").agg(F.bool_or("contradiction").alias("s"))
+    per_claim = status.groupBy("msg_id").agg(
+        F.count("*").alias("claims"), F.count("s").alias("checked"), F.count_if("s").alias("contradicted"), F.count_if(~F.col("s")).alias("consistent"), F.count_if(F.col("s").isNull()).alias("not_checkable")
+    )
+    history = F.coalesce(F.col("claim_type") != "single_email", F.lit(True))
+    per_signal = ledger.where(signal).groupBy("msg_id").agg(
+        F.count("*").alias("signals"), F.count_if("contradiction").alias("signals_contradicted"), F.count_if(F.col("contradiction").isNull()).alias("signals_not_checkable"),
+        F.count_if(history).alias("history"), F.count_if(history & F.col("contradiction").isNotNull()).alias("history_ran"),
+    )
+    known = limits.where(F.col("code").isin(*LIMITS)).groupBy("msg_id").agg(F.array_sort(F.collect_set("code")).alias("limits"))
+    out = messages.select("msg_id").distinct().join(per_claim, "msg_id", "left").join(per_signal, "msg_id", "left").join(known, "msg_id", "left")
+    counts = [c for c in out.columns if c not in ("msg_id", "limits")]
+    out = out.fillna(0, counts).withColumn("limits", F.coalesce("limits", F.array().cast("array<string>")))
+    n = {c: F.col(c).cast("string") for c in counts}
+    said = F.when(F.col("claims") == 0, "No claim that can be checked was found.").otherwise(F.concat(n["checked"], F.lit(" of "), n["claims"], F.lit(" claims could be checked.")))
+    ran = F.when(F.col("history") > 0, F.concat(F.lit(" "), n["history_ran"], F.lit(" of "), n["history"], F.lit(" checks against the thread ran."))).otherwise("")
+    texts = F.create_map(*(F.lit(x) for pair in LIMITS.items() for x in pair))
+    why = F.array_join(F.transform("limits", lambda code: F.concat(F.lit(" "), F.try_element_at(texts, code))), "")
+    return out.withColumn("note", F.concat(said, ran, why)).drop("history", "history_ran")
+
+
+def scored_both(cases: DataFrame, ledger: DataFrame, verifier: str = "thread") -> DataFrame:
+    """Cases (msg_id and their columns) with score and band by the whole ledger (``_full``) and without one verifier's findings (``_without``); a case without findings scores 0."""
+    out = cases
+    for name, rows in (("full", ledger), ("without", ledger.where(F.col("verifier") != verifier))):
+        scored = score(rows).select("msg_id", F.col("score").alias(f"score_{name}"))
+        out = out.join(scored, "msg_id", "left").withColumn(f"score_{name}", F.coalesce(f"score_{name}", F.lit(0))).withColumn(f"band_{name}", band(F.col(f"score_{name}")))
+    return out
+
+
+def case_table(detail: DataFrame, by: list[str], cluster: str, draws: int = 1000) -> DataFrame:
+    """``(*by, variant, metric, n, hits, rate, low, high)``: shares of cases at medium or above and at high, with and without a verifier; attacks (label 1) also together, intervals over clusters."""
+    both = F.when(F.col("label") == 1, F.array("variant", F.lit("attacks"))).otherwise(F.array("variant"))
+    metrics = {f"{k}_{name}": F.col(f"band_{name}") == "high" if k == "high" else F.col(f"band_{name}") != "low" for name in ("full", "without") for k in ("some", "high")}
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("metric"), v.alias("hit")) for k, v in metrics.items())))
+    rows = detail.withColumn("variant", F.explode(both)).withColumn("m", each).select(*by, "variant", cluster, "m.metric", "m.hit")
+    key = [*by, "variant", "metric"]
+    counts = rows.groupBy(*key).agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"))
+    ends = intervals(rows, key, cluster, {"a": F.sum(F.col("hit").cast("int")), "c": F.count("*")}, {"rate": F.try_divide("a", "c")}, draws).select(*key, "low", "high")
+    return counts.withColumn("rate", F.round(F.col("hits") / F.col("n"), 6)).join(ends, key)

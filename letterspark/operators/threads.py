@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from letterspark.functions.text import bind
 from letterspark.operators.domains import relation
+from letterspark.operators.evaluate import intervals
+from letterspark.operators.scoring import wilson
 from letterspark.operators.splits import modulo_bucket
 from letterspark.plans.components import connected_components
 from letterspark.plans.shared import cut
@@ -258,3 +260,48 @@ def flip_points(ledger: DataFrame, thread: str = "msg_id", position: str = "posi
     rank = F.when(F.col("severity") == "high", 3).when(F.col("severity") == "medium", 2).when(F.col("severity") == "low", 1).otherwise(0)
     hit = F.col("contradiction") & (F.col(position) >= 2) & F.col("severity").isin("medium", "high")
     return ledger.groupBy(thread).agg(F.min(F.when(hit, F.col(position))).alias("flip"), F.max(F.when(F.col("contradiction"), rank).otherwise(0)).alias("worst"))
+
+
+def _per_message(ledger: DataFrame, threads: DataFrame) -> DataFrame:
+    """Worst contradiction (0 to 3), whether there is a past, and the rules of weight, a row each message; ``threads``: (thread_id, split, source)."""
+    hit = F.coalesce("contradiction", F.lit(False))
+    rank = F.when(hit, F.array_position(F.array(*map(F.lit, ("low", "medium", "high"))), F.col("severity"))).otherwise(0)
+    fired = F.collect_set(F.when(hit & F.col("severity").isin("medium", "high"), F.struct("rule", "claim_type")))  # at most one row a signal
+    rows = ledger.groupBy("msg_key", "thread_id", "position").agg(F.max(rank).alias("worst"), F.bool_and(F.col("claim_type") != "single_email").alias("past"), fired.alias("fired"))
+    return rows.join(threads, "thread_id")
+
+
+def thread_rates(ledger: DataFrame, threads: DataFrame) -> DataFrame:
+    """What the thread ledger says on unmodified threads, by split and source: messages, those with a past, flagged and high ones, threads, flagged threads, flips."""
+    m = _per_message(ledger, threads)
+    flagged = F.col("past") & (F.col("worst") >= 2)
+    per = m.groupBy("split", "source", "thread_id").agg(
+        F.count("*").alias("messages"), F.count_if("past").alias("judged"), F.count_if(flagged).alias("flagged_messages"), F.count_if(F.col("worst") == 3).alias("high_messages"),
+    )
+    flips = flip_points(ledger, "thread_id").select("thread_id", F.col("flip").isNotNull().alias("flips"))
+    return per.join(flips, "thread_id").groupBy("split", "source").agg(
+        *(F.sum(c).alias(c) for c in ("messages", "judged", "flagged_messages", "high_messages")), F.count("*").alias("threads"), F.count_if(F.col("flagged_messages") > 0).alias("flagged_threads"), F.count_if("flips").alias("flips"),
+    )
+
+
+def rule_rates(ledger: DataFrame, threads: DataFrame) -> DataFrame:
+    """Verdicts of each rule on unmodified threads by split and source."""
+    said = [F.count_if("contradiction").alias("contradiction"), F.count_if(~F.col("contradiction")).alias("consistent"), F.count_if(F.col("contradiction").isNull()).alias("not_checkable")]
+    return ledger.join(threads, "thread_id").groupBy("split", "source", "rule", F.col("claim_type").alias("signal")).agg(F.count("*").alias("rows"), *said)
+
+
+def false_alarms(ledger: DataFrame, threads: DataFrame, draws: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """Medium and high contradictions on unmodified threads, where each is a false alarm, among messages with a past.
+
+    Returns a summary by split and source (rate with its Wilson interval, and one over whole threads: ``low``, ``high``) and
+    the rates of rules. A message counts once a rule.
+    """
+    m = _per_message(ledger, threads).where("past").withColumn("flagged", F.col("worst") >= 2)
+    by = ["split", "source"]
+    n = m.groupBy(*by).agg(F.count_distinct("thread_id").alias("threads"), F.count("*").alias("messages"), F.count_if("flagged").alias("flagged"))
+    ends = intervals(m, by, "thread_id", {"a": F.sum(F.col("flagged").cast("int")), "c": F.count("*")}, {"rate": F.try_divide("a", "c")}, draws).select(*by, "low", "high")
+    w_low, w_high = wilson(F.col("flagged"), F.col("messages"))
+    summary = n.withColumns({"rate": F.round(F.col("flagged") / F.col("messages"), 6), "wilson_low": F.round(w_low, 6), "wilson_high": F.round(w_high, 6)}).join(ends, by)
+    hits = m.select(*by, F.explode("fired").alias("f")).groupBy(*by, F.col("f.rule").alias("rule"), F.col("f.claim_type").alias("signal")).agg(F.count("*").alias("messages_flagged"))
+    rules = hits.join(n.select(*by, "messages"), by).withColumn("rate", F.round(F.col("messages_flagged") / F.col("messages"), 6))
+    return summary, rules
