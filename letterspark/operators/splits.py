@@ -80,10 +80,13 @@ def split_report(df: DataFrame, stratum: str) -> DataFrame:
 
 
 def draw(df: DataFrame, strata: list[str], quota: DataFrame, row: str, seed: str = "1") -> DataFrame:
-    """The first ``n`` rows (column of ``quota``) of each stratum in hash order; rows of strata without a quota are left out."""
-    placed = df.withColumn("_pos", position(F.col(row), seed)).join(quota, strata)
-    rank = F.row_number().over(Window.partitionBy(*strata).orderBy("_pos", row))
-    return placed.withColumn("_rank", rank).where("_rank <= n").drop("_pos", "n")
+    """The first ``n`` rows (column of ``quota``) of each stratum in hash order; rows of strata without a quota are left out.
+
+    Ranks come from range sums, so no window holds a whole stratum.
+    """
+    placed = df.withColumn("_pos", position(F.col(row), seed)).withColumn("_one", F.lit(1)).join(quota, strata)
+    placed = running_sum(placed, strata, "_pos", "_one", "_before", row)
+    return placed.where("_before < n").withColumn("_rank", (F.col("_before") + 1).cast("int")).drop("_pos", "_one", "_before", "n")
 
 
 def shortages(df: DataFrame, strata: list[str], quota: DataFrame) -> DataFrame:

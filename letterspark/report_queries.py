@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from letterspark.header_queries import EVIDENCE
 from letterspark.operators import compare as X
+from letterspark.operators import headers as E
 from letterspark.operators import scoring as K
 from letterspark.operators import threads as J
 from letterspark.queries import query
+from letterspark.sources import records as A
 from letterspark.thread_queries import LEDGER
 
 col = F.col
@@ -127,3 +130,18 @@ def l18_false_alarms(t):
 select h.*, messages, round(messages_flagged / messages, 6) as rate from h join n on h.split = n.split and h.source = n.source""")
 def l18_false_alarm_rules(t):
     return J.false_alarms(J.signal_ledger(t("fx_messages")), _threads(t))[1]
+
+
+BODY = "coalesce(trim(b.body), '')"
+
+
+@query(f"""with {EVIDENCE} select e.id as key, f.source, f.message_id, f.in_reply_to, f.refs as "references", f.from_addr, f.from_name, e.from_registered as from_domain, coalesce(f.subject, '') as subject, f.sent, e.origin_ip, f.mailer, e.received_hops, e.list_mail,
+  {BODY} as text, '' as quoted, {BODY} as "full", {BODY} as redacted, e.spf, e.auth_aligned, e.org_domain from evidence e join fields f on e.id = f.id join fx_bodies b on e.id = b.msg_id""")
+def a10_message_records(t):
+    rows = t("fx_headers").join(t("fx_bodies").select(col("msg_id").alias("id"), "body"), "id")
+    parsed = rows.where("id % 2 = 1")
+    evidence = E.evidence(parsed, "id", "raw_headers", "raw_headers", "source", "body").drop("from_name", "send_hour")
+    table = E.fields(evidence, "id", "raw_headers", *(c for c in evidence.columns if c not in ("id", "raw_headers")))
+    cell = F.when(col("id") % 4 == 1, F.array_join("references", " ")).when(F.size("references") > 0, F.to_json("references"))
+    both = A.union_records(A.from_blocks(rows.where("id % 2 = 0 or id % 5 = 0")), A.from_table(table.withColumn("references", cell)))
+    return both.select("*", "facts.spf", "facts.auth_aligned", "facts.org_domain", F.unix_timestamp("sent_at").alias("sent")).withColumn("references", F.array_join("references", " ")).drop("facts", "sent_at")
