@@ -80,3 +80,15 @@ def test_a_store_is_published_whole(spark, tmp_path):
     assert S.read(spark, path, "v1").count() == 3 and S.read(spark, path, "v2").count() == 1
     S.commit(rows(9).withColumn("f", F.lit(1)), path, "v1", replace=True)
     assert [tuple(r) for r in S.read(spark, path, "v1").collect()] == [(9, 1)] and S.read(spark, path, "v2").count() == 1
+
+
+def test_records_of_tables_and_blocks_have_one_shape(spark):
+    from letterspark.sources import records as A
+
+    cells = {"<a@x> <b@y>": ["<a@x>", "<b@y>"], '["<a@x>", null, "<b@y>"]': ["<a@x>", "<b@y>"], "[broken": [], "": [], None: [], " ".join(f"<{k}@x>" for k in range(150)): [f"<{k}@x>" for k in range(100)]}
+    table = spark.createDataFrame([(k, "t", x, None) for k, x in enumerate(cells)], "id int, source string, references string, body string")
+    found = A.from_table(table)
+    assert {r.key: r.references for r in found.collect()} == dict(enumerate(cells.values()))
+    r = found.first()
+    assert (r.subject, r.text, r.quoted, r.full, r.redacted, r.list_mail, r.message_id, r.facts.spf) == ("", "", "", "", "", False, None, None)
+    assert found.schema["facts"].dataType.names == list(A.FACTS) and A.from_table(table.limit(0)).count() == 0
