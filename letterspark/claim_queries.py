@@ -58,10 +58,10 @@ def h3_h5_h7_claims(t):
 
 @query("select doc_id, 'c1' as claim_id, 'span' as problem from documents where doc_id % 5 = 0 and length(text) > 0 union all select doc_id, 'c2', 'text' from documents where doc_id % 7 = 0 and length(text) >= 3 union all select doc_id, 'c3', 'type' from documents where doc_id % 11 = 0")
 def h8_claim_problems(t):
-    d = t("documents").where(F.length("text") >= 3)
-    row = lambda m, no, kind, start, end, claim: d.where(col("doc_id") % m == 0).select("doc_id", F.lit(no).alias("claim_id"), F.lit(kind).alias("type"), start.alias("start"), end.alias("end"), claim.alias("claim"), F.lit(0.9).alias("confidence"))
-    bad = row(5, "c1", "authority", F.lit(0), F.length("text") + 1, col("text")).unionByName(row(7, "c2", "authority", F.lit(0), F.lit(2), F.lit("\x01\x02"))).unionByName(row(11, "c3", "rank", F.lit(0), F.lit(2), F.substring("text", 1, 2)))
-    return H.problems(bad.unionByName(row(2, "c4", "authority", F.lit(0), F.lit(2), F.substring("text", 1, 2))), d)
+    d = t("documents")
+    row = lambda m, no, kind, start, end, claim, least=0: d.where((col("doc_id") % m == 0) & (F.lit(least == 0) | (F.length("text") >= least))).select("doc_id", F.lit(no).alias("claim_id"), F.lit(kind).alias("type"), start.alias("start"), end.alias("end"), claim.alias("claim"), F.lit(0.9).alias("confidence"))
+    bad = row(5, "c1", "authority", F.lit(0), F.length("text") + 1, col("text"), 1).unionByName(row(7, "c2", "authority", F.lit(0), F.lit(2), F.lit("\x01\x02"), 3)).unionByName(row(11, "c3", "rank", F.lit(0), F.lit(2), F.substring("text", 1, 2)))
+    return H.problems(bad.unionByName(row(2, "c4", "authority", F.lit(0), F.lit(2), F.substring("text", 1, 2), 2)), d)
 
 
 PRESENT = f"{SELECTED}, point as (select doc_id, type, max(confidence) as c from claims where no <= 12 group by all)"
