@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from letterspark.operators import claim_phrases as W
 from letterspark.operators import claims as H
+from letterspark.plans.shared import spread
 from letterspark.queries import query
 
 col = F.col
@@ -25,7 +26,7 @@ placed as (select doc_id, text, type, confidence, pattern, (list_sum(list_transf
 
 
 def _mail(t):
-    return t("documents").select("doc_id", "source", F.expr(TEXT).alias("text"))
+    return spread(t("documents").select("doc_id", "source", "text")).select("doc_id", "source", F.expr(TEXT).alias("text"))
 
 
 @query(f"with {PLACED} select doc_id, type, confidence, pattern, start, start + length(claim) as \"end\", claim from placed")

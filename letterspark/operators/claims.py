@@ -9,6 +9,7 @@ all patterns of a short table are tried on a message in one projection, without
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from letterspark.functions.text import bind
 from letterspark.operators.claim_phrases import STRONG, WEAK, match_phrases
 from letterspark.operators.claim_phrases import WORD as TOKEN
 from letterspark.operators.labels import spans_overlap
+from letterspark.plans.shared import stored
 
 # Types of claims.
 TYPES = (
@@ -103,14 +105,29 @@ def places(text: Column, pattern: str) -> Column:
 CANDIDATE = "array<struct<type: string, start: int, end: int, confidence: double, pattern: string>>"
 
 
+def _any_of(low: Column, words) -> Column:
+    return reduce(lambda a, b: a | b, (F.contains(low, F.lit(w)) for w in words))
+
+
+def may_match(low: Column, phrase: str) -> Column:
+    """Whether a text in lower case holds a word of each part that a phrase can't do without: true of every text with a match, and far cheaper than the search."""
+    needed = [[w.rstrip("*") for w in x.removeprefix("=").lower().split("|")] for x in phrase.split() if x[0] not in "?.!#"]
+    return reduce(lambda a, b: a & b, (_any_of(low, words) for words in sorted(needed, key=lambda words: -min(map(len, words)))), F.lit(True))
+
+
+def _searched(worth: Column, found: Column) -> Column:
+    """``found`` where a search is worth while, else no candidates."""
+    return F.when(worth, found.cast(CANDIDATE)).otherwise(F.array().cast(CANDIDATE))
+
+
 def phrase_candidates(text: Column, patterns=SHORT_PATTERNS) -> Column:
-    """Candidates of all phrases; one inside a placeholder such as [EMAIL] isn't one."""
+    """Candidates of all phrases; one inside a placeholder such as [EMAIL] isn't one. Only phrases whose words stand in a text are searched there."""
 
     def of(p: tuple, t: Column) -> Column:
         found = F.filter(places(t, compile_phrase(p[2])), lambda m: ~F.substr(t, m["start"], m["end"] - m["start"] + 2).rlike(r"^\[[A-Z]+\]$"))
         return F.transform(found, lambda m: F.struct(F.lit(p[1]).alias("type"), m["start"].alias("start"), m["end"].alias("end"), F.lit(p[3]).alias("confidence"), F.lit(p[0]).alias("pattern")))
 
-    return F.flatten(F.array(*(of(p, text) for p in patterns))).cast(CANDIDATE)
+    return F.when(text.isNotNull(), bind(F.lower(text), lambda low: F.flatten(F.array(*(_searched(may_match(low, p[2]), of(p, text)) for p in patterns)))))
 
 
 PHONE = r"(?:\+|00)?[0-9][0-9 ()./-]{6,22}[0-9]"
@@ -120,7 +137,8 @@ def contact_candidates(text: Column) -> Column:
     """Phone numbers (7 to 15 digits, no date, with a sign or a leading 0) and [EMAIL] placeholders with a label just before them."""
 
     def of(t: Column) -> Column:
-        shapes = F.concat(places(t, PHONE), places(t, r"\[EMAIL\]"))
+        none = F.array().cast("array<struct<start: int, end: int>>")
+        shapes = F.concat(F.when(t.rlike("[0-9][0-9 ()./-]{6}"), places(t, PHONE)).otherwise(none), F.when(F.contains(t, F.lit("[EMAIL]")), places(t, r"\[EMAIL\]")).otherwise(none))
 
         def judged(m: Column) -> Column:
             s = F.substr(t, m["start"] + 1, m["end"] - m["start"])
@@ -132,21 +150,25 @@ def contact_candidates(text: Column) -> Column:
 
         return F.array_compact(F.transform(shapes, judged))
 
-    return bind(text, of).cast(CANDIDATE)
+    return F.when(text.isNotNull(), bind(text, of).cast(CANDIDATE))
+
+
+CLOSINGS = ("regards", "thanks", "sincerely", "cheers", "best")
 
 
 def signoff_candidates(text: Column) -> Column:
     """A capitalised name right after a closing word, at most 40 characters on."""
-    closing = r"(?i:\b(?:regards|thanks|sincerely|cheers|best))[ \t,.!]*\n?[ \t\n]*"
+    closing = rf"(?i:\b(?:{'|'.join(CLOSINGS)}))[ \t,.!]*\n?[ \t\n]*"
 
     def of(t: Column) -> Column:
         return F.transform(places(t, closing + r"[A-Z][a-z]+(?: [A-Z][a-z]+)?\b"), lambda m: F.struct(F.lit("signature_contact").alias("type"), m["start"].alias("start"), m["end"].alias("end"), F.lit(WEAK).alias("confidence"), F.lit("sc_signoff_name").alias("pattern")))
 
-    return F.filter(bind(text, of), lambda c: c["end"] - c["start"] <= 60).cast(CANDIDATE)
+    found = F.filter(bind(text, of), lambda c: c["end"] - c["start"] <= 60)
+    return F.when(text.isNotNull(), _searched(bind(F.lower(text), lambda low: _any_of(low, CLOSINGS)), found))
 
 
-def organisation_candidates(documents: DataFrame, organisations: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``(key, candidates)``: mentions of known organisations (column ``name``), strong beside a word such as team or security; those of a copyright line too."""
+def organisations_in(text: Column, organisations: DataFrame) -> Column:
+    """Candidates of known organisations (column ``name``), strong beside a word such as team or security; those of a copyright line too."""
     rows = organisations.select("name").distinct()
     names = [r.name for r in rows.limit(10_001).collect()]
     if len(names) > 10_000:
@@ -164,7 +186,12 @@ def organisation_candidates(documents: DataFrame, organisations: DataFrame, text
 
         return F.transform(places(t, rf"(?i)(?:(?:©|\(c\)|copyright)[ 0-9,-]{{1,12}})?\b(?:{some})\b{cue}{{0,2}}"), one)
 
-    return documents.select(key, bind(F.col(text), of).cast(CANDIDATE).alias("candidates"))
+    return F.when(text.isNotNull(), _searched(text.rlike(rf"(?i)\b(?:{some})\b"), bind(text, of)))
+
+
+def organisation_candidates(documents: DataFrame, organisations: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``(key, candidates)``: mentions of known organisations, as ``organisations_in`` finds them."""
+    return documents.select(key, organisations_in(F.col(text), organisations).alias("candidates"))
 
 
 def select(candidates: Column, least: float = WEAK) -> Column:
@@ -195,7 +222,7 @@ def extract(documents: DataFrame, text: str = "text", key: str = "doc_id", least
         matched = match_phrases(documents, text, key).groupBy(key).agg(F.collect_list(match).alias("_m"))
         rows = rows.join(matched, key, "left").withColumn("_c", F.concat("_c", F.coalesce(F.col("_m").cast(CANDIDATE), F.array().cast(CANDIDATE)))).drop("_m")
     if organisations is not None:
-        rows = rows.join(organisation_candidates(documents, organisations, text, key), key).withColumn("_c", F.concat("_c", "candidates"))
+        rows = rows.withColumn("_c", F.concat("_c", organisations_in(t, organisations)))
     rows = rows.select(key, text, F.posexplode(select(F.col("_c"), least)).alias("_k", "c"))
     s = F.col("c.start")
     tokens = lambda x: F.regexp_extract_all(F.lower(x), F.lit(f"({TOKEN})"), F.lit(1))
@@ -227,6 +254,7 @@ def hit_rates(documents: DataFrame, claims: DataFrame, by: str, key: str = "doc_
 
 def span_scores(labels: DataFrame, claims: DataFrame, key: str = "doc_id") -> DataFrame:
     """Precision and recall of spans by type: a claim is right if it overlaps a labelled span of its type in its message, and so the other way round."""
+    claims = stored(claims.select(key, "type", "claim", "claim_id"))  # read three times
     pairs = labels.select(key, "type", F.col("span").alias("_s"), F.col("label_id").alias("_l")).join(claims.select(key, "type", "claim", "claim_id"), [key, "type"])
     hit = pairs.where(spans_overlap(F.col("_s"), F.col("claim")))
     right = hit.select(key, "type", "claim_id").distinct().groupBy("type").agg(F.count("*").alias("right"))
