@@ -38,7 +38,7 @@ def l11_systems(t):
 
 
 def _vectors(t, *keep):
-    rows = _documents(t)
+    rows = M.stored(_documents(t))  # read three times
     terms = M.vocabulary(rows.where("split = 'train'"), "doc_id", "text")
     return M.text_vectors(rows, "doc_id", "text", terms, "split", *keep)
 

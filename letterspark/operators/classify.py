@@ -19,11 +19,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from letterspark.functions.text import bind
 from letterspark.operators.evaluate import matched_cut, tune_threshold, weighted_auc
 from letterspark.plans.shared import stored
 
 #: Terms of a vocabulary, and texts that a term must stand in.
 MOST_TERMS, LEAST_TEXTS = 200_000, 2
+#: Characters of texts in a task that makes vectors.
+PART = 8_000_000
 
 
 def terms_of(text: Column, pairs: bool = True) -> Column:
@@ -35,9 +38,20 @@ def terms_of(text: Column, pairs: bool = True) -> Column:
     return F.get(both, F.lit(0))
 
 
+def counted(terms: Column) -> Column:
+    """``(term, n)`` of each different term of an array, by name: counted in the row, so that no table of all texts' terms is held or shuffled."""
+
+    def runs(s: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return bind(first, lambda at: F.transform(at, lambda i, k: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).alias("n"))))
+
+    none = F.array().cast("array<struct<term: string, n: int>>")
+    return bind(F.sort_array(terms), lambda s: F.when(F.size(s) > 0, runs(s)).otherwise(none))
+
+
 def term_counts(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """``(key, term, n)``."""
-    return documents.select(key, F.explode(terms_of(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
+    """``(key, term, n)`` of texts, one row a key."""
+    return documents.select(key, F.explode(counted(terms_of(F.col(text)))).alias("t")).select(key, "t.term", "t.n")
 
 
 def vocabulary(documents: DataFrame, key: str, text: str, least: int = LEAST_TEXTS, most: int = MOST_TERMS) -> DataFrame:
@@ -50,17 +64,22 @@ def vocabulary(documents: DataFrame, key: str, text: str, least: int = LEAST_TEX
 
 
 def text_vectors(documents: DataFrame, key: str, text: str, terms: DataFrame, *keep: str) -> DataFrame:
-    """``(key, *keep, features)``: sublinear counts times idf, of length one; a text without known terms has an empty vector."""
+    """``(key, *keep, features)``: sublinear counts times idf, of length one; a text without known terms has an empty vector. One row a key.
+
+    Texts are dealt by key once, ``PART`` characters or so to a task; their terms are then counted, weighted and put together
+    where they stand.
+    """
     size = terms.count()
-    weighted = term_counts(documents, key, text).join(terms, "term").select(key, "place", ((1 + F.log("n")) * F.col("idf")).alias("v"))
-    entry = F.sort_array(F.collect_list(F.struct("place", "v")))
-    rows = weighted.groupBy(key).agg(entry.alias("e"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    none = lambda kind: F.array().cast(f"array<{kind}>")
+    parts = max(documents.sparkSession.sparkContext.defaultParallelism, -(-(documents.agg(F.sum(F.length(text))).first()[0] or 0) // PART))
+    known = F.broadcast(terms) if size <= MOST_TERMS else terms
+    dealt = documents.select(key, *keep, text).repartition(parts, key).select(key, *keep, F.explode_outer(counted(terms_of(F.col(text)))).alias("t")).select(key, *keep, "t.term", "t.n")
+    weighted = dealt.join(known, "term", "left").select(key, *keep, "place", ((1 + F.log("n")) * F.col("idf")).alias("v"))
+    entry = F.sort_array(F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", "v"))))
+    rows = weighted.groupBy(key, *keep).agg(entry.alias("e"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
     vector = F.struct(
-        F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"), F.coalesce(F.transform("e", lambda x: x["place"]), none("int")).alias("indices"),
-        F.coalesce(F.transform("e", lambda x: x["v"] / F.col("norm")), none("double")).alias("values"),
+        F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"), F.transform("e", lambda x: x["place"]).alias("indices"), F.transform("e", lambda x: x["v"] / F.col("norm")).alias("values"),
     )
-    made = documents.select(key, *keep).join(rows, key, "left").select(key, *keep, vector.alias("features"))
+    made = rows.select(key, *keep, vector.alias("features"))
     return stored(made, StructType([*made.schema.fields[:-1], StructField("features", VectorUDT())]))
 
 
@@ -73,6 +92,8 @@ def balanced(label: str, rows: DataFrame) -> Column:
 
 def fit_linear(rows: DataFrame, label: str, features: str = "features", strength: float = 1.0, weighted: bool = False, rounds: int = 200) -> LogisticRegressionModel:
     """Logistic regression on vectors as they are; ``strength`` is the inverse penalty of all rows together, null labels don't train."""
+    # each round adds up a gradient from every partition: their number must not grow with the input
+    rows = rows.coalesce(2 * rows.sparkSession.sparkContext.defaultParallelism)
     rows = rows.where(F.col(label).isNotNull()).withColumn("_y", F.col(label).cast("double"))
     rows = rows.withColumn("_w", balanced("_y", rows) if weighted else F.lit(1.0))
     model = LogisticRegression(featuresCol=features, labelCol="_y", weightCol="_w", standardization=False, regParam=1 / (strength * rows.count()), maxIter=rounds, tol=1e-9)
