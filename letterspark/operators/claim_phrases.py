@@ -132,36 +132,35 @@ def parse(phrase: str) -> list[dict]:
     return out
 
 
-def _keys(part: dict) -> list[str]:
-    """What the first word of a phrase is looked up by; digits share one key."""
-    return ["#"] if part["kind"] == "digits" else sorted({x[:KEY].lower() for x in part["words"] + part["stems"]})
+def _firsts(part: dict) -> list[tuple[str, str, str]]:
+    """What the first word of a phrase is looked up by (digits share one key), the word or stem itself, and how they compare."""
+    if part["kind"] == "digits":
+        return [("#", "", "digits")]
+    how = "exact" if part["kind"] == "exact" else "word"
+    return [(x[:KEY].lower(), x, how) for x in part["words"]] + [(x[:KEY].lower(), x, "stem") for x in part["stems"]]
 
 
-_AT = "struct<at: int, out: array<int>>"
-
-
-def _starts(pairs: Column, at: Column) -> Column:
-    """Where each word starts, from ``(gap, size)`` of the words and where their first gap starts."""
-    step = lambda acc, x: F.struct((acc["at"] + x["gap"] + x["size"]).alias("at"), F.array_append(acc["out"], acc["at"] + x["gap"]).alias("out")).cast(_AT)
-    return F.aggregate(pairs, F.struct(at.alias("at"), F.array().alias("out")).cast(_AT), step)["out"]
+def _long(words: Column, gaps: Column, start: Column, n: Column) -> Column:
+    """Characters of ``n`` words from a place on with the white space before each: two joins of strings, not a step for each word."""
+    return F.length(F.array_join(F.slice(words, start, n), "")) + F.length(F.array_join(F.slice(gaps, start, n), ""))
 
 
 def windows(documents: DataFrame, text: str, key: str, reach: int) -> DataFrame:
-    """``(key, _base, _w, _l, _s)``: words of each text in windows, as written and in lower case, and their places; ``reach`` words of the next window follow.
+    """``(key, _base, _at, _w, _l, _g)``: words of each text in windows, as written and in lower case, and the white space before each; ``reach`` words of the next window follow.
 
-    The lengths of words and of the white space between them add up to places, first for whole windows.
+    ``_at``: where a window starts in the text, from the lengths of those before. Places of words are left to who needs
+    them (``_long``): few words are part of a match.
     """
     found = F.regexp_extract_all(F.col(text), F.lit(f"({WORD})"), F.lit(1))
-    rows = documents.where(F.col(text).isNotNull()).select(key, found.alias("_words"), F.transform(F.split(F.col(text), WORD), lambda g: F.length(g)).alias("_gaps"))
-    pairs = F.zip_with("_words", F.slice("_gaps", F.lit(1), F.size("_words")), lambda w, g: F.struct(g.alias("gap"), F.length(w).alias("size")))
-    rows = rows.where(F.size("_words") > 0).select(key, "_words", pairs.alias("_pairs"))
+    rows = documents.where(F.col(text).isNotNull()).select(key, found.alias("_words"), F.split(F.col(text), WORD).alias("_gaps")).where(F.size("_words") > 0)
     kind = "struct<at: int, out: array<struct<base: int, at: int>>>"
-    long = lambda i: F.aggregate(F.slice("_pairs", i + 1, WINDOW), F.lit(0), lambda a, x: a + x["gap"] + x["size"])
+    long = lambda i: _long(F.col("_words"), F.col("_gaps"), i + 1, F.lit(WINDOW))
     add = lambda acc, i: F.struct((acc["at"] + long(i)).alias("at"), F.array_append(acc["out"], F.struct(i.alias("base"), acc["at"].alias("at"))).alias("out")).cast(kind)
     bases = F.aggregate(F.sequence(F.lit(0), F.size("_words") - 1, F.lit(WINDOW)), F.struct(F.lit(0).alias("at"), F.array().alias("out")).cast(kind), add)["out"]
-    rows = rows.select(key, "_words", "_pairs", F.explode(bases).alias("_b"))
+    rows = rows.select(key, "_words", "_gaps", F.explode(bases).alias("_b"))
     part = lambda c: F.slice(c, F.col("_b.base") + 1, WINDOW + reach)
-    return rows.select(key, F.col("_b.base").alias("_base"), part("_words").alias("_w"), F.transform(part("_words"), F.lower).alias("_l"), _starts(part("_pairs"), F.col("_b.at")).alias("_s"))
+    # no word holds a line feed
+    return rows.select(key, F.col("_b.base").alias("_base"), F.col("_b.at").alias("_at"), part("_words").alias("_w"), part("_gaps").alias("_g")).withColumn("_l", F.split(F.lower(F.array_join("_w", "\n")), "\n"))
 
 
 def match_phrases(documents: DataFrame, text: str = "text", key: str = "doc_id", patterns=PATTERNS) -> DataFrame:
@@ -172,10 +171,16 @@ def match_phrases(documents: DataFrame, text: str = "text", key: str = "doc_id",
     spark = documents.sparkSession
     parts = {p[0]: parse(p[2]) for p in patterns}
     reach = max(sum(p["n"] for p in items) for items in parts.values()) + 1
-    table = spark.createDataFrame([(k, p[0], p[1], p[3], parts[p[0]]) for p in patterns for k in _keys(parts[p[0]][0])], f"_k string, pattern string, type string, confidence double, parts {PARTS}")
-    each = windows(documents, text, key, reach).select("*", F.explode(F.sequence(F.lit(0), F.least(F.size("_w"), F.lit(WINDOW)) - 1)).alias("_i"))
-    word = F.get("_l", F.col("_i"))
-    hits = each.withColumn("_k", F.when(word.rlike("^[0-9]+$"), "#").otherwise(F.left(word, F.lit(KEY)))).join(F.broadcast(table), "_k")  # as many rows as patterns have first words
+    table = spark.createDataFrame([(*f, p[0], p[1], p[3], parts[p[0]]) for p in patterns for f in _firsts(parts[p[0]][0])], f"_k string, _first string, _how string, pattern string, type string, confidence double, parts {PARTS}")
+    keys = sorted({f[0] for p in patterns for f in _firsts(parts[p[0]][0])})
+    # the comparison spares most words the regular expression
+    lookup = lambda word: F.when((word >= "0") & (word < ":") & word.rlike("^[0-9]+$"), "#").otherwise(F.left(word, F.lit(KEY)))
+    begins = F.filter(F.transform(F.slice("_l", 1, WINDOW), lambda w, i: F.struct(i.alias("i"), lookup(w).alias("k"))), lambda x: x["k"].isin(keys))
+    each = windows(documents, text, key, reach).withColumn("_x", F.explode(begins)).select("*", F.col("_x.i").alias("_i"), F.col("_x.k").alias("_k")).drop("_x")
+    low, plain, how, first = F.get("_l", F.col("_i")), F.get("_w", F.col("_i")), F.col("_how"), F.col("_first")
+    begin = F.when(how == "word", low == first).when(how == "stem", F.startswith(low, first)).when(how == "exact", plain == first).otherwise(True)
+    table = F.broadcast(table.withColumnRenamed("_k", "_key"))  # as many rows as patterns have first words
+    hits = each.join(table, (F.col("_k") == F.col("_key")) & begin)
 
     def fits(p: Column, part: Column) -> Column:
         low, plain = F.get("_l", p), F.get("_w", p)
@@ -193,5 +198,7 @@ def match_phrases(documents: DataFrame, text: str = "text", key: str = "doc_id",
     found = hits.withColumn("_end", end).where("_end is not null")
     held = lambda i: F.get("_w", i).isin("EMAIL", "URL", "FILE", "DOMAIN") & (F.get("_w", i - 1) == "[") & (F.get("_w", i + 1) == "]")
     found = found.where(~F.coalesce(held(F.col("_i")) | held(F.col("_end") - 1), F.lit(False)))
-    stop = F.get("_s", F.col("_end") - 1) + F.length(F.get("_w", F.col("_end") - 1))
-    return found.select(key, "type", F.get("_s", F.col("_i")).alias("start"), stop.alias("end"), "confidence", "pattern", (F.col("_base") + F.col("_i")).alias("first"), (F.col("_base") + F.col("_end")).alias("last")).distinct()
+    words, gaps, one = F.col("_w"), F.col("_g"), F.lit(1)
+    start = F.col("_at") + _long(words, gaps, one, F.col("_i")) + F.length(F.get("_g", F.col("_i")))
+    stop = F.col("_at") + _long(words, gaps, one, F.col("_end"))
+    return found.select(key, "type", start.alias("start"), stop.alias("end"), "confidence", "pattern", (F.col("_base") + F.col("_i")).alias("first"), (F.col("_base") + F.col("_end")).alias("last")).distinct()
