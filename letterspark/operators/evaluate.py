@@ -109,8 +109,8 @@ _POISSON = np.add.accumulate([math.exp(-1) / math.factorial(k) for k in range(20
 def intervals(df: DataFrame, by: list[str], cluster: str, sums: dict[str, Column], statistics: dict[str, Column], draws: int = DRAWS, seed: int = 1) -> DataFrame:
     """``(*by, statistic, value, low, high)``: percentile intervals over clusters that count a random number of times in each draw.
 
-    A cluster's draws are made beside its sums and added up inside the task, so what is shuffled is one row for each task,
-    group and draw, whatever the number of clusters. All statistics and groups share the draws: one of the sums of several
+    A cluster's sums come together in one task, so its draws are made once for all groups; they are added up inside the
+    task, so what is shuffled then is one row for each task, group and draw, whatever the number of clusters. All statistics and groups share the draws: one of the sums of several
     systems or views is a paired difference, also of differences.
     """
     names = list(sums)
@@ -123,17 +123,20 @@ def intervals(df: DataFrame, by: list[str], cluster: str, sums: dict[str, Column
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                weights = draw_weights(part.column("_h").to_numpy(), draws, seed).astype(float)
+                hashes, at_ = np.unique(part.column("_h").to_numpy(), return_inverse=True)
+                weights = draw_weights(hashes, draws, seed)
                 values = np.stack([part.column(k).to_numpy(zero_copy_only=False) for k in names], 1)
                 keys = list(zip(*(part.column(k).to_pylist() for k in by))) if by else [()] * part.num_rows
-                for key in dict.fromkeys(keys):
-                    rows = [k for k, x in enumerate(keys) if x == key]
-                    total[key] = total.get(key, 0) + weights[rows].T @ np.nan_to_num(values[rows])
+                places: dict[tuple, list[int]] = {}
+                for k, key in enumerate(keys):
+                    places.setdefault(key, []).append(k)
+                for key, rows in places.items():
+                    total[key] = total.get(key, 0) + weights[at_[rows]].T.astype(float) @ np.nan_to_num(values[rows])
         for key, sums_ in total.items():
             columns = [pa.array([v] * draws, part.schema.field(k).type) for k, v in zip(by, key)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(np.arange(draws, dtype=np.int32)), *(pa.array(sums_[:, k]) for k in range(len(names)))], [*by, "_draw", *names])
 
-    drawn = per.mapInArrow(add, schema).groupBy(*by, "_draw").agg(*(F.sum(k).alias(k) for k in names))
+    drawn = per.repartition("_h").sortWithinPartitions("_h").mapInArrow(add, schema).groupBy(*by, "_draw").agg(*(F.sum(k).alias(k) for k in names))
     each = F.explode(F.array(*(F.struct(F.lit(k).alias("statistic"), v.cast("double").alias("v")) for k, v in statistics.items()))).alias("x")
     point = per.groupBy(*by).agg(*(F.sum(k).alias(k) for k in names)).select(*by, each).select(*by, "x.statistic", F.col("x.v").alias("value"))
     ends = drawn.select(*by, each).groupBy(*by, "x.statistic").agg(F.percentile("x.v", F.lit(0.025)).alias("low"), F.percentile("x.v", F.lit(0.975)).alias("high"))
