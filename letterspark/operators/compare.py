@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from letterspark.plans.shared import parts
+
 
 def parity(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
     """Rows of two paths by whether they agree, differ or stand on one side only."""
@@ -62,14 +64,16 @@ def feature_vectors(messages: DataFrame, ledger: DataFrame, rules: list[str], ve
     """A flat vector for each of ``messages``: flags of rules that found a contradiction, the worst of each verifier (0 to 3), a probability a tactic, claims found and checked.
 
     ``probabilities``: (key, tactic, p); ``coverage``: (key, claims, checked). What a message has no row for is 0. ``features``
-    holds the same columns in their order, ready for ``array_to_vector``.
+    holds the same columns in their order, ready for ``array_to_vector``. Rows are dealt by message in bounded parts, as in ``coverage_report``.
     """
+    n = parts(ledger)
     hit = F.coalesce("contradiction", F.lit(False))
     rank = F.when(hit, F.array_position(F.array(*map(F.lit, ("low", "medium", "high"))), F.col("severity"))).otherwise(0)
     flags = [F.max(F.when(hit & (F.col("rule") == r), 1).otherwise(0)).alias(f"rule_{r}") for r in rules]
     worst = [F.max(F.when(F.col("verifier") == v, rank).otherwise(0)).cast("int").alias(f"worst_{v}") for v in verifiers]
-    chances = probabilities.groupBy(key).agg(*(F.max(F.when(F.col("tactic") == x, F.col("p"))).alias(f"tactic_{x}") for x in tactics))
+    chances = probabilities.select(key, "tactic", "p").repartition(n, key).groupBy(key).agg(*(F.max(F.when(F.col("tactic") == x, F.col("p"))).alias(f"tactic_{x}") for x in tactics))
     found = coverage.select(key, F.col("claims").alias("claims_found"), F.col("checked").alias("claims_checked"))
-    out = messages.select(key).distinct().join(ledger.groupBy(key).agg(*flags, *worst), key, "left").join(chances, key, "left").join(found, key, "left")
+    own = ledger.select(key, "verifier", "rule", "contradiction", "severity").repartition(n, key).groupBy(key).agg(*flags, *worst)
+    out = messages.select(key).repartition(n, key).distinct().join(own, key, "left").join(chances, key, "left").join(found, key, "left")
     names = [c for c in out.columns if c != key]
     return out.fillna(0, names).withColumn("features", F.array(*(F.col(c).cast("double") for c in names)))
